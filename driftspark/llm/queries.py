@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, chat, token_counts
+from . import bpe, chat, decontam, simhash, token_counts
 from .common import table
 
 #: Queries by name; each takes (spark, sf_dir).
@@ -64,3 +65,41 @@ SELECT conv_id, count(*) AS n_turns,
   bool_and(allowed) AND last(role ORDER BY turn NULLS FIRST, role, text) = 'assistant' AS valid
 FROM steps GROUP BY conv_id
 """
+
+
+@query
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.digests(decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+ORACLES["op8_decontaminate"] = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents
+), b AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark
+), bw AS (
+  SELECT DISTINCT item, least(len(words), 10) AS size, array_to_string(words[i:i + least(len(words), 10) - 1], ' ') AS win
+  FROM (SELECT item, words, unnest(range(1, len(words) - least(len(words), 10) + 2)) AS i FROM b WHERE len(words) > 0)
+), sizes AS (
+  SELECT DISTINCT size FROM bw
+), dw AS (
+  SELECT doc_id, size, i, array_to_string(words[i:i + size - 1], ' ') AS win
+  FROM (SELECT doc_id, words, size, unnest(range(1, CAST(len(words) - size + 2 AS BIGINT))) AS i FROM w, sizes WHERE len(words) >= size)
+), hit AS (
+  SELECT doc_id, i, size, item FROM dw JOIN bw USING (size, win)
+), n AS (
+  SELECT doc_id, count(DISTINCT i + j) AS n_hit
+  FROM (SELECT doc_id, i, unnest(range(0, size)) AS j FROM (SELECT DISTINCT doc_id, i, size FROM hit)) GROUP BY doc_id
+), it AS (
+  SELECT doc_id, count(DISTINCT item) AS n_items, string_agg(DISTINCT item, ',' ORDER BY item) AS items FROM hit GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(words) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
+"""
+
+
+@query
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
