@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, simhash, token_counts
-from .common import table
+from . import bpe, chat, decontam, langid, quality, simhash, token_counts
+from .common import held_out, table
 
 #: Queries by name; each takes (spark, sf_dir).
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -67,6 +67,29 @@ FROM steps GROUP BY conv_id
 """
 
 
+#: Documents that score less are rejected.
+QUALITY_CUT = 0.3
+
+
+def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
+    """The classifier of ``labels.quality``, learnt from documents that are not held out."""
+    return quality.train(*quality.labelled_rows(docs, labels, ~held_out(F.col("doc_id"))))
+
+
+@query
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    scored = quality.classify(docs, quality_model(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
+@query
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = langid.train(langid.training_sample(docs, ~held_out(F.col("doc_id"))))
+    return langid.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 @query
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.digests(decontam.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
