@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, quality, simhash, token_counts, topk
+from . import bpe, chat, decontam, langid, pii, quality, simhash, token_counts, topk
 from .common import held_out, table
 
 #: Queries by name; each takes (spark, sf_dir).
@@ -141,6 +141,16 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
+#: Where no secret is given; surrogates can be told from their originals only without it.
+PII_KEY = "corpus key"
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.pseudonymise(table(spark, sf_dir, "documents"), PII_KEY)
+    return found.select("doc_id", "text", F.size("entities").cast("long").alias("n_entities"), F.array_join("entities.kind", ",").alias("kinds"))
+
+
 @query
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
