@@ -14,7 +14,8 @@ surrogate, the least keeps it. Only entities with a later attempt are joined bac
 to ``BROADCAST_ROWS`` of them; mostly there are none, and then no text is shuffled.
 
 Null texts stay null and hold no entity; texts without entities are returned unchanged. Repeated rows are replaced each,
-with the same surrogates. Empty tables give empty tables. Other columns are neither read nor returned.
+with the same surrogates. Empty tables give empty tables. Other columns are not
+read; those in ``keep`` are returned as they are.
 """
 
 from __future__ import annotations
@@ -203,9 +204,10 @@ NO_ATTEMPTS = "array<struct<kind:string,canonical:string,attempt:int>>"
 BROADCAST_ROWS = 100_000
 
 
-def pseudonymise(docs: DataFrame, secret: str, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key``, ``text`` with surrogates, and ``entities`` (kind and canonical form, from the left) of each row."""
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"))
+def pseudonymise(docs: DataFrame, secret: str, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """``key``, ``text`` with surrogates, ``entities`` (kind and canonical form, from the left), and the columns to ``keep``."""
+    kept = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), *kept)
     rows = rows.withColumn("matches", F.coalesce(entities_in(F.col("text")), F.array().cast("array<string>")))
     found = rows.filter(F.size("matches") > 0).select("hash", F.explode(_parts(F.col("matches"))).alias("e")).select("hash", "e.kind", "e.canonical").distinct()
     found = checkpointed(found)
@@ -223,4 +225,4 @@ def pseudonymise(docs: DataFrame, secret: str, *, key: str = "doc_id", text: str
     surrogate = lambda i: F.array_join(F.transform(F.filter("drawn", lambda d: d["at"] == i), lambda d: d.text), "")
     pieces = F.transform(F.split("text", ENTITY, -1), lambda gap, i: F.concat(gap, surrogate(i)))
     entities = F.transform("parts", lambda x: F.struct(x.kind.alias("kind"), x.canonical.alias("canonical")))
-    return rows.select(F.col("key").alias(key), F.when(F.size("matches") > 0, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text"), entities.alias("entities"))
+    return rows.select(F.col("key").alias(key), F.when(F.size("matches") > 0, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text"), entities.alias("entities"), *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)])

@@ -136,6 +136,16 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int
     return np.array([np.frombuffer(r, np.float32) for _, _, r in got], np.float32).reshape(len(got), TERMS + 1), np.array([y for _, y, _ in got])
 
 
+def _scores(texts: pa.Array, model: Model, terms: _Terms) -> np.ndarray:
+    out = np.zeros(len(texts))
+    for part in by_bytes(text_sizes(texts), BATCH_BYTES):
+        own = [t or "" for t in texts.slice(part.start, part.stop - part.start).to_pylist()]
+        for a in range(0, len(own), BLOCK):
+            found = own[a : a + BLOCK]
+            out[part.start + a : part.start + a + len(found)] = score(model, features(found, terms))
+    return out
+
+
 def classify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key`` and ``score`` of each row."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # LABELLED x RANK floats and the projection
@@ -143,13 +153,19 @@ def classify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms()
         for batch in batches:
-            out = np.zeros(batch.num_rows)
-            for part in by_bytes(text_sizes(batch.column(1)), BATCH_BYTES):
-                texts = [t or "" for t in batch.column(1).slice(part.start, part.stop - part.start).to_pylist()]
-                for a in range(0, len(texts), BLOCK):
-                    found = texts[a : a + BLOCK]
-                    out[part.start + a : part.start + a + len(found)] = score(shared.value, features(found, terms))
-            yield pa.RecordBatch.from_pydict({"key": batch.column(0), "score": pa.array(out)})
+            yield pa.RecordBatch.from_pydict({"key": batch.column(0), "score": pa.array(_scores(batch.column(1), shared.value, terms))})
 
     kind = docs.schema[key].dataType.simpleString()
     return map_batches(docs.select(key, text), run, f"key {kind}, score double").withColumnRenamed("key", key)
+
+
+def accepted(docs: DataFrame, model: Model, cut: float, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all their columns, that score ``cut`` or more."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        terms = _Terms()
+        for batch in batches:
+            yield batch.filter(pa.array(_scores(batch.column(at), shared.value, terms) >= cut))
+
+    return map_batches(docs, run, docs.schema)

@@ -41,6 +41,14 @@ SEED = 42
 BUCKET = 512
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The bits that are set in over half of the hashes."""
+    ones = np.zeros(BITS, np.int64)
+    for part in np.array_split(hashes, max(1, len(hashes) // 4096)):
+        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
+    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+
+
 def fingerprint(text: str | None, shingle: int) -> int:
     """The SimHash of a text as an unsigned 64-bit integer."""
     import xxhash
@@ -58,10 +66,7 @@ def fingerprint(text: str | None, shingle: int) -> int:
         starts, ends = starts[:1], ends[-1:]
     digest = xxhash.xxh64_intdigest
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)), np.uint64, len(starts))
-    ones = np.zeros(BITS, np.int64)
-    for part in np.array_split(hashes, max(1, len(hashes) // 4096)):
-        ones += np.unpackbits(part.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int32)
-    return int.from_bytes(np.packbits(2 * ones > len(hashes)).tobytes(), "big")
+    return majority(hashes)
 
 
 def fingerprints(docs: DataFrame, *, shingle: int = 3, key: str = "doc_id", text: str = "text") -> DataFrame:
