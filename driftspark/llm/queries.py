@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, pii, quality, simhash, token_counts, topk
+from . import bpe, chat, decontam, langid, pii, quality, simhash, suffix_dedup, token_counts, topk
 from .common import held_out, table
 
 #: Queries by name; each takes (spark, sf_dir).
@@ -86,6 +86,11 @@ FROM steps GROUP BY conv_id
 """
 
 
+@query
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 #: Documents that score less are rejected.
 QUALITY_CUT = 0.3
 
