@@ -203,7 +203,7 @@ def whole_graph(vertices: DataFrame, edges: DataFrame, cap: int = CYCLE_CAP) ->
     """Components, directed diameter and elementary cycles of each snapshot's graph."""
     rows = vertices.select(*SNAPSHOT, F.col("file_path").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select(*SNAPSHOT, "src", "dst"))
 
-    def measure(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         nodes = rows.src[rows.dst.isna()].tolist()
         some = rows[rows.dst.notna()]
         pairs = list(zip(some.src, some.dst, strict=True))

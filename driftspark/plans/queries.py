@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .. import parsers
 from ..functions import files, globs
-from ..operators import catalog, debounce, divergence, graph, intent, resolve
+from ..operators import catalog, debounce, divergence, graph, intent, leiden, resolve
 from ..sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -574,3 +575,31 @@ def warm_start(spark, sf_dir):
     now = found.join(top, F.col("seq") == F.col("top")).select("repo_id", "file_path").distinct()
     before = tables.user_clusters(found).join(top, F.col("seq") == F.col("top") - 1).select("repo_id", "file_path", "cluster")
     return debounce.initial_membership(now, before)
+
+
+# ---- without SQL: clustering and parsing ---------------------------------------------------------------------------
+
+
+@query()
+def leiden_partition(spark, sf_dir):
+    vertices, _, edges, _ = _trade(spark, sf_dir)
+    return leiden.communities(vertices, edges)
+
+
+SOURCES = {
+    "python": "import os\nfrom a.b import c\n\n\ndef f{n}(x):\n    try:\n        log.info(x)\n    except E:\n        db.query({n})\n",
+    "shell": "#!/bin/sh\nset -eu\n. ./lib.sh\nf{n}() {{\n  curl x | jq . | tee y\n}}\nf{n} || exit {n}\n",
+    "typescript": "import {{a}} from './m{n}';\nexport function f{n}() {{ try {{ console.log({n}); }} catch (e) {{ }} }}\n",
+    "go": "package p\nimport \"fmt\"\nfunc F{n}() error {{\n if err != nil {{ return err }}\n return nil\n}}\n",
+}
+
+
+@query()
+def parse_features(spark, sf_dir):
+    """Sources written from a template for each page, parsed."""
+    names = sorted(SOURCES)
+    pick = lambda of: F.element_at(F.array(*[F.lit(of(n)) for n in names]), (F.col("page_id") % len(names) + 1).cast("int"))
+    text = F.replace(F.replace(F.replace(pick(SOURCES.get), F.lit("{n}"), F.col("page_id").cast("string")), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
+    p = tables.read(spark, sf_dir, "pages").select(F.lit("r").alias("repo_id"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("src/p"), F.col("page_id").cast("string")).alias("path"), pick(lambda n: n).alias("language"), text.cast("binary").alias("content"))
+    found = parsers.parse_files(p)
+    return found.select("file_path", "language", F.array_join("imports", ",").alias("imports"), F.array_join("symbols", ",").alias("symbols"), F.size("pattern_instances").alias("patterns"), "lines_of_code", "parse_error")
