@@ -17,7 +17,8 @@ doubling prefixes, to the depth that ``length`` bytes need. For each position, t
 the array is then compared in text order, as far as ``length`` bytes; runs of suffixes that reach it are the places of
 one window, and the first place is the one that stays.
 
-Segments that equal another one as a whole (by two 64-bit hashes) are settled beforehand by their first place; only
+Segments that equal another one as a whole (by two 64-bit hashes) are settled beforehand by their first place, within a
+batch of texts before anything is shuffled; only
 anchors whose segments differ go to shards, each distinct segment once. An anchor with more than ``SHARD_BYTES`` of
 distinct segments (a frequent phrase in ever new surroundings) is not put in one shard: its windows are grouped one by
 one, by their bytes, which any number of tasks can share.
@@ -262,8 +263,24 @@ LAST = (1 << 63) - 1
 BROADCAST_IDS = 1_000_000
 
 
+def settled(doc: np.ndarray, key: np.ndarray, whole: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which segments another one of the batch equals at an earlier place, and at the same place (repeated rows)."""
+    order = np.lexsort((start, doc, whole, key))
+    new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (whole[order][1:] != whole[order][:-1])]) if len(order) else np.zeros(0, bool)
+    first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    same_place = (doc[order] == doc[first]) & (start[order] == start[first])
+    later, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
+    later[order], again[order] = ~new & ~same_place, ~new & same_place
+    return later, again
+
+
 def all_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, key, whole, start, n) of every segment."""
+    """(doc, key, whole, start, n, settled) of every segment.
+
+    Segments that an earlier one of the same batch equals are settled: all their windows start earlier. They get keys
+    of their own, so that a line or phrase that a third of the documents repeat does not meet in one task; repeated rows
+    come once.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -271,9 +288,13 @@ def all_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
             for part in by_bytes(text_sizes(batch.column(1)), BATCH_BYTES):
                 data, offsets = utf8(batch.column(1).slice(part.start, part.stop - part.start))
                 doc, key, whole, start, n = segments(data, offsets, length, gram)
-                yield pa.RecordBatch.from_pydict({"doc": pa.array(ids[part][doc], pa.int64()), "key": pa.array(key), "whole": pa.array(whole), "start": pa.array(start.astype(np.int32)), "n": pa.array(n.astype(np.int32))})
+                doc = ids[part][doc]
+                later, again = settled(doc, key, whole, start)
+                own = (doc.astype(np.uint64) * np.uint64(BASE) ^ start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+                columns = {"doc": doc, "key": np.where(later, own, key), "whole": whole, "start": start.astype(np.int32), "n": n.astype(np.int32), "settled": later}
+                yield pa.RecordBatch.from_pydict({name: pa.array(x[~again]) for name, x in columns.items()})
 
-    return map_batches(docs, run, "doc long, key long, whole long, start int, n int")
+    return map_batches(docs, run, "doc long, key long, whole long, start int, n int, settled boolean")
 
 
 def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -344,9 +365,9 @@ def removed_windows(docs: DataFrame, length: int, gram: int, shard_bytes: int) -
     segs = all_segments(docs, length, gram)
     same, anchored = Window.partitionBy("key", "whole"), Window.partitionBy("key")
     placed = segs.repartition("key").withColumn("first", F.min(F.struct("doc", "start")).over(same))
-    placed = placed.withColumn("mixed", F.min("whole").over(anchored) != F.max("whole").over(anchored))
+    placed = placed.withColumn("mixed", (F.min("whole").over(anchored) != F.max("whole").over(anchored)) & ~F.col("settled"))
     # what is neither mixed nor later than an equal segment needs no look
-    later = (F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))
+    later = F.col("settled") | (F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))
     found = saved(placed.withColumn("later", later).filter("mixed OR later").select("doc", "key", "whole", "start", "n", "mixed", "later"))
 
     one = found.filter("mixed AND NOT later").select("doc", "key", "whole", "start", "n").dropDuplicates(["key", "whole"])

@@ -67,6 +67,18 @@ def test_equals_brute_force(spark, shard_bytes):
     assert got == brute(rows, 40)
 
 
+def test_settled():
+    rng = np.random.default_rng(15)
+    doc, key, whole, start = (rng.integers(0, n, 400) for n in (6, 4, 3, 8))
+    later, again = sd.settled(doc, key, whole, start)
+    places = list(zip(key, whole, doc, start, strict=True))
+    for i, (k, w, d, s) in enumerate(places):
+        first = min((a, b) for x, y, a, b in places if (x, y) == (k, w))
+        assert later[i] == ((d, s) != first)
+    assert sum(~later & ~again) == len({p[:2] for p in places})
+    assert not len(sd.settled(*[np.zeros(0, np.int64)] * 4)[0])
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert sd.digests(docs).count() == 0
