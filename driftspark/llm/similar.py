@@ -7,7 +7,11 @@ of min-wise sampled shingles: one-permutation MinHash, 16 bands of 4, which leav
 candidates are verified by their whole shingle sets (as 32-bit hashes).
 
 Texts of the same words are one node. Nodes that share a band are compared with the least node of the band, and with
-each other where the band holds at most ``SMALL`` nodes, so nothing grows with the square of a group.
+each other where the band holds at most ``SMALL`` nodes. Larger bands that are in one component by then are settled. Of
+the others, nodes not yet connected are all compared: from each node on, those that it reaches are found by inverted
+lists of shingles, and only what is still unreached is compared further (``spanning``), block by block of at most
+``BLOCK_SHINGLES`` shingles, each pair of blocks in a task. Only edges that connect come out. Where many nodes share a
+band and few are similar, this takes time with the square of the band, but finds every link.
 
 Null and empty texts are copies of each other. Rows that share an id are one document; rows without an id are in no
 group. Empty tables give no groups.
@@ -21,13 +25,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import simhash
-from .common import checkpointed, map_batches
+from .common import checkpointed, map_batches, ship
 from .components import components
 
 BINS, BANDS = 64, 16
 SMALL = 8
+#: Shingles of a block of nodes, in bands that have to be compared pair by pair; a larger node stands alone.
+BLOCK_SHINGLES = 1_500_000
 SEED = 42
 
 
@@ -96,8 +103,9 @@ def shingle_sets(docs: DataFrame, *, shingle: int, key: str, text: str) -> DataF
     return map_batches(docs.select(key, text), run, f"key {kind}, shingles array<int>")
 
 
-def candidates(nodes: DataFrame) -> DataFrame:
-    """Pairs (u, v) of nodes to be compared, u < v, from ``nodes`` (node, fp, bands)."""
+def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of nodes to be compared, u < v, from ``nodes`` (node, fp, bands); and the rows (band, value, node) of
+    bands with more than ``SMALL`` nodes, of which the pairs hold the least node's only."""
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     groups = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
     shared = checkpointed(keyed.join(groups, ["band", "value"]))
@@ -108,14 +116,77 @@ def candidates(nodes: DataFrame) -> DataFrame:
     prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     same = nodes.join(prints, "fp").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
     linked = simhash.links(prints.select(F.col("least").alias("node"), "fp")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    return stars.unionByName(each).unionByName(same).unionByName(linked).distinct()
+    return stars.unionByName(each).unionByName(same).unionByName(linked).distinct(), shared.filter(F.col("n") > SMALL).select("band", "value", "node")
+
+
+def spanning(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Edges between similar sets that connect, with equal labels as connections, all that similar pairs connect."""
+    size = np.array([len(s) for s in sets])
+    mates = {label: np.flatnonzero(labels == label) for label in np.unique(labels).tolist()}
+    left, indexed, edges = np.ones(len(sets), bool), np.zeros(0, np.int64), []
+    lists, starts, owner = None, None, None
+    for first in range(len(sets)):
+        if not left[first]:
+            continue
+        queue = mates[labels[first].item()].tolist()
+        left[queue] = False
+        while queue and left.any():
+            if lists is None or 2 * left.sum() <= len(indexed):  # inverted lists of what is unreached
+                indexed = np.flatnonzero(left)
+                values = np.concatenate([sets[i] for i in indexed])
+                order = np.argsort(values, kind="stable")
+                owner = np.repeat(np.arange(len(indexed)), size[indexed])[order]
+                lists, starts = np.unique(values[order], return_index=True)
+                starts = np.append(starts, len(values))
+            node = queue.pop()
+            at = np.searchsorted(lists, sets[node])
+            at = at[(at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] == sets[node])] if len(lists) else at[:0]
+            n = starts[at + 1] - starts[at]
+            inside = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            common = np.bincount(owner[inside], minlength=len(indexed))
+            similar = left[indexed] & (common >= similarity * (size[node] + size[indexed] - common))
+            for other in indexed[similar].tolist():
+                edges.append((node, other))
+                if left[other]:
+                    reached = mates[labels[other].item()]
+                    left[reached] = False
+                    queue += reached.tolist()
+    return edges
+
+
+def connecting(hot: DataFrame, sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame | None:
+    """Edges (u, v) that connect the similar nodes of each band of ``hot`` which ``known`` (node, component) leaves apart."""
+    named = checkpointed(hot.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    apart = named.groupBy("band", "value").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "value")
+    rows = named.join(apart, ["band", "value"]).join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("size")), "node")
+    before = F.sum(F.col("size").cast("long")).over(Window.partitionBy("band", "value").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
+    rows = rows.withColumn("block", F.floor(before / BLOCK_SHINGLES).cast("long"))
+    rows = checkpointed(rows)
+    if rows.isEmpty():
+        return None
+    # blocks may be missing from the numbers, where one node is larger: then some of the pairs hold one block
+    others = rows.select("band", "value", F.col("block").alias("other")).distinct()
+    tasks = rows.join(others, ["band", "value"]).select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component")
+    tasks = tasks.join(sets.withColumnRenamed("key", "node"), "node")
+    kind = hot.schema["node"].dataType.simpleString()
+
+    def run(group: pa.Table) -> pa.Table:
+        group = group.combine_chunks()
+        nodes, lists = group.column("node").combine_chunks(), group.column("shingles").combine_chunks()
+        labels = group.column("component").combine_chunks().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+        edges = np.array(spanning([lists[i].values.to_numpy(zero_copy_only=False) for i in range(len(lists))], labels, similarity), np.int64).reshape(-1, 2)
+        return pa.table({"u": nodes.take(pa.array(edges[:, 0])), "v": nodes.take(pa.array(edges[:, 1]))})
+
+    ship(hot.sparkSession)
+    return tasks.groupBy("band", "value", "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
 
 
 def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component) of the documents that are not alone; the component is the group's smallest id."""
     found = checkpointed(sketches(docs.filter(F.col(key).isNotNull()), shingle=shingle, key=key, text=text))
     nodes = checkpointed(found.groupBy("digest").agg(F.min("key").alias("node"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
-    pairs = checkpointed(candidates(nodes.select("node", "fp", "bands")))
+    pairs, hot = candidates(nodes.select("node", "fp", "bands"))
+    pairs = checkpointed(pairs)
     asked = pairs.select(F.col("u").alias(key)).unionByName(pairs.select(F.col("v").alias(key))).distinct()
     sets = shingle_sets(docs.join(asked, key, "left_semi"), shingle=shingle, key=key, text=text).dropDuplicates(["key"])
     sets = checkpointed(sets)
@@ -123,4 +194,8 @@ def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: s
     common = F.size(F.array_intersect("a", "b"))
     near = pairs.join(a, "u").join(b, "v").filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
     copies = found.join(nodes.select("digest", "node"), "digest").filter("key <> node").select(F.col("node").alias("u"), F.col("key").alias("v"))
-    return components(near.unionByName(copies)).withColumnRenamed("node", key)
+    known = components(near.unionByName(copies))
+    more = connecting(hot, sets, known, similarity)
+    if more is not None:
+        known = components(known.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    return known.withColumnRenamed("node", key)

@@ -3,6 +3,7 @@
 import random
 from itertools import combinations
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -49,6 +50,46 @@ def test_groups_are_those_of_all_pairs(spark):
     assert similar.groups(docs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("block", [similar.BLOCK_SHINGLES, 50_000])
+def test_copies_of_a_hub_that_is_not_least(spark, monkeypatch, block):
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", block)
+    rng = random.Random(15)
+    word, hub, copies = iter(range(10**7)), 700, 1500
+    base = [f"w{next(word)}" for _ in range(504)]  # 500 shingles
+
+    def copy():  # 50 shingles changed: Jaccard 450 / 550 to the base, less than 0.7 to another copy
+        w = list(base)
+        for i in rng.sample(range(1, 101), 10):
+            w[5 * i - 1] = f"w{next(word)}"
+        return " ".join(w)
+
+    texts = {i: " ".join(base) if i == hub else copy() for i in range(copies)}
+    texts |= {copies + i: " ".join(f"w{next(word)}" for _ in range(200)) for i in range(20)}
+    sets = {i: shingles(t) for i, t in texts.items()}
+    near = {i for i in texts if len(sets[i] & sets[hub]) >= 0.8 * len(sets[i] | sets[hub])}
+    assert near == set(range(copies)) and max(len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in range(1, copies) if i != hub) < 0.8
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component for r in similar.groups(docs).collect()} == dict.fromkeys(range(copies), 0)
+
+
+def test_spanning_connects_what_similar_pairs_connect():
+    rng = random.Random(16)
+    sets = [np.unique(np.array([rng.randrange(40) + 1000 * (i % 3) for _ in range(30)], np.int32)) for i in range(60)] + [np.zeros(0, np.int32)]
+    labels = np.array([i if i % 7 else 0 for i in range(61)])
+
+    def parts(edges):
+        root = list(range(61))
+        find = lambda x: x if root[x] == x else find(root[x])
+        for a, b in [*edges, *((i, j) for i, j in combinations(range(61), 2) if labels[i] == labels[j])]:
+            root[max(find(a), find(b))] = min(find(a), find(b))
+        return [find(i) for i in range(61)]
+
+    every = [(i, j) for i, j in combinations(range(61), 2) if (n := len(np.intersect1d(sets[i], sets[j]))) >= 0.5 * (len(sets[i]) + len(sets[j]) - n)]
+    got = similar.spanning(sets, labels, 0.5)
+    assert set(map(tuple, map(sorted, got))) <= set(every) and parts(got) == parts(every)
+    assert 1 < len(set(parts(every))) < 50
+
+
 @pytest.fixture(scope="module")
 def stages(spark):
     docs, out = spark.read.parquet(f"{TINY}/documents.parquet"), []
