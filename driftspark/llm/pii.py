@@ -31,10 +31,12 @@ NEUTRAL = ("Dr", "Prof")
 TITLES = f"(?:{'|'.join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))})"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 NAME = r"\p{Lu}\p{Ll}+"
+#: What names a secret before ``=`` or ``:``, in any case, quoted or not.
+KEYWORD = "(?i:token|secret|api_key|apikey|api-key|password|passwd)"
 #: Kinds in the order in which they are tried; each pattern matches a whole entity.
 KINDS = {
     "email": r"[\p{L}\p{N}_%+\-]+(?:\.[\p{L}\p{N}_%+\-]+)*@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
-    "secret": r"(?<=(?:token|secret|api_key|apikey|api-key|password|passwd) {0,2}[=:] {0,2}[\"']?)[A-Za-z0-9+/_\-]{12,}|\b(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk-[A-Za-z0-9]{20,}|[0-9a-f]{32,128})\b",
+    "secret": rf"(?<=[=: \"'])(?=[A-Za-z0-9+/_\-]{{12}})(?<={KEYWORD}[\"']? {{0,2}}[=:] {{0,2}}[\"']?)[A-Za-z0-9+/_\-]{{12,}}|\b(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{30,}}|sk-[A-Za-z0-9]{{20,}}|[0-9a-f]{{32,128}})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)",
     "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\d])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
@@ -46,7 +48,7 @@ ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A country code: +1, +7, or two or three digits, the latter only before a separator.
 PHONE_CODE = r"^(\+(?:[17]|\d{2,3}(?=[ .\-(])|\d{2}))"
 #: What every entity holds; a cheap test before the pattern.
-HINT = rf"[0-9@]|(?:token|secret|api_key|apikey|api-key|password|passwd) {{0,2}}[=:]|(?:{'|'.join(t[:2] for t in sorted({t[:2]: t for t in FEMALE + MALE + NEUTRAL}))})[^ ]* \p{{Lu}}"
+HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|{KEYWORD}[\"']? {{0,2}}[=:]|{TITLES}\.? "
 SYLLABLES = {
     "latin": ("ba be bi bo bu da de di do du fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no", "a|ia|elle", "o|an|us"),
     "cyrillic": ("ба бе би бо да де до га го ка ке ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са со та то", "а|ия|ина", "ан|ов|ир"),

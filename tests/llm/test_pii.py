@@ -57,6 +57,19 @@ def test_clean_and_odd_texts(spark):
     assert pii.pseudonymise(spark.createDataFrame([], SCHEMA), "k").count() == 0
 
 
+def test_secrets_without_digits_and_in_any_writing(spark):
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEF"
+    bare = ["sk-" + letters, "ghp_" + letters, "AKIA" + "ABCDEFGHIJKLMNOP", "abcdef" * 6]
+    named = [f"{before}{letters[:14]}" for before in ("API_KEY=", "PASSWORD: ", "Token = '", '{"api_key": "', "'Secret' : '", "passwd=")]
+    others = ["Mr Ab said", "г-жа Анна", "a@b.org", "10.0.0.1", "+1 (017) 555-7713", "123-45-6789", "4111111111111111", "DE89 3704 0044 0532 0130 00"]
+    texts = [f"see {t} here" for t in bare] + named + others
+    got = run(spark, texts)
+    assert [[e.kind for e in got[i].entities] for i in range(10)] == [["secret"]] * 10
+    assert all(letters[:14] not in got[i].text for i in range(10)) and all(got[i].text != t for i, t in enumerate(texts))
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    assert docs.filter(F.col("text").rlike(pii.ENTITY)).count() == docs.filter(F.col("text").rlike(pii.ENTITY) & F.col("text").rlike(pii.HINT)).count() == len(texts)
+
+
 def test_distinct_in_many(spark):
     rng = random.Random(11)
     phones = sorted({f"({rng.randrange(100, 1000)}) {rng.randrange(100, 1000)}-{rng.randrange(10000):04}" for _ in range(40)})
