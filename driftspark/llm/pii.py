@@ -6,7 +6,8 @@ word with its gender), and its surrogate is drawn from SHA-256 over a secret key
 entity has one surrogate wherever it occurs and however it is written (coreference). Surrogates keep the format: digits
 stay digits, capitals capitals, separators, country codes, top-level domains and titles stay; card numbers that pass the
 Luhn check keep passing it; addresses with one domain share a new domain; name words keep script (Latin, Cyrillic,
-Greek) and, as given names, the gender of their title.
+Greek) and, as given names, the gender of their title. A name is all words with a capital after its title, with hyphens,
+apostrophes and inner capitals; particles (van, de, von ...) before a word are part of the name, but stay as they are.
 
 Collision check: over the distinct entities of all documents, surrogates that two entities share, or that are themselves
 entities of the documents, are drawn again, with the next attempt number, until all are distinct; of those that share a
@@ -30,7 +31,11 @@ FEMALE, MALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra",
 NEUTRAL = ("Dr", "Prof")
 TITLES = f"(?:{'|'.join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))})"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-NAME = r"\p{Lu}\p{Ll}+"
+#: A name word: inner capitals, hyphens and apostrophes belong to it, a possessive 's doesn't.
+WORD = r"(?:\p{Lu}['’])?\p{Lu}[\p{L}\p{M}]+(?:-(?:\p{L}['’])?[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)*"
+PARTICLES = "(?:van|von|vom|vander|de|den|der|del|della|dela|des|di|da|das|do|dos|du|la|las|le|los|af|av|al|el|bin|ibn|bint|ben|ten|ter|zu|zum|zur|y|e)"
+#: A name word with the particles before it; the next title is none.
+NAME = rf"(?:{PARTICLES} )*(?!{TITLES}(?![\p{{L}}\p{{M}}])){WORD}"
 #: What names a secret before ``=`` or ``:``, in any case, quoted or not.
 KEYWORD = "(?i:token|secret|api_key|apikey|api-key|password|passwd)"
 #: Kinds in the order in which they are tried; each pattern matches a whole entity.
@@ -42,7 +47,7 @@ KINDS = {
     "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\d])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "ssn": r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\p{L}\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\p{L}\d])",
-    "name": rf"(?<![\p{{L}}\d]){TITLES}\.? {NAME}(?: {NAME})?",
+    "name": rf"(?<![\p{{L}}\d]){TITLES}\.? {NAME}(?: {NAME})*",
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 #: A country code: +1, +7, or two or three digits, the latter only before a separator.
@@ -103,8 +108,10 @@ def _parts(matches: Column) -> Column:
     def words(x: Column) -> Column:
         title = F.regexp_replace(x.code, r"\.? $", "")
         gender = F.when(title.isin(*FEMALE), "given-f").when(title.isin(*MALE), "given-m").otherwise("given-n")
-        found = F.split(x.body, " ")
-        return F.transform(found, lambda w, i: F.struct(x.at.alias("at"), F.when((i == 0) & (F.size(found) > 1), gender).otherwise("surname").alias("kind"), F.lower(w).alias("canonical"), F.when(i == 0, x.code).otherwise(" ").alias("before"), w.alias("body"), F.lit("").alias("after")))
+        found = F.split(x.body, rf"(?<!(?:^| ){PARTICLES}) ")
+        last = lambda w: F.substring_index(w, " ", -1)
+        particles = lambda w: F.substr(w, F.lit(1), F.length(w) - F.length(last(w)))
+        return F.transform(found, lambda w, i: F.struct(x.at.alias("at"), F.when((i == 0) & (F.size(found) > 1), gender).otherwise("surname").alias("kind"), F.lower(last(w)).alias("canonical"), F.concat(F.when(i == 0, x.code).otherwise(" "), particles(w)).alias("before"), last(w).alias("body"), F.lit("").alias("after")))
 
     return F.flatten(F.transform(F.transform(F.transform(kinds, coded), cut), lambda x: F.when(x.kind == "name", words(x)).otherwise(canonical(x))))
 

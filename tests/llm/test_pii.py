@@ -70,6 +70,21 @@ def test_secrets_without_digits_and_in_any_writing(spark):
     assert docs.filter(F.col("text").rlike(pii.ENTITY)).count() == docs.filter(F.col("text").rlike(pii.ENTITY) & F.col("text").rlike(pii.HINT)).count() == len(texts)
 
 
+def test_whole_names(spark):
+    names = ["Mr. Jean-Pierre Dupont", "Mrs. McDonald", "Dr. O'Brien", "Dr. O’Brien", "Mr. van Dijk", "Frau Anna von der Leyen", "Mr. John Ronald Reuel Tolkien", "Mme de la Tour", "г-жа Анна Римская-Корсакова"]
+    texts = [f"met {n}, who" for n in names] + ["Mr. Smith's dog met Mr. Smith", "Mr. Smith Mrs. Jones", "Mr. van Dijk and Jan", "Mr. Jan van Dijk"]
+    got = run(spark, texts)
+    for i, n in enumerate(names):
+        assert got[i].text.startswith("met ") and got[i].text.endswith(", who")
+        assert not re.search("Dupont|Donald|Brien|Dijk|Leyen|Tolkien|Reuel|Tour|Корсаков", got[i].text)
+    assert [e.canonical for e in got[5].entities] == ["anna", "leyen"] and "von der" in got[5].text
+    assert [e.kind for e in got[6].entities] == ["given-m", "surname", "surname", "surname"]
+    a, b = re.fullmatch(r"Mr\. (\w+)'s dog met Mr\. (\w+)", got[9].text).groups()
+    assert a == b != "Smith"
+    assert re.fullmatch(r"Mr\. (\w+) Mrs\. (\w+)", got[10].text) and "Jones" not in got[10].text
+    assert [e.canonical for e in got[11].entities] == ["dijk"] and got[11].entities[0] == got[12].entities[1]
+
+
 def test_distinct_in_many(spark):
     rng = random.Random(11)
     phones = sorted({f"({rng.randrange(100, 1000)}) {rng.randrange(100, 1000)}-{rng.randrange(10000):04}" for _ in range(40)})
