@@ -8,7 +8,7 @@ under a language is a sum over its bytes, computed for all languages at once fro
 with the shortest code is predicted; the score is its share of the likelihood of all.
 
 Training: of the rows with a language that are not held out, up to ``SAMPLE_DOCS`` documents of each language with the
-smallest hashes, of at most ``SAMPLE_CHARS`` characters each; of the contexts of three bytes, the ``CONTEXTS`` most
+smallest hashes, of at most ``SAMPLE_CHARS`` characters each (of a language without such, the shortest document); of the contexts of three bytes, the ``CONTEXTS`` most
 frequent. These bound the model; every document is scored by its whole text.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if there is nothing to learn from.
@@ -19,6 +19,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -40,15 +42,23 @@ UNKNOWN = "und"
 
 def training_sample(docs: DataFrame, allowed: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", n: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
     """(language, text) of the training rows; at most ``n`` a language."""
-    rows = docs.filter(allowed & F.col(lang).isNotNull() & (F.length(text) <= SAMPLE_CHARS)).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    size = F.length("text")
+    found = rows.groupBy("lang").agg(F.count_if(size <= SAMPLE_CHARS).alias("n"), F.min(size).alias("least")).collect()
+    counts = {r.lang: r.n for r in found if r.n}
+    only_long = [(F.col("lang") == r.lang) & (size == r.least) for r in found if not r.n]
+    alone = []
+    if only_long:
+        shortest = rows.filter(reduce(or_, only_long)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).filter("r = 1")
+        alone = [(r.lang, r.text.encode()) for r in shortest.select("lang", "text").collect()]
     if not counts:
-        return []
+        return sorted(alone)
+    rows = rows.filter(size <= SAMPLE_CHARS)
     draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), F.lit(1 << 20))
     share = F.create_map(*[x for k, c in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1 << 20, int((1 << 20) * (2 * n + 20) / c) + 1)))])
     drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")])  # about 2 n a language
     first = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key", "text"))).filter(F.col("r") <= n)
-    return sorted((r.lang, r.text.encode()) for r in first.select("lang", "text").collect())
+    return sorted(alone + [(r.lang, r.text.encode()) for r in first.select("lang", "text").collect()])
 
 
 @dataclass(frozen=True)

@@ -100,3 +100,12 @@ def test_quality_accuracy_and_odd_rows(spark):
     assert len(few[0]) <= 10
     nothing = quality.train(*quality.labelled_rows(docs, labels.limit(0), F.lit(True)))
     assert {r.score for r in quality.classify(odd, nothing).collect()} == {0.5}
+
+
+def test_languages_of_long_documents_only_are_learnt(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_CHARS", 20)
+    rows = [(1, "aa", "a short text"), (2, "aa", "a" * 50), (3, "bb", "b" * 40), (4, "bb", "b" * 30), (5, "bb", "c" * 30), (6, "cc", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    sample = langid.training_sample(docs, F.lit(True))
+    assert sample == [("aa", b"a short text"), ("bb", b"b" * 30)]
+    assert langid.training_sample(docs.filter("lang = 'bb'"), F.lit(True)) == [("bb", b"b" * 30)]
