@@ -23,9 +23,14 @@ anchors whose segments differ go to shards, each distinct segment once. An ancho
 distinct segments (a frequent phrase in ever new surroundings) is not put in one shard: its windows are grouped one by
 one, by their bytes, which any number of tasks can share.
 
-Null texts are empty. Texts shorter than ``length`` lose nothing. Rows that share an id stand at the same place: equal
-ones don't remove each other, and what is removed from one is removed from all at the same bytes. Rows without an id
-share one that comes last. Other columns are ignored; empty tables give empty tables.
+Every row has a result of its own. Null texts are empty. Texts shorter than ``length`` lose nothing. Ids may be of any
+type that can be sorted; they decide the order alone. Rows that share an id are one document with several texts: a place
+in one is earlier than a place in another if it starts earlier, and equal starts don't remove each other. Rows without
+an id come last, each distinct text a document of its own, in the order of a hash of the texts; repeated ones, like all
+repeated rows, get the same result each. Other columns are ignored; empty tables give empty tables.
+
+Texts longer than ``PIECE_BYTES`` are searched for segments piece by piece (overlapping by ``length - 1`` bytes), so
+memory doesn't grow with a text by more than its bytes.
 """
 
 from __future__ import annotations
@@ -35,7 +40,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,6 +50,7 @@ LENGTH = 100
 GRAM = 32
 SHARD_BYTES = 2 << 20
 BATCH_BYTES = 1 << 20
+PIECE_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
 #: Not in any UTF-8 text; stands between segments.
 SEPARATOR = 0xFF
@@ -236,7 +242,10 @@ def reaches(data: np.ndarray, sa: np.ndarray, length: int) -> np.ndarray:
 
 
 def first_places(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, length: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each content, the first place (document, position) of each of its windows among all of them."""
+    """For each content, the first place (document, position) of each of its windows among all of them.
+
+    ``docs`` are numbers in the documents' order.
+    """
     text = np.frombuffer(bytes([SEPARATOR]).join([*contents, b""]), np.uint8)
     sizes = np.fromiter(map(len, contents), np.int64, len(contents))
     begins = np.concatenate([[0], np.cumsum(sizes + 1)[:-1]])
@@ -259,23 +268,34 @@ def first_places(contents: list[bytes], docs: np.ndarray, starts: np.ndarray, le
 # ---- the operator --------------------------------------------------------------------------------------------------
 
 LAST = (1 << 63) - 1
-#: Ids that are broadcast to pick documents before their texts are shuffled.
-BROADCAST_IDS = 1_000_000
+#: Bytes of row numbers that are broadcast to pick documents before their texts are shuffled.
+BROADCAST_BYTES = 16 << 20
+
+
+def tie(doc: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """What orders documents after ``doc``: the text's hash for rows without an id, nothing for the others."""
+    return np.where(doc == LAST, row, 0)
 
 
-def settled(doc: np.ndarray, key: np.ndarray, whole: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which segments another one of the batch equals at an earlier place, and at the same place (repeated rows)."""
-    order = np.lexsort((start, doc, whole, key))
+def _tie() -> Column:
+    return F.when(F.col("doc") == LAST, F.col("row")).otherwise(F.lit(0).cast("long"))
+
+
+def settled(doc: np.ndarray, row: np.ndarray, key: np.ndarray, whole: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which segments another one of the batch equals at an earlier place, and at the same place of an equal row."""
+    after = tie(doc, row)
+    order = np.lexsort((row, start, after, doc, whole, key))
     new = np.concatenate([[True], (key[order][1:] != key[order][:-1]) | (whole[order][1:] != whole[order][:-1])]) if len(order) else np.zeros(0, bool)
     first = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
-    same_place = (doc[order] == doc[first]) & (start[order] == start[first])
+    same_place = (doc[order] == doc[first]) & (after[order] == after[first]) & (start[order] == start[first])
+    same_row = np.concatenate([[False], (doc[order][1:] == doc[order][:-1]) & (row[order][1:] == row[order][:-1]) & (start[order][1:] == start[order][:-1])])[: len(order)] & ~new
     later, again = np.zeros(len(order), bool), np.zeros(len(order), bool)
-    later[order], again[order] = ~new & ~same_place, ~new & same_place
+    later[order], again[order] = ~new & ~same_place, same_row
     return later, again
 
 
 def all_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
-    """(doc, key, whole, start, n, settled) of every segment.
+    """(doc, row, key, whole, start, n, settled) of every segment of ``docs`` (doc, row, text).
 
     Segments that an earlier one of the same batch equals are settled: all their windows start earlier. They get keys
     of their own, so that a line or phrase that a third of the documents repeat does not meet in one task; repeated rows
@@ -284,143 +304,184 @@ def all_segments(docs: DataFrame, length: int, gram: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy()
-            for part in by_bytes(text_sizes(batch.column(1)), BATCH_BYTES):
-                data, offsets = utf8(batch.column(1).slice(part.start, part.stop - part.start))
-                doc, key, whole, start, n = segments(data, offsets, length, gram)
-                doc = ids[part][doc]
-                later, again = settled(doc, key, whole, start)
-                own = (doc.astype(np.uint64) * np.uint64(BASE) ^ start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
-                columns = {"doc": doc, "key": np.where(later, own, key), "whole": whole, "start": start.astype(np.int32), "n": n.astype(np.int32), "settled": later}
-                yield pa.RecordBatch.from_pydict({name: pa.array(x[~again]) for name, x in columns.items()})
+            ids, rows = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            for part in by_bytes(text_sizes(batch.column(2)), BATCH_BYTES):
+                data, offsets = utf8(batch.column(2).slice(part.start, part.stop - part.start))
+                for at in range(0, max(1, len(data) - length + 1), PIECE_BYTES):  # only a long text, alone in its part, has several
+                    piece = data[at : at + PIECE_BYTES + length - 1]
+                    doc, key, whole, start, n = segments(piece, offsets if len(data) == len(piece) else np.array([0, len(piece)]), length, gram)
+                    doc, row, start = ids[part][doc], rows[part][doc], start + at
+                    later, again = settled(doc, row, key, whole, start)
+                    own = (doc.astype(np.uint64) * np.uint64(BASE) ^ row.astype(np.uint64) ^ start.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+                    columns = {"doc": doc, "row": row, "key": np.where(later, own, key), "whole": whole, "start": start.astype(np.int32), "n": n.astype(np.int32), "settled": later}
+                    yield pa.RecordBatch.from_pydict({name: pa.array(x[~again]) for name, x in columns.items()})
 
-    return map_batches(docs, run, "doc long, key long, whole long, start int, n int, settled boolean")
+    return map_batches(docs, run, "doc long, row long, key long, whole long, start int, n int, settled boolean")
 
 
-def _picked(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` joined to ``wanted`` (doc, ...); where few are wanted, the others' texts are not shuffled."""
-    ids = wanted.select("doc").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        docs = docs.join(F.broadcast(ids), "doc", "left_semi")
-    return docs.join(wanted, "doc")
+def _picked(docs: DataFrame, wanted: DataFrame, repeats: bool) -> DataFrame:
+    """``docs`` joined to ``wanted`` (doc, row, ...), repeated rows once; where few are wanted, the others' texts are not shuffled."""
+    ids = wanted.select("doc", "row").distinct()
+    if ids.count() * 16 <= BROADCAST_BYTES:
+        docs = docs.join(F.broadcast(ids), ["doc", "row"], "left_semi")
+    return (docs.dropDuplicates(["doc", "row"]) if repeats else docs).join(wanted, ["doc", "row"])
 
 
-def _cut(docs: DataFrame, segs: DataFrame, length: int) -> DataFrame:
-    """Adds their bytes (``content``) to segments (doc, key, whole, start, n)."""
-    wanted = segs.groupBy("doc").agg(F.collect_list(F.struct("key", "whole", "start", "n")).alias("segs"))
+def _cut(docs: DataFrame, segs: DataFrame, length: int, repeats: bool) -> DataFrame:
+    """Adds their bytes (``content``) to segments (doc, row, key, whole, start, n)."""
+    wanted = segs.groupBy("doc", "row").agg(F.collect_list(F.struct("key", "whole", "start", "n")).alias("segs"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data, found = batch.column(1)[i].as_py().encode(), batch.column(2)[i].values
+                data, found = batch.column(2)[i].as_py().encode(), batch.column(3)[i].values
                 columns = {name: found.field(j) for j, name in enumerate(("key", "whole", "start", "n"))}
                 spans = zip(columns["start"].to_pylist(), columns["n"].to_pylist(), strict=True)
                 content = pa.array([data[s : s + n + length - 1] for s, n in spans], pa.binary())
-                yield pa.RecordBatch.from_pydict({"doc": pa.array([batch.column(0)[i].as_py()] * len(content), pa.int64()), **columns, "content": content})
+                own = {name: pa.array([batch.column(j)[i].as_py()] * len(content), pa.int64()) for j, name in enumerate(("doc", "row"))}
+                yield pa.RecordBatch.from_pydict({**own, **columns, "content": content})
+
+    return map_batches(_picked(docs, wanted, repeats).select("doc", "row", "text", "segs"), run, "doc long, row long, key long, whole long, start int, n int, content binary")
+
 
-    return map_batches(_picked(docs, wanted).select("doc", "text", "segs"), run, "doc long, key long, whole long, start int, n int, content binary")
+PLACES = "key long, whole long, docs array<long>, ties array<long>, positions array<int>"
 
 
 def sharded(cut: DataFrame, length: int, shard_bytes: int) -> DataFrame:
-    """(key, whole, docs, positions): the first place of each window of distinct segments, by suffix arrays."""
+    """``PLACES``: the first place of each window of distinct segments, by suffix arrays."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         held = 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            docs, starts = np.array([r[2] for r in rows], np.int64), np.array([r[3] for r in rows], np.int64)
-            places = first_places([r[4] for r in rows], docs, starts, length)
+            starts = np.array([r[4] for r in rows], np.int64)
+            of_row = np.array([r[2:4] for r in rows], np.int64).reshape(-1, 2)
+            of_row[:, 1] = tie(of_row[:, 0], of_row[:, 1])
+            documents, numbers = np.unique(of_row, axis=0, return_inverse=True)  # in order
+            places = first_places([r[5] for r in rows], numbers.ravel(), starts, length)
             yield pa.RecordBatch.from_pydict({
                 "key": pa.array([r[0] for r in rows], pa.int64()), "whole": pa.array([r[1] for r in rows], pa.int64()),
-                "docs": pa.array([d for d, _ in places], pa.list_(pa.int64())), "positions": pa.array([p.astype(np.int32) for _, p in places], pa.list_(pa.int32())),
+                "docs": pa.array([documents[d, 0] for d, _ in places], pa.list_(pa.int64())), "ties": pa.array([documents[d, 1] for d, _ in places], pa.list_(pa.int64())),
+                "positions": pa.array([p.astype(np.int32) for _, p in places], pa.list_(pa.int32())),
             })
 
         for batch in batches:
-            columns = [batch.column(i).to_pylist() for i in range(5)]
+            columns = [batch.column(i).to_pylist() for i in range(6)]
             for row in zip(*columns, strict=True):
                 if rows and held >= shard_bytes and row[0] != rows[-1][0]:  # anchors stay whole
                     yield from flush()
                     rows, held = [], 0
                 rows.append(row)
-                held += len(row[4])
+                held += len(row[5])
         if rows:
             yield from flush()
 
-    dealt = cut.select("key", "whole", "doc", "start", "content").repartition("key").sortWithinPartitions("key")
-    return map_batches(dealt, run, "key long, whole long, docs array<long>, positions array<int>")
+    dealt = cut.select("key", "whole", "doc", "row", "start", "content").repartition("key").sortWithinPartitions("key")
+    return map_batches(dealt, run, PLACES)
 
 
 def windowed(cut: DataFrame, length: int) -> DataFrame:
     """The same by grouping the windows one by one."""
-    each = cut.select("key", "whole", "doc", "start", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("off"))
-    each = each.select("key", "whole", "off", "doc", (F.col("start") + F.col("off")).alias("pos"), F.expr(f"substring(content, off + 1, {length})").alias("window"))
-    first = each.groupBy("window").agg(F.min(F.struct("doc", "pos")).alias("first"))
+    each = cut.select("key", "whole", "doc", _tie().alias("tie"), "start", "content", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("off"))
+    each = each.select("key", "whole", "off", "doc", "tie", (F.col("start") + F.col("off")).alias("pos"), F.expr(f"substring(content, off + 1, {length})").alias("window"))
+    first = each.groupBy("window").agg(F.min(F.struct("doc", "tie", "pos")).alias("first"))
     placed = each.join(first, "window").groupBy("key", "whole").agg(F.sort_array(F.collect_list(F.struct("off", "first"))).alias("places"))
-    return placed.select("key", "whole", F.transform("places", lambda p: p.first.doc).alias("docs"), F.transform("places", lambda p: p.first.pos).alias("positions"))
+    return placed.select("key", "whole", *[F.transform("places", lambda p: p.first[field]).alias(to) for field, to in (("doc", "docs"), ("tie", "ties"), ("pos", "positions"))])  # noqa: B023
 
 
-def removed_windows(docs: DataFrame, length: int, gram: int, shard_bytes: int) -> DataFrame:
-    """(doc, runs): the windows of each document that also start earlier, as runs (first window, windows)."""
+def removed_windows(docs: DataFrame, length: int, gram: int, shard_bytes: int, repeats: bool) -> DataFrame:
+    """(doc, row, runs): the windows of each row of ``docs`` (doc, row, text) that also start earlier, as runs (first window, windows)."""
     segs = all_segments(docs, length, gram)
     same, anchored = Window.partitionBy("key", "whole"), Window.partitionBy("key")
-    placed = segs.repartition("key").withColumn("first", F.min(F.struct("doc", "start")).over(same))
+    placed = segs.repartition("key").withColumn("first", F.min(F.struct("doc", _tie().alias("tie"), "start")).over(same))
     placed = placed.withColumn("mixed", (F.min("whole").over(anchored) != F.max("whole").over(anchored)) & ~F.col("settled"))
     # what is neither mixed nor later than an equal segment needs no look
-    later = F.col("settled") | (F.col("doc") != F.col("first.doc")) | (F.col("start") != F.col("first.start"))
-    found = saved(placed.withColumn("later", later).filter("mixed OR later").select("doc", "key", "whole", "start", "n", "mixed", "later"))
+    later = F.col("settled") | (F.struct("doc", _tie().alias("tie"), "start") != F.col("first"))
+    found = saved(placed.withColumn("later", later).filter("mixed OR later").select("doc", "row", "key", "whole", "start", "n", "mixed", "later"))
 
-    one = found.filter("mixed AND NOT later").select("doc", "key", "whole", "start", "n").dropDuplicates(["key", "whole"])
+    one = found.filter("mixed AND NOT later").select("doc", "row", "key", "whole", "start", "n").dropDuplicates(["key", "whole"])
     one = saved(one)
     large = checkpointed(one.groupBy("key").agg(F.sum(F.col("n") + (length - 1)).alias("b")).filter(F.col("b") > shard_bytes).select("key"))
-    cut = saved(_cut(docs, one, length))
+    cut = saved(_cut(docs, one, length, repeats))
     places = sharded(cut.join(large, "key", "left_anti"), length, shard_bytes).unionByName(windowed(cut.join(large, "key", "left_semi"), length))
     # only windows that some other place precedes, or that stand in a segment that has a later equal, matter
     joined = found.filter("mixed").join(places, ["key", "whole"])
-    gone = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (F.get("docs", i) != F.col("doc")) | (F.get("positions", i) != F.col("start") + i))
-    single = joined.select("doc", F.transform(gone, lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n"))).alias("runs")).filter(F.size("runs") > 0)
-    whole = found.filter("NOT mixed").select("doc", F.array(F.struct("start", "n")).alias("runs"))
-    return whole.unionByName(single).groupBy("doc").agg(F.flatten(F.collect_list("runs")).alias("runs"))
+    gone = F.filter(F.sequence(F.lit(0), F.col("n") - 1), lambda i: (F.get("docs", i) != F.col("doc")) | (F.get("ties", i) != _tie()) | (F.get("positions", i) != F.col("start") + i))
+    single = joined.select("doc", "row", F.transform(gone, lambda i: F.struct((F.col("start") + i).alias("start"), F.lit(1).alias("n"))).alias("runs")).filter(F.size("runs") > 0)
+    whole = found.filter("NOT mixed").select("doc", "row", F.array(F.struct("start", "n")).alias("runs"))
+    return whole.unionByName(single).groupBy("doc", "row").agg(F.flatten(F.collect_list("runs")).alias("runs"))
 
 
-def covered(size: int, runs: list[tuple[int, int]], length: int) -> tuple[np.ndarray, int]:
-    """Which bytes the windows of the runs cover, and the number of maximal spans."""
-    edge = np.zeros(size + 1, np.int64)
-    for start, n in runs:
-        if start < size:
-            edge[start] += 1
-            edge[min(size, start + n + length - 1)] -= 1
-    mask = np.cumsum(edge[:size]) > 0
-    return mask, int(np.count_nonzero(mask[1:] & ~mask[:-1])) + int(size > 0 and mask[0])
+def covered(size: int, runs: np.ndarray, length: int) -> np.ndarray:
+    """The maximal spans (start, end) of the bytes that the windows of the runs (first window, windows) cover."""
+    if not len(runs):
+        return np.zeros((0, 2), np.int64)
+    start = np.sort(runs[:, 0])
+    end = np.maximum.accumulate((runs[:, 0] + runs[:, 1] + length - 1)[np.argsort(runs[:, 0], kind="stable")])
+    new = np.concatenate([[True], start[1:] > end[:-1]])
+    return np.stack([start[new], np.minimum(end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)], size)], axis=1)
+
+
+INTEGERS = ("byte", "short", "integer", "long")
+
+
+def numbered(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, bool]:
+    """(id, doc, row, text) of every row, and whether ids may be missing or shared.
+
+    ``doc`` is a number in the order of the ids, ``LAST`` without an id. ``row`` tells rows with one ``doc`` apart: the hash of the text, or 0 where every row has an id of its own. Ids that
+    aren't integers are numbered by a distributed sort of the distinct ones.
+    """
+    rows = docs.select(F.col(key).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    ids = rows.select("id")
+    if docs.schema[key].dataType.typeName() in INTEGERS:
+        rows = rows.withColumn("doc", F.coalesce(F.col("id").cast("long"), F.lit(LAST)))
+    else:
+        in_order = ids.filter("id IS NOT NULL").distinct().repartitionByRange("id").sortWithinPartitions("id")
+        in_order = saved(in_order.withColumn("doc", F.monotonically_increasing_id()))
+        rows = rows.join(in_order, "id", "left").withColumn("doc", F.coalesce("doc", F.lit(LAST)))
+    shared = ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 OR id IS NULL")
+    repeats = not shared.isEmpty()
+    return rows.select("id", "doc", (F.xxhash64("text") if repeats else F.lit(0).cast("long")).alias("row"), "text"), repeats
 
 
 def remove_repeats(docs: DataFrame, *, length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Of the documents that lose bytes: (doc, n_bytes, n_removed, n_spans, kept), a row for each row of ``docs``."""
-    given = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.coalesce(text, F.lit("")).alias("text"))
-    long = given.filter(F.octet_length("text") >= length)
-    runs = saved(removed_windows(long, length, gram, shard_bytes))
+    """Per row of ``docs``: key, ``n_bytes``, ``n_removed``, ``n_spans`` and ``kept`` (binary)."""
+    given, repeats = numbered(docs, key, text)
+    lost = _lost(given, length, gram, shard_bytes, repeats)
+    size = F.octet_length("text").cast("long").alias("n_bytes")
+    found = given.select("id", "doc", "row", size, "text").join(lost, ["doc", "row", "n_bytes"], "left")
+    kept = F.coalesce("kept", F.encode("text", "UTF-8"))
+    return found.select(F.col("id").alias(key), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), kept.alias("kept"))
+
+
+def _lost(given: DataFrame, length: int, gram: int, shard_bytes: int, repeats: bool) -> DataFrame:
+    """Of the distinct rows of ``given`` (doc, row, text) that lose bytes: doc, row, n_bytes, n_removed, n_spans, kept."""
+    long = given.filter(F.octet_length("text") >= length).select("doc", "row", "text")
+    runs = saved(removed_windows(long, length, gram, shard_bytes, repeats))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: dict[str, list] = {"n_bytes": [], "n_removed": [], "n_spans": [], "kept": []}
-            for t, found in zip(batch.column(1), batch.column(2), strict=True):
-                data = np.frombuffer(t.as_py().encode(), np.uint8)
-                spans = found.values
-                mask, n = covered(len(data), list(zip(spans.field(0).to_pylist(), spans.field(1).to_pylist(), strict=True)), length)
-                for name, value in zip(out, (len(data), int(mask.sum()), n, data[~mask].tobytes()), strict=True):
+            for t, found in zip(batch.column(2), batch.column(3), strict=True):
+                data = t.as_py().encode()
+                own = found.values
+                spans = covered(len(data), np.stack([own.field(0).to_numpy(), own.field(1).to_numpy()], axis=1).astype(np.int64), length)
+                edges = [0, *spans.ravel().tolist(), len(data)]
+                kept = b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True))
+                for name, value in zip(out, (len(data), len(data) - len(kept), len(spans), kept), strict=True):
                     out[name].append(value)
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
-            yield pa.RecordBatch.from_pydict({"doc": batch.column(0)} | {n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
+            yield pa.RecordBatch.from_pydict({"doc": batch.column(0), "row": batch.column(1)} | {n: pa.array(v, k) for (n, v), k in zip(out.items(), kinds, strict=True)})
 
-    return map_batches(_picked(long, runs).select("doc", "text", "runs"), run, "doc long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return map_batches(_picked(long, runs, repeats).select("doc", "row", "text", "runs"), run, "doc long, row long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
-def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options: int) -> DataFrame:
+def digests(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Per row of ``docs``: bytes, removed bytes, spans and the SHA-256 of what is left."""
-    lost = remove_repeats(docs, key=key, text=text, **options)
-    lost = saved(lost.select("doc", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")).distinct())
-    whole = F.coalesce(text, F.lit(""))
-    given = docs.select(F.col(key).alias("id"), F.coalesce(F.col(key).cast("long"), F.lit(LAST)).alias("doc"), F.octet_length(whole).cast("long").alias("n_bytes"), F.sha2(whole, 256).alias("all_sha"))
-    return given.join(lost, ["doc", "n_bytes"], "left").select(
+    given, repeats = numbered(docs, key, text)
+    lost = saved(_lost(given, length, gram, shard_bytes, repeats).select("doc", "row", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("sha")))
+    given = given.select("id", "doc", "row", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("all_sha"))
+    return given.join(lost, ["doc", "row", "n_bytes"], "left").select(
         F.col("id").alias(key), "n_bytes", F.coalesce("n_removed", F.lit(0)).alias("n_removed"), F.coalesce("n_spans", F.lit(0)).alias("n_spans"), F.coalesce("sha", "all_sha").alias("kept_sha256")
     )
