@@ -1,15 +1,17 @@
 """Language identification by prediction by partial matching over bytes.
 
-For each language a tree of byte contexts of up to three bytes is counted on training texts. The code length of a byte
-is that of the longest context seen: with T the context's count and d its distinct following bytes, a byte that followed
-c times costs -log2(c / (T + d)); any other costs an escape, -log2(d / (T + d)), and then what the context without its
-first byte gives; the empty context escapes to 8 bits. The counts are frozen after training, so a document's code length
-under a language is a sum over its bytes, computed for all languages at once from tables of resolved costs. The language
+For each language a tree of byte contexts of up to ``ORDER`` bytes is counted on training texts. The code length of a
+byte is that of the longest context seen: with T the context's count and d its distinct following bytes, a byte that
+followed c times costs -log2(c / (T + d)); any other costs an escape, -log2(d / (T + d)), and then what the context
+without its first byte gives; the empty context escapes to 8 bits. The counts are frozen after training, and no context
+is left out. A document's code length under a language is a sum over its bytes, computed for all languages at once from
+tables of resolved costs: a row for each run of up to ``ORDER`` + 1 bytes that occurred in any language. The language
 with the shortest code is predicted; the score is its share of the likelihood of all.
 
-Training: of the rows with a language that are not held out, up to ``SAMPLE_DOCS`` documents of each language with the
-smallest hashes, of at most ``SAMPLE_CHARS`` characters each (of a language without such, the shortest document); of the contexts of three bytes, the ``CONTEXTS`` most
-frequent. These bound the model; every document is scored by its whole text.
+Training texts are cut into pieces of ``PIECE_CHARS`` characters; of the rows with a language that are not held out, up
+to ``SAMPLE_PIECES`` pieces of each language with the smallest hashes are learnt, from anywhere in texts of any length.
+With many languages fewer are taken, ``MODEL_PIECES`` over the square of their number, as each run has a cost in every
+language; that bounds the model. Every document is scored by its whole text, ``CHUNK_BYTES`` at a time.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if there is nothing to learn from.
 Equal code lengths go to the first language by name. Repeated rows are scored each, other columns are ignored.
@@ -19,8 +21,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import reduce
-from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -30,151 +30,154 @@ from pyspark.sql.window import Window
 
 from .common import by_bytes, map_batches, text_sizes
 
-SAMPLE_DOCS = 300
-SAMPLE_CHARS = 100_000
-CONTEXTS = 40_000
+SAMPLE_PIECES = 256
+PIECE_CHARS = 4096
+MODEL_PIECES = 16_384
 BATCH_BYTES = 1 << 20
-ORDER = 3
+CHUNK_BYTES = 1 << 18
+#: Bytes in the longest context.
+ORDER = 5
 #: What stands before a text.
-BEFORE = b"\n\n\n"
+BEFORE = b"\n" * ORDER
 UNKNOWN = "und"
 
 
-def training_sample(docs: DataFrame, allowed: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", n: int = SAMPLE_DOCS) -> list[tuple[str, bytes]]:
-    """(language, text) of the training rows; at most ``n`` a language."""
-    rows = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
-    size = F.length("text")
-    found = rows.groupBy("lang").agg(F.count_if(size <= SAMPLE_CHARS).alias("n"), F.min(size).alias("least")).collect()
-    counts = {r.lang: r.n for r in found if r.n}
-    only_long = [(F.col("lang") == r.lang) & (size == r.least) for r in found if not r.n]
-    alone = []
-    if only_long:
-        shortest = rows.filter(reduce(or_, only_long)).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("key", "text"))).filter("r = 1")
-        alone = [(r.lang, r.text.encode()) for r in shortest.select("lang", "text").collect()]
+def training_sample(docs: DataFrame, allowed: Column, *, key: str = "doc_id", text: str = "text", lang: str = "lang", n: int = SAMPLE_PIECES) -> list[tuple[str, bytes]]:
+    """(language, piece of a text) of the training rows; at most ``n`` a language."""
+    rows = docs.filter(allowed & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(key).cast("string").alias("key"), F.col(lang).alias("lang"), F.col(text).alias("text"))
+    pieces = F.greatest(F.lit(1), F.ceil(F.length("text") / PIECE_CHARS)).cast("int")
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(pieces).alias("n")).collect()}  # a row for each language
     if not counts:
-        return sorted(alone)
-    rows = rows.filter(size <= SAMPLE_CHARS)
-    draw = F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("sample")), F.lit(1 << 20))
+        return []
+    n = min(n, max(1, MODEL_PIECES // len(counts) ** 2))
     share = F.create_map(*[x for k, c in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1 << 20, int((1 << 20) * (2 * n + 20) / c) + 1)))])
-    drawn = rows.withColumn("draw", draw).filter(F.col("draw") < share[F.col("lang")])  # about 2 n a language
-    first = drawn.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key", "text"))).filter(F.col("r") <= n)
-    return sorted(alone + [(r.lang, r.text.encode()) for r in first.select("lang", "text").collect()])
+    own = rows.withColumn("hash", F.xxhash64("key", F.length("text"), F.lit("sample")))
+    drawn = F.filter(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.struct(F.pmod(F.xxhash64("hash", i), F.lit(1 << 20)).alias("draw"), i.alias("i"))), lambda x: x.draw < share[F.col("lang")])  # about 2 n a language
+    found = own.select("key", "lang", "text", F.explode(drawn).alias("x"))
+    found = found.select("key", "lang", "x.draw", F.substr("text", F.col("x.i") * PIECE_CHARS + 1, F.lit(PIECE_CHARS)).alias("piece")).distinct()  # repeated rows once
+    first = found.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("draw", "key", "piece"))).filter(F.col("r") <= n)
+    return sorted((r.lang, r.piece.encode()) for r in first.select("lang", "piece").collect())
 
 
 @dataclass(frozen=True)
 class Model:
-    """Costs in bits, by language in the last axis; see ``train``."""
+    """Costs in bits, by language in the last axis. The lists go by the length of runs of bytes, from 0.
+
+    A run's code is its bytes as one number. ``escapes`` has a row more than there are runs, for unseen ones, first.
+    """
 
     languages: list[str]
-    classes: np.ndarray  # byte -> symbol; 0: not in training
-    one: np.ndarray  # (previous symbol, symbol) -> cost with contexts of up to 1 byte
-    escape2: np.ndarray  # two symbols -> cost of an escape; 0 where unseen
-    trigrams: np.ndarray  # codes, sorted
-    two: np.ndarray  # for each trigram: the cost of its last symbol with contexts of up to 2 bytes
-    escape3: np.ndarray  # for each trigram: cost of an escape from it as a context
-    fours: np.ndarray  # (index of trigram + 1) * symbols + symbol, sorted
-    three: np.ndarray  # for each of fours: the cost with contexts of up to 3 bytes
+    runs: list[np.ndarray]  # codes, sorted
+    costs: list[np.ndarray]  # of a run's last byte, with the bytes before as context
+    escapes: list[np.ndarray]  # of a run as a context; 0 in languages where it is none
 
 
-def _costs(codes: list[np.ndarray], base: int, lower) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """From each language's n-gram codes (context * base + symbol): n-grams, their costs, contexts, escape costs.
+def codes(data: np.ndarray, n: int) -> np.ndarray:
+    """The codes of all runs of ``n`` bytes."""
+    out = np.zeros(max(0, len(data) - n + 1), np.int64)
+    for j in range(n):
+        out = out << 8 | data[j : len(out) + j]
+    return out
 
-    ``lower(ngrams, language)`` gives the costs with contexts one byte shorter.
-    """
-    grams, contexts = np.unique(np.concatenate(codes)), np.unique(np.concatenate(codes) // base)
-    cost, escape = np.zeros((len(grams), len(codes))), np.zeros((len(contexts), len(codes)))
-    for k, own in enumerate(codes):
-        found, n = np.unique(own, return_counts=True)
-        ctx, at, distinct = np.unique(found // base, return_inverse=True, return_counts=True)
-        total = np.bincount(at, weights=n, minlength=len(ctx))
-        escape[np.searchsorted(contexts, ctx), k] = -np.log2(distinct / (total + distinct))
-        cost[:, k] = escape[np.searchsorted(contexts, grams // base), k] + lower(grams, k)
-        cost[np.searchsorted(grams, found), k] = -np.log2(n / (total + distinct)[at])
-    return grams, cost, contexts, escape
-
-
-def train(sample: list[tuple[str, bytes]], contexts: int = CONTEXTS) -> Model:
+
+def train(sample: list[tuple[str, bytes]], order: int = ORDER) -> Model:
     languages = sorted({lang for lang, _ in sample})
     if not languages:
-        return Model([], *[np.zeros(0)] * 8)
-    texts = [b"".join(BEFORE + t for lang, t in sample if lang == own) for own in languages]
-    seen = np.unique(np.frombuffer(b"".join(texts) + BEFORE, np.uint8))
-    classes = np.zeros(256, np.int64)
-    classes[seen] = np.arange(1, len(seen) + 1)
-    base = len(seen) + 1
-    symbols = [classes[np.frombuffer(t, np.uint8)] for t in texts]
-    grams = lambda n: [sum((s[j : len(s) - n + 1 + j] * base ** (n - 1 - j) for j in range(n)), np.zeros(max(0, len(s) - n + 1), np.int64)) for s in symbols]
-
-    zero = np.empty((base, len(languages)))
-    for k, s in enumerate(symbols):
-        n, d = len(s), len(np.unique(s))
-        count = np.bincount(s, minlength=base)
-        zero[:, k] = np.where(count > 0, -np.log2(np.maximum(count, 1) / (n + d)), -np.log2(d / (n + d)) + 8)
-
-    def dense(found, cost, ctx, escape, lower) -> tuple[np.ndarray, np.ndarray]:
-        esc = np.zeros((base, len(languages)))
-        esc[ctx] = escape
-        out = esc[:, None, :] + lower[None, :, :]
-        out.reshape(-1, len(languages))[found] = cost
-        return out, esc
-
-    one, _ = dense(*_costs(grams(2), base, lambda g, k: zero[g % base, k]), zero)
-    tri, two, ctx2, esc = _costs(grams(3), base, lambda g, k: one[g // base % base, g % base, k])
-    escape2 = np.zeros((base * base, len(languages)))
-    escape2[ctx2] = esc
-    every = grams(4)
-    ctx, n = np.unique(np.concatenate([x // base for x in every]), return_counts=True)
-    often = np.sort(ctx[np.argsort(-n, kind="stable")[:contexts]])
-    every = [x[np.isin(x // base, often)] for x in every]
-    four, three, ctx3, esc = _costs(every, base, lambda g, k: two[np.searchsorted(tri, g % base**3), k])
-    escape3 = np.zeros((len(tri), len(languages)))
-    escape3[np.searchsorted(tri, ctx3)] = esc
-    index = (np.searchsorted(tri, four // base) + 1) * base + four % base
-    f = np.float32
-    return Model(languages, classes, one.reshape(base * base, -1).astype(f), escape2.astype(f), tri, two.astype(f), escape3.astype(f), index, three.astype(f))
+        return Model([], [], [], [])
+    streams = [np.frombuffer(b"".join(BEFORE + t for lang, t in sample if lang == own), np.uint8) for own in languages]
+    runs, costs, escapes = [np.zeros(1, np.int64)], [np.full((1, len(languages)), 8, np.float32)], []
+    for n in range(1, order + 2):
+        found = [np.unique(codes(s, n), return_counts=True) for s in streams]
+        here = np.unique(np.concatenate([f for f, _ in found]))
+        escape, direct = np.zeros((len(runs[-1]) + 1, len(languages)), np.float32), []
+        for k, (own, count) in enumerate(found):
+            context, at, distinct = np.unique(own >> 8, return_inverse=True, return_counts=True)
+            total = np.bincount(at, weights=count, minlength=len(context)) + distinct
+            escape[np.searchsorted(runs[-1], context) + 1, k] = -np.log2(distinct / total)
+            direct.append(-np.log2(count / total[at]))
+        shorter = np.searchsorted(runs[-1], here & ((1 << 8 * (n - 1)) - 1))
+        cost = escape[np.searchsorted(runs[-1], here >> 8) + 1] + costs[-1][shorter]
+        for k, (own, _) in enumerate(found):
+            cost[np.searchsorted(here, own), k] = direct[k]
+        runs.append(here)
+        costs.append(cost)
+        escapes.append(escape)
+    return Model(languages, runs, costs, escapes)
+
+
+class Numbers:
+    """The numbers of codes, from 1; 0 for others. By tables of hashes: what collides in one stands in the next."""
+
+    def __init__(self, found: np.ndarray) -> None:
+        self.codes = np.concatenate([[-1], found])
+        self.tables: list[tuple[int, np.ndarray]] = []
+        left = np.arange(1, len(self.codes))
+        while len(left):
+            bits = max(4, len(left).bit_length() + 1)
+            table = np.zeros(1 << bits, np.int32)
+            slots = self._slots(self.codes[left], bits, len(self.tables))
+            table[slots] = left
+            self.tables.append((bits, table))
+            left = left[table[slots] != left]
+
+    @staticmethod
+    def _slots(found: np.ndarray, bits: int, table: int) -> np.ndarray:
+        factor = np.uint64(0x9E3779B97F4A7C15 + 2 * 0xD6E8FEB86659FD * table & 0xFFFFFFFFFFFFFFFF)  # odd, each table's own
+        return (found.astype(np.uint64) * factor) >> np.uint64(64 - bits)
+
+    def find(self, wanted: np.ndarray) -> np.ndarray:
+        out, live = np.zeros(len(wanted), np.int32), slice(None)
+        for number, (bits, table) in enumerate(self.tables):
+            asked = wanted[live]
+            got = table[self._slots(asked, bits, number)]
+            right = self.codes[got] == asked
+            out[live] = np.where(right, got, 0)
+            other = (got > 0) & ~right
+            if not other.any():
+                break
+            live = np.flatnonzero(other) if isinstance(live, slice) else live[other]
+        return out
 
 
 class Scorer:
-    """A model's tables, spread out for look-up by index."""
+    """A model's tables with their look-up."""
 
     def __init__(self, model: Model) -> None:
-        self.model, self.base = model, int(model.classes.max(initial=0)) + 1
-        n = len(model.languages)
-        self.classes = model.classes.astype(np.int32)
-        self.of_three = np.zeros(self.base**3, np.int32)
-        self.of_three[model.trigrams] = np.arange(1, len(model.trigrams) + 1)
-        used = np.unique(model.fours // self.base)  # contexts of three bytes that were kept
-        self.of_context = np.zeros(len(model.trigrams) + 1, np.int32)
-        self.of_context[used] = np.arange(1, len(used) + 1)
-        self.of_four = np.zeros((len(used) + 1) * self.base, np.int32)
-        self.of_four[self.of_context[model.fours // self.base] * self.base + model.fours % self.base] = np.arange(1, len(model.fours) + 1)
-        first = np.zeros((1, n), np.float32)
-        self.three, self.two, self.escape3 = (np.concatenate([first, x]) for x in (model.three, model.two, model.escape3))
+        self.model, self.order = model, len(model.runs) - 2
+        self.numbers = [Numbers(found) for found in model.runs]
+        none = np.zeros((1, len(model.languages)), np.float32)
+        self.costs = [np.concatenate([none, x]) for x in model.costs]
+
+    def costs_of(self, data: np.ndarray) -> np.ndarray:
+        """The cost of each byte of ``data`` from the ``ORDER``-th on."""
+        whole = codes(data, self.order + 1)
+        number = self.numbers[-1].find(whole)
+        out = self.costs[-1][number]
+        at = np.flatnonzero(number == 0)
+        for n in range(self.order, -1, -1):  # an escape from the context of n bytes, then the run of n bytes
+            if not len(at):
+                break
+            run = whole[at] & ((1 << 8 * (n + 1)) - 1)
+            out[at] += self.model.escapes[n][self.numbers[n].find(run >> 8)]
+            number = self.numbers[n].find(run & ((1 << 8 * n) - 1))
+            out[at] += self.costs[n][number]
+            at = at[number == 0]
+        return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
         """Code length in bits of each text under each language."""
-        base, data = self.base, np.frombuffer(BEFORE.join([b"", *texts]), np.uint8)
+        data = np.frombuffer(BEFORE.join([b"", *texts]), np.uint8)
         size = np.fromiter(map(len, texts), np.int64, len(texts))
-        out = np.zeros((len(texts), len(self.model.languages)))
-        if not size.any():
-            return out
-        s = self.classes[data]
-        pair = s[:-1] * base + s[1:]
-        tri = self.of_three[pair[:-1] * base + s[2:]]
-        context, own = tri[:-1], tri[1:]
-        four = self.of_four[self.of_context[context] * base + s[3:]]
-        cost = self.three[four]
-        rare = np.flatnonzero(four == 0)
-        seen = own[rare] > 0
-        cost[rare] = self.escape3[context[rare]] + self.two[own[rare]]
-        rare = rare[~seen]
-        cost[rare] += self.model.escape2[pair[rare + 1]] + self.model.one[pair[rare + 2]]
         ends = np.cumsum(size + len(BEFORE)) - len(BEFORE)  # the costs begin at the first text's first byte
-        full = size > 0
-        spans = np.stack([ends - size, ends], axis=1)[full].ravel()
-        if spans[-1] == len(cost):
-            spans = spans[:-1]
-        out[full] = np.add.reduceat(cost, spans, axis=0, dtype=np.float64)[::2]
+        out = np.zeros((len(texts), len(self.model.languages)))
+        for a in range(0, len(data) - len(BEFORE), CHUNK_BYTES):
+            cost = self.costs_of(data[a : a + CHUNK_BYTES + len(BEFORE)])
+            lo, hi = np.clip(ends - size - a, 0, len(cost)), np.clip(ends - a, 0, len(cost))
+            inside = np.flatnonzero(hi > lo)
+            if len(inside):
+                spans = np.stack([lo[inside], hi[inside]], axis=1).ravel()
+                spans = spans[:-1] if spans[-1] == len(cost) else spans
+                out[inside] += np.add.reduceat(cost, spans, axis=0, dtype=np.float64)[::2]
         return out
 
 
@@ -188,16 +191,20 @@ def predict(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` of each row."""
 
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    unknown = len(model.languages)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(model) if model.languages else None
-        names = np.array([*model.languages, UNKNOWN], dtype=object)
+        languages = shared.value.languages
+        scorer = Scorer(shared.value) if languages else None
+        names = np.array([*languages, UNKNOWN], dtype=object)
         for batch in batches:
             letters = batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            best, score = np.full(batch.num_rows, len(model.languages)), np.zeros(batch.num_rows)
+            best, score = np.full(batch.num_rows, unknown), np.zeros(batch.num_rows)
             for part in by_bytes(text_sizes(batch.column(1)), BATCH_BYTES) if scorer else ():
                 texts = [(t or "").encode() for t in batch.column(1).slice(part.start, part.stop - part.start).to_pylist()]
                 best[part], score[part] = predict(scorer.bits(texts))
-            best[~letters], score[~letters] = len(model.languages), 0
+            best[~letters], score[~letters] = unknown, 0
             yield pa.RecordBatch.from_pydict({"key": batch.column(0), "lang_pred": pa.array(names[best], pa.string()), "score": pa.array(score)})
 
     kind = docs.schema[key].dataType.simpleString()

@@ -14,42 +14,49 @@ from driftspark.llm.common import held_out
 SMALL = "/root/testdata/sf0.01"
 
 
-def slow_bits(training, text, contexts):
+def slow_bits(training, text, order):
     """Code length by direct recursion over counted contexts."""
     stream = b"".join(langid.BEFORE + t for t in training)
     follow = {}
-    for n in range(4):
+    for n in range(order + 1):
         for i in range(n, len(stream)):
             follow.setdefault(stream[i - n : i], Counter())[stream[i]] += 1
 
     def cost(ctx, s):
-        seen = follow.get(ctx) if len(ctx) < 3 or ctx in contexts else None
+        seen = follow.get(ctx)
         lower = (lambda: cost(ctx[1:], s)) if ctx else (lambda: 8.0)
         if not seen:
             return lower()
         total, d = sum(seen.values()), len(seen)
         return -math.log2(seen[s] / (total + d)) if s in seen else -math.log2(d / (total + d)) + lower()
 
-    data = langid.BEFORE + text
-    return sum(cost(data[i - 3 : i], data[i]) for i in range(3, len(data)))
+    data, n = langid.BEFORE + text, len(langid.BEFORE)
+    return sum(cost(data[i - order : i], data[i]) for i in range(n, len(data)))
 
 
-@pytest.mark.parametrize("kept", [40_000, 5])
-def test_code_lengths(kept):
+@pytest.mark.parametrize("order,chunk", [(5, 1 << 18), (5, 7), (2, 11)])
+def test_code_lengths(order, chunk, monkeypatch):
+    monkeypatch.setattr(langid, "CHUNK_BYTES", chunk)
+    monkeypatch.setattr(langid, "BEFORE", b"\n" * order)
     rng = random.Random(8)
     make = lambda letters, n: "".join(rng.choice(letters) for _ in range(n)).encode()
     sample = [("x", make("abc é", 80)) for _ in range(3)] + [("y", make("bcd. ", 80)) for _ in range(3)] + [("y", b"")]
-    model = langid.train(sample, contexts=kept)
-    every = Counter(s[i : i + 3] for lang in "xy" for s in [b"".join(langid.BEFORE + t for k, t in sample if k == lang)] for i in range(len(s) - 3))
+    model = langid.train(sample, order)
     scorer = langid.Scorer(model)
-    kept_codes = {c for c in model.fours // scorer.base - 1}
-    contexts = {c for c in every if int(sum(int(model.classes[b]) * scorer.base ** (2 - i) for i, b in enumerate(c))) in set(model.trigrams[list(kept_codes)])}
     texts = [make("abcdé .", n) for n in (0, 1, 2, 3, 40, 0, 7)] + ["日本 zz".encode(), b""]
     got = scorer.bits(texts)
     for t, row in zip(texts, got, strict=True):
         for lang, bits in zip(model.languages, row, strict=True):
-            want = slow_bits([x for k, x in sample if k == lang], t, contexts)
-            assert bits == pytest.approx(want, rel=1e-4, abs=1e-3)
+            assert bits == pytest.approx(slow_bits([x for k, x in sample if k == lang], t, order), rel=1e-4, abs=1e-3)
+
+
+def test_numbers_of_codes():
+    rng = np.random.default_rng(5)
+    for found in (rng.integers(0, 1 << 48, 20_000), np.arange(300), np.zeros(0, np.int64), np.array([0])):
+        found = np.unique(found)
+        wanted = np.concatenate([found, rng.integers(0, 1 << 48, 500), [0, 7]])
+        at = {c: i + 1 for i, c in enumerate(found.tolist())}
+        assert langid.Numbers(found).find(wanted).tolist() == [at.get(c, 0) for c in wanted.tolist()]
 
 
 def test_languages_of_odd_rows(spark):
@@ -102,10 +109,16 @@ def test_quality_accuracy_and_odd_rows(spark):
     assert {r.score for r in quality.classify(odd, nothing).collect()} == {0.5}
 
 
-def test_languages_of_long_documents_only_are_learnt(spark, monkeypatch):
-    monkeypatch.setattr(langid, "SAMPLE_CHARS", 20)
-    rows = [(1, "aa", "a short text"), (2, "aa", "a" * 50), (3, "bb", "b" * 40), (4, "bb", "b" * 30), (5, "bb", "c" * 30), (6, "cc", None)]
+def test_long_documents_are_learnt_by_pieces(spark, monkeypatch):
+    monkeypatch.setattr(langid, "PIECE_CHARS", 20)
+    rows = [(1, "aa", "a short text"), (2, "aa", "a" * 50), (3, "bb", "b" * 20 + "c" * 20 + "é" * 5), (6, "cc", None), (7, "dd", ""), (None, "ee", "e" * 25), (None, "ee", "e" * 25)]
     docs = spark.createDataFrame(rows, "doc_id long, lang string, text string")
-    sample = langid.training_sample(docs, F.lit(True))
-    assert sample == [("aa", b"a short text"), ("bb", b"b" * 30)]
-    assert langid.training_sample(docs.filter("lang = 'bb'"), F.lit(True)) == [("bb", b"b" * 30)]
+    got = Counter(langid.training_sample(docs, F.lit(True)))
+    assert got == Counter({("aa", b"a short text"): 1, ("aa", b"a" * 20): 2, ("aa", b"a" * 10): 1, ("bb", b"b" * 20): 1, ("bb", b"c" * 20): 1, ("bb", "é".encode() * 5): 1, ("dd", b""): 1, ("ee", b"e" * 20): 1, ("ee", b"e" * 5): 1})
+    long = spark.createDataFrame([(i, lang, " ".join([word] * 9000)) for i, (lang, word) in enumerate([("de", "und"), ("en", "and"), ("fr", "avec")])], "doc_id long, lang string, text string")
+    found = langid.training_sample(long, F.lit(True), n=7)
+    assert Counter(lang for lang, _ in found) == {"de": 7, "en": 7, "fr": 7}
+    asked = spark.createDataFrame([(1, "and and"), (2, "und und"), (3, "avec avec")], "doc_id long, text string")
+    assert [r.lang_pred for r in langid.identify(asked, langid.train(found)).orderBy("doc_id").collect()] == ["en", "de", "fr"]
+    monkeypatch.setattr(langid, "MODEL_PIECES", 9 * 3)
+    assert len(langid.training_sample(long, F.lit(True))) == 9
