@@ -1,18 +1,29 @@
 """Personal data replaced by surrogates, with DataFrame functions only.
 
 One pattern finds e-mail addresses, secrets, IBANs, IP addresses, phone, social security and card numbers, and names
-after a title. Each entity has a kind and a canonical form (digits of a number, lower-case letters of an address, a name
-word with its gender), and its surrogate is drawn from SHA-256 over a secret key, both, and an attempt number. So one
-entity has one surrogate wherever it occurs and however it is written (coreference). Surrogates keep the format: digits
-stay digits, capitals capitals, separators, country codes, top-level domains and titles stay; card numbers that pass the
-Luhn check keep passing it; addresses with one domain share a new domain; name words keep script (Latin, Cyrillic,
-Greek) and, as given names, the gender of their title. A name is all words with a capital after its title, with hyphens,
-apostrophes and inner capitals; particles (van, de, von ...) before a word are part of the name, but stay as they are.
+after a title. In a text with such a name its words are found again without a title, too. Each entity has a kind and a
+canonical form (digits of a number, lower-case letters of an address or a name word), and its surrogate is drawn from
+SHA-256 over a secret key, both, and an attempt number. So one entity has one surrogate wherever it occurs and however
+it is written (coreference); all name words are of one kind, so a given name, a surname and an untitled repeat agree.
+
+Surrogates keep the format: digits stay digits, capitals capitals, separators, country codes, top-level domains and
+titles stay; card numbers that pass the Luhn check keep passing it; addresses with one domain share a new domain; name
+words keep script (Latin, Cyrillic, Greek), capitals, hyphens between them and their gender: that of the titles after
+which a word is the given name, in any text; none where these differ. A name is all words with a capital after its
+title, with hyphens, apostrophes and inner capitals; particles (van, de, von ...) before a word are part of the name,
+but stay as they are. Names that never follow a title in their text are not found: that takes a model of language.
 
 Collision check: over the distinct entities of all documents, surrogates that two entities share, or that are themselves
 entities of the documents, are drawn again, with the next attempt number, until all are distinct; of those that share a
-surrogate, the least keeps it. Only entities with a later attempt are joined back to their documents, by broadcast up
-to ``BROADCAST_ROWS`` of them; mostly there are none, and then no text is shuffled.
+surrogate, the least keeps it. After ``SAME_FORMAT`` attempts each further one is longer by a character (a number by a
+digit, an address by a part), so a format that is full gives way and the drawing ends. Only entities with a later
+attempt, or name words whose gender differs between texts, are joined back to their documents, by broadcast up to
+``BROADCAST_BYTES`` of them; beyond that, texts with entities are joined by the hash of the text, others aren't moved.
+
+The pattern runs once: rows and their matches are written to the shared folder, and read from there.
+
+The secret key is the argument, or the setting ``KEY_SETTING``, or the environment's ``KEY_VARIABLE``; without any, a
+random one is drawn for the session and forgotten with it.
 
 Null texts stay null and hold no entity; texts without entities are returned unchanged. Repeated rows are replaced each,
 with the same surrogates. Empty tables give empty tables. Other columns are not
@@ -21,13 +32,19 @@ read; those in ``keep`` are returned as they are.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import os
+import secrets
+from itertools import count
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, saved
 
-ROUNDS = 40
-FEMALE, MALE = ("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κα"), ("Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "κος")
+KEY_SETTING, KEY_VARIABLE = "spark.driftspark.pii.key", "DRIFT_PII_KEY"
+#: Attempts that keep an entity's length.
+SAME_FORMAT = 4
+FEMALE, MALE = ("Mrs", "MRS", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κα"), ("Mr", "MR", "Herr", "Monsieur", "Señor", "Sr", "г-н", "κος")
 NEUTRAL = ("Dr", "Prof")
 TITLES = f"(?:{'|'.join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))})"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
@@ -40,20 +57,23 @@ NAME = rf"(?:{PARTICLES} )*(?!{TITLES}(?![\p{{L}}\p{{M}}])){WORD}"
 KEYWORD = "(?i:token|secret|api_key|apikey|api-key|password|passwd)"
 #: Kinds in the order in which they are tried; each pattern matches a whole entity.
 KINDS = {
-    "email": r"[\p{L}\p{N}_%+\-]+(?:\.[\p{L}\p{N}_%+\-]+)*@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}_%+\-])[\p{L}\p{N}_%+\-]+(?:\.[\p{L}\p{N}_%+\-]+)*@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
     "secret": rf"(?<=[=: \"'])(?=[A-Za-z0-9+/_\-]{{12}})(?<={KEYWORD}[\"']? {{0,2}}[=:] {{0,2}}[\"']?)[A-Za-z0-9+/_\-]{{12,}}|\b(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{30,}}|sk-[A-Za-z0-9]{{20,}}|[0-9a-f]{{32,128}})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)",
-    "phone": r"(?<![\p{L}\d])(?:\+\d{1,3}[ .\-]?)(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4}(?!\d)|(?<![\p{L}\d])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
+    "phone": r"(?<![\p{L}\d])(?:\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}|\+(?!1)\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4})(?!\d)|(?<![\p{L}\d])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "ssn": r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\p{L}\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\p{L}\d])",
     "name": rf"(?<![\p{{L}}\d]){TITLES}\.? {NAME}(?: {NAME})*",
 }
 ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
+#: The same for texts without an @, and without a title.
+WITHOUT = {left_out: "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in left_out) for left_out in (("email",), ("name",), ("email", "name"))}
+TITLED = rf"{TITLES}\.? "
 #: A country code: +1, +7, or two or three digits, the latter only before a separator.
 PHONE_CODE = r"^(\+(?:[17]|\d{2,3}(?=[ .\-(])|\d{2}))"
 #: What every entity holds; a cheap test before the pattern.
-HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|{KEYWORD}[\"']? {{0,2}}[=:]|{TITLES}\.? "
+HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|{KEYWORD}[\"']? {{0,2}}[=:]|{TITLED}"
 SYLLABLES = {
     "latin": ("ba be bi bo bu da de di do du fa fe ga go ka ke ki ko la le li lo ma me mi mo na ne ni no", "a|ia|elle", "o|an|us"),
     "cyrillic": ("ба бе би бо да де до га го ка ке ко ла ле ли ло ма ме ми мо на не ни но ра ре ри ро са со та то", "а|ия|ина", "ан|ов|ир"),
@@ -61,10 +81,19 @@ SYLLABLES = {
 }
 
 
-def kind_of(match: Column) -> Column:
-    """The kind of a whole match, from its form alone."""
+def session_key(spark: SparkSession) -> str:
+    """The secret key of the session: a setting, the environment's, or a random one."""
+    context = spark.sparkContext
+    given = spark.conf.get(KEY_SETTING, None) or os.environ.get(KEY_VARIABLE) or getattr(context, "_driftspark_pii_key", None)
+    context._driftspark_pii_key = given or secrets.token_hex(32)
+    return context._driftspark_pii_key
+
+
+def kind_of(match: Column, names: Column) -> Column:
+    """The kind of a whole match, from its form, and from the text's own name words."""
     return (
-        F.when(match.contains("@"), "email")
+        F.when(F.array_contains(names, match), "again")
+        .when(match.contains("@"), "email")
         .when(match.rlike(rf"^{TITLES}\.? {NAME}"), "name")
         .when(match.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "ip")
         .when(match.rlike(r"^(\+\d|\(|\d{3}[.\-]\d{3}[.\-]\d{4}$)"), "phone")
@@ -76,17 +105,41 @@ def kind_of(match: Column) -> Column:
 
 
 def entities_in(text: Column) -> Column:
-    """All matches of a text, from the left."""
-    return F.when(text.rlike(HINT), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    """All matches of a text, from the left, but for name words without a title."""
+    every = lambda pattern: F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    at, titled = text.contains("@"), text.rlike(TITLED)
+    found = F.when(at & titled, every(ENTITY)).when(at, every(WITHOUT["name",])).when(titled, every(WITHOUT["email",])).otherwise(every(WITHOUT["email", "name"]))
+    return F.coalesce(F.when(text.rlike(HINT), found), F.array().cast("array<string>"))
+
+
+#: Between the words of a name: blanks after all but particles, and hyphens.
+BETWEEN = rf"(?<!(?:^| ){PARTICLES}) |-"
+
+
+def name_words(matches: Column) -> Column:
+    """The words of the names among the matches, without titles and particles, as they may be written elsewhere."""
+    names = F.filter(matches, lambda m: m.rlike(rf"^{TITLES}\.? {NAME}") & ~m.contains("@"))
+    words = F.flatten(F.transform(names, lambda m: F.split(F.regexp_replace(m, rf"^{TITLES}\.? ", ""), BETWEEN)))
+    words = F.filter(F.transform(words, lambda w: F.substring_index(w, " ", -1)), lambda w: F.length(w) > 1)
+    return F.array_sort(F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), F.initcap(w))))))
+
+
+def _with_names(names: Column) -> Column:
+    """The pattern of a text with the given name words; they hold letters, marks and apostrophes only."""
+    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
 
 
-def _parts(matches: Column) -> Column:
+def _pattern(names: Column) -> Column:
+    return F.when(F.size(names) > 0, _with_names(names)).otherwise(F.lit(ENTITY))
+
+
+def _parts(matches: Column, names: Column) -> Column:
     """Of every match: kind, canonical form, and what stands before, in and after the part that is drawn.
 
-    A name gives a part for each word, the first with the title before it. Every step adds fields to what the step
+    A name gives a part for each word, with what stands before it: the title, a blank, a hyphen, particles. Every step adds fields to what the step
     before has made, so that no expression is repeated.
     """
-    kinds = F.transform(matches, lambda m, i: F.struct(i.alias("at"), m.alias("match"), kind_of(m).alias("kind")))
+    kinds = F.transform(matches, lambda m, i: F.struct(i.alias("at"), m.alias("match"), kind_of(m, names).alias("kind")))
 
     def coded(x: Column) -> Column:
         code = F.when(x.kind == "phone", F.regexp_extract(x.match, PHONE_CODE, 1)).when(x.kind == "iban", F.substr(x.match, F.lit(1), F.lit(2))).when(x.kind == "name", F.regexp_extract(x.match, rf"^({TITLES}\.? )", 1)).otherwise("")
@@ -108,12 +161,35 @@ def _parts(matches: Column) -> Column:
     def words(x: Column) -> Column:
         title = F.regexp_replace(x.code, r"\.? $", "")
         gender = F.when(title.isin(*FEMALE), "given-f").when(title.isin(*MALE), "given-m").otherwise("given-n")
-        found = F.split(x.body, rf"(?<!(?:^| ){PARTICLES}) ")
+        found, between = F.split(x.body, BETWEEN), F.regexp_extract_all(x.body, F.lit(BETWEEN), F.lit(0))
         last = lambda w: F.substring_index(w, " ", -1)
         particles = lambda w: F.substr(w, F.lit(1), F.length(w) - F.length(last(w)))
-        return F.transform(found, lambda w, i: F.struct(x.at.alias("at"), F.when((i == 0) & (F.size(found) > 1), gender).otherwise("surname").alias("kind"), F.lower(last(w)).alias("canonical"), F.concat(F.when(i == 0, x.code).otherwise(" "), particles(w)).alias("before"), last(w).alias("body"), F.lit("").alias("after")))
+        several = F.size(F.filter(between, lambda b: b == " ")) > 0
+        first = lambda i: F.size(F.filter(F.slice(between, F.lit(1), i), lambda b: b == " ")) == 0
+        return F.transform(found, lambda w, i: F.struct(x.at.alias("at"), F.when(several & first(i), gender).otherwise("surname").alias("kind"), _plain(last(w)).alias("canonical"), F.concat(F.when(i == 0, x.code).otherwise(F.get(between, i - 1)), particles(w)).alias("before"), last(w).alias("body"), F.lit("").alias("after")))
+
+    def again(x: Column) -> Column:
+        return F.array(F.struct(x.at.alias("at"), F.lit("name").alias("kind"), _plain(x.body).alias("canonical"), F.lit("").alias("before"), x.body.alias("body"), F.lit("").alias("after")))
+
+    return F.flatten(F.transform(F.transform(F.transform(kinds, coded), cut), lambda x: F.when(x.kind == "name", words(x)).when(x.kind == "again", again(x)).otherwise(canonical(x))))
+
+
+def _plain(word: Column) -> Column:
+    """A name word's canonical form."""
+    return F.lower(F.replace(word, F.lit("’"), F.lit("'")))
+
+
+def _is_name(kind: Column) -> Column:
+    return kind.startswith("given") | kind.isin("surname", "name")
+
+
+def _class(kind: Column) -> Column:
+    """What surrogates are drawn by: all name words are of one class."""
+    return F.when(_is_name(kind), "name").otherwise(kind)
+
 
-    return F.flatten(F.transform(F.transform(F.transform(kinds, coded), cut), lambda x: F.when(x.kind == "name", words(x)).otherwise(canonical(x))))
+def _gender(kind: Column) -> Column:
+    return F.when(kind == "given-f", "f").when(kind == "given-m", "m").otherwise("n")
 
 
 def _like(text: Column, digest: Column, hexadecimal: Column) -> Column:
@@ -132,36 +208,40 @@ def _like(text: Column, digest: Column, hexadecimal: Column) -> Column:
     return F.array_join(F.transform(drawn, char), "")
 
 
-def _name(kind: Column, word: Column, digest: Column, attempt: Column) -> Column:
-    """A name word of the same script; given names end by their gender; later attempts are longer."""
+def _name(gender: Column, word: Column, digest: Column, attempt: Column) -> Column:
+    """A name word of the same script and capitals; genders have endings; later attempts are longer."""
     script = lambda i: F.split(F.when(word.rlike(r"\p{IsCyrillic}"), SYLLABLES["cyrillic"][i]).when(word.rlike(r"\p{IsGreek}"), SYLLABLES["greek"][i]).otherwise(SYLLABLES["latin"][i]), "[ |]")
     stem = F.transform(F.sequence(F.lit(0), attempt + 2), lambda i: F.get(script(0), F.conv(F.substr(digest, i % 15 * 4 + 1, F.lit(4)), 16, 10).cast("int") % F.size(script(0))))
-    end = F.when(kind == "given-f", F.get(script(1), F.length(word) % 3)).when(kind == "given-m", F.get(script(2), F.length(word) % 3)).otherwise("")
-    return F.initcap(F.concat(F.array_join(stem, ""), end))
+    pick = F.conv(F.substr(digest, F.lit(61), F.lit(4)), 16, 10).cast("int") % 3
+    end = F.when(gender == "f", F.get(script(1), pick)).when(gender == "m", F.get(script(2), pick)).otherwise("")
+    drawn = F.concat(F.array_join(stem, ""), end)
+    return F.when((F.upper(word) == word) & (F.length(word) > 1), F.upper(drawn)).when(F.lower(word) == word, drawn).otherwise(F.initcap(drawn))
 
 
 def _digest(key: str, kind: Column, canonical: Column, attempt: Column) -> Column:
     return F.sha2(F.concat_ws("\n", F.lit(key), kind, canonical, attempt.cast("string")), 256)
 
 
-def _drawn(parts: Column, attempt_of, key: str) -> Column:
-    """Of every part: where its match is, and its surrogate."""
+def _drawn(parts: Column, of, key: str) -> Column:
+    """Of every part: where its match is, and its surrogate; ``of`` gives a part's gender and attempt."""
 
     def keyed(x: Column) -> Column:
-        return F.struct(x.at.alias("at"), x.kind.alias("kind"), x.canonical.alias("canonical"), x.before.alias("before"), x.body.alias("body"), x.after.alias("after"), attempt_of(x).cast("int").alias("attempt"))
+        return F.struct(x.at.alias("at"), _class(x.kind).alias("kind"), x.canonical.alias("canonical"), x.before.alias("before"), x.body.alias("body"), x.after.alias("after"), of(x).alias("of"))
 
     def digested(x: Column) -> Column:
         domain = F.lower(x.after)
-        return F.struct(x.at.alias("at"), x.kind.alias("kind"), x.before.alias("before"), x.body.alias("body"), domain.alias("domain"), x.attempt.alias("attempt"), _digest(key, x.kind, x.canonical, x.attempt).alias("digest"), F.sha2(F.concat(F.lit(f"{key}\ndomain\n"), domain), 256).alias("domain_digest"))
+        return F.struct(x.at.alias("at"), x.kind.alias("kind"), x.before.alias("before"), x.body.alias("body"), domain.alias("domain"), x.of.gender.alias("gender"), x.of.attempt.alias("attempt"), _digest(key, x.kind, x.canonical, x.of.attempt).alias("digest"), F.sha2(F.concat(F.lit(f"{key}\ndomain\n"), domain), 256).alias("domain_digest"))
 
     def replaced(x: Column) -> Column:
-        named = x.kind.startswith("given") | (x.kind == "surname")
         octet = lambda i, lo, hi: (F.conv(F.substr(x.digest, F.lit(4 * i + 1), F.lit(4)), 16, 10).cast("int") % (hi - lo + 1) + lo).cast("string")
         ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 255), octet(2, 0, 255), octet(3, 1, 254))
-        body = F.when(named, _name(x.kind, x.body, x.digest, x.attempt)).when(x.kind == "ip", ip).otherwise(_like(x.body, x.digest, (x.kind == "secret") & x.body.rlike("^[0-9a-f]+$")))
+        grown = F.greatest(F.lit(0), x.attempt - SAME_FORMAT)  # a full format: longer by so much
+        more = F.when(x.kind.isin("name", "email"), "").when(x.kind == "ip", F.repeat(F.lit(".0"), grown)).otherwise(F.repeat(F.lit("0"), grown))
+        like = _like(F.concat(x.body, more), x.digest, (x.kind == "secret") & x.body.rlike("^[0-9a-f]+$"))
+        body = F.when(x.kind == "name", _name(x.gender, x.body, x.digest, x.attempt)).when(x.kind == "ip", F.concat(ip, _like(more, x.digest, F.lit(False)))).otherwise(like)
         tld = F.concat(F.lit("."), F.substring_index(x.domain, ".", -1))
-        more = F.when(x.attempt > 2, F.concat(F.lit("."), F.substr(x.digest, F.lit(1), F.lit(6)))).otherwise("")  # short names run out
-        after = F.when(x.kind == "email", F.concat(more, F.lit("@"), _like(F.substr(x.domain, F.lit(1), F.length(x.domain) - F.length(tld)), x.domain_digest, F.lit(False)), tld)).otherwise("")
+        part = F.when(x.attempt > 2, F.concat(F.lit("."), F.substr(x.digest, F.lit(1), x.attempt + 3))).otherwise("")  # short addresses run out
+        after = F.when(x.kind == "email", F.concat(part, F.lit("@"), _like(F.substr(x.domain, F.lit(1), F.length(x.domain) - F.length(tld)), x.domain_digest, F.lit(False)), tld)).otherwise("")
         return F.struct(x.at.alias("at"), x.kind.alias("kind"), x.before.alias("before"), x.body.alias("given"), body.alias("body"), after.alias("after"))
 
     def whole(x: Column) -> Column:
@@ -177,14 +257,14 @@ def _drawn(parts: Column, attempt_of, key: str) -> Column:
 
 def _compared(kind: Column, text: Column) -> Column:
     """A canonical form's surrogate as it is compared: addresses and names without case."""
-    return F.when(kind.startswith("given") | kind.isin("surname", "email"), F.lower(text)).otherwise(text)
+    return F.when(kind.isin("name", "email"), F.lower(text)).otherwise(text)
 
 
 def later_attempts(entities: DataFrame, key: str) -> DataFrame:
-    """(kind, canonical, attempt) of the entities whose first surrogate collides.
+    """(kind, canonical, gender, attempt) of all ``entities`` (kind, canonical, gender), with attempts that make them distinct.
 
-    ``entities``: distinct kinds and canonical forms, with a part of each. Canonical forms lack separators only, which
-    surrogates keep, so surrogates of canonical forms are distinct if and only if all are.
+    Canonical forms lack separators only, which surrogates keep, so surrogates of canonical forms are distinct if and
+    only if all are. The loop ends: from some attempt on, each gives ten times the room of the one before.
     """
 
     def draw(rows: DataFrame) -> DataFrame:
@@ -193,45 +273,62 @@ def later_attempts(entities: DataFrame, key: str) -> DataFrame:
         body = F.when(F.col("kind") == "email", F.substring_index("canonical", "@", 1)).otherwise(rest)
         after = F.when(F.col("kind") == "email", F.substring_index("canonical", "@", -1)).otherwise("")
         part = F.array(F.struct(F.lit(0).alias("at"), F.col("kind").alias("kind"), F.col("canonical").alias("canonical"), code.alias("before"), body.alias("body"), after.alias("after")))
-        text = F.get(_drawn(part, lambda x: F.col("attempt"), key), F.lit(0)).text
-        return rows.select("kind", "canonical", "attempt", _compared(F.col("kind"), text).alias("drawn"))
+        text = F.get(_drawn(part, lambda x: F.struct(F.col("gender").alias("gender"), F.col("attempt").alias("attempt")), key), F.lit(0)).text
+        return rows.select("kind", "canonical", "gender", "attempt", _compared(F.col("kind"), text).alias("drawn"))
 
-    current = checkpointed(draw(entities.withColumn("attempt", F.lit(0))))
-    for _ in range(ROUNDS):
+    current = checkpointed(draw(entities.select("kind", "canonical", "gender", F.lit(0).alias("attempt"))))
+    real = entities.select("kind", F.col("canonical").alias("drawn"), F.lit(True).alias("real"))
+    for _ in count():
         shared = current.groupBy("kind", "drawn").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct((-F.col("attempt")).alias("a"), "canonical")).alias("first"))
-        real = entities.select("kind", F.col("canonical").alias("drawn"), F.lit(True).alias("real"))
         bad = shared.join(real, ["kind", "drawn"], "left").filter("n > 1 OR real")
         moved = current.join(bad, ["kind", "drawn"]).filter(F.coalesce("real", F.lit(False)) | (F.col("first.canonical") != F.col("canonical")))
-        moved = checkpointed(draw(moved.select("kind", "canonical", (F.col("attempt") + 1).alias("attempt"))))
+        moved = checkpointed(draw(moved.select("kind", "canonical", "gender", (F.col("attempt") + 1).alias("attempt"))))
         if moved.isEmpty():
-            return current.filter("attempt > 0").select("kind", "canonical", "attempt")
+            break
         current = checkpointed(current.join(moved, ["kind", "canonical"], "left_anti").unionByName(moved))
-    raise RuntimeError("surrogates did not become distinct")
+    return current.select("kind", "canonical", "gender", "attempt")
 
 
-NO_ATTEMPTS = "array<struct<kind:string,canonical:string,attempt:int>>"
-BROADCAST_ROWS = 100_000
+BROADCAST_BYTES = 16 << 20
 
 
-def pseudonymise(docs: DataFrame, secret: str, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+def pseudonymise(docs: DataFrame, secret: str | None = None, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """``key``, ``text`` with surrogates, ``entities`` (kind and canonical form, from the left), and the columns to ``keep``."""
+    secret = secret or session_key(docs.sparkSession)
     kept = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), *kept)
-    rows = rows.withColumn("matches", F.coalesce(entities_in(F.col("text")), F.array().cast("array<string>")))
-    found = rows.filter(F.size("matches") > 0).select("hash", F.explode(_parts(F.col("matches"))).alias("e")).select("hash", "e.kind", "e.canonical").distinct()
-    found = checkpointed(found)
-    later = checkpointed(later_attempts(checkpointed(found.select("kind", "canonical").distinct()), secret))
-    attempt_of = lambda x: F.lit(0)
-    if not later.isEmpty():
-        # texts of one hash get the attempts of both: what counts is the entity
-        of_text = checkpointed(found.join(later, ["kind", "canonical"]).groupBy("hash").agg(F.collect_list(F.struct("kind", "canonical", "attempt")).alias("attempts")))
-        if of_text.agg(F.coalesce(F.sum(F.size("attempts")), F.lit(0))).first()[0] <= BROADCAST_ROWS:
-            of_text = F.broadcast(of_text)
-        rows = rows.join(of_text, "hash", "left").withColumn("attempts", F.coalesce("attempts", F.array().cast(NO_ATTEMPTS)))
-        attempt_of = lambda x: F.coalesce(F.get(F.filter("attempts", lambda a: (a.kind == x.kind) & (a.canonical == x.canonical)), F.lit(0)).attempt, F.lit(0))
-    rows = rows.withColumn("parts", _parts(F.col("matches")))
-    rows = rows.withColumn("drawn", _drawn(F.col("parts"), attempt_of, secret))
+    rows = rows.withColumn("matches", entities_in(F.col("text"))).withColumn("names", name_words(F.col("matches")))
+    rows = rows.withColumn("matches", F.when(F.size("names") > 0, F.regexp_extract_all("text", _with_names(F.col("names")), F.lit(0))).otherwise(F.col("matches")))
+    rows = saved(rows)
+    with_parts = rows.filter(F.size("matches") > 0).withColumn("parts", _parts(F.col("matches"), F.col("names")))
+
+    # a word has the gender of its text's titles, unless texts differ
+    gender = lambda f, m: F.when(f & ~m, "f").when(m & ~f, "m").otherwise("n")
+    is_a = lambda x: F.max(_gender(F.col("kind")) == x)
+    found = with_parts.select("hash", F.explode("parts").alias("e")).select("hash", "e.kind", "e.canonical")
+    found = checkpointed(found.groupBy("hash", _class(F.col("kind")).alias("class"), "canonical").agg(gender(is_a("f"), is_a("m")).alias("gender")).withColumnRenamed("class", "kind"))
+    entities = found.groupBy("kind", "canonical").agg(gender(F.max(F.col("gender") == "f"), F.max(F.col("gender") == "m")).alias("gender"), (F.min("gender") != F.max("gender")).alias("differs"))
+    entities = checkpointed(entities)
+    told = later_attempts(entities, secret).join(entities.select("kind", "canonical", "differs"), ["kind", "canonical"]).filter("attempt > 0 OR differs").drop("differs")
+    told = checkpointed(told)
+
+    def own(x: Column) -> Column:
+        """The gender of a part's word in its own text, and the first attempt."""
+        of_word = lambda g: F.exists("parts", lambda y: (y.canonical == x.canonical) & (_gender(y.kind) == g))
+        return F.struct(F.when(_is_name(x.kind), gender(of_word("f"), of_word("m"))).otherwise("n").alias("gender"), F.lit(0).alias("attempt"))
+
+    of = own
+    if not told.isEmpty():
+        # texts of one hash get what is told of both: what counts is the entity
+        of_text = checkpointed(found.select("hash", "kind", "canonical").join(told, ["kind", "canonical"]).groupBy("hash").agg(F.collect_list(F.struct("kind", "canonical", "gender", "attempt")).alias("told")))
+        size = of_text.agg(F.coalesce(F.sum(F.aggregate("told", F.lit(16).cast("long"), lambda n, t: n + F.octet_length(t.canonical) + 32)), F.lit(0))).first()[0]
+        with_parts = with_parts.join(F.broadcast(of_text) if size <= BROADCAST_BYTES else of_text, "hash", "left")
+        of = lambda x: F.coalesce(F.get(F.filter("told", lambda t: (t.kind == _class(x.kind)) & (t.canonical == x.canonical)), F.lit(0)).dropFields("kind", "canonical"), own(x))
+    drawn = with_parts.withColumn("drawn", _drawn(F.col("parts"), of, secret))
     surrogate = lambda i: F.array_join(F.transform(F.filter("drawn", lambda d: d["at"] == i), lambda d: d.text), "")
-    pieces = F.transform(F.split("text", ENTITY, -1), lambda gap, i: F.concat(gap, surrogate(i)))
-    entities = F.transform("parts", lambda x: F.struct(x.kind.alias("kind"), x.canonical.alias("canonical")))
-    return rows.select(F.col("key").alias(key), F.when(F.size("matches") > 0, F.array_join(pieces, "")).otherwise(F.col("text")).alias("text"), entities.alias("entities"), *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)])
+    pieces = F.transform(F.split("text", _pattern(F.col("names")), -1), lambda gap, i: F.concat(gap, surrogate(i)))
+    listed = F.transform("parts", lambda x: F.struct(x.kind.alias("kind"), x.canonical.alias("canonical")))
+    others = [f"kept{i}" for i in range(len(keep))]
+    changed = drawn.select("key", F.array_join(pieces, "").alias("text"), listed.alias("entities"), *others)
+    same = rows.filter(F.size("matches") == 0).select("key", "text", F.array().cast(changed.schema["entities"].dataType).alias("entities"), *others)
+    return changed.unionByName(same).select(F.col("key").alias(key), F.col("text").alias(text), "entities", *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)])

@@ -146,8 +146,8 @@ FROM w LEFT JOIN n USING (doc_id) LEFT JOIN it USING (doc_id)
 """
 
 
-#: Where no secret is given; surrogates can be told from their originals only without it.
-PII_KEY = "corpus key"
+#: The key of the surrogates; None: that of the session (see ``pii.session_key``).
+PII_KEY: str | None = None
 
 
 @query

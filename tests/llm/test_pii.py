@@ -3,6 +3,7 @@
 import random
 import re
 
+import regex
 from pyspark.sql import functions as F
 
 from driftspark.llm import pii
@@ -106,3 +107,74 @@ def test_collisions_are_drawn_again(spark, monkeypatch):
     got = run(spark, texts)
     pairs = {p for i, t in enumerate(texts) for p in zip(t.split(" and "), got[i].text.split(" and "), strict=True)}
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs}) == 9
+
+
+TITLE = regex.compile(rf"^{pii.TITLES}\.? ")
+
+
+def slow_matches(text):
+    """Matches of a text by another regular expression library, names without titles included."""
+    found = [m[0] for m in regex.finditer(pii.ENTITY, text)]
+    words = [w.rsplit(" ", 1)[-1] for m in found if TITLE.match(m) and "@" not in m for w in regex.split(pii.BETWEEN, TITLE.sub("", m))]
+    words = sorted({x for w in words if len(w) > 1 for x in (w, w.upper(), w[0].upper() + w[1:].lower())})
+    pattern = pii.ENTITY + (rf"|(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(words)})(?![\p{{L}}\p{{M}}\p{{N}}])" if words else "")
+    return [m[0] for m in regex.finditer(pattern, text)], regex.split(pattern, text)
+
+
+def test_agrees_with_a_slow_version(spark):
+    rng = random.Random(21)
+    first, last = ["Anna", "John", "María-José", "ALICE", "Jean"], ["Smith", "O'Brien", "McDonald", "Smith-Jones", "García", "van Dijk", "JONES"]
+    name = lambda: f"{rng.choice(['Mr', 'Mrs.', 'Dr', 'Ms', 'Frau'])} {rng.choice(first)} {rng.choice(last)}"
+    make = [
+        name, lambda: rng.choice(first), lambda: rng.choice(last), lambda: f"Mr {rng.choice(last)}", lambda: f"{rng.choice('abc')}.x@{rng.choice('de')}.org", lambda: f"10.0.{rng.randrange(3)}.{rng.randrange(3)}",
+        lambda: f"+49 30 12345{rng.randrange(9)}", lambda: f"token = {'ab1' * 5}{rng.randrange(5)}", lambda: "on +1 2024 2025 people", lambda: "Some words, 12 of them.", lambda: "4111 1111 1111 1111",
+    ]
+    texts = [" ; ".join(rng.choice(make)() for _ in range(rng.randrange(1, 9))) for _ in range(80)]
+    got = run(spark, texts)
+    to, plain = {}, lambda x: regex.sub(r"^(?:(?:MRS?|Mrs?|Ms|Dr|Frau)\.? )", "", x)
+    for i, t in enumerate(texts):
+        matches, gaps = slow_matches(t)
+        pattern = "(.+?)".join(map(regex.escape, gaps))
+        new = regex.fullmatch(pattern, got[i].text)
+        assert new and (matches or got[i].text == t)
+        for a, b in zip(matches, new.groups(), strict=True):
+            words = zip(regex.split(r"[ -]", plain(a)), regex.split(r"[ -]", plain(b)), strict=True) if any(c.isalpha() for c in a) and "@" not in a and "token" not in t[: t.find(a)][-8:] else [(a, b)]
+            for x, y in words:
+                if x not in ("van",):
+                    assert x != y and to.setdefault(x.lower(), y.lower()) == y.lower()
+    assert len(set(to.values())) == len(to) and not set(to) & set(to.values())
+    assert "on +1 2024 2025 people" in " ".join(r.text for r in got.values())
+
+
+def test_names_are_one_person_however_they_are_written(spark):
+    texts = [
+        "Mr McDonald met Mrs Anna O'Brien and Ms Smith-Jones; McDonald left, MCDONALD stayed", "Frau María-José García und García, Jose", "Mr JOHN SMITH; John Smith; Smith's; Smithson",
+        "Dr Alice said", "Ms Alice Jones said", "Ms Alice said", "Alice without a title stays", "Mr Alice Wu",
+    ]
+    got = {i: r.text for i, r in run(spark, texts).items()}
+    assert not regex.search("Donald|Brien|Smith(?!son)|Jones|García|María|JOHN|John|Anna|MCD", " ".join(got.values()))
+    a, b, c = regex.fullmatch(r"Mr (\w+) met Mrs \w+ \w+ and Ms \w+-\w+; (\w+) left, (\w+) stayed", got[0]).groups()
+    assert a == b and c == a.upper()
+    a, b, c = regex.fullmatch(r"Frau (\w+)-\w+ (\w+) und (\w+), Jose", got[1]).groups()
+    assert b == c != a
+    a, b, c, d, e = regex.fullmatch(r"Mr (\w+) (\w+); (\w+) (\w+); (\w+)'s; Smithson", got[2]).groups()
+    assert a.isupper() and (a.capitalize(), b.capitalize(), d) == (c, d, e)
+    alice = {regex.match(r"(?:Dr|Ms|Mr) (\w+)", got[i])[1] for i in (3, 4, 5, 7)}
+    assert len(alice) == 1 and got[6] == texts[6]
+
+
+def test_a_full_format_grows(spark):
+    phones = [f"+49 {i // 100:02} {i % 100:02}" for i in range(10_000)]  # all that there are
+    got = run(spark, ["; ".join(phones[i : i + 50]) for i in range(0, 10_000, 50)])
+    new = [p for i in range(200) for p in got[i].text.split("; ")]
+    assert len(set(new)) == 10_000 and not set(new) & set(phones)
+    assert all(regex.fullmatch(r"\+49 \d\d \d{3,}", p) for p in new)
+
+
+def test_the_key_is_none_of_the_code(spark, monkeypatch):
+    one = run(spark, ["a@b.org"], None)[0].text
+    assert run(spark, ["a@b.org"], None)[0].text == one != "a@b.org"
+    monkeypatch.delattr(spark.sparkContext, "_driftspark_pii_key")
+    assert run(spark, ["a@b.org"], None)[0].text != one
+    monkeypatch.setenv(pii.KEY_VARIABLE, "from outside")
+    assert run(spark, ["a@b.org"], None)[0].text == run(spark, ["a@b.org"], "from outside")[0].text
