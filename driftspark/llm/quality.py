@@ -5,9 +5,11 @@ taken together) and a mark for each word that repeats the one before; they are h
 the square roots of the terms' shares, weighted by inverse document frequency. The labelled rows' matrix is reduced by a
 singular value decomposition to ``RANK`` latent dimensions; the labelled vectors, of unit length, are broadcast. Each
 document is projected likewise, its cosines with all labelled vectors are computed exactly, block by block, and its
-``NEIGHBOURS`` nearest vote for their label with the weight of their similarity to the power ``SHARPNESS``.
+``NEIGHBOURS`` nearest vote for their label with the weight of their similarity to the power ``SHARPNESS``. Neighbours
+that are equally near as the last one (to ``EQUAL``) share the votes that are left among them, so no order of rows counts.
 
-The model is bounded: of the labelled rows that may be learnt from, the ``LABELLED`` with the smallest hashes are used.
+The model is bounded: of the labelled documents that may be learnt from, the ``LABELLED`` with the smallest hashes are
+used. Labels without a document take no room; of rows that share an id, the one with the least hash of its text counts.
 Every document is scored by its whole text. A text without terms, or one that no neighbour resembles, gets the labelled
 rows' share of label 1 (0.5 without labels). Null texts are empty. Labels other than 0 and 1 are not used; of several
 labels of a document the greatest counts. Repeated rows are scored each, other columns are ignored.
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import by_bytes, map_batches, text_sizes
+from .common import by_bytes, checkpointed, map_batches, text_sizes
 
 TERMS = 1024
 RANK = 32
@@ -36,6 +38,7 @@ NEIGHBOURS = 15
 SHARPNESS = 8
 BATCH_BYTES = 2 << 20
 BLOCK = 512
+EQUAL = 5e-8
 KEPT = 200_000
 #: Longer words are not kept between texts.
 WORD_CHARS = 40
@@ -110,19 +113,26 @@ def score(model: Model, rows: np.ndarray) -> np.ndarray:
     k = min(NEIGHBOURS, len(model.labels))
     for a in range(0, len(rows) if k else 0, BLOCK):
         cos = unit(rows[a : a + BLOCK] @ model.projection) @ model.vectors.T
-        near = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-        weight = np.maximum(np.take_along_axis(cos, near, axis=1), 0).astype(np.float64) ** SHARPNESS
-        total = weight.sum(axis=1)
+        last = np.partition(cos, len(model.labels) - k, axis=1)[:, len(model.labels) - k, None]
+        nearer, equal = cos > last + EQUAL, np.abs(cos - last) <= EQUAL
+        left = k - nearer.sum(axis=1)
+        asked, near = np.nonzero(nearer | equal)
+        weight = np.maximum(cos[asked, near], 0).astype(np.float64) ** SHARPNESS
+        weight *= np.where(nearer[asked, near], 1, (left / np.maximum(equal.sum(axis=1), 1))[asked])
+        total = np.bincount(asked, weight, len(cos))
         voted = total > 0
-        out[a : a + BLOCK][voted] = (weight * model.labels[near]).sum(axis=1)[voted] / total[voted]
+        out[a : a + BLOCK][voted] = np.bincount(asked, weight * model.labels[near], len(cos))[voted] / total[voted]
     return np.clip(out, 0, 1)
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int = LABELLED, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of at most ``n`` documents; only their features reach the driver."""
     known = labels.filter(allowed & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
-    known = known.withColumn("draw", F.xxhash64(F.col("key").cast("string"), F.lit("labelled"))).orderBy("draw", "key").limit(n).select("key", "label")
-    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).join(F.broadcast(known), "key").select("key", "label", "text")
+    given = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash")).groupBy("key").agg(F.min("hash").alias("hash"))
+    draw = F.xxhash64(F.col("key").cast("string"), F.lit("labelled"))
+    chosen = checkpointed(known.join(given, "key").orderBy(draw, "key").limit(n).select("key", "label", "hash"))  # n rows
+    rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).join(F.broadcast(chosen), ["key", "hash"])
+    rows = rows.dropDuplicates(["key"]).select("key", "label", "text")  # rows that are equal
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = _Terms()

@@ -94,6 +94,25 @@ def test_votes_equal_brute_force():
     assert quality.score(model, asked) == pytest.approx(np.array(want), abs=1e-4)
 
 
+def test_equally_near_neighbours_share_the_votes():
+    rows = np.zeros((20, quality.TERMS + 1), np.float32)
+    rows[:, 0] = 1
+    rows[:3, 1], rows[3:, 2] = 1, 0.5  # three alike, seventeen alike
+    labels = np.array([1, 1, 1] + [1] * 4 + [0] * 13)
+    asked = rows[[0, 5]]
+    shuffled = np.random.default_rng(3).permutation(20)
+    one, two = (quality.score(quality.train(rows[o], labels[o]), asked) for o in (np.arange(20), shuffled))
+    assert one == pytest.approx(two, abs=1e-5) and one[1] == pytest.approx(4 / 17, abs=1e-3)
+
+
+def test_labels_count_by_document(spark):
+    docs = spark.createDataFrame([(1, "a b"), (1, "a b"), (1, "c d"), (2, None), (3, "x"), (None, "y")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 7), (None, 1)] + [(i, 1) for i in range(100, 400)], "doc_id long, quality int")
+    rows, found = quality.labelled_rows(docs, labels, F.lit(True), n=2)
+    assert sorted(found) == [0, 1] and len(rows) == 2
+    assert len(quality.labelled_rows(docs, labels, F.lit(True), n=1)[0]) == 1
+
+
 def test_quality_accuracy_and_odd_rows(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     model = quality.train(*quality.labelled_rows(docs, labels, ~held_out(F.col("doc_id"))))
