@@ -77,18 +77,24 @@ def boundaries(pattern, text: str, start: int, end: int, last: bool) -> list[int
 
 def cuts(pattern, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
     """Boundaries between pre-tokens of the whole text, about one a chunk, found by stitching the chunks' own splits."""
-    n, found = len(text), [0]
+    n, found, reach = len(text), [0], 0
     starts = range(0, n, chunk)
     splits = [boundaries(pattern, text, s, min(n, s + chunk + overlap), s + chunk + overlap >= n) for s in starts]
     sure = splits[0] if splits else [0]
     for s, own in zip(starts[1:], splits[1:], strict=False):
+        if s + chunk + overlap <= reach:
+            continue  # a longer split has gone beyond this chunk
         shared = set(own).intersection(p for p in reversed(sure) if p >= s)
         if shared:
             first = min(shared)
             sure = own[own.index(first) :]
-        else:  # no boundary in common: go on from the last one that is sure
+        else:  # no boundary in common: go on from the last one that is sure, by doubled lengths while one pre-token fills them
             first, end = sure[-1], min(n, s + chunk + overlap)
             sure = boundaries(pattern, text, first, end, end >= n)
+            while len(sure) == 1 and end < n:
+                end = min(n, 2 * end - first)
+                sure = boundaries(pattern, text, first, end, end >= n)
+            reach = end
         if first > found[-1]:
             found.append(first)
     return [*found, n] if n > found[-1] else found

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 @dataclass(frozen=True)
 class Template:
-    """Marks must begin with ``<|``; ``transitions`` has the states that may follow a state, by role."""
+    """Marks must begin with ``<|``, which escaped text never holds; ``transitions`` has the states that may follow a state, by role."""
 
     start: str = "<|im_start|>"
     head_end: str = "\n"
@@ -37,6 +37,10 @@ class Template:
         default_factory=lambda: {"begin": ("system", "user"), "system": ("user",), "user": ("assistant",), "assistant": ("user", "tool"), "tool": ("assistant", "tool")}
     )
 
+    def __post_init__(self) -> None:
+        if not (self.start.startswith("<|") and self.end.startswith("<|") and self.start != self.end and self.head_end == "\n"):
+            raise ValueError("the marks must differ and begin with <|, and a head must end with a line break")
+
 
 def escape(text: Column) -> Column:
     return F.regexp_replace(text, r"<(\\*)\|", r"<\\$1|")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -22,11 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, which all executors share.
 
-    Where ``spark.checkpoint.dir`` names none (tests on one machine), one under ``/tmp`` is set.
+    Where ``spark.checkpoint.dir`` names none, one under ``/tmp`` is set if driver and executors are one process (tests);
+    on a cluster that is an error.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or f"/tmp/checkpoints/{uuid.uuid4().hex}")
+        given = context.getConf().get("spark.checkpoint.dir")
+        if not given and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(given or f"/tmp/checkpoints/{uuid.uuid4().hex}")
     return context._jsc.sc().getCheckpointDir().get()
 
 
@@ -37,12 +42,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """``df`` written as a compressed table in the shared folder, and read again: a checkpoint for large results."""
-    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    """``df`` written as a compressed table in the shared folder, and read again: a checkpoint for large results.
+
+    The tables stay until ``remove_saved``, as results that aren't yet computed may read them.
+    """
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def remove_saved(spark: SparkSession) -> None:
+    """Deletes all that this application has ``saved``; to be called when its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)

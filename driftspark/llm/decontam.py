@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 
 WINDOW = 10
 BROADCAST_ROWS = 500_000
-#: Upper bound of a broadcast window text's length, beside the row count.
-BROADCAST_CHARS = 100_000_000
+#: Upper bound of the broadcast windows' bytes, with their items' names, beside the row count.
+BROADCAST_BYTES = 100_000_000
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -85,16 +85,16 @@ def benchmark_windows(benchmark: DataFrame, sizes: list[int] | None = None) -> t
     return found.groupBy("fp", "size", "text").agg(F.collect_set("item").alias("items")), sizes
 
 
-def _small(df: DataFrame, chars: Column) -> bool:
-    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(chars), F.lit(0))).first()
-    return n <= BROADCAST_ROWS and total <= BROADCAST_CHARS
+def _small(df: DataFrame, size: Column) -> bool:
+    n, total = df.agg(F.count(F.lit(1)), F.coalesce(F.sum(size), F.lit(0))).first()
+    return n <= BROADCAST_ROWS and total <= BROADCAST_BYTES
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for each row of ``docs``: key, ``n_words``, ``n_hit``, ``items`` (found, sorted) and ``spans`` (first word, words)."""
     windows, sizes = benchmark_windows(benchmark)
     prints = windows.select("fp", "size").distinct()
-    if _small(windows, F.length("text") + 16):
+    if _small(windows, F.octet_length("text") + F.aggregate("items", F.lit(0), lambda n, item: n + F.octet_length(item) + 16) + 32):
         windows, prints = F.broadcast(windows), F.broadcast(prints)
     found = docs.select(F.col(key).alias("key"), F.monotonically_increasing_id().alias("row"), words(F.col(text)).alias("words")).withColumn("n", F.size("words"))
     for size in sizes:

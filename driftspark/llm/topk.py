@@ -1,20 +1,26 @@
 """Exact top-k search by inner product over norm-sorted, rotated vectors.
 
-All vectors are ordered by descending length and packed into blocks. They are seen in the axes of the singular value
-decomposition of all rows (from their d x d Gram matrix, summed in parallel), so the leading coordinates hold most of an
-inner product. For each block of queries, candidates are taken in descending length with a running k-th best score:
-
-* a block whose longest vector times the query's length stays below that score ends the scan (Cauchy-Schwarz); which
-  blocks a block of queries needs at all is decided before anything is shuffled, from thresholds against the ``HEAD``
-  longest vectors, a set of fixed size;
+All vectors are ordered by descending length, packed into blocks, and written once. They are seen in the axes of the
+singular value decomposition of all rows (from their d x d Gram matrix, summed in parallel), so the leading coordinates
+hold most of an inner product. Queries come in chunks of at most ``QUERY_BYTES``, which are broadcast; for a chunk, the
+blocks of candidates are scanned in bands of descending length, each task reading its own blocks, so no vector is moved
+to a query or a query to a vector. What a task finds, at most k for each query, is ranked with what the bands before
+gave, and the k-th best scores are the thresholds of the next band, in which
+
+* a block whose longest vector times the query's length stays below the query's threshold is passed over
+  (Cauchy-Schwarz); blocks that no query of the chunk needs are left out of the scan by a filter;
 * within a block, the partial inner product over the ``LEAD`` leading axes plus the product of the residuals' lengths
   bounds the whole; only candidates whose bound reaches some query's threshold get exact scores, in integers.
 
+The first bands are small (``BANDS``, shares of the blocks), so thresholds are known early. What is shuffled are scores
+that reached a threshold, not vectors.
+
 Bounds are widened by a margin for rounding; scores are exact while the product of two lengths stays below 2^63.
 
 A component x counts as floor(scale * x), taken in doubles. Vectors that are null, hold nulls or non-finite components,
-or have no id take no part; shorter vectors are filled up with zeros; of rows that share an id the least vector counts.
-A query never finds its own id. Ties go to the smaller id; a query with fewer than k candidates gets them all.
+or have no id take no part; shorter vectors are filled up with zeros. Every row is a candidate, also where rows share an
+id; a query never finds rows of its own id, and queries that share an id have one common ranking. Ties go to the smaller
+id; a query with fewer than k candidates gets them all.
 """
 
 from __future__ import annotations
@@ -27,13 +33,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpointed, map_batches, ship
+from .common import checkpointed, map_batches, saved
 
 LEAD = 16
-HEAD = 2048
-#: Vectors in a block of candidates, and of queries.
+#: Vectors in a block of candidates, and queries that are compared with it at once.
 BLOCK = 8192
 QUERY_BLOCK = 2048
+#: Bytes of the queries of a chunk, which are broadcast.
+QUERY_BYTES = 32 << 20
+#: The shares of the longest blocks with which the bands end.
+BANDS = (1 / 64, 1 / 16, 1 / 4, 1.0)
 STEP = 512
 EXACT_DOUBLE = float(1 << 53)
 
@@ -45,7 +54,6 @@ def integer_vectors(vectors: DataFrame, scale: int, *, key: str = "vec_id", vect
     finite = F.forall(x, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c.cast("double")) < limit))
     v = F.transform(x, lambda c: F.floor(c.cast("double") * scale).cast("long"))
     found = vectors.filter(x.isNotNull() & finite & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("vec_id"), v.alias("v"))
-    found = found.groupBy("vec_id").agg(F.min("v").alias("v"))
     return found.withColumn("norm", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, c: s + c.cast("double") * c.cast("double"))))
 
 
@@ -121,17 +129,21 @@ def products(q: np.ndarray, c: np.ndarray, largest: float) -> np.ndarray:
     return q @ c.T
 
 
-def scan(query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarray, c: np.ndarray, axes: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+Best = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def scan(query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarray, c: np.ndarray, axes: np.ndarray, k: int, so_far: Best | None = None) -> Best:
     """The best k of the candidates ``c``, given by descending length: (found, ids, scores), each queries x k.
 
-    ``least``: scores that the result must reach (-inf: none known).
+    ``least``: scores that the result must reach (-inf: none known). ``so_far``: the best of other candidates, which
+    compete.
     """
     qr, cr = q @ axes, c @ axes
     q_norm, c_norm = np.linalg.norm(qr, axis=1), np.linalg.norm(cr, axis=1)
     q_rest, c_rest = np.linalg.norm(qr[:, LEAD:], axis=1), np.linalg.norm(cr[:, LEAD:], axis=1)
     bottom = np.iinfo(np.int64).min
-    best_ids, best, found = np.zeros((len(q), k), np.int64), np.full((len(q), k), bottom), np.zeros((len(q), k), bool)
-    least = least.copy()
+    found, best_ids, best = so_far or (np.zeros((len(q), k), bool), np.zeros((len(q), k), np.int64), np.full((len(q), k), bottom))
+    least = np.maximum(least, np.where(found[:, k - 1], best[:, k - 1].astype(np.float64), -np.inf))
     for a in range(0, len(c), STEP):
         s = slice(a, a + STEP)
         margin = 1e-9 * q_norm * c_norm[a] + 1e-6
@@ -156,64 +168,71 @@ def scan(query_ids: np.ndarray, q: np.ndarray, least: np.ndarray, ids: np.ndarra
     return found, best_ids, best
 
 
-LEVELS = 8  # steps of length in a factor of two
-
-
-def _level(norm: Column) -> Column:
-    return F.when(norm < 1, F.lit(-1)).otherwise(F.floor(F.log2(F.greatest(norm, F.lit(1.0))) * LEVELS)).cast("int")
+def chunk_rows(d: int) -> int:
+    return max(1, QUERY_BYTES // (8 * d))
 
 
 def search(vectors: DataFrame, is_query: Column, *, k: int = 10, scale: int = 1024, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``vec_id`` and ``score``; ``is_query`` is a condition on ``vec_id``."""
     spark = vectors.sparkSession
     v = checkpointed(integer_vectors(vectors, scale, key=key, vector=vector))
-    n, d, asked, longest = v.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if(is_query), F.coalesce(F.max("norm"), F.lit(0.0))).first()
+    n, d, asked = v.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0)), F.count_if(is_query)).first()
     d = max(d, 1)
-    axes = rotation(v, d)
-    order = [F.desc("norm"), F.asc("vec_id")]
-    top = v.orderBy(*order).limit(HEAD).select("vec_id", "v").collect()
-    head = np.zeros((len(top), d), np.int64)
-    for i, r in enumerate(top):
-        head[i, : len(r.v)] = r.v
-    given = spark.sparkContext.broadcast((np.array([r.vec_id for r in top], np.int64), head, axes))  # (HEAD + d) x d numbers
-
-    def blocks(rows: DataFrame, count: int, size: int) -> DataFrame:
-        return packed(rows.repartitionByRange(max(1, -(-count // size)), *order).sortWithinPartitions(*order), d, size)
-
-    def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Adds each query's k-th best score among the head, and the least length of a candidate that can matter."""
-        ids, c, axes = given.value
-        for batch in batches:
-            for r in batch.to_pylist():
-                asking, q = unpack(r["n"], r["width"], r["ids"], r["ints"], d)
-                found, _, best = scan(asking, q, np.full(len(q), -np.inf), ids, c, axes, k)
-                least = np.where(found[:, k - 1], best[:, k - 1].astype(np.float64), -np.inf)
-                norm = np.linalg.norm(q.astype(np.float64), axis=1)
-                need = np.where(least > 0, least / np.maximum(norm, 1e-300) * (1 - 1e-9) - 1e-6, 0.0)
-                yield pa.RecordBatch.from_pydict({name: pa.array([x], kind) for name, x, kind in (("q_n", r["n"], pa.int32()), ("q_width", r["width"], pa.int32()), ("q_ids", r["ids"], pa.binary()), ("q_ints", r["ints"], pa.binary()), ("least", least.tobytes(), pa.binary()), ("need", float(need.min()), pa.float64()))})
-
-    candidates = checkpointed(blocks(v, n, BLOCK).withColumn("block", F.monotonically_increasing_id()))
-    started = map_batches(blocks(v.filter(is_query), asked, QUERY_BLOCK), begin, "q_n int, q_width int, q_ids binary, q_ints binary, least binary, need double")
-    started = checkpointed(started.withColumn("asking", F.monotonically_increasing_id()))
-
-    # which blocks of candidates reach the length that a block of queries needs: by steps of length, then exactly
-    levels = F.sequence(_level(F.col("need")), F.greatest(_level(F.lit(longest)), _level(F.col("need"))))
-    lengths = candidates.select("block", "norm", _level(F.col("norm")).alias("level"))
-    pairs = started.select("asking", "need", F.explode(levels).alias("level")).join(lengths, "level").filter("norm >= need").select("asking", "block")
-
-    def score(pair: pa.Table) -> pa.Table:
-        _, _, axes = given.value
-        found_rows = []
-        for r in pair.to_pylist():
-            asking, q = unpack(r["q_n"], r["q_width"], r["q_ids"], r["q_ints"], d)
-            ids, c = unpack(r["n"], r["width"], r["ids"], r["ints"], d)
-            found, best_ids, best = scan(asking, q, np.frombuffer(r["least"], np.float64), ids, c, axes, k)
-            at = np.nonzero(found)
-            found_rows.append(pa.table({"query_id": asking[at[0]], "vec_id": best_ids[at], "score": best[at]}))
-        return pa.concat_tables(found_rows)
-
-    ship(spark)
-    work = pairs.join(started.drop("need"), "asking").join(candidates.drop("norm"), "block")
-    scores = work.groupBy("asking", "block").applyInArrow(score, "query_id long, vec_id long, score long")
+    order, rows = [F.desc("norm"), F.asc("vec_id")], chunk_rows(d)
+
+    def blocks(of: DataFrame, total: int, size: int) -> DataFrame:
+        return packed(of.repartitionByRange(max(1, -(-total // size)), *order).sortWithinPartitions(*order), d, size)
+
+    candidates = saved(blocks(v, n, BLOCK))
+    chunks = saved(blocks(v.filter(is_query), asked, rows).withColumn("chunk", F.monotonically_increasing_id()))
+    shares = [1 - share for share in BANDS[:-1]]
+    ends = [*(candidates.agg(F.percentile_approx("norm", shares, 10_000)).first()[0] or [0.0] * len(shares)), -1.0]
+    axes = spark.sparkContext.broadcast(rotation(v, d))
+
+    results = None
+    for number in sorted(r.chunk for r in chunks.select("chunk").collect()):  # a number for each QUERY_BYTES of queries
+        own = _chunk(chunks.filter(F.col("chunk") == number), candidates, ends, axes, d, k)
+        results = own if results is None else results.unionByName(own)
+    if results is None:
+        results = spark.createDataFrame([], "at int, query_id long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id")))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return results.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def _chunk(chunk: DataFrame, candidates: DataFrame, ends: list[float], axes, d: int, k: int) -> DataFrame:
+    """(at, query_id, vec_id, score): the best k of each query of a chunk, ``at`` its number there."""
+    context = chunk.sparkSession.sparkContext
+    r = chunk.first()
+    query_ids, q = unpack(r.n, r.width, r.ids, r.ints, d)
+    norm, least = np.linalg.norm(q.astype(np.float64), axis=1), np.full(len(q), -np.inf)
+    queries = context.broadcast((query_ids, q))
+    top, start = None, float("inf")
+    for end in ends:
+        bounds = context.broadcast(least)
+
+        def run(batches: Iterator[pa.RecordBatch], bounds=bounds) -> Iterator[pa.RecordBatch]:
+            (asking, all_queries), given = queries.value, bounds.value
+            parts = [slice(a, a + QUERY_BLOCK) for a in range(0, len(asking), QUERY_BLOCK)]
+            best: list[Best | None] = [None] * len(parts)
+            for batch in batches:
+                for b in batch.to_pylist():
+                    ids, c = unpack(b["n"], b["width"], b["ids"], b["ints"], d)
+                    for i, part in enumerate(parts):
+                        best[i] = scan(asking[part], all_queries[part], given[part], ids, c, axes.value, k, best[i])
+            for part, found in zip(parts, best, strict=True):
+                if found is not None:
+                    at = np.nonzero(found[0])
+                    yield pa.RecordBatch.from_pydict({"at": pa.array((at[0] + part.start).astype(np.int32)), "query_id": asking[part][at[0]], "vec_id": found[1][at], "score": found[2][at]})
+
+        need = np.where(least > 0, least / np.maximum(norm, 1e-300) * (1 - 1e-9) - 1e-6, 0.0).min(initial=np.inf)  # shorter blocks matter to no query
+        band = candidates.filter((F.col("norm") <= start) & (F.col("norm") > end) & (F.col("norm") >= float(need)))
+        start = end
+        found = map_batches(band, run, "at int, query_id long, vec_id long, score long")
+        found = found if top is None else found.unionByName(top)
+        rank = F.row_number().over(Window.partitionBy("at").orderBy(F.desc("score"), F.asc("vec_id")))
+        ranked = checkpointed(found.withColumn("rank", rank).filter(F.col("rank") <= k))
+        top = ranked.drop("rank")
+        if end >= 0:
+            for x in ranked.filter(F.col("rank") == k).select("at", "score").collect():  # one number for a query of the chunk
+                least[x["at"]] = float(x.score)
+    return top

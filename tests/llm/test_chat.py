@@ -43,3 +43,10 @@ def test_ties_and_empty_table(spark):
     parsed = chat.format_conversations(turns).select(chat.parse(F.col("formatted")).alias("t"))
     assert [x.text for x in parsed.first().t] == ["c", "a", "a", "b"]
     assert chat.format_conversations(turns.limit(0)).count() == 0
+
+
+def test_templates_are_checked():
+    for wrong in ({"start": "[INST]"}, {"end": "</s>"}, {"end": "<|im_start|>"}, {"head_end": ":"}):
+        with pytest.raises(ValueError):
+            chat.Template(**wrong)
+    assert chat.Template(start="<|turn|>", end="<|/turn|>").after == "\n"

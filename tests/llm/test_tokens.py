@@ -28,6 +28,22 @@ def test_chunks_give_the_ids_of_the_whole_text(chunk, overlap):
         assert bpe.decode_ids(words, ids) == text.encode()
 
 
+def test_a_long_pre_token_is_split_in_linear_work():
+    class Counting:
+        def __init__(self):
+            self.inner, self.chars = regex.compile(public_tokenizers.PATTERN), 0
+
+        def finditer(self, text, start, end):
+            self.chars += end - start
+            return self.inner.finditer(text, start, end)
+
+    enc = bpe.encoding(RANKS, public_tokenizers.PATTERN)
+    for text in ("x" * 3000 + " and more " + "y" * 100, "ab " * 50 + " " * 2000 + "z", "word " * 500):
+        split = Counting()
+        assert bpe.encode_text(enc, split, text, 32, 8).tolist() == enc.encode_ordinary(text)
+        assert split.chars <= 8 * len(text)
+
+
 def test_round_trip_of_odd_rows(spark):
     rows = [(i, t, "clash") for i, t in enumerate(ODD)] + [(1, None, "x"), (None, "a b", "x"), (1, "a b", "x"), (1, "a b", "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, token_ids string")
