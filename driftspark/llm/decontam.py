@@ -25,6 +25,8 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import checkpointed
+
 WINDOW = 10
 BROADCAST_ROWS = 500_000
 #: Upper bound of the broadcast windows' bytes, with their items' names, beside the row count.
@@ -124,6 +126,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
     return of_doc.select(F.col("key").alias(key), "n_words", n_hit.cast("long").alias("n_hit"), "items", "spans")
 
 
+def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of ``docs``, with all columns, that share no window with the benchmark; each row goes by its own text."""
+    rows = docs.withColumn("_row", F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("hash")))
+    found = checkpointed(hits(rows, benchmark, key="_row", text=text).filter("n_hit > 0").select("_row").distinct())
+    return rows.join(found, "_row", "left_anti").select(docs.columns)
+
+
 def digests(found: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """``hits`` as counts and the SHA-256 of the items' ids."""
     return found.select(

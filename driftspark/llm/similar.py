@@ -13,8 +13,8 @@ lists of shingles, and only what is still unreached is compared further (``spann
 ``BLOCK_SHINGLES`` shingles, each pair of blocks in a task. Only edges that connect come out. Where many nodes share a
 band and few are similar, this takes time with the square of the band, but finds every link.
 
-Null and empty texts are copies of each other. Rows that share an id are one document; rows without an id are in no
-group. Empty tables give no groups.
+Null and empty texts are copies of each other. In ``groups``, rows that share an id are one document, and rows without an
+id are in no group; ``kept_rows`` decides row by row. Empty tables give no groups.
 """
 
 from __future__ import annotations
@@ -199,3 +199,22 @@ def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: s
     if more is not None:
         known = components(known.filter("node <> component").select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
     return known.withColumnRenamed("node", key)
+
+
+def kept_rows(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Of every group of near-duplicates among the rows of ``docs`` one row, with all columns.
+
+    It is the one with the smallest id; rows without an id come after all, and rows that share an id go by a hash of
+    their texts. Of rows that are equal in id and text, any one stays.
+    """
+    options = {"shingle": shingle, "similarity": similarity, "text": text}
+    shared = docs.groupBy(key).agg(F.count(F.lit(1)).alias("n")).filter((F.col("n") > 1) | F.col(key).isNull())
+    if shared.isEmpty():
+        others = groups(docs, key=key, **options).filter(F.col(key) != F.col("component")).select(key)
+        return docs.join(others, key, "left_anti").select(docs.columns)
+    rows = docs.withColumn("_row", F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), F.xxhash64(text).alias("hash")))
+    others = checkpointed(groups(rows, key="_row", **options).filter("_row <> component").select("_row"))
+    left = rows.join(others, "_row", "left_anti")
+    repeated = checkpointed(left.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_row"))
+    once = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
+    return left.join(repeated, "_row", "left_anti").unionByName(once).select(docs.columns)

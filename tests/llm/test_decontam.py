@@ -54,3 +54,11 @@ def test_empty_tables(spark):
     row = decontam.digests(decontam.hits(docs, bench)).first()
     assert (row.n_words, row.n_hit, row.n_items, row.contaminated) == (2, 0, 0, False)
     assert decontam.hits(docs.limit(0), bench).count() == 0
+
+
+def test_rows_go_by_their_own_texts(spark):
+    text = "one two three four five six seven eight nine ten"
+    docs = spark.createDataFrame([(1, f"x {text}", "a"), (1, "other", "b"), (None, f"{text} y", "c"), (None, "", "d"), (None, None, "e"), (2, text, "f"), (2, text, "g")], "doc_id long, text string, _x string")
+    bench = spark.createDataFrame([(1, text)], "item_id long, text string")
+    kept = decontam.clean(docs, bench)
+    assert kept.columns == docs.columns and sorted(r._x for r in kept.collect()) == ["b", "d", "e"]

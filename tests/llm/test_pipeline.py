@@ -50,6 +50,46 @@ def test_groups_are_those_of_all_pairs(spark):
     assert similar.groups(docs.limit(0)).count() == 0
 
 
+def test_rows_without_own_ids(spark):
+    rng = random.Random(17)
+    text = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = text(100), text(80), text(90)
+    near = a.rsplit(" ", 1)[0] + " end"
+    rows = [(5, a, "0"), (None, near, "1"), (None, a, "2"), (7, b, "3"), (7, c, "4"), (None, c, "5"), (9, b, "6"), (9, b, "7"), (3, b, "8"), (None, None, "9"), (None, "", "10"), (11, text(5), "11"), (11, text(6), "12"), (12, "one", "13"), (12, "one", "14")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _x string").repartition(4)
+    kept = similar.kept_rows(docs)
+    assert kept.columns == docs.columns
+    got = sorted(r._x for r in kept.collect())
+    assert set(got) - {"9", "10", "13", "14"} == {"0", "4", "8", "11", "12"} and len(got) == 7  # one of the equal rows each
+    assert similar.kept_rows(docs.limit(0)).count() == 0
+    own = docs.filter("doc_id IN (5, 3, 11)").dropDuplicates(["doc_id"])
+    assert similar.kept_rows(own).count() == 3
+
+
+def test_true_pairs_among_many_that_share_a_template(spark):
+    """A hundred documents below the threshold around each template, one pair above it: no pair is lost."""
+    rng, word = random.Random(18), iter(range(10**7))
+    rows, pairs = [], []
+
+    def changed(w, n):
+        w = list(w)
+        for i in rng.sample(range(1, len(w) // 5), n):
+            w[5 * i - 1] = f"w{next(word)}"
+        return w
+
+    for t in range(10):
+        base = [f"w{next(word)}" for _ in range(304)]
+        own = [(1000 * t + i, " ".join(changed(base, 11))) for i in range(100)]
+        first = changed(base, 12)
+        pairs.append((1000 * t + 500, 1000 * t + 501))
+        rows += [*own, (1000 * t + 500, " ".join(first)), (1000 * t + 501, " ".join(changed(first, 5)))]
+    sets = {i: shingles(x) for i, x in rows}
+    assert all(0.8 <= len(sets[a] & sets[b]) / len(sets[a] | sets[b]) < 0.9 for a, b in pairs)
+    assert max(len(sets[0] & sets[i]) / len(sets[0] | sets[i]) for i in range(1, 100)) < 0.8
+    got = {r.doc_id: r.component for r in similar.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert sum(got.get(b) == got.get(a) == a for a, b in pairs) == 10
+
+
 @pytest.mark.parametrize("block", [similar.BLOCK_SHINGLES, 50_000])
 def test_copies_of_a_hub_that_is_not_least(spark, monkeypatch, block):
     monkeypatch.setattr(similar, "BLOCK_SHINGLES", block)
