@@ -1,8 +1,8 @@
 """The corpus pipeline: documents in, token ids out.
 
 Quality filter, near-duplicates, benchmark decontamination, personal data, byte-level BPE. Each stage takes what the
-one before has kept; all but the last return the columns of ``documents``. Null texts count as empty; rows without a
-``doc_id`` pass the near-duplicate and decontamination stages, which decide by id; rows that share one share its fate.
+one before has kept; all but the last return the columns of ``documents``. Null texts count as empty. Every stage decides
+row by row: rows without a ``doc_id``, or that share one, go by their own texts.
 """
 
 from __future__ import annotations
@@ -22,14 +22,12 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of every group of near-duplicates, the document with the smallest id."""
-    others = similar.groups(docs).filter("doc_id <> component").select("doc_id")
-    return docs.join(others, "doc_id", "left_anti").select(docs.columns)
+    return similar.kept_rows(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no window of words with the benchmark."""
-    found = decontam.hits(docs, table(spark, sf_dir, "benchmark")).filter("n_hit > 0").select("doc_id").distinct()
-    return docs.join(checkpointed(found), "doc_id", "left_anti").select(docs.columns)
+    return decontam.clean(docs, table(spark, sf_dir, "benchmark"))
 
 
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
