@@ -7,8 +7,6 @@ a snapshot, since a repository's graph is bounded (about 10,000 vertices).
 
 from __future__ import annotations
 
-from collections import deque
-
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,18 +95,33 @@ def component_count(nodes: list, pairs: list[tuple]) -> int:
 
 
 def diameter(pairs: list[tuple]) -> int:
-    """The longest of all finite shortest directed paths; 0 without edges."""
-    follow, longest = neighbours(pairs), 0
-    for start in follow:
-        seen, queue = {start: 0}, deque([start])
-        while queue:
-            v = queue.popleft()
-            for w in follow[v]:
-                if w not in seen:
-                    seen[w] = seen[v] + 1
-                    queue.append(w)
-        longest = max(longest, max(seen.values()))
-    return longest
+    """The longest of all finite shortest directed paths; 0 without edges.
+
+    In round d each vertex has the set of those within d steps, as the bits of an integer, and takes in its successors'
+    sets; the last round in which any set grows is the answer.
+    """
+    follow = neighbours(pairs)
+    bit = {v: i for i, v in enumerate(follow)}
+    after = [[bit[w] for w in follow[v]] for v in follow]
+    within, live, rounds = [1 << i for i in range(len(after))], range(len(after)), 0
+    back: list[list[int]] = [[] for _ in after]
+    for v, ws in enumerate(after):
+        for w in ws:
+            back[w].append(v)
+    while True:
+        grown = {}
+        for v in live:
+            found = within[v]
+            for w in after[v]:
+                found |= within[w]
+            if found != within[v]:
+                grown[v] = found
+        if not grown:
+            return rounds
+        rounds += 1
+        for v, found in grown.items():
+            within[v] = found
+        live = {u for v in grown for u in back[v]}  # only those with a successor that has grown
 
 
 def strong_components(follow: dict) -> list[set]:
@@ -196,19 +209,34 @@ def cycle_count(pairs: list[tuple], cap: int = CYCLE_CAP) -> tuple[int, bool]:
     return n, False
 
 
-METRICS = "repo_id string, seq long, component_count long, max_depth long, cycle_count long, cycle_count_capped boolean"
-
-
-def whole_graph(vertices: DataFrame, edges: DataFrame, cap: int = CYCLE_CAP) -> DataFrame:
-    """Components, directed diameter and elementary cycles of each snapshot's graph."""
+def _per_snapshot(vertices: DataFrame, edges: DataFrame, schema: str, measure) -> DataFrame:
+    """``measure(vertices, pairs)`` -> values, for the graph of each snapshot."""
     rows = vertices.select(*SNAPSHOT, F.col("file_path").alias("src"), F.lit(None).cast("string").alias("dst")).unionByName(edges.select(*SNAPSHOT, "src", "dst"))
+    columns = ["repo_id", "seq", *[c.split()[0] for c in schema.split(", ")]]
 
-    def measure(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        nodes = rows.src[rows.dst.isna()].tolist()
-        some = rows[rows.dst.notna()]
-        pairs = list(zip(some.src, some.dst, strict=True))
-        n, capped = cycle_count(pairs, cap)
-        return pd.DataFrame([(key[0], key[1], component_count(nodes, pairs), diameter(pairs), n, capped)], columns=["repo_id", "seq", "component_count", "max_depth", "cycle_count", "cycle_count_capped"])
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, some = rows.src[rows.dst.isna()].tolist(), rows[rows.dst.notna()]
+        return pd.DataFrame([(*key, *measure(nodes, list(zip(some.src, some.dst, strict=True))))], columns=columns)
 
     ship(vertices.sparkSession)
-    return rows.groupBy(*SNAPSHOT).applyInPandas(measure, METRICS)
+    return rows.groupBy(*SNAPSHOT).applyInPandas(run, f"repo_id string, seq long, {schema}")
+
+
+def structure(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """Weak components and the directed diameter of each snapshot's graph."""
+    return _per_snapshot(vertices, edges, "component_count long, max_depth long", lambda nodes, pairs: (component_count(nodes, pairs), diameter(pairs)))
+
+
+def cycles(vertices: DataFrame, edges: DataFrame, cap: int = CYCLE_CAP) -> DataFrame:
+    """Elementary cycles of each snapshot's graph, and whether counting stopped at ``cap``.
+
+    Their number can grow exponentially with the graph, so no exact count is possible in general; as ``coupling`` takes
+    at most one cycle per vertex, it is exact all the same while a graph has at most ``cap`` vertices.
+    """
+    return _per_snapshot(vertices, edges, "cycle_count long, cycle_count_capped boolean", lambda nodes, pairs: cycle_count(pairs, cap))
+
+
+def whole_graph(vertices: DataFrame, edges: DataFrame, cap: int = CYCLE_CAP) -> DataFrame:
+    """Components, directed diameter and elementary cycles of each snapshot's graph."""
+    measure = lambda nodes, pairs: (component_count(nodes, pairs), diameter(pairs), *cycle_count(pairs, cap))
+    return _per_snapshot(vertices, edges, "component_count long, max_depth long, cycle_count long, cycle_count_capped boolean", measure)

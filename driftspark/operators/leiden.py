@@ -30,14 +30,15 @@ def _local_move(out: list[dict], into: list[dict], member: list[int], gamma: flo
     if not m:
         return False
     k_out, k_in = [sum(d.values()) for d in out], [sum(d.values()) for d in into]
-    total_out, total_in = [0.0] * n, [0.0] * n
+    total_out, total_in, size = [0.0] * n, [0.0] * n, [0] * n
     for v, c in enumerate(member):
         total_out[c] += k_out[v]
         total_in[c] += k_in[v]
+        size[c] += 1
     order = list(range(n))
     rng.shuffle(order)
     queue, waiting, moved = deque(order), set(order), False
-    free = set(range(n)) - set(member)
+    free = [c for c in range(n - 1, -1, -1) if not size[c]]  # the least is taken first
     while queue:
         v = queue.popleft()
         waiting.discard(v)
@@ -55,14 +56,17 @@ def _local_move(out: list[dict], into: list[dict], member: list[int], gamma: flo
             if c != own and gain(c) > best_gain + 1e-12:
                 best, best_gain = c, gain(c)
         if best_gain < -1e-12 and free:
-            best = min(free)
+            best = free[-1]
         total_out[best] += k_out[v]
         total_in[best] += k_in[v]
         if best != own:
             member[v], moved = best, True
-            free.discard(best)
-            if total_out[own] == total_in[own] == 0 and own not in member:
-                free.add(own)
+            if not size[best]:
+                free.pop()
+            size[own] -= 1
+            size[best] += 1
+            if not size[own]:
+                free.append(own)
             for w in sorted({*out[v], *into[v]}):
                 if member[w] != best and w not in waiting and w != v:
                     waiting.add(w)
@@ -157,3 +161,16 @@ def communities(vertices: DataFrame, edges: DataFrame, gamma: float = 1.0, seed:
 
     ship(vertices.sparkSession)
     return rows.groupBy("repo_id", "seq").applyInPandas(cluster, "repo_id string, seq long, file_path string, cluster long")
+
+
+def modularity(edges: DataFrame, partition: DataFrame, gamma: float = 1.0) -> DataFrame:
+    """(repo_id, seq, modularity): the share of edges within clusters less what in- and out-degrees let expect."""
+    key = ["repo_id", "seq"]
+    side = lambda c, to: partition.select(*key, F.col("file_path").alias(c), F.col("cluster").alias(to))
+    placed = edges.select(*key, "src", "dst").join(side("src", "a"), [*key, "src"]).join(side("dst", "b"), [*key, "dst"])
+    total = placed.groupBy(*key).agg(F.count(F.lit(1)).alias("m"), F.count_if(F.col("a") == F.col("b")).alias("inside"))
+    leaving = placed.groupBy(*key, F.col("a").alias("cluster")).agg(F.count(F.lit(1)).alias("k_out"))
+    entering = placed.groupBy(*key, F.col("b").alias("cluster")).agg(F.count(F.lit(1)).alias("k_in"))
+    expected = leaving.join(entering, [*key, "cluster"]).groupBy(*key).agg(F.sum(F.col("k_out").cast("double") * F.col("k_in")).alias("expected"))
+    found = total.join(expected, key, "left")
+    return found.select(*key, (F.col("inside") / F.col("m") - gamma * F.coalesce("expected", F.lit(0.0)) / F.col("m") / F.col("m")).alias("modularity"))

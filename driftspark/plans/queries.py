@@ -47,7 +47,7 @@ INST = """inst AS (
 TRADE = """imports AS (
   SELECT 'trade' AS repo_id, CAST(year(o_orderdate) AS BIGINT) AS seq, cn.n_name AS src, sn.n_name AS dst
   FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey
-  JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey WHERE l_extendedprice > 103000
+  JOIN nation cn ON c_nationkey = cn.n_nationkey JOIN nation sn ON s_nationkey = sn.n_nationkey
 ), part AS (
   SELECT repo_id, seq, n_name AS file_path, CAST(n_regionkey AS BIGINT) AS cluster FROM (SELECT DISTINCT repo_id, seq FROM imports), nation
 ), edges AS (
@@ -82,7 +82,7 @@ TRADE = """imports AS (
 )"""
 SPARSE = """edges AS (
   SELECT DISTINCT CAST(l_suppkey AS VARCHAR) AS src, CAST(l_partkey * 7919 % (SELECT max(s_suppkey) FROM supplier) + 1 AS VARCHAR) AS dst
-  FROM lineitem WHERE l_extendedprice > 104700 AND l_suppkey <> l_partkey * 7919 % (SELECT max(s_suppkey) FROM supplier) + 1
+  FROM lineitem WHERE l_suppkey <> l_partkey * 7919 % (SELECT max(s_suppkey) FROM supplier) + 1
 )"""
 
 
@@ -454,7 +454,7 @@ far(v, w, d) AS (SELECT DISTINCT src, src, 0 FROM edges UNION SELECT f.v, e.dst,
 SELECT (SELECT count(DISTINCT m) FROM (SELECT v, min(w) AS m FROM reach GROUP BY v)) AS component_count, (SELECT CAST(max(d) AS BIGINT) FROM (SELECT v, w, min(d) AS d FROM far GROUP BY v, w)) AS max_depth""")
 def components_and_depth(spark, sf_dir):
     vertices, edges = tables.sparse(spark, sf_dir)
-    return graph.whole_graph(vertices, edges, cap=1000).select("component_count", "max_depth")
+    return graph.structure(vertices, edges).select("component_count", "max_depth")
 
 
 EVENT_EDGES = "edges AS (SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst)"
@@ -467,13 +467,14 @@ CYCLES = f"""RECURSIVE {EVENT_EDGES}, paths(first, last, seen) AS (
 @query(f"WITH {CYCLES} SELECT 'events' AS repo_id, cycle_count, false AS cycle_count_capped FROM cycles")
 def cycle_count(spark, sf_dir):
     vertices, edges = tables.transitions(spark, sf_dir)
-    return graph.whole_graph(vertices, edges).select("repo_id", "cycle_count", "cycle_count_capped")
+    return graph.cycles(vertices, edges).select("repo_id", "cycle_count", "cycle_count_capped")
 
 
-@query(f"""WITH {CYCLES}, n AS (SELECT count(DISTINCT event_type) AS n FROM events), m AS (SELECT count(*) AS m FROM edges), h AS (SELECT count(*) AS h FROM (SELECT dst FROM edges GROUP BY dst HAVING count(*) >= 3))
-SELECT (m / (n * (n - 1)) + h / n + least(1.0, cycle_count / greatest(1, n)) + least(1.0, 1 / greatest(1, n))) / 4 AS coupling_topology FROM cycles, n, m, h""")
+@query(f"""WITH {CYCLES}, n AS (SELECT count(DISTINCT event_type) AS n FROM events), m AS (SELECT count(*) AS m FROM edges), h AS (SELECT count(*) AS h FROM (SELECT dst FROM edges GROUP BY dst HAVING count(*) >= 3)),
+far(v, w, d) AS (SELECT DISTINCT src, src, 0 FROM edges UNION SELECT f.v, e.dst, d + 1 FROM far f JOIN edges e ON e.src = f.w WHERE d < (SELECT count(DISTINCT event_type) FROM events)),
+depth AS (SELECT max(d) AS depth FROM (SELECT v, w, min(d) AS d FROM far GROUP BY v, w))
+SELECT (m / (n * (n - 1)) + h / n + least(1.0, cycle_count / greatest(1, n)) + least(1.0, depth / greatest(1, n))) / 4 AS coupling_topology FROM cycles, n, m, h, depth""")
 def coupling_composite(spark, sf_dir):
-    """The SQL takes the depth as 1: every event type follows every other one directly."""
     vertices, edges = tables.transitions(spark, sf_dir)
     key = ["repo_id", "seq"]
     metrics = graph.density(vertices, edges).join(graph.hubs(vertices, edges), key).join(graph.whole_graph(vertices, edges), key)
@@ -577,7 +578,7 @@ def warm_start(spark, sf_dir):
     return debounce.initial_membership(now, before)
 
 
-# ---- without SQL: clustering and parsing ---------------------------------------------------------------------------
+# ---- clustering and parsing ----------------------------------------------------------------------------------------
 
 
 @query()
@@ -586,6 +587,23 @@ def leiden_partition(spark, sf_dir):
     return leiden.communities(vertices, edges)
 
 
+@query("SELECT printf('s%06d', s_suppkey) AS file_path, printf('s%06d', min(s_suppkey) OVER (PARTITION BY s_nationkey)) AS first_of_cluster FROM supplier")
+def leiden_planted(spark, sf_dir):
+    """Suppliers linked within their nation: the communities are the nations; each is named by its first member."""
+    found = leiden.communities(*tables.planted(spark, sf_dir))
+    first = F.min("file_path").over(Window.partitionBy("repo_id", "seq", "cluster"))
+    return found.select("file_path", first.alias("first_of_cluster"))
+
+
+@query(f"WITH {TRADE} SELECT repo_id, seq, count(*) AS files, true AS no_worse_than_one_cluster FROM part GROUP BY ALL")
+def leiden_quality(spark, sf_dir):
+    """The quality that Leiden optimises is never below that of one cluster for all, which is 0."""
+    vertices, _, edges, _ = _trade(spark, sf_dir)
+    found = leiden.communities(vertices, edges)
+    quality = leiden.modularity(edges, found)
+    return found.groupBy("repo_id", "seq").agg(F.count(F.lit(1)).alias("files")).join(quality, ["repo_id", "seq"]).select("repo_id", "seq", "files", (F.col("modularity") >= -1e-9).alias("no_worse_than_one_cluster"))
+
+
 SOURCES = {
     "python": "import os\nfrom a.b import c\n\n\ndef f{n}(x):\n    try:\n        log.info(x)\n    except E:\n        db.query({n})\n",
     "shell": "#!/bin/sh\nset -eu\n. ./lib.sh\nf{n}() {{\n  curl x | jq . | tee y\n}}\nf{n} || exit {n}\n",

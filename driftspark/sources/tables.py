@@ -41,10 +41,10 @@ def user_clusters(found: DataFrame) -> DataFrame:
 
 
 def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(vertices, imports, partition): each year's large sales between nations; clusters are regions."""
+    """(vertices, imports, partition): each year's sales between nations; clusters are regions."""
     orders, customer = read(spark, sf_dir, "orders"), read(spark, sf_dir, "customer")
     items, supplier, nation = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "supplier"), read(spark, sf_dir, "nation")
-    sold = items.filter("l_extendedprice > 103000").select("l_orderkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("long").alias("seq")), F.col("l_orderkey") == F.col("o_orderkey"))
+    sold = items.select("l_orderkey", "l_suppkey").join(orders.select("o_orderkey", "o_custkey", F.year("o_orderdate").cast("long").alias("seq")), F.col("l_orderkey") == F.col("o_orderkey"))
     name = lambda key, to: nation.select(F.col("n_nationkey").alias(key), F.col("n_name").alias(to))
     sold = sold.join(customer.select("c_custkey", "c_nationkey"), F.col("o_custkey") == F.col("c_custkey")).join(supplier.select("s_suppkey", "s_nationkey"), F.col("l_suppkey") == F.col("s_suppkey"))
     imports = sold.join(name("c_nationkey", "src"), "c_nationkey").join(name("s_nationkey", "dst"), "s_nationkey").select(F.lit("trade").alias("repo_id"), "seq", "src", "dst")
@@ -54,15 +54,25 @@ def trade(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 
 
 def sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """(vertices, edges): suppliers, each linked to one whose number is taken from a part that it sold at a high price."""
+    """(vertices, edges): suppliers, each linked to those whose numbers are taken from the parts that it sold."""
     supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
     top = supplier.agg(F.max("k").alias("top"))
-    items = read(spark, sf_dir, "lineitem").filter("l_extendedprice > 104700").select("l_suppkey", "l_partkey")
+    items = read(spark, sf_dir, "lineitem").select("l_suppkey", "l_partkey").distinct()
     to = (F.col("l_partkey") * 7919 % F.col("top") + 1).cast("string")
     edges = items.join(F.broadcast(top)).select(F.lit("suppliers").alias("repo_id"), F.lit(0).cast("long").alias("seq"), F.col("l_suppkey").cast("string").alias("src"), to.alias("dst")).filter("src <> dst").distinct()
     return supplier.select(F.lit("suppliers").alias("repo_id"), F.lit(0).cast("long").alias("seq"), F.col("k").cast("string").alias("file_path")), edges
 
 
+def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges): suppliers, each linked to the least one of its nation; the nations are the communities."""
+    supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    hub = supplier.groupBy("s_nationkey").agg(F.min("s_suppkey").alias("hub"))
+    key = [F.lit("suppliers").alias("repo_id"), F.lit(0).cast("long").alias("seq")]
+    name = lambda c: F.format_string("s%06d", c)
+    edges = supplier.join(F.broadcast(hub), "s_nationkey").filter("s_suppkey <> hub").select(*key, name(F.col("s_suppkey")).alias("src"), name(F.col("hub")).alias("dst"))
+    return supplier.select(*key, name(F.col("s_suppkey")).alias("file_path")), edges
+
+
 def transitions(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges): which event type follows which, for any user."""
     e = read(spark, sf_dir, "events")
