@@ -7,14 +7,31 @@ structural_hash, file_path, language, node_count (null: not known).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+# The categories, and the languages that each applies to.
+EVERY = ("python", "shell", "javascript", "typescript", "go", "java", "rust")
+REGISTRY: dict[str, tuple[str, ...]] = {
+    "error_handling": EVERY,
+    "data_access": EVERY,
+    "logging": EVERY,
+    "async_patterns": ("python", "shell", "javascript", "typescript", "go", "rust"),
+    "class_hierarchy": ("python", "javascript", "typescript", "java"),
+    "context_managers": ("python",),
+    "comprehensions": ("python",),
+}
+
 SNAPSHOT = ["repo_id", "seq"]
 SHAPE = [*SNAPSHOT, "category", "structural_hash"]
 
 
+def registry(spark: SparkSession) -> DataFrame:
+    """The categories as a table (category, languages)."""
+    return spark.createDataFrame([(c, list(of)) for c, of in REGISTRY.items()], "category string, languages array<string>")
+
+
 def large_enough(instances: DataFrame, min_nodes: int) -> DataFrame:
     """Instances whose node count is not known or at least ``min_nodes``."""
     return instances.filter(F.col("node_count").isNull() | (F.col("node_count") >= min_nodes))

@@ -43,6 +43,32 @@ def replay(observed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return history.select("repo_id", "file_path", F.aggregate("h", start, fold).alias("s")).select("repo_id", "file_path", "s.*")
 
 
+def stable_partition(observed: DataFrame, state: DataFrame | None = None, threshold: int = THRESHOLD) -> DataFrame:
+    """The state of each file after each run: ``observed`` (repo_id, seq, file_path, raw) with stable, candidate, consecutive.
+
+    ``state``: what the run before the first one left (repo_id, file_path, stable, candidate, consecutive). A repository's
+    runs are the seqs that occur; a file that is missing from one starts anew.
+    """
+    runs = observed.select("repo_id", "seq").distinct().withColumn("run", F.row_number().over(Window.partitionBy("repo_id").orderBy("seq")))
+    history = observed.join(runs, ["repo_id", "seq"]).groupBy("repo_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("run", "seq", F.col("raw").cast("long").alias("raw")))).alias("h"))
+    none = F.lit(None).cast("long")
+    if state is None:
+        started = history.select("*", none.alias("stable"), none.alias("candidate"), none.alias("consecutive"))
+    else:
+        started = history.join(state.select("repo_id", "file_path", *[F.col(c).cast("long") for c in ("stable", "candidate", "consecutive")]), ["repo_id", "file_path"], "left")
+    kind = "array<struct<seq:bigint,run:bigint,stable:bigint,candidate:bigint,consecutive:bigint>>"
+    first = F.struct(F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("run"), "stable", "candidate", "consecutive")
+
+    def fold(out: Column, x: Column) -> Column:
+        s = F.element_at(out, -1)
+        after = step(F.when(x.run == s.run + 1, s.stable), s.candidate, s.consecutive, x.raw, threshold)
+        new = F.struct(x.seq.cast("long").alias("seq"), x.run.cast("long").alias("run"), after.stable.alias("stable"), after.candidate.alias("candidate"), after.consecutive.alias("consecutive"))
+        return F.concat(out, F.array(new))
+
+    states = F.aggregate("h", F.array(first).cast(kind), fold)
+    return started.select("repo_id", "file_path", F.explode(F.slice(states, 2, F.size("h"))).alias("s")).select("repo_id", "s.seq", "file_path", "s.stable", "s.candidate", "s.consecutive")
+
+
 def advance(state: DataFrame, observed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The states after one more run: observations (repo_id, file_path, raw) left-joined to the states before."""
     joined = observed.join(state.select("repo_id", "file_path", "stable", "candidate", "consecutive"), ["repo_id", "file_path"], "left")

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+# The extensions that are tried, in order.
 SHELL_EXTENSIONS = (".sh", ".bash", ".zsh", ".ksh", ".dash", ".ash")
 SHELL_TRIED = (".sh", ".bash")
 JS_TRIED = (".ts", ".tsx", ".js", ".jsx", ".mjs", ".cjs", ".d.ts")
@@ -46,15 +47,22 @@ def shell_candidates(path: Column) -> Column:
     return F.when(known, F.array(one(path, 0))).otherwise(F.array(one(path, 0), *[one(F.concat(path, F.lit(e)), i + 1) for i, e in enumerate(SHELL_TRIED)]))
 
 
-def js_candidates(path: Column) -> Column:
-    """Exact, ``.js`` as TypeScript, extensions, index files; nothing for other extensions (assets)."""
+SOURCE = r"\.(ts|tsx|js|jsx|mjs|cjs)$"
+
+
+def is_asset(path: Column) -> Column:
+    """Whether a path has an extension that no source file has."""
     name = F.regexp_extract(path, r"[^/]*$", 0)
-    foreign = name.rlike(r".\.[^.]+$") & ~name.rlike(r"\.(ts|tsx|js|jsx|mjs|cjs)$")
+    return name.rlike(r".\.[^.]+$") & ~name.rlike(SOURCE)
+
+
+def js_candidates(path: Column) -> Column:
+    """Exact, ``.js`` as TypeScript, extensions, index files; nothing beyond the path itself for assets."""
     stem = F.regexp_replace(path, r"\.js$", "")
     rewritten = [F.when(path.endswith(".js"), F.concat(stem, F.lit(e))) for e in (".ts", ".tsx")]
     tried = [path, *rewritten, *[F.concat(path, F.lit(e)) for e in JS_TRIED], *[F.concat(path, F.lit(f"/index{e}")) for e in JS_INDEX]]
     every = F.array(*[F.struct(p.alias("key"), F.lit(i).alias("priority")) for i, p in enumerate(tried)])
-    return F.when(foreign, F.array(F.struct(path.alias("key"), F.lit(0).alias("priority")))).otherwise(F.filter(every, lambda c: c.key.isNotNull()))
+    return F.when(is_asset(path), F.array(F.struct(path.alias("key"), F.lit(0).alias("priority")))).otherwise(F.filter(every, lambda c: c.key.isNotNull()))
 
 
 def alias_target(path: Column, pattern: str, target: str) -> Column:
@@ -90,22 +98,42 @@ def best_match(imports: DataFrame, keys: DataFrame, candidates: Column, by: list
     return hit.groupBy("_id", *imports.columns).agg(F.min_by("_dst", order).alias("dst")).drop("_id")
 
 
-def import_candidates(language: Column, name: Column, source: Column) -> Column:
-    """The candidates of an import by the language of its file; JavaScript paths without aliases."""
+Aliases = list[tuple[str, list[str]]]
+
+
+def import_candidates(language: Column, name: Column, source: Column, aliased: Column | None = None) -> Column:
+    """The candidates of an import by the language of its file.
+
+    ``aliased``: the paths that path aliases give for a JavaScript or TypeScript import, in order; null where none fits.
+    Imports of other files than sources (by their extension) have no candidates.
+    """
     js = language.isin("javascript", "typescript")
     bare = F.regexp_replace(name, "^type:", "")
     folder = F.regexp_replace(F.regexp_replace(source, r"[^/]*$", ""), "/$", "")
     path = F.when(bare.startswith("/"), F.substr(bare, F.lit(2), F.length(bare))).when(bare.startswith("."), normal_path(F.concat(folder, F.lit("/"), bare)))
+    paths = F.when(path.isNotNull(), F.array(path))
+    if aliased is not None:
+        paths = F.coalesce(F.transform(aliased, lambda p: normal_path(F.regexp_replace(p, "^/+", ""))), paths)
+    paths = F.filter(paths, lambda p: ~is_asset(p))
+    tried = F.flatten(F.transform(paths, lambda p, i: F.transform(js_candidates(p), lambda x: F.struct(x.key.alias("key"), (i * 100 + x.priority).alias("priority")))))
     tag = lambda space, c: F.transform(c, lambda x: F.struct(F.concat(F.lit(space + ":"), x.key).alias("key"), x.priority.alias("priority")))
-    return F.when(language == "shell", tag("path", shell_candidates(name))).when(js, F.when(path.isNotNull(), tag("path", js_candidates(path)))).otherwise(tag("module", suffixes(name)))
+    return F.when(language == "shell", tag("path", shell_candidates(name))).when(js, F.when(F.size(paths) > 0, tag("js", tried))).otherwise(tag("module", suffixes(name)))
+
 
+def resolve(features: DataFrame, aliases: dict[str, Aliases] | None = None) -> DataFrame:
+    """(repo_id, seq, src, import, dst) of every import of ``features`` (repo_id, seq, file_path, language, imports).
 
-def resolve(features: DataFrame) -> DataFrame:
-    """(repo_id, seq, src, import, dst) of every import of ``features`` (repo_id, seq, file_path, language, imports)."""
+    ``aliases``: path aliases by repository, as configured there.
+    """
     by = ["repo_id", "seq"]
     paths = features.select(*by, "file_path", "language")
     as_path = paths.select(*by, "file_path", F.concat(F.lit("path:"), "file_path").alias("key"))
     as_module = paths.select(*by, "file_path", F.concat(F.lit("module:"), module_key(F.col("file_path"))).alias("key")).filter("key IS NOT NULL")
+    as_script = paths.filter(F.lower("file_path").rlike(SOURCE)).select(*by, "file_path", F.concat(F.lit("js:"), "file_path").alias("key"))
     imports = features.select(*by, F.col("file_path").alias("src"), "language", F.explode("imports").alias("import"))
-    found = best_match(imports, as_path.unionByName(as_module), import_candidates(F.col("language"), F.col("import"), F.col("src")), by)
+    aliased, bare = F.lit(None).cast("array<string>"), F.regexp_replace("import", "^type:", "")
+    for repo, own in (aliases or {}).items():
+        aliased = F.when(F.col("repo_id") == repo, first_alias(bare, own)).otherwise(aliased)
+    candidates = import_candidates(F.col("language"), F.col("import"), F.col("src"), aliased if aliases else None)
+    found = best_match(imports, as_path.unionByName(as_module).unionByName(as_script), candidates, by)
     return found.select(*by, "src", "import", "dst")

@@ -30,6 +30,9 @@ def parse_files(files: DataFrame) -> DataFrame:
         for batch in batches:
             rows = []
             for path, language, content in zip(batch.path, batch.language, batch.content, strict=True):
+                if content is None:
+                    rows.append(([], [], [], 0, "OSError: the file can't be read"))
+                    continue
                 try:
                     found, error = PARSERS[language](path, bytes(content).decode("utf-8", "replace")), None
                 except (SyntaxError, ValueError, RecursionError) as e:

@@ -94,6 +94,21 @@ class Specification:
     layers: list[str] = field(default_factory=list)
     direction: str = "downward"
     allowed: list[tuple[str, str]] = field(default_factory=list)
+    reasons: list[str] = field(default_factory=list)  # of the allowed pairs, in their order
+    splits: list[tuple[str, list[str], str]] = field(default_factory=list)  # module, intended modules, target date
+    version: str = ""
+    ratified: tuple[str, str] | None = None  # when, by whom
+
+    def text(self) -> str:
+        """As a human reads it."""
+        out = [f"version {self.version or '-'}" + (f", ratified {self.ratified[0]} by {self.ratified[1]}" if self.ratified else ""), f"modules: {len(self.modules)}"]
+        for name, paths, layer in self.modules:
+            out.append(f"  {name} [{layer or '-'}]: {', '.join(paths)}")
+        if self.layers:
+            out.append(f"layers ({self.direction}): {' > '.join(self.layers)}")
+        out += [f"allowed: {a} -> {b}" + (f" ({why})" if why else "") for (a, b), why in zip(self.allowed, self.reasons, strict=True)]
+        out += [f"planned: {module} -> {', '.join(parts)}" + (f" by {when}" if when else "") for module, parts, when in self.splits]
+        return "\n".join(out)
 
 
 def specification(path: str, root: str = "boundaries") -> Specification | None:
@@ -113,8 +128,11 @@ def specification(path: str, root: str = "boundaries") -> Specification | None:
         raise SettingsError(f"{path}: {root} with version and modules is asked for")
     modules = [(m["name"], list(m.get("paths", [])), m.get("layer")) for m in inner["modules"] or []]
     layers = inner.get("layers") or {}
-    allowed = [(a["from"], a["to"]) for a in inner.get("allowed_cross_domain") or []]
-    return Specification(modules, list(layers.get("ordering", [])), layers.get("direction", "downward"), allowed)
+    crossing = inner.get("allowed_cross_domain") or []
+    splits = [(s["current_module"], list(s.get("intended_boundary", [])), str(s.get("target_date") or "")) for s in inner.get("aspirational_splits") or []]
+    ratified = (str(inner["last_ratified"]), str(inner.get("ratified_by") or "")) if inner.get("last_ratified") else None
+    allowed, reasons = [(a["from"], a["to"]) for a in crossing], [str(a.get("reason") or "") for a in crossing]
+    return Specification(modules, list(layers.get("ordering", [])), layers.get("direction", "downward"), allowed, reasons, splits, str(inner["version"]), ratified)
 
 
 def aliases(root: str) -> list[tuple[str, list[str]]]:

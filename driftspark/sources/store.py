@@ -12,13 +12,18 @@ from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 NAME = re.compile(r"^snapshot_\d{8}T\d{6}Z_[0-9a-f]{6}\.json$")
 SCHEMA = """snapshot_version string, timestamp string, commit_sha string, config_hash string, file_count long, language_breakdown map<string,long>,
- divergence struct<pattern_entropy: double, convention_drift: double, coupling_topology: double, boundary_violations: double>,
- graph_metrics map<string,double>, pattern_catalog array<struct<category: string, structural_hash: string, instance_count: long, file_paths: array<string>>>,
- partition array<struct<file_path: string, cluster: long>>"""
+ divergence struct<pattern_entropy: double, convention_drift: double, coupling_topology: double, boundary_violations: double,
+  pattern_entropy_by_language: map<string,double>, convention_drift_by_language: map<string,double>>,
+ graph_metrics map<string,double>, hub_nodes array<string>,
+ pattern_catalog array<struct<category: string, structural_hash: string, instance_count: long, file_paths: array<string>, velocity: long, boundary_spread: long>>,
+ categories array<struct<category: string, entropy: long, instances: long, canonical: string>>, scope_excluded_file_count long,
+ partition array<struct<file_path: string, cluster: long>>, stability_score double, surface_area map<string,double>,
+ inter_cluster_edges array<struct<source_cluster: long, target_cluster: long, count: long>>,
+ intent struct<misplaced_files: array<string>, unauthorized: array<struct<from_module: string, to_module: string, count: long>>,
+  layer_violations: array<struct<from_module: string, to_module: string, from_layer: string, to_layer: string, count: long>>>"""
 
 
 def write_whole(path: Path, content: str) -> None:
@@ -56,4 +61,5 @@ def read(spark: SparkSession, folder: str | Path) -> DataFrame:
     if not found:
         return spark.createDataFrame([], f"name string, seq long, {SCHEMA}")
     rows = spark.read.schema(SCHEMA).option("multiLine", True).json([str(Path(folder, n)) for n in found]).withColumn("name", F.regexp_extract(F.input_file_name(), r"[^/]+$", 0))
-    return rows.withColumn("seq", F.row_number().over(Window.partitionBy(F.lit(1)).orderBy("name")).cast("long"))
+    numbered = spark.createDataFrame([(n, i + 1) for i, n in enumerate(found)], "name string, seq long")  # the listing, as on the driver
+    return rows.join(F.broadcast(numbered), "name").select("name", "seq", *[c for c in rows.columns if c != "name"])
