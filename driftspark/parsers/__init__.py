@@ -57,7 +57,10 @@ def parse_changed(files: DataFrame, cache: DataFrame) -> DataFrame:
     return hit.unionByName(parse_files(missed.drop("content_hash")))
 
 
-def instances(features: DataFrame) -> DataFrame:
-    """A row for each pattern instance, as the catalog takes them."""
+def instances(features: DataFrame, count_nodes: bool = False) -> DataFrame:
+    """A row for each pattern instance, as the catalog takes them.
+
+    Node counts (of syntax nodes, or tokens) are left out unless asked for: then small instances can be filtered.
+    """
     each = features.select("repo_id", "seq", "file_path", "language", F.explode("pattern_instances").alias("p"))
-    return each.select("repo_id", "seq", F.col("p.category").alias("category"), F.col("p.ast_hash").alias("structural_hash"), "file_path", "language", F.col("p.node_count").alias("node_count"))
+    return each.select("repo_id", "seq", F.col("p.category").alias("category"), F.col("p.ast_hash").alias("structural_hash"), "file_path", "language", (F.col("p.node_count") if count_nodes else F.lit(None).cast("int")).alias("node_count"))

@@ -7,9 +7,9 @@ import re
 from dataclasses import dataclass, field
 
 # Callee names that make a call logging or data access.
-LOGGING = frozenset("debug info warning error critical exception".split())
-DATA_ACCESS = frozenset("query execute filter filter_by get all first fetchall fetchone".split())
-JS_LOGGING = frozenset("debug info warn warning error critical exception log".split())
+LOGGING = frozenset({"debug", "info", "warning", "error", "critical", "exception"})
+DATA_ACCESS = frozenset({"query", "execute", "filter", "filter_by", "get", "all", "first", "fetchall", "fetchone"})
+JS_LOGGING = frozenset({"debug", "info", "warn", "warning", "error", "critical", "exception", "log"})
 
 
 @dataclass
@@ -19,8 +19,8 @@ class Features:
     patterns: list[dict] = field(default_factory=list)
     loc: int = 0
 
-    def add(self, category: str, shape: str, line: int, col: int) -> None:
-        self.patterns.append({"category": category, "ast_hash": short_hash(shape), "node_count": None, "location": {"line": line, "col": col}})
+    def add(self, category: str, shape: str, line: int, col: int, nodes: int | None = None) -> None:
+        self.patterns.append({"category": category, "ast_hash": short_hash(shape), "node_count": nodes, "location": {"line": line, "col": col}})
 
 
 def short_hash(shape: str, digits: int = 8) -> str:

@@ -36,7 +36,7 @@ class Source:
         return [i for i, d in enumerate(self.depth) if d == 0]
 
     def add(self, found: Features, category: str, a: int, b: int) -> None:
-        found.add(category, shape_of(self.words[a:b], KEYWORDS), *place(self.text, self.at[a]))
+        found.add(category, shape_of(self.words[a:b], KEYWORDS), *place(self.text, self.at[a]), b - a)
 
 
 def unquoted(token: str) -> str | None:

@@ -59,10 +59,10 @@ def parse(path: str, text: str) -> Features:
     found = Features(imports(tree, path), symbols(tree), [], count_lines(text, "#"))
     for node in ast.walk(tree):
         if isinstance(node, (ast.Try, ast.TryStar)):
-            found.add("error_handling", shape(node), node.lineno, node.col_offset)
+            found.add("error_handling", shape(node), node.lineno, node.col_offset, sum(1 for _ in ast.walk(node)))
         elif isinstance(node, ast.Call) and isinstance(node.func, (ast.Name, ast.Attribute)):
             last = (node.func.id if isinstance(node.func, ast.Name) else node.func.attr).lower()
             category = "logging" if last in LOGGING else "data_access" if last in DATA_ACCESS else None
             if category:
-                found.add(category, shape(node), node.lineno, node.col_offset)
+                found.add(category, shape(node), node.lineno, node.col_offset, sum(1 for _ in ast.walk(node)))
     return found

@@ -8,10 +8,13 @@ import re
 from .base import Features, count_lines
 
 # Commands and signals by what they are counted as.
-SIGNALS = frozenset("ERR EXIT INT TERM HUP QUIT".split())
-LOGGING = frozenset("echo printf logger tee".split())
-BAIL = frozenset("exit return false".split())
-DATA_ACCESS = frozenset("curl wget jq yq psql mysql mysqldump pg_dump redis-cli mongo mongosh sqlite3 aws gcloud kubectl az doctl terraform".split())
+SIGNALS = frozenset({"ERR", "EXIT", "INT", "TERM", "HUP", "QUIT"})
+LOGGING = frozenset({"echo", "printf", "logger", "tee"})
+BAIL = frozenset({"exit", "return", "false"})
+DATA_ACCESS = frozenset({
+    "curl", "wget", "jq", "yq", "psql", "mysql", "mysqldump", "pg_dump", "redis-cli", "mongo", "mongosh", "sqlite3",
+    "aws", "gcloud", "kubectl", "az", "doctl", "terraform",
+})
 STATIC = re.compile(r"[^$`()*?\[\]\s]+$")
 PART = re.compile(r"'[^']*'|\"(?:\\.|[^\"\\])*\"|\\.|#[^\n]*|\n|&&|\|\||;;|[;&|](?![>])|\d*>&\d|\d*[<>]{1,2}&?|\$\([^)]*\)|[^\s;&|<>'\"\\]+|\s", re.DOTALL)
 CONTROL = frozenset("if then elif else fi for while until do done case esac in { } ! ( ) function [[ [ test".split())
@@ -79,7 +82,7 @@ def parse(path: str, text: str) -> Features:
             continue
         name, args = heads[0], heads[1:]
         shape = f"cmd:{name}:" + " ".join(map(_kind, args))
-        add = lambda category, extra="", shape=shape, line=line: found.add(category, shape + extra, line, 0)
+        add = lambda category, extra="", shape=shape, line=line, n=len(heads): found.add(category, shape + extra, line, 0, n)
         if name in ("source", ".") and len(args) == 1 and args[0][0] not in "'\"" and (to := imported(args[0], path)):
             found.imports.append(to)
         after = plain[k + 1][0][0] if k + 1 < len(plain) else ""

@@ -2,16 +2,25 @@
 
 from __future__ import annotations
 
+import os
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .. import parsers
-from ..functions import files, globs
+from ..functions import files, globs, shapes
 from ..operators import catalog, debounce, divergence, graph, intent, leiden, resolve
-from ..sources import tables
+from ..shared import shared_folder
+from ..sources import settings, store, tables
+from ..sources.trees import EXCLUDED
+from ..streaming import debounce as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -604,20 +613,206 @@ def leiden_quality(spark, sf_dir):
     return found.groupBy("repo_id", "seq").agg(F.count(F.lit(1)).alias("files")).join(quality, ["repo_id", "seq"]).select("repo_id", "seq", "files", (F.col("modularity") >= -1e-9).alias("no_worse_than_one_cluster"))
 
 
+@query("SELECT printf('s%06d', s_suppkey) AS file_path, CAST(s_nationkey + 100 AS BIGINT) AS cluster FROM supplier")
+def leiden_labels(spark, sf_dir):
+    """Communities take over the labels that they had in the run before."""
+    vertices, edges = tables.planted(spark, sf_dir)
+    nation = tables.read(spark, sf_dir, "supplier").select(F.format_string("s%06d", "s_suppkey").alias("file_path"), (F.col("s_nationkey") + 100).cast("long").alias("before"))
+    return leiden.communities(vertices.join(nation, "file_path"), edges).select("file_path", "cluster")
+
+
 SOURCES = {
     "python": "import os\nfrom a.b import c\n\n\ndef f{n}(x):\n    try:\n        log.info(x)\n    except E:\n        db.query({n})\n",
     "shell": "#!/bin/sh\nset -eu\n. ./lib.sh\nf{n}() {{\n  curl x | jq . | tee y\n}}\nf{n} || exit {n}\n",
     "typescript": "import {{a}} from './m{n}';\nexport function f{n}() {{ try {{ console.log({n}); }} catch (e) {{ }} }}\n",
     "go": "package p\nimport \"fmt\"\nfunc F{n}() error {{\n if err != nil {{ return err }}\n return nil\n}}\n",
+    "javascript": "const a = require('./m{n}');\n// no line\nclass K{n} {{}}\nconsole.error({n});\n",
+    "java": "import a.b.C{n};\n/* no\n line */\npublic class K{n} {{\n void f() {{ try {{ g(); }} catch (E e) {{ }} }}\n}}\n",
+    "rust": "use std::io;\nmod m{n};\npub fn f{n}(x: R) -> u8 {{\n match x {{ Ok(v) => v, Err(e) => e }}\n}}\n",
 }
 
 
-@query()
-def parse_features(spark, sf_dir):
-    """Sources written from a template for each page, parsed."""
+def _sources(spark, sf_dir) -> DataFrame:
+    """A source file for each page, written from a template of one of the languages."""
     names = sorted(SOURCES)
     pick = lambda of: F.element_at(F.array(*[F.lit(of(n)) for n in names]), (F.col("page_id") % len(names) + 1).cast("int"))
     text = F.replace(F.replace(F.replace(pick(SOURCES.get), F.lit("{n}"), F.col("page_id").cast("string")), F.lit("{{"), F.lit("{")), F.lit("}}"), F.lit("}"))
-    p = tables.read(spark, sf_dir, "pages").select(F.lit("r").alias("repo_id"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("src/p"), F.col("page_id").cast("string")).alias("path"), pick(lambda n: n).alias("language"), text.cast("binary").alias("content"))
-    found = parsers.parse_files(p)
-    return found.select("file_path", "language", F.array_join("imports", ",").alias("imports"), F.array_join("symbols", ",").alias("symbols"), F.size("pattern_instances").alias("patterns"), "lines_of_code", "parse_error")
+    return tables.read(spark, sf_dir, "pages").select(F.lit("r").alias("repo_id"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("src/p"), F.col("page_id").cast("string")).alias("path"), pick(lambda n: n).alias("language"), text.cast("binary").alias("content"))
+
+
+@query("""SELECT 'src/p' || page_id AS file_path, ['go', 'java', 'javascript', 'python', 'rust', 'shell', 'typescript'][page_id % 7 + 1] AS language,
+  CASE page_id % 7 WHEN 0 THEN 'fmt' WHEN 1 THEN 'a.b.C' || page_id WHEN 2 THEN './m' || page_id WHEN 3 THEN 'os,a.b' WHEN 4 THEN 'std::io,./m' || page_id WHEN 5 THEN 'src/lib.sh' ELSE './m' || page_id END AS imports,
+  CASE page_id % 7 WHEN 0 THEN 'F' || page_id WHEN 1 THEN 'K' || page_id WHEN 2 THEN 'a,K' || page_id ELSE 'f' || page_id END AS symbols,
+  CASE page_id % 7 WHEN 0 THEN 'error_handling' WHEN 1 THEN 'error_handling' WHEN 2 THEN 'logging' WHEN 3 THEN 'data_access,error_handling,logging' WHEN 4 THEN 'error_handling'
+    WHEN 5 THEN 'async_patterns,data_access,data_access,' || CASE WHEN page_id > 0 THEN 'error_handling,' ELSE '' END || 'error_handling,error_handling,logging' ELSE 'error_handling,logging' END AS patterns,
+  CAST(CASE page_id % 7 WHEN 0 THEN 6 WHEN 1 THEN 4 WHEN 2 THEN 3 WHEN 3 THEN 7 WHEN 4 THEN 5 WHEN 5 THEN 6 ELSE 2 END AS INTEGER) AS lines_of_code, CAST(NULL AS VARCHAR) AS parse_error FROM pages""")
+def parse_features(spark, sf_dir):
+    """Imports, symbols, categories of patterns, and lines of code in seven languages."""
+    found = parsers.parse_files(_sources(spark, sf_dir))
+    return found.select("file_path", "language", F.array_join("imports", ",").alias("imports"), F.array_join("symbols", ",").alias("symbols"), F.array_join(F.array_sort("pattern_instances.category"), ",").alias("patterns"), "lines_of_code", "parse_error")
+
+
+@query("""SELECT 'src/p' || page_id AS file_path, page_id % 3 = 0 AS from_cache FROM pages""")
+def parse_cache(spark, sf_dir):
+    """Of files whose path and content a run has seen before, the features are taken from it; others are parsed."""
+    found = _sources(spark, sf_dir)
+    n = F.regexp_extract("path", "[0-9]+$", 0).cast("long")
+    seen = found.filter(n % 3 != 2).withColumn("content", F.when(n % 3 == 1, F.lit(b"old")).otherwise(F.col("content")))
+    cache = parsers.parse_files(seen).withColumn("symbols", F.array(F.lit("cached")))
+    return parsers.parse_changed(found.withColumn("seq", F.lit(1).cast("long")), cache).select("file_path", F.array_contains("symbols", "cached").alias("from_cache"))
+
+
+# ---- trees, imports of several languages, shapes --------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CASE doc_id % 8 WHEN 0 THEN true WHEN 1 THEN true WHEN 2 THEN true WHEN 6 THEN true ELSE false END AS is_script FROM documents""")
+def shebang(spark, sf_dir):
+    """Whether a text's first line names a shell."""
+    heads = ["#!/bin/bash", "#!/usr/bin/env zsh", "#! /bin/sh -e", "#!/usr/bin/env python", "#!/usr/bin/bashbrew", "", "#!dash", " #!/bin/sh"]
+    head = F.element_at(F.array(*map(F.lit, heads)), (F.col("doc_id") % 8 + 1).cast("int"))
+    d = tables.read(spark, sf_dir, "documents").select("doc_id", F.concat(head, F.lit("\n"), F.coalesce("text", F.lit(""))).cast("binary").alias("content"))
+    return d.select("doc_id", files.is_shell_script(F.col("content")).alias("is_script"))
+
+
+@query("""
+WITH p AS (SELECT page_id, ['src/a/m', 'vendor/m', 'x/node_modules/y/m', 'docs/m', 'src/build/m', 'keep/gen/m', 'gen/m', 'gen/keep'][page_id % 8 + 1] || page_id || ['.py', '.ts', '.md', '', '.go'][page_id % 5 + 1] AS path FROM pages)
+SELECT path, CASE page_id % 5 WHEN 0 THEN 'python' WHEN 1 THEN 'typescript' WHEN 4 THEN 'go' END AS language FROM p
+WHERE page_id % 5 IN (0, 1, 4) AND page_id % 8 IN (0, 3, 5, 7)
+""")
+def tree_scan(spark, sf_dir):
+    """Paths in a known language that neither the default exclusions nor an ignore file (with a negation) leave out."""
+    pick = lambda *x: F.element_at(F.array(*map(F.lit, x)), (F.col("page_id") % len(x) + 1).cast("int"))
+    path = F.concat(pick("src/a/m", "vendor/m", "x/node_modules/y/m", "docs/m", "src/build/m", "keep/gen/m", "gen/m", "gen/keep"), F.col("page_id").cast("string"), pick(".py", ".ts", ".md", "", ".go"))
+    listed = tables.read(spark, sf_dir, "pages").select(path.alias("path"))
+    rules = ["# made by a tool", "/gen/*", "!/gen/keep*"]
+    kept = listed.filter(~globs.ignored(F.col("path"), rules) & ~globs.ignored(F.col("path"), EXCLUDED))
+    return kept.select("path", files.language(F.col("path")).alias("language")).filter("language IS NOT NULL")
+
+
+@query("""
+WITH p AS (SELECT page_id AS k, page_id + 3 AS t, (page_id + 3) IN (SELECT page_id FROM pages) AS there FROM pages)
+SELECT 'pkg/m' || k || '.py' AS src, 'pkg.m' || t AS import, CASE WHEN there THEN 'pkg/m' || t || '.py' END AS dst FROM p WHERE k % 3 = 0
+UNION ALL SELECT 'pkg/m' || k || '.py', 'os', NULL FROM p WHERE k % 3 = 0
+UNION ALL SELECT 's/m' || k || '.sh', 's/m' || t, CASE WHEN there THEN 's/m' || t || '.sh' END FROM p WHERE k % 3 = 1
+UNION ALL SELECT 'w/m' || k || '.ts', '@w/m' || t, CASE WHEN there THEN 'w/m' || t || '.ts' END FROM p WHERE k % 3 = 2
+UNION ALL SELECT 'w/m' || k || '.ts', 'type:./m' || t || '.js', CASE WHEN there THEN 'w/m' || t || '.ts' END FROM p WHERE k % 3 = 2
+UNION ALL SELECT 'w/m' || k || '.ts', 'react', NULL FROM p WHERE k % 3 = 2
+UNION ALL SELECT 'w/m' || k || '.ts', './m' || t || '.css', NULL FROM p WHERE k % 3 = 2
+""")
+def import_dispatch(spark, sf_dir):
+    """Imports of files in three languages, each resolved by its own rules; one path alias."""
+    k = F.col("page_id").cast("string")
+    t = (F.col("page_id") + 3).cast("string")
+    by = lambda *x: F.element_at(F.array(*x), (F.col("page_id") % 3 + 1).cast("int"))
+    imports = by(F.array(F.concat(F.lit("pkg.m"), t), F.lit("os")), F.array(F.concat(F.lit("s/m"), t)), F.array(F.concat(F.lit("@w/m"), t), F.concat(F.lit("type:./m"), t, F.lit(".js")), F.lit("react"), F.concat(F.lit("./m"), t, F.lit(".css"))))
+    path = by(F.concat(F.lit("pkg/m"), k, F.lit(".py")), F.concat(F.lit("s/m"), k, F.lit(".sh")), F.concat(F.lit("w/m"), k, F.lit(".ts")))
+    features = tables.read(spark, sf_dir, "pages").select(F.lit("r").alias("repo_id"), F.lit(0).cast("long").alias("seq"), path.alias("file_path"), by(F.lit("python"), F.lit("shell"), F.lit("typescript")).alias("language"), imports.alias("imports"))
+    return resolve.resolve(features, {"r": [("@w/*", ["none/*", "w/*"])]}).select("src", "import", "dst")
+
+
+@query("""
+SELECT event_id, event_type || '(_ID_,arguments(_STR_,pair(_ID_,_INT_)))' AS form, substr(sha256(event_type || '(_ID_,arguments(_STR_,pair(_ID_,_INT_)))'), 1, 16) AS shape, 7 AS nodes FROM events WHERE event_id % 2 = 0
+UNION ALL SELECT event_id, event_type || '(block(return),_NONE_)', NULL, 4 FROM events WHERE event_id % 2 = 1
+""")
+def structural_hash(spark, sf_dir):
+    """The normal form of small syntax trees, their hash and their nodes; trees below five nodes have no hash."""
+    tree = lambda *x: F.array(*[F.struct(F.lit(d).alias("depth"), (F.lit(t) if t else F.col("event_type")).alias("type")) for d, t in x])
+    large = tree((0, None), (1, "identifier"), (1, "arguments"), (2, "string"), (2, "pair"), (3, "name"), (3, "integer"))
+    small = tree((0, None), (1, "block"), (2, "return"), (1, "null"))
+    e = tables.read(spark, sf_dir, "events").select("event_id", F.when(F.col("event_id") % 2 == 0, large).otherwise(small).alias("nodes"))
+    return e.select("event_id", shapes.normal_form_of(F.col("nodes")).alias("form"), shapes.structural_hash_of(F.col("nodes"), 5).alias("shape"), F.size("nodes").alias("nodes"))
+
+
+# ---- states, streams, snapshots and settings ------------------------------------------------------------------------
+
+
+@query(f"""WITH RECURSIVE {OBSERVED}, runs AS (SELECT seq, row_number() OVER (ORDER BY seq) AS run FROM (SELECT DISTINCT seq FROM obs)),
+o AS (SELECT file_path, seq, raw, run, row_number() OVER (PARTITION BY file_path ORDER BY seq) AS i FROM obs JOIN runs USING (seq)),
+s(file_path, i, seq, run, stable, candidate, consecutive) AS (
+  SELECT file_path, i, seq, run, raw, raw, CAST(0 AS BIGINT) FROM o WHERE i = 1
+  UNION ALL SELECT o.file_path, o.i, o.seq, o.run,
+    CASE WHEN o.run <> s.run + 1 OR o.raw = s.stable THEN CASE WHEN o.run <> s.run + 1 THEN o.raw ELSE s.stable END WHEN CASE WHEN s.candidate = o.raw THEN s.consecutive + 1 ELSE 1 END >= 3 THEN o.raw ELSE s.stable END,
+    CASE WHEN o.run <> s.run + 1 THEN o.raw WHEN o.raw = s.stable THEN s.stable ELSE o.raw END,
+    CASE WHEN o.run <> s.run + 1 OR o.raw = s.stable THEN 0 WHEN CASE WHEN s.candidate = o.raw THEN s.consecutive + 1 ELSE 1 END >= 3 THEN 0 ELSE CASE WHEN s.candidate = o.raw THEN s.consecutive + 1 ELSE 1 END END
+  FROM s JOIN o ON o.file_path = s.file_path AND o.i = s.i + 1)
+SELECT 'events' AS repo_id, seq, file_path, stable, candidate, consecutive FROM s""")
+def stable_partition(spark, sf_dir):
+    """The debounced cluster of each file after each run."""
+    return debounce.stable_partition(_observed(spark, sf_dir))
+
+
+@query(ORACLES["debounce_replay"])
+def streaming_debounce(spark, sf_dir):
+    """The same states by a stream of observations: keyed state, until all that is there is read."""
+    folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
+    observed = _observed(spark, sf_dir)
+    observed.write.parquet(f"{folder}/in")
+    stream = streaming.debounced(spark.readStream.schema(observed.schema).parquet(f"{folder}/in"))
+    keep = lambda batch, number: batch.write.mode("append").parquet(f"{folder}/out")
+    stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    return found.groupBy("repo_id", "file_path").agg(F.max_by(F.struct("stable", "candidate", "consecutive", "seq"), "seq").alias("s")).select("repo_id", "file_path", "s.*")
+
+
+@query(f"""WITH {INST}, {BY_LANGUAGE} SELECT repo_id, seq, language, pattern_entropy, CAST(row_number() OVER (PARTITION BY repo_id, seq ORDER BY pattern_entropy DESC, language) AS INTEGER) AS place FROM by_language""")
+def languages_by_entropy(spark, sf_dir):
+    found = entropy_by_language(spark, sf_dir)
+    return found.withColumn("place", F.row_number().over(Window.partitionBy("repo_id", "seq").orderBy(F.desc("pattern_entropy"), "language")))
+
+
+@query(f"""WITH {INST}, m AS (SELECT seq, pattern_entropy, convention_drift, row_number() OVER (ORDER BY seq) AS r, count(*) OVER () AS n FROM measures)
+SELECT CAST(r - greatest(n - 8, 0) AS BIGINT) AS seq, CAST(seq AS VARCHAR) AS commit_sha, pattern_entropy, convention_drift FROM m WHERE r > n - 8""")
+def snapshot_store(spark, sf_dir):
+    """Each week's measures written as a snapshot file, the oldest beyond eight removed, and all read as one table."""
+    folder = Path(tempfile.mkdtemp())  # a repository's own folder, on the driver
+    for r in _measures(spark, sf_dir).orderBy("seq").collect():  # a row for each week
+        stamp = datetime.fromtimestamp(r.seq * 7 * 86400, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
+        store.write(folder, {"timestamp": stamp, "commit_sha": str(r.seq), "divergence": {d: r[d] for d in TWO}}, 8)
+    return store.read(spark, folder).select("seq", "commit_sha", "divergence.pattern_entropy", "divergence.convention_drift")
+
+
+def _values(spark, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame([(k, str(v)) for k, v in rows], "name string, value string")
+
+
+@query("""SELECT * FROM (VALUES ('core.random_seed', '7'), ('core.log_level', 'INFO'), ('snapshots.retention', '5'), ('patterns.min_pattern_nodes', '5'), ('pattern_entropy', '9.0'), ('convention_drift', '0.1'), ('coupling_topology', '0.15'), ('boundary_violations', '5.0'), ('without expiry', 'refused')) AS t(name, value)""")
+def settings_layers(spark, sf_dir):
+    """Settings of a global file, a project's over them, the environment's over both; thresholds with overrides that hold."""
+    folder = Path(tempfile.mkdtemp())
+    (folder / "config/drift").mkdir(parents=True)
+    (folder / settings.FOLDER).mkdir()
+    (folder / "config/drift/config.toml").write_text("[core]\nrandom_seed = 3\nlog_level = 'ERROR'\n[snapshots]\nretention = 5\n")
+    own = folder / settings.FOLDER / "config.toml"
+    own.write_text("[core]\nrandom_seed = 7\n[thresholds.overrides.a]\nexpires = '2999-01-01'\npattern_entropy_rate = 9.0\n[thresholds.overrides.b]\nexpires = '2001-01-01'\nconvention_drift_rate = 9.0\n")
+    before = {k: os.environ.get(k) for k in ("XDG_CONFIG_HOME", "DRIFT_LOG_LEVEL")}
+    os.environ |= {"XDG_CONFIG_HOME": str(folder / "config"), "DRIFT_LOG_LEVEL": "INFO"}
+    try:
+        found = settings.load(str(folder))
+        own.write_text("[thresholds.overrides.a]\nreason = 'none'\n")
+        try:
+            settings.load(str(folder))
+            refused = "taken"
+        except settings.SettingsError:
+            refused = "refused"
+    finally:
+        for k, v in before.items():
+            os.environ.pop(k)
+            os.environ |= {k: v} if v is not None else {}
+    rows = [(f"{a}.{b}", found[a][b]) for a, b in (("core", "random_seed"), ("core", "log_level"), ("snapshots", "retention"), ("patterns", "min_pattern_nodes"))]
+    return _values(spark, rows + list(settings.thresholds(found).items()) + [("without expiry", refused)])
+
+
+@query("""SELECT * FROM (VALUES ('web', 'web/|top'), ('core', 'core/,lib/|None'), ('layers', 'top>low|downward'), ('allowed', 'web>core'), ('planned', 'core>a,b'), ('malformed', 'line 2'), ('absent', 'None'), ('@/*', 'src/*'), ('lib', 'src/lib/index.ts')) AS t(name, value)""")
+def boundary_spec(spark, sf_dir):
+    """A specification of modules and the path aliases of a project, as they are read."""
+    folder = Path(tempfile.mkdtemp())
+    (folder / "b.yaml").write_text("boundaries:\n  version: 1\n  modules:\n    - {name: web, paths: [web/], layer: top}\n    - {name: core, paths: [core/, lib/]}\n  layers: {direction: downward, ordering: [top, low]}\n  allowed_cross_domain: [{from: web, to: core}]\n  aspirational_splits: [{current_module: core, intended_boundary: [a, b]}]\n")
+    (folder / "bad.yaml").write_text("boundaries:\n  - : [\n")
+    (folder / "jsconfig.json").write_text('{ // comment\n "compilerOptions": {"baseUrl": "./src", "paths": {"@/*": ["./*"], "lib": ["lib/index.ts"],},},\n}')
+    spec = settings.specification(str(folder / "b.yaml"))
+    try:
+        bad = settings.specification(str(folder / "bad.yaml"))
+    except settings.SettingsError as e:
+        bad = re.search(r"line \d+", str(e))[0]
+    rows = [(n, f"{','.join(p)}|{layer}") for n, p, layer in spec.modules] + [("layers", f"{'>'.join(spec.layers)}|{spec.direction}"), ("allowed", ">".join(spec.allowed[0])), ("planned", f"{spec.splits[0][0]}>{','.join(spec.splits[0][1])}")]
+    return _values(spark, rows + [("malformed", bad), ("absent", settings.specification(str(folder / "none.yaml")))] + [(k, ",".join(v)) for k, v in settings.aliases(str(folder))])

@@ -81,7 +81,7 @@ def run(files: DataFrame, settings: dict, spec: Specification | None = None, sta
     exclude, categories = settings["patterns"]["scope_exclude"], catalog.registry(session)
     in_scope = ~ignored(F.col("file_path"), exclude) if exclude else F.lit(True)
     excluded = features.groupBy(*KEY).agg(F.count_if(~in_scope).alias("scope_excluded_file_count"))
-    instances = catalog.applicable(catalog.large_enough(parsers.instances(features.filter(in_scope)), settings["patterns"]["min_pattern_nodes"]), categories)
+    instances = catalog.applicable(catalog.large_enough(parsers.instances(features.filter(in_scope), settings["patterns"]["count_nodes"]), settings["patterns"]["min_pattern_nodes"]), categories)
     instances = checkpointed(instances)
     counts = catalog.shape_counts(instances)
     past = counts

@@ -29,7 +29,7 @@ DEFAULTS: dict[str, dict] = {
     "core": {"languages": "auto", "exclude": EXCLUDED, "random_seed": 42, "log_level": "WARNING", "workers": 0},
     "snapshots": {"dir": f"{FOLDER}/snapshots", "retention": 100},
     "boundaries": {"spec_file": f"{FOLDER}/boundaries.yaml", "leiden_gamma": 1.0, "stability_threshold": 3, "weighted_edges": False},
-    "patterns": {"categories": "auto", "min_pattern_nodes": 5, "scope_exclude": []},
+    "patterns": {"categories": "auto", "min_pattern_nodes": 5, "count_nodes": False, "scope_exclude": []},
     "thresholds": {"pattern_entropy_rate": 2.0, "convention_drift_rate": 0.10, "coupling_delta_rate": 0.15, "boundary_violation_rate": 5.0, "overrides": {}},
     "change_coupling": {"min_frequency": 0.6, "history_depth": 500},
     "output": {"format": "text", "color": "auto"},
@@ -76,7 +76,7 @@ def fingerprint(settings: dict) -> str:
     used = {
         "core": {"languages": core["languages"], "exclude": sorted(core["exclude"]), "random_seed": core["random_seed"]},
         "boundaries": {k: bounds[k] for k in ("leiden_gamma", "stability_threshold", "weighted_edges")},
-        "patterns": {"categories": patterns["categories"], "min_pattern_nodes": patterns["min_pattern_nodes"], "scope_exclude": sorted(patterns["scope_exclude"])},
+        "patterns": {"categories": patterns["categories"], "min_pattern_nodes": patterns["min_pattern_nodes"] if not patterns["count_nodes"] else [patterns["min_pattern_nodes"]], "scope_exclude": sorted(patterns["scope_exclude"])},
     }
     return hashlib.sha256(json.dumps(used, sort_keys=True).encode()).hexdigest()[:16]
 
