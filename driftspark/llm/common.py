@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -12,35 +11,17 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from ..shared import checkpointed, shared_folder
 from ..shipping import ship
 
+__all__ = ["by_bytes", "checkpointed", "held_out", "map_batches", "remove_saved", "saved", "shared_folder", "ship", "table", "text_sizes", "utf8"]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of ``sf_dir``, by any path that Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder, which all executors share.
-
-    Where ``spark.checkpoint.dir`` names none, one under ``/tmp`` is set if driver and executors are one process (tests);
-    on a cluster that is an error.
-    """
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        given = context.getConf().get("spark.checkpoint.dir")
-        if not given and not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(given or f"/tmp/checkpoints/{uuid.uuid4().hex}")
-    return context._jsc.sc().getCheckpointDir().get()
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` with its lineage cut, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as a compressed table in the shared folder, and read again: a checkpoint for large results.
 

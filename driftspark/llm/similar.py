@@ -8,10 +8,13 @@ candidates are verified by their whole shingle sets (as 32-bit hashes).
 
 Texts of the same words are one node. Nodes that share a band are compared with the least node of the band, and with
 each other where the band holds at most ``SMALL`` nodes. Larger bands that are in one component by then are settled. Of
-the others, nodes not yet connected are all compared: from each node on, those that it reaches are found by inverted
-lists of shingles, and only what is still unreached is compared further (``spanning``), block by block of at most
-``BLOCK_SHINGLES`` shingles, each pair of blocks in a task. Only edges that connect come out. Where many nodes share a
-band and few are similar, this takes time with the square of the band, but finds every link.
+the others, nodes not yet connected are all compared, so every link is found: from each node on, those that it reaches
+are found by inverted lists of shingles, and only what is still unreached is compared further (``spanning``). A band of
+at most ``BLOCK_SHINGLES`` shingles is one task. The nodes of larger ones (many texts around one template) are first
+parted by their rarest shingles: with all shingles in one order, those that are frequent among these nodes last, two
+similar nodes have one in common among the first n - 0.8 n + 1 of each (prefix filter). So nodes meet where they share a
+rare shingle; what they share with everybody brings nobody together. Where such a list is larger than a block still, it
+is compared block by block, each pair of blocks in a task. Only edges that connect come out.
 
 Null and empty texts are copies of each other. In ``groups``, rows that share an id are one document, and rows without an
 id are in no group; ``kept_rows`` decides row by row. Empty tables give no groups.
@@ -25,7 +28,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import simhash
 from .common import checkpointed, map_batches, ship
@@ -35,6 +37,8 @@ BINS, BANDS = 64, 16
 SMALL = 8
 #: Shingles of a block of nodes, in bands that have to be compared pair by pair; a larger node stands alone.
 BLOCK_SHINGLES = 1_500_000
+#: Shingles whose frequency among the nodes of large bands is broadcast, at most.
+FREQUENT = 1_000_000
 SEED = 42
 
 
@@ -154,21 +158,65 @@ def spanning(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> l
     return edges
 
 
+def by_rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """(value, node, component, size): the nodes that share a shingle (``value``) of their prefixes, lists of one component left out.
+
+    ``nodes``: node and component, distinct. Lists of the same nodes come once.
+    """
+    own = sets.withColumnRenamed("key", "node").join(nodes, "node")
+    own = checkpointed(own)
+    counts = own.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
+    total = own.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
+    often = counts.filter(F.col("n") >= max(2, -(-total // FREQUENT))).collect()  # FREQUENT rows at most
+    often.sort(key=lambda r: r.shingle)
+    frequent = nodes.sparkSession.sparkContext.broadcast((np.array([r.shingle for r in often], np.int32), np.array([r.n for r in often], np.int64)))
+    kind = own.schema["node"].dataType.simpleString()
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, n = frequent.value
+        for batch in batches:
+            nodes, components, lists = batch.column(0), batch.column(1), batch.column(2)
+            at, values, sizes = [], [], []
+            for i in range(len(lists)):
+                own = lists[i].values.to_numpy(zero_copy_only=False)
+                place = np.minimum(np.searchsorted(known, own), max(0, len(known) - 1))
+                rank = np.where(known[place] == own, n[place], 0) if len(known) else np.zeros(len(own), np.int64)
+                first = own[np.lexsort((own, rank))][: len(own) - int(np.ceil(similarity * len(own) - 1e-9)) + 1]
+                at += [i] * len(first)
+                values.append(first)
+                sizes += [len(own)] * len(first)
+            took = pa.array(at, pa.int64())
+            yield pa.RecordBatch.from_pydict({"value": pa.array(np.concatenate(values) if values else [], pa.int64()), "node": nodes.take(took), "component": components.take(took), "size": pa.array(sizes, pa.int32())})
+
+    entries = checkpointed(map_batches(own.select("node", "component", "shingles"), prefixes, f"value long, node {kind}, component {kind}, size int"))
+    lists = entries.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
+    once = lists.filter("a <> b").groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value", "n")
+    return entries.join(once, "value")
+
+
 def connecting(hot: DataFrame, sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame | None:
     """Edges (u, v) that connect the similar nodes of each band of ``hot`` which ``known`` (node, component) leaves apart."""
     named = checkpointed(hot.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
     apart = named.groupBy("band", "value").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "value")
-    rows = named.join(apart, ["band", "value"]).join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("size")), "node")
-    before = F.sum(F.col("size").cast("long")).over(Window.partitionBy("band", "value").orderBy("node").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("block", F.floor(before / BLOCK_SHINGLES).cast("long"))
-    rows = checkpointed(rows)
+    rows = checkpointed(named.join(apart, ["band", "value"]).join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("size")), "node"))
     if rows.isEmpty():
         return None
-    # blocks may be missing from the numbers, where one node is larger: then some of the pairs hold one block
+    room = rows.groupBy("band", "value").agg(F.sum(F.col("size").cast("long")).alias("total"))
+    wide = checkpointed(room.filter(F.col("total") > BLOCK_SHINGLES).select("band", "value"))
+    pairs, kind = None, hot.schema["node"].dataType.simpleString()
+    if not wide.isEmpty():
+        lists = checkpointed(by_rare_shingles(rows.join(wide, ["band", "value"]).select("node", "component").distinct(), sets, similarity))
+        few = lists.filter(F.col("n") <= SMALL).select("value", "node", "component")
+        other = few.select("value", F.col("node").alias("other"), F.col("component").alias("c"))
+        pairs = few.join(other, "value").filter("node < other AND component <> c").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()
+        many = lists.filter(F.col("n") > SMALL).select(F.lit(-1).alias("band"), "value", "node", "component", "size")
+        rows = checkpointed(rows.join(wide, ["band", "value"], "left_anti").select(many.columns).unionByName(many))
+        room = rows.groupBy("band", "value").agg(F.sum(F.col("size").cast("long")).alias("total"))
+    rows = rows.join(room, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK_SHINGLES)))
+    rows = checkpointed(rows.select("band", "value", "block", "node", "component"))
     others = rows.select("band", "value", F.col("block").alias("other")).distinct()
     tasks = rows.join(others, ["band", "value"]).select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component")
     tasks = tasks.join(sets.withColumnRenamed("key", "node"), "node")
-    kind = hot.schema["node"].dataType.simpleString()
 
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks()
@@ -178,7 +226,15 @@ def connecting(hot: DataFrame, sets: DataFrame, known: DataFrame, similarity: fl
         return pa.table({"u": nodes.take(pa.array(edges[:, 0])), "v": nodes.take(pa.array(edges[:, 1]))})
 
     ship(hot.sparkSession)
-    return tasks.groupBy("band", "value", "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
+    found = tasks.groupBy("band", "value", "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
+    return found if pairs is None else found.unionByName(verified(pairs, sets, similarity))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (u, v) whose sets are similar."""
+    a, b = (sets.select(F.col("key").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
+    common = F.size(F.array_intersect("a", "b"))
+    return pairs.join(a, "u").join(b, "v").filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
 def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -190,9 +246,7 @@ def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: s
     asked = pairs.select(F.col("u").alias(key)).unionByName(pairs.select(F.col("v").alias(key))).distinct()
     sets = shingle_sets(docs.join(asked, key, "left_semi"), shingle=shingle, key=key, text=text).dropDuplicates(["key"])
     sets = checkpointed(sets)
-    a, b = (sets.select(F.col("key").alias(n), F.col("shingles").alias(s)) for n, s in (("u", "a"), ("v", "b")))
-    common = F.size(F.array_intersect("a", "b"))
-    near = pairs.join(a, "u").join(b, "v").filter(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+    near = verified(pairs, sets, similarity)
     copies = found.join(nodes.select("digest", "node"), "digest").filter("key <> node").select(F.col("node").alias("u"), F.col("key").alias("v"))
     known = components(near.unionByName(copies))
     more = connecting(hot, sets, known, similarity)

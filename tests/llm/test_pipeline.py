@@ -66,8 +66,10 @@ def test_rows_without_own_ids(spark):
     assert similar.kept_rows(own).count() == 3
 
 
-def test_true_pairs_among_many_that_share_a_template(spark):
+@pytest.mark.parametrize("block", [similar.BLOCK_SHINGLES, 10_000])
+def test_true_pairs_among_many_that_share_a_template(spark, monkeypatch, block):
     """A hundred documents below the threshold around each template, one pair above it: no pair is lost."""
+    monkeypatch.setattr(similar, "BLOCK_SHINGLES", block)
     rng, word = random.Random(18), iter(range(10**7))
     rows, pairs = [], []
 
@@ -112,6 +114,23 @@ def test_copies_of_a_hub_that_is_not_least(spark, monkeypatch, block):
     assert {r.doc_id: r.component for r in similar.groups(docs).collect()} == dict.fromkeys(range(copies), 0)
 
 
+def test_lists_of_rare_shingles_hold_all_similar_pairs(spark, monkeypatch):
+    rng = random.Random(20)
+    sets = {}
+    for t in range(6):
+        template = [1000 * t + i for i in range(60)]
+        for i in range(30):
+            own = rng.sample(template, 56) + [10_000 + 1000 * t + rng.randrange(200) for _ in range(rng.randrange(0, 12))]
+            sets[100 * t + i] = sorted(set(own))
+    given = spark.createDataFrame(list(sets.items()), "key long, shingles array<int>")
+    nodes = spark.createDataFrame([(i, i) for i in sets], "node long, component long")
+    similar_pairs = {(a, b) for a, b in combinations(sorted(sets), 2) if (n := len(set(sets[a]) & set(sets[b]))) >= 0.8 * (len(sets[a]) + len(sets[b]) - n)}
+    lists = {}
+    for r in similar.by_rare_shingles(nodes, given, 0.8).collect():
+        lists.setdefault(r.value, set()).add(r.node)
+    assert similar_pairs and all(any({a, b} <= found for found in lists.values()) for a, b in similar_pairs)
+
+
 def test_spanning_connects_what_similar_pairs_connect():
     rng = random.Random(16)
     sets = [np.unique(np.array([rng.randrange(40) + 1000 * (i % 3) for _ in range(30)], np.int32)) for i in range(60)] + [np.zeros(0, np.int32)]
