@@ -143,13 +143,13 @@ def content_hash_dups(spark, sf_dir):
 
 
 @query("""
-WITH c AS (SELECT doc_id, sha256(text) AS h FROM documents WHERE doc_id % 3 = 0), a AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE doc_id % 2 = 0)
-SELECT doc_id, h AS content_hash, h IN (SELECT h FROM a) AS kept FROM c
+WITH a AS (SELECT DISTINCT sha256(text) AS h FROM documents WHERE lang = 'en')
+SELECT doc_id, sha256(text) AS content_hash, sha256(text) IN (SELECT h FROM a) AS kept FROM documents
 """)
 def cache_orphans(spark, sf_dir):
-    """Cache entries (every third document) whose content no active file (every second) has any more."""
-    d = tables.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"))
-    cache, active = d.filter("doc_id % 3 = 0"), d.filter("doc_id % 2 = 0").select("content_hash").distinct()
+    """Cache entries (all documents) whose content no active file (the English ones) has any more."""
+    cache = tables.read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("content_hash"), "lang")
+    active, cache = cache.filter("lang = 'en'").select("content_hash").distinct(), cache.drop("lang")
     kept, gone = cache.join(active, "content_hash", "left_semi"), cache.join(active, "content_hash", "left_anti")
     return kept.withColumn("kept", F.lit(True)).unionByName(gone.withColumn("kept", F.lit(False)))
 

@@ -55,7 +55,7 @@ def clusters(vertices: DataFrame, edges: DataFrame, settings: dict, states: Data
     compared = after.select(*KEY, "file_path", F.col("stable").alias("cluster"))
     if states is not None:  # the run before stands right before the first of each repository
         first = after.groupBy("repo_id").agg((F.min("seq") - 1).alias("seq"))
-        compared = compared.unionByName(states.join(first, "repo_id").select(*KEY, "file_path", F.col("stable").alias("cluster")))
+        compared = compared.unionByName(states.select("repo_id", "file_path", "stable").join(first, "repo_id").select(*KEY, "file_path", F.col("stable").alias("cluster")))
     every = vertices.select(*KEY).distinct()
     stability = every.join(debounce.stability(compared), KEY, "left").select(*KEY, F.coalesce("stability_score", F.lit(1.0)).alias("stability_score"))
     return partition, after, stability
@@ -87,7 +87,7 @@ def run(files: DataFrame, settings: dict, spec: Specification | None = None, sta
     past = counts
     if previous is not None:
         first = features.groupBy("repo_id").agg((F.min("seq") - 1).alias("seq"))
-        past = counts.unionByName(previous.join(first, "repo_id").select(counts.columns))
+        past = counts.unionByName(previous.select("repo_id", "category", "structural_hash", "instance_count").join(first, "repo_id").select(counts.columns))
     velocity = catalog.velocity(past).drop("instance_count")
     shapes = catalog.shapes(instances).join(velocity, catalog.SHAPE, "left").join(catalog.boundary_spread(instances, partition), catalog.SHAPE, "left")
     canonical = catalog.canonical_shapes(counts).select(*KEY, "category", F.col("structural_hash").alias("canonical"))
