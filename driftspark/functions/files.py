@@ -13,6 +13,11 @@ LANGUAGES = {
 INTERPRETERS = ("sh", "bash", "zsh", "ksh", "dash", "ash")
 
 
+def posix(path: Column) -> Column:
+    """A relative path with slashes, without leading ``./``."""
+    return F.regexp_replace(F.replace(path, F.lit("\\"), F.lit("/")), r"^(\./)+", "")
+
+
 def extension(path: Column) -> Column:
     """The last suffix in lower case, with its dot; empty for names without one, or that begin with it."""
     return F.lower(F.regexp_extract(path, r"[^/.][^/]*?(\.[^./]+)$", 1))

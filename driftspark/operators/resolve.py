@@ -26,8 +26,8 @@ def normal_path(path: Column) -> Column:
 
 
 def module_key(path: Column) -> Column:
-    """The dotted key of a Python file; null for others."""
-    stem = F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), r"(^|/)__init__$", "")
+    """The dotted key of a Python file, of a package by its folder; null for others."""
+    stem = F.regexp_replace(F.regexp_replace(path, r"\.py$", ""), r"/__init__$", "")
     dotted = F.regexp_replace(F.replace(stem, F.lit("/"), F.lit(".")), r"^src\.", "")
     return F.when(path.endswith(".py") & (dotted != ""), dotted)
 

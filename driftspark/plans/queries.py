@@ -131,6 +131,14 @@ def path_key(spark, sf_dir):
     return found.select("page_id", "path", resolve.module_key(F.col("path")).alias("module_key"))
 
 
+@query(r"SELECT page_id, CASE page_id % 3 WHEN 0 THEN './' WHEN 1 THEN '././' ELSE '' END || replace(url, '/', '\') AS path, replace(replace(url, '/', '\'), '\', '/') AS posix FROM pages")
+def posix_path(spark, sf_dir):
+    p = tables.read(spark, sf_dir, "pages")
+    before = F.element_at(F.array(F.lit("./"), F.lit("././"), F.lit("")), (F.col("page_id") % 3 + 1).cast("int"))
+    found = p.select("page_id", F.concat(before, F.replace("url", F.lit("/"), F.lit("\\"))).alias("path"))
+    return found.select("page_id", "path", files.posix(F.col("path")).alias("posix"))
+
+
 @query(r"SELECT doc_id, CAST(len(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT starts_with(trim(x), '#'))) AS INTEGER) AS loc FROM documents")
 def loc_count(spark, sf_dir):
     return tables.read(spark, sf_dir, "documents").select("doc_id", files.lines_of_code(F.col("text")).alias("loc"))

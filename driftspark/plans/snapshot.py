@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import parsers
+from ..functions.files import posix
 from ..functions.globs import ignored
 from ..operators import catalog, debounce, divergence, graph, intent, leiden, resolve
 from ..shared import checkpointed
@@ -79,7 +80,7 @@ def run(files: DataFrame, settings: dict, spec: Specification | None = None, sta
 
     # the catalog: shapes of files in scope, in categories that apply to their language
     exclude, categories = settings["patterns"]["scope_exclude"], catalog.registry(session)
-    in_scope = ~ignored(F.col("file_path"), exclude) if exclude else F.lit(True)
+    in_scope = ~ignored(posix(F.col("file_path")), exclude) if exclude else F.lit(True)
     excluded = features.groupBy(*KEY).agg(F.count_if(~in_scope).alias("scope_excluded_file_count"))
     instances = catalog.applicable(catalog.large_enough(parsers.instances(features.filter(in_scope), settings["patterns"]["count_nodes"]), settings["patterns"]["min_pattern_nodes"]), categories)
     instances = checkpointed(instances)

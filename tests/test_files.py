@@ -43,7 +43,7 @@ def test_languages(spark):
 
 
 def test_paths(spark):
-    assert column(spark, ["src/sdx/config.py", "models/__init__.py", "a/b.js", "src/__init__.py"], resolve.module_key) == ["sdx.config", "models", None, "src"]
+    assert column(spark, ["src/sdx/config.py", "models/__init__.py", "a/b.js", "src/__init__.py", "__init__.py"], resolve.module_key) == ["sdx.config", "models", None, "src", "__init__"]
     assert column(spark, ["a/./b//c", "a/../b", "../x", "a/b/../../../y", ""], resolve.normal_path) == ["a/b/c", "b", "../x", "../y", ""]
     assert column(spark, ["@/x", "@/y/z.ts", "lib", "q"], lambda x: F.array_join(resolve.first_alias(x, [("@/*", ["src/*", "alt/*"]), ("lib", ["lib/index.ts"])]), ",")) == ["src/x,alt/x", "src/y/z.ts,alt/y/z.ts", "lib/index.ts", None]
 
