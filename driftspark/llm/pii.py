@@ -7,7 +7,8 @@ SHA-256 over a secret key, both, and an attempt number. So one entity has one su
 it is written (coreference); all name words are of one kind, so a given name, a surname and an untitled repeat agree.
 
 Surrogates keep the format: digits stay digits, capitals capitals, separators, country codes, top-level domains and
-titles stay; card numbers that pass the Luhn check keep passing it; addresses with one domain share a new domain; name
+titles stay; card numbers pass the Luhn check, as their surrogates do (other long numbers are none, and not touched);
+addresses with one domain share a new domain; name
 words keep script (Latin, Cyrillic, Greek), capitals, hyphens between them and their gender: that of the titles after
 which a word is the given name, in any text; none where these differ. A name is all words with a capital after its
 title, with hyphens, apostrophes and inner capitals; particles (van, de, von ...) before a word are part of the name,
@@ -89,6 +90,10 @@ def session_key(spark: SparkSession) -> str:
     return context._driftspark_pii_key
 
 
+#: Long numbers that fail the card numbers' check; they are none, and stay as they are.
+OTHER = "number"
+
+
 def kind_of(match: Column, names: Column) -> Column:
     """The kind of a whole match, from its form, and from the text's own name words."""
     return (
@@ -98,7 +103,7 @@ def kind_of(match: Column, names: Column) -> Column:
         .when(match.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "ip")
         .when(match.rlike(r"^(\+\d|\(|\d{3}[.\-]\d{3}[.\-]\d{4}$)"), "phone")
         .when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
-        .when(match.rlike(r"^(\d{13,19}|\d{4}[ \-].*\d)$") & match.rlike(r"^[\d \-]+$"), "card")
+        .when(match.rlike(r"^(\d{13,19}|\d{4}[ \-].*\d)$") & match.rlike(r"^[\d \-]+$"), F.when(F.call_function("luhn_check", F.regexp_replace(match, "[^0-9]", "")), "card").otherwise(OTHER))
         .when(match.rlike(r"^[A-Z]{2}\d{2}( ?[A-Z0-9]{4}){3}"), "iban")
         .otherwise("secret")
     )
@@ -250,7 +255,7 @@ def _drawn(parts: Column, of, key: str) -> Column:
         stem = F.substr(x.body, F.lit(1), F.length(x.body) - 1)
         last = F.filter(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda d: d.cast("string")), lambda d: passes(F.concat(F.regexp_replace(stem, "[^0-9]", ""), d)))
         body = F.when((x.kind == "card") & passes(F.regexp_replace(x.given, "[^0-9]", "")), F.concat(stem, F.get(last, F.lit(0)))).otherwise(x.body)
-        return F.struct(x.at.alias("at"), F.concat(x.before, body, x.after).alias("text"))
+        return F.struct(x.at.alias("at"), F.when(x.kind == OTHER, x.given).otherwise(F.concat(x.before, body, x.after)).alias("text"))
 
     return F.transform(F.transform(F.transform(F.transform(parts, keyed), digested), replaced), whole)
 
@@ -305,7 +310,7 @@ def pseudonymise(docs: DataFrame, secret: str | None = None, *, key: str = "doc_
     # a word has the gender of its text's titles, unless texts differ
     gender = lambda f, m: F.when(f & ~m, "f").when(m & ~f, "m").otherwise("n")
     is_a = lambda x: F.max(_gender(F.col("kind")) == x)
-    found = with_parts.select("hash", F.explode("parts").alias("e")).select("hash", "e.kind", "e.canonical")
+    found = with_parts.select("hash", F.explode("parts").alias("e")).select("hash", "e.kind", "e.canonical").filter(F.col("kind") != OTHER)
     found = checkpointed(found.groupBy("hash", _class(F.col("kind")).alias("class"), "canonical").agg(gender(is_a("f"), is_a("m")).alias("gender")).withColumnRenamed("class", "kind"))
     entities = found.groupBy("kind", "canonical").agg(gender(F.max(F.col("gender") == "f"), F.max(F.col("gender") == "m")).alias("gender"), (F.min("gender") != F.max("gender")).alias("differs"))
     entities = checkpointed(entities)
@@ -327,7 +332,7 @@ def pseudonymise(docs: DataFrame, secret: str | None = None, *, key: str = "doc_
     drawn = with_parts.withColumn("drawn", _drawn(F.col("parts"), of, secret))
     surrogate = lambda i: F.array_join(F.transform(F.filter("drawn", lambda d: d["at"] == i), lambda d: d.text), "")
     pieces = F.transform(F.split("text", _pattern(F.col("names")), -1), lambda gap, i: F.concat(gap, surrogate(i)))
-    listed = F.transform("parts", lambda x: F.struct(x.kind.alias("kind"), x.canonical.alias("canonical")))
+    listed = F.transform(F.filter("parts", lambda x: x.kind != OTHER), lambda x: F.struct(x.kind.alias("kind"), x.canonical.alias("canonical")))
     others = [f"kept{i}" for i in range(len(keep))]
     changed = drawn.select("key", F.array_join(pieces, "").alias("text"), listed.alias("entities"), *others)
     same = rows.filter(F.size("matches") == 0).select("key", "text", F.array().cast(changed.schema["entities"].dataType).alias("entities"), *others)

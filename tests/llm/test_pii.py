@@ -121,13 +121,19 @@ def slow_matches(text):
     return [m[0] for m in regex.finditer(pattern, text)], regex.split(pattern, text)
 
 
+def stays(match):
+    """Whether a match is a long number that fails the check of card numbers."""
+    digits = [int(c) for c in regex.sub(r"[ -]", "", match)[::-1]] if regex.fullmatch(r"\d[\d -]{11,}\d", match) and not regex.fullmatch(r"\d{3}[.-]\d{2,3}[.-]\d{4}", match) else []
+    return bool(digits) and (sum(digits[::2]) + sum(sum(divmod(2 * d, 10)) for d in digits[1::2])) % 10 != 0
+
+
 def test_agrees_with_a_slow_version(spark):
     rng = random.Random(21)
     first, last = ["Anna", "John", "María-José", "ALICE", "Jean"], ["Smith", "O'Brien", "McDonald", "Smith-Jones", "García", "van Dijk", "JONES"]
     name = lambda: f"{rng.choice(['Mr', 'Mrs.', 'Dr', 'Ms', 'Frau'])} {rng.choice(first)} {rng.choice(last)}"
     make = [
         name, lambda: rng.choice(first), lambda: rng.choice(last), lambda: f"Mr {rng.choice(last)}", lambda: f"{rng.choice('abc')}.x@{rng.choice('de')}.org", lambda: f"10.0.{rng.randrange(3)}.{rng.randrange(3)}",
-        lambda: f"+49 30 12345{rng.randrange(9)}", lambda: f"token = {'ab1' * 5}{rng.randrange(5)}", lambda: "on +1 2024 2025 people", lambda: "Some words, 12 of them.", lambda: "4111 1111 1111 1111",
+        lambda: f"+49 30 12345{rng.randrange(9)}", lambda: f"token = {'ab1' * 5}{rng.randrange(5)}", lambda: "on +1 2024 2025 people", lambda: "Some words, 12 of them.", lambda: "4111 1111 1111 1111", lambda: "4111111111111112",
     ]
     texts = [" ; ".join(rng.choice(make)() for _ in range(rng.randrange(1, 9))) for _ in range(80)]
     got = run(spark, texts)
@@ -138,12 +144,16 @@ def test_agrees_with_a_slow_version(spark):
         new = regex.fullmatch(pattern, got[i].text)
         assert new and (matches or got[i].text == t)
         for a, b in zip(matches, new.groups(), strict=True):
+            if stays(a):
+                assert a == b
+                continue
             words = zip(regex.split(r"[ -]", plain(a)), regex.split(r"[ -]", plain(b)), strict=True) if any(c.isalpha() for c in a) and "@" not in a and "token" not in t[: t.find(a)][-8:] else [(a, b)]
             for x, y in words:
                 if x not in ("van",):
                     assert x != y and to.setdefault(x.lower(), y.lower()) == y.lower()
     assert len(set(to.values())) == len(to) and not set(to) & set(to.values())
     assert "on +1 2024 2025 people" in " ".join(r.text for r in got.values())
+    assert all(e.canonical != "4111111111111112" for r in got.values() for e in r.entities)
 
 
 def test_names_are_one_person_however_they_are_written(spark):
