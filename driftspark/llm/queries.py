@@ -91,6 +91,35 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+#: Bytes as hexadecimal digits; windows cut from blocks of 256 bytes, so that no cut starts far into a long string.
+ORACLES["op5_suffix_dedup"] = """
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS hx FROM documents
+), blocks AS (
+  SELECT doc_id, j, n, substr(hx, 512 * j + 1, 710) AS block
+  FROM (SELECT doc_id, hx, length(hx) // 2 AS n, unnest(range(0, CAST((length(hx) // 2 + 156) // 256 AS BIGINT))) AS j FROM d WHERE length(hx) >= 200)
+), w AS (
+  SELECT doc_id, 256 * j + i AS i, doc_id * 4294967296 + 256 * j + i AS place, md5_number(substr(block, 2 * i + 1, 200)) AS h
+  FROM (SELECT doc_id, j, block, unnest(range(0, CAST(least(256, n - 99 - 256 * j) AS BIGINT))) AS i FROM blocks)
+), gone AS (
+  SELECT doc_id, i FROM w JOIN (SELECT h, min(place) AS first FROM w GROUP BY h) USING (h) WHERE place > first
+), runs AS (
+  SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run
+  FROM (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 100 THEN 0 ELSE 1 END AS new FROM gone)
+), spans AS (
+  SELECT doc_id, min(i) AS a, max(i) + 100 AS b FROM runs GROUP BY doc_id, run
+), parts AS (
+  SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM spans
+), lost AS (
+  SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(hx, CAST(2 * before + 1 AS BIGINT), CAST(2 * (a - before) AS BIGINT)), '' ORDER BY a) AS kept, max(b) AS last
+  FROM parts JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, CAST(length(hx) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(CASE WHEN n_spans IS NULL THEN hx ELSE kept || substr(hx, CAST(2 * last + 1 AS BIGINT)) END)) AS kept_sha256
+FROM d LEFT JOIN lost USING (doc_id)
+"""
+
+
 #: Documents that score less are rejected.
 QUALITY_CUT = 0.3
 
