@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..shared import checkpointed, shared_folder
 from ..shipping import ship
 
-__all__ = ["by_bytes", "checkpointed", "held_out", "map_batches", "remove_saved", "saved", "shared_folder", "ship", "table", "text_sizes", "utf8"]
+__all__ = ["by_bytes", "checkpointed", "held_out", "map_batches", "remove_saved", "saved", "shared_folder", "ship", "spread_join", "table", "text_sizes", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +42,27 @@ def remove_saved(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Bound on the keys that ``spread_join`` broadcasts.
+HOT_KEYS = 10_000
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, on: str) -> DataFrame:
+    """``rows`` left-joined to ``facts``, which have one row a key, without a task that gets all rows of a frequent key.
+
+    Keys of more than one in ``HOT_KEYS`` rows, of which there are fewer than ``HOT_KEYS``, are joined by broadcast; rows
+    without a key join nothing and stay where they are. ``rows`` are read several times: give a saved table.
+    """
+    total, nulls = rows.agg(F.count(F.lit(1)), F.count_if(F.col(on).isNull())).first()
+    hot = rows.filter(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("n_rows")).filter(F.col("n_rows") > max(1, total // HOT_KEYS)).select(on)
+    hot = checkpointed(hot)
+    given = rows.filter(F.col(on).isNotNull()) if nulls else rows
+    found = given.join(F.broadcast(hot), on, "left_anti").join(facts, on, "left")
+    found = found.unionByName(given.join(F.broadcast(hot), on, "left_semi").join(F.broadcast(facts.join(F.broadcast(hot), on, "left_semi")), on, "left"))
+    if nulls:
+        found = found.unionByName(rows.filter(F.col(on).isNull()), allowMissingColumns=True)
+    return found
+
+
 def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` with this package at hand in the workers."""
     ship(df.sparkSession)

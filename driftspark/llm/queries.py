@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontam, langid, pii, quality, simhash, suffix_dedup, token_counts, topk
+from . import bpe, chat, decontam, filter_audit, langid, pii, quality, simhash, source_audit, suffix_dedup, suffix_tree, token_counts, topk
 from .common import held_out, table
 
 #: Queries by name; each takes (spark, sf_dir).
@@ -189,3 +189,98 @@ def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("component").alias("component_id"))
+
+
+@query
+def op11_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree.digests(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op11_passage_dedup"] = r"""
+WITH d AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT doc_id, i, md5_number(array_to_string(words[i:i + 49], ' ')) AS h
+  FROM (SELECT doc_id, words, unnest(range(1, CAST(len(words) - 48 AS BIGINT))) AS i FROM d WHERE len(words) >= 50)
+), gone AS (
+  SELECT doc_id, i FROM w JOIN (SELECT h, min(doc_id) AS first FROM w GROUP BY h) USING (h) WHERE doc_id > first
+), lost AS (
+  SELECT doc_id, list(DISTINCT i + j) AS places FROM (SELECT doc_id, i, unnest(range(0, 50)) AS j FROM gone) GROUP BY doc_id
+), kept AS (
+  SELECT doc_id, len(words) AS n, CASE WHEN places IS NULL THEN words ELSE [w FOR w, i IN words IF NOT list_contains(places, i)] END AS left_over
+  FROM d LEFT JOIN lost USING (doc_id)
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_words, CAST(n - len(left_over) AS BIGINT) AS n_removed, sha256(array_to_string(left_over, ' ')) AS kept_sha256 FROM kept
+"""
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_audit.divergence(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_source_divergence"] = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS k, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+    regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents
+), o AS (
+  SELECT k, lang, source, unnest(terms) AS term FROM d
+), kept AS (
+  SELECT lang, term, count(*) AS n FROM o GROUP BY lang, term HAVING count(DISTINCT k) >= 3
+), c AS (
+  SELECT lang, source, term, count(*) AS n FROM o SEMI JOIN kept USING (lang, term) GROUP BY ALL
+), g AS (
+  SELECT lang, source FROM d GROUP BY ALL
+), l AS (
+  SELECT lang, sum(n) AS total, count(*) AS v FROM kept GROUP BY lang
+), gn AS (
+  SELECT lang, source, sum(n) AS total FROM c GROUP BY ALL
+), p AS (
+  SELECT lang, source, term, coalesce(c.n, 0) AS n,
+    CAST(1 + 1000000000::HUGEINT * (coalesce(c.n, 0) + 1) // (coalesce(gn.total, 0) + l.v) AS BIGINT) AS p,
+    CAST(1 + 1000000000::HUGEINT * (kept.n + 1) // (l.total + l.v) AS BIGINT) AS q
+  FROM g JOIN kept USING (lang) JOIN l USING (lang) LEFT JOIN c USING (lang, source, term) LEFT JOIN gn USING (lang, source)
+), sums AS (
+  SELECT a.lang, a.source, b.source AS item, sum((a.p - b.p) * (a.p - b.p) // b.p) AS value FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), found AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, CAST(coalesce(value, 0) AS BIGINT) AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN sums s ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (p - q) * (p - q) // q FROM p WHERE n > 0 AND p > q
+)
+SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found QUALIFY part = 'pair' OR rank <= 200
+"""
+
+
+@query
+def op13_filter_interaction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(filter_audit.counted(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
+
+
+ORACLES["op13_filter_interaction"] = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), f AS (
+  SELECT part, doc_id, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END
+    || CASE WHEN 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 2 * length(t) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(t, '[#$%&*|]') THEN 'D' ELSE '' END
+    || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY t) THEN 'E' ELSE '' END AS fails FROM d
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), g AS (
+  SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL
+), x AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x
+), o AS (
+  SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM x a, x b, x c, x d, x e WHERE len(list_distinct([a.x, b.x, c.x, d.x, e.x])) = 5
+), s AS (
+  SELECT filter_order, step, substr(filter_order, step, 1) AS filter, substr(filter_order, 1, step - 1) AS before FROM o, (SELECT unnest(range(1, 6)) AS step)
+), m AS (
+  SELECT part, filter_order, step, filter, n, good, toxic, fails, contains(fails, filter) AS fail, length(translate(before, fails, '')) < length(before) AS gone FROM g, s
+), c AS (
+  SELECT part, filter_order, step, filter, sum(n) FILTER (NOT gone AND NOT fail) AS kept, sum(n) FILTER (NOT gone AND fail) AS removed, sum(n) FILTER (gone AND fail) AS redundant,
+    sum(n) FILTER (fails = filter) AS unique_fails, sum(good) FILTER (NOT gone AND fail) AS good_lost, sum(toxic) FILTER (NOT gone AND fail) AS toxic_lost FROM m GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INTEGER) AS step, filter, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(coalesce(sum(removed) OVER (PARTITION BY part, filter), 0) AS BIGINT) AS shapley
+FROM c
+"""

@@ -52,6 +52,8 @@ SHARD_BYTES = 2 << 20
 BATCH_BYTES = 1 << 20
 PIECE_BYTES = 4 << 20
 BASE = 0x9E3779B97F4A7C15
+#: Places of a batch or piece are numbered by so many bits; the other bits of a hash order grams.
+PLACE_BITS = 24
 #: Not in any UTF-8 text; stands between segments.
 SEPARATOR = 0xFF
 
@@ -101,8 +103,10 @@ def segments(data: np.ndarray, offsets: np.ndarray, length: int, gram: int) -> t
         return none, none, none, none, none
     h = rolling(data, gram)
     at = np.arange(len(h), dtype=np.uint64)
-    bits = np.uint64(max(1, int(len(h)).bit_length()))
-    packed = (h >> bits << bits) | at  # the leftmost of equal hashes
+    if len(h) >> PLACE_BITS:
+        raise ValueError(f"texts in a row hold over {1 << PLACE_BITS} places")
+    bits = np.uint64(PLACE_BITS)
+    packed = (h >> bits << bits) | at  # ordered by the same bits of the hash in every batch, then the leftmost
     w = length - gram + 1
     anchor = (sliding_min(packed, w) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))[: len(anchor)]
