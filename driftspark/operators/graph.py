@@ -1,8 +1,9 @@
 """Dependency graphs: edges, degrees, hubs, clusters' surfaces, and whole-graph metrics.
 
-``edges`` has repo_id, seq, src, dst; ``vertices`` repo_id, seq, file_path. Counting is done by DataFrame operations;
-cycles, components and shortest paths need the whole graph of one snapshot and run as a grouped function, one task for
-a snapshot, since a repository's graph is bounded (about 10,000 vertices).
+``edges`` has repo_id, seq, src, dst; ``vertices`` repo_id, seq, file_path. Counting is done by DataFrame operations.
+Cycles, components and shortest paths follow whole graphs. Snapshots of at most ``ONE_TASK`` vertices and edges, a bounded
+group, are measured in one task each, so that a history of small repositories takes one job; larger ones by the rounds
+of joins in ``reach``, with the same results.
 """
 
 from __future__ import annotations
@@ -11,11 +12,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shared import checkpointed
 from ..shipping import ship
+from . import reach
 
 SNAPSHOT = ["repo_id", "seq"]
 HUB_DEGREE = 3
 CYCLE_CAP = 100_000
+#: Vertices and edges of a snapshot that one task takes.
+ONE_TASK = 50_000
 
 
 def edges_of(resolved: DataFrame) -> DataFrame:
@@ -161,8 +166,8 @@ def strong_components(follow: dict) -> list[set]:
     return out
 
 
-def cycle_count(pairs: list[tuple], cap: int = CYCLE_CAP) -> tuple[int, bool]:
-    """Elementary directed cycles, and whether counting stopped at ``cap``.
+def cycle_count(pairs: list[tuple], cap: int | None = CYCLE_CAP) -> tuple[int, bool]:
+    """Elementary directed cycles, and whether counting stopped at ``cap`` (None: never).
 
     In each strong component, cycles are counted at their smallest vertex: simple paths from it through larger vertices
     of what is still strongly connected, as in Johnson's algorithm.
@@ -199,7 +204,7 @@ def cycle_count(pairs: list[tuple], cap: int = CYCLE_CAP) -> tuple[int, bool]:
             elif w == start:
                 closed[0] = True
                 n += 1
-                if n >= cap:
+                if n == cap:
                     return n, True
             elif w not in blocked:
                 blocked.add(w)
@@ -222,21 +227,50 @@ def _per_snapshot(vertices: DataFrame, edges: DataFrame, schema: str, measure) -
     return rows.groupBy(*SNAPSHOT).applyInPandas(run, f"repo_id string, seq long, {schema}")
 
 
-def structure(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+def by_size(vertices: DataFrame, edges: DataFrame, one_task: int, small, large) -> DataFrame:
+    """``small(vertices, edges)`` for snapshots of at most ``one_task`` vertices and edges, ``large`` for the others."""
+    if one_task <= 0:
+        return large(vertices, edges)
+    sizes = vertices.select(*SNAPSHOT).unionByName(edges.select(*SNAPSHOT)).groupBy(*SNAPSHOT).agg(F.count(F.lit(1)).alias("n"))
+    wide = checkpointed(sizes.filter(F.col("n") > one_task).select(*SNAPSHOT))
+    if wide.isEmpty():
+        return small(vertices, edges)
+    some = lambda df, how: df.join(wide, SNAPSHOT, how)
+    return small(some(vertices, "left_anti"), some(edges, "left_anti")).unionByName(large(some(vertices, "left_semi"), some(edges, "left_semi")))
+
+
+def structure(vertices: DataFrame, edges: DataFrame, one_task: int = ONE_TASK) -> DataFrame:
     """Weak components and the directed diameter of each snapshot's graph."""
-    return _per_snapshot(vertices, edges, "component_count long, max_depth long", lambda nodes, pairs: (component_count(nodes, pairs), diameter(pairs)))
+
+    def large(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+        names, links = reach.as_numbers(vertices, edges)
+        return reach.component_counts(names, links).join(reach.depths(names, links), SNAPSHOT)
+
+    small = lambda v, e: _per_snapshot(v, e, "component_count long, max_depth long", lambda nodes, pairs: (component_count(nodes, pairs), diameter(pairs)))
+    return by_size(vertices, edges, one_task, small, large)
 
 
-def cycles(vertices: DataFrame, edges: DataFrame, cap: int = CYCLE_CAP) -> DataFrame:
+def cycles(vertices: DataFrame, edges: DataFrame, cap: int | None = CYCLE_CAP, one_task: int = ONE_TASK) -> DataFrame:
     """Elementary cycles of each snapshot's graph, and whether counting stopped at ``cap``.
 
-    Their number can grow exponentially with the graph, so no exact count is possible in general; as ``coupling`` takes
-    at most one cycle per vertex, it is exact all the same while a graph has at most ``cap`` vertices.
+    Their number can grow exponentially with the graph, so the exact count, with ``cap`` None, may take forever; as
+    ``coupling`` takes at most one cycle per vertex, it is exact all the same while a graph has at most ``cap`` vertices.
     """
-    return _per_snapshot(vertices, edges, "cycle_count long, cycle_count_capped boolean", lambda nodes, pairs: cycle_count(pairs, cap))
 
+    def large(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+        return reach.cycle_counts(*reach.as_numbers(vertices, edges), cap)
 
-def whole_graph(vertices: DataFrame, edges: DataFrame, cap: int = CYCLE_CAP) -> DataFrame:
+    small = lambda v, e: _per_snapshot(v, e, "cycle_count long, cycle_count_capped boolean", lambda nodes, pairs: cycle_count(pairs, cap))
+    return by_size(vertices, edges, one_task, small, large)
+
+
+def whole_graph(vertices: DataFrame, edges: DataFrame, cap: int | None = CYCLE_CAP, one_task: int = ONE_TASK) -> DataFrame:
     """Components, directed diameter and elementary cycles of each snapshot's graph."""
+
+    def large(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+        names, links = reach.as_numbers(vertices, edges)
+        return reach.component_counts(names, links).join(reach.depths(names, links), SNAPSHOT).join(reach.cycle_counts(names, links, cap), SNAPSHOT)
+
     measure = lambda nodes, pairs: (component_count(nodes, pairs), diameter(pairs), *cycle_count(pairs, cap))
-    return _per_snapshot(vertices, edges, "component_count long, max_depth long, cycle_count long, cycle_count_capped boolean", measure)
+    small = lambda v, e: _per_snapshot(v, e, "component_count long, max_depth long, cycle_count long, cycle_count_capped boolean", measure)
+    return by_size(vertices, edges, one_task, small, large)

@@ -3,7 +3,8 @@
 The quality is that of the Reichardt-Bornholdt configuration model for directed graphs: edges within communities minus
 gamma times what in- and out-degrees let expect. Nodes move locally, communities are refined into well-connected parts,
 parts become nodes of the next level. Ties and the order of visits follow a seeded generator, so runs repeat exactly.
-A graph is one group of ``applyInPandas``: one task for each snapshot, bounded like a repository.
+A graph of at most ``ONE_TASK`` vertices and edges is one group of ``applyInPandas``; larger ones are clustered by the
+rounds of joins in ``communities``, to the same quality.
 """
 
 from __future__ import annotations
@@ -18,6 +19,8 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 SMALLEST = 10  # smaller graphs are one cluster
+#: Vertices and edges of a snapshot that one task takes.
+ONE_TASK = 500_000
 Graph = tuple[list[dict[int, float]], list[dict[int, float]]]
 
 
@@ -136,11 +139,19 @@ def relabelled(now: dict[str, int], before: dict[str, int]) -> dict[str, int]:
     return {f: names[c] for f, c in now.items()}
 
 
-def communities(vertices: DataFrame, edges: DataFrame, gamma: float = 1.0, seed: int = 42, relabel: bool = True) -> DataFrame:
+def communities(vertices: DataFrame, edges: DataFrame, gamma: float = 1.0, seed: int = 42, relabel: bool = True, one_task: int = ONE_TASK) -> DataFrame:
     """(repo_id, seq, file_path, cluster); ``vertices`` may have ``before``, the clusters of the previous snapshot.
 
     Graphs of fewer than ten vertices are one cluster.
     """
+    from . import communities as rounds
+    from .graph import by_size
+
+    small = lambda v, e: _in_one_task(v, e, gamma, seed, relabel)
+    return by_size(vertices, edges, one_task, small, lambda v, e: rounds.communities(v, e, gamma, seed, relabel))
+
+
+def _in_one_task(vertices: DataFrame, edges: DataFrame, gamma: float, seed: int, relabel: bool) -> DataFrame:
     if "before" not in vertices.columns:
         vertices = vertices.withColumn("before", F.lit(None).cast("long"))
     rows = vertices.select("repo_id", "seq", F.col("file_path").alias("src"), F.lit(None).cast("string").alias("dst"), F.col("before").cast("double").alias("before"))

@@ -27,3 +27,25 @@ def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` with its lineage cut, in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint()
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """``df`` written as a compressed table in the shared folder, and read again: for large results, and for loops.
+
+    A checkpoint keeps its plan's estimate of size, which joins multiply from round to round until planning takes longer
+    than the work; a table has the size of its files. The tables stay until ``remove_saved``, as results that aren't
+    yet computed may read them.
+    """
+    path = f"{_tables(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables-{spark.sparkContext.applicationId}"
+
+
+def remove_saved(spark: SparkSession) -> None:
+    """Deletes all that this application has ``saved``; to be called when its results are written."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_tables(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
