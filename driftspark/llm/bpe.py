@@ -4,8 +4,9 @@ A text longer than ``chunk_chars`` is cut into chunks that overlap by ``overlap_
 pre-tokens on its own, from an arbitrary first character. Going from left to right, the split of a chunk is right from
 the first pre-token boundary on that it shares, inside the overlap, with the right split of the chunk before: the
 pattern looks ahead by one character and never back, so two splits that share a boundary agree from there on. The text
-is cut at these boundaries and the pieces are encoded one by one, so no call sees more than about a chunk. Where an
-overlap holds no shared boundary (one pre-token fills it), the split goes on from the last boundary that is sure.
+is cut at these boundaries and the pieces are encoded one by one, so no call sees more than about a chunk. No cut follows
+white space: there the end of a piece would decide a look-ahead that the text decides otherwise. Where an overlap holds no
+shared boundary (one pre-token fills it), the split goes on from the last boundary that is sure.
 
 Decoding concatenates the bytes of the ids; it gives the text's bytes back exactly, also where a character is spread
 over several ids.
@@ -76,7 +77,7 @@ def boundaries(pattern, text: str, start: int, end: int, last: bool) -> list[int
 
 
 def cuts(pattern, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CHARS) -> list[int]:
-    """Boundaries between pre-tokens of the whole text, about one a chunk, found by stitching the chunks' own splits."""
+    """Boundaries between pre-tokens of the whole text, about one a chunk and none after white space, found by stitching the chunks' own splits."""
     n, found, reach = len(text), [0], 0
     starts = range(0, n, chunk)
     splits = [boundaries(pattern, text, s, min(n, s + chunk + overlap), s + chunk + overlap >= n) for s in starts]
@@ -95,8 +96,9 @@ def cuts(pattern, text: str, chunk: int = CHUNK_CHARS, overlap: int = OVERLAP_CH
                 end = min(n, 2 * end - first)
                 sure = boundaries(pattern, text, first, end, end >= n)
             reach = end
-        if first > found[-1]:
-            found.append(first)
+        cut = next((p for p in sure if p > found[-1] and not text[p - 1].isspace()), None)
+        if cut is not None:
+            found.append(cut)
     return [*found, n] if n > found[-1] else found
 
 

@@ -28,6 +28,28 @@ def test_chunks_give_the_ids_of_the_whole_text(chunk, overlap):
         assert bpe.decode_ids(words, ids) == text.encode()
 
 
+#: White space of all kinds, and characters that look like it or that some tables count as such.
+BLANKS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u180e\u2000\u2007\u2009\u200a\u200b\u2028\u2029\u202f\u205f\u3000\ufeff"
+
+
+@pytest.mark.parametrize("chunk", range(1, 10))
+def test_no_cut_changes_ids_beside_white_space_of_any_kind(chunk):
+    enc, split = bpe.encoding(RANKS, public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    rng = random.Random(chunk)
+    alphabet = BLANKS + "ab'Z.1é日" * 3
+    for _ in range(600):
+        text = "".join(rng.choice(alphabet) for _ in range(rng.randrange(1, 80)))
+        assert bpe.encode_text(enc, split, text, chunk, rng.randrange(1, 6)).tolist() == enc.encode_ordinary(text)
+
+
+@pytest.mark.parametrize("blank", ["\xa0", "\u2028", "\x85", "\u2009", " ", "\n"])
+def test_default_chunks_beside_white_space(blank):
+    enc, split = bpe.encoding(RANKS, public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN)
+    for place in range(bpe.CHUNK_CHARS - 4, bpe.CHUNK_CHARS + 3):
+        text = ("word. " * 8000)[:place] + f". {blank}Zebra" + " tail" * 3000
+        assert bpe.encode_text(enc, split, text).tolist() == enc.encode_ordinary(text)
+
+
 def test_a_long_pre_token_is_split_in_linear_work():
     class Counting:
         def __init__(self):
