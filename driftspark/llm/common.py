@@ -14,7 +14,7 @@ from pyspark.sql.types import StructType
 from ..shared import checkpointed, shared_folder
 from ..shipping import ship
 
-__all__ = ["by_bytes", "checkpointed", "held_out", "map_batches", "remove_saved", "saved", "shared_folder", "ship", "spread_join", "table", "text_sizes", "utf8"]
+__all__ = ["by_bytes", "checkpointed", "free_name", "held_out", "map_batches", "remove_saved", "saved", "shared_folder", "ship", "spread_join", "table", "text_sizes", "utf8"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with as many underscores as it takes to be none of the columns of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame) -> DataFrame:
     """``df`` written as a compressed table in the shared folder, and read again: a checkpoint for large results.
 

@@ -25,7 +25,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, free_name
 
 WINDOW = 10
 BROADCAST_ROWS = 500_000
@@ -128,9 +128,10 @@ def hits(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: st
 
 def clean(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs``, with all columns, that share no window with the benchmark; each row goes by its own text."""
-    rows = docs.withColumn("_row", F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("hash")))
-    found = checkpointed(hits(rows, benchmark, key="_row", text=text).filter("n_hit > 0").select("_row").distinct())
-    return rows.join(found, "_row", "left_anti").select(docs.columns)
+    row = free_name(docs, "_row")
+    rows = docs.withColumn(row, F.struct(F.col(key).alias("id"), F.xxhash64(text).alias("hash")))
+    found = checkpointed(hits(rows, benchmark, key=row, text=text).filter("n_hit > 0").select(row).distinct())
+    return rows.join(found, row, "left_anti").select(docs.columns)
 
 
 def digests(found: DataFrame, *, key: str = "doc_id") -> DataFrame:

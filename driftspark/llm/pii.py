@@ -297,8 +297,8 @@ def later_attempts(entities: DataFrame, key: str) -> DataFrame:
 BROADCAST_BYTES = 16 << 20
 
 
-def pseudonymise(docs: DataFrame, secret: str | None = None, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """``key``, ``text`` with surrogates, ``entities`` (kind and canonical form, from the left), and the columns to ``keep``."""
+def pseudonymise(docs: DataFrame, secret: str | None = None, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), entities: str = "entities") -> DataFrame:
+    """``key``, ``text`` with surrogates, ``entities`` (by that name; kind and canonical form, from the left), and the columns to ``keep``."""
     secret = secret or session_key(docs.sparkSession)
     kept = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), *kept)
@@ -312,9 +312,9 @@ def pseudonymise(docs: DataFrame, secret: str | None = None, *, key: str = "doc_
     is_a = lambda x: F.max(_gender(F.col("kind")) == x)
     found = with_parts.select("hash", F.explode("parts").alias("e")).select("hash", "e.kind", "e.canonical").filter(F.col("kind") != OTHER)
     found = checkpointed(found.groupBy("hash", _class(F.col("kind")).alias("class"), "canonical").agg(gender(is_a("f"), is_a("m")).alias("gender")).withColumnRenamed("class", "kind"))
-    entities = found.groupBy("kind", "canonical").agg(gender(F.max(F.col("gender") == "f"), F.max(F.col("gender") == "m")).alias("gender"), (F.min("gender") != F.max("gender")).alias("differs"))
-    entities = checkpointed(entities)
-    told = later_attempts(entities, secret).join(entities.select("kind", "canonical", "differs"), ["kind", "canonical"]).filter("attempt > 0 OR differs").drop("differs")
+    known = found.groupBy("kind", "canonical").agg(gender(F.max(F.col("gender") == "f"), F.max(F.col("gender") == "m")).alias("gender"), (F.min("gender") != F.max("gender")).alias("differs"))
+    known = checkpointed(known)
+    told = later_attempts(known, secret).join(known.select("kind", "canonical", "differs"), ["kind", "canonical"]).filter("attempt > 0 OR differs").drop("differs")
     told = checkpointed(told)
 
     def own(x: Column) -> Column:
@@ -336,4 +336,4 @@ def pseudonymise(docs: DataFrame, secret: str | None = None, *, key: str = "doc_
     others = [f"kept{i}" for i in range(len(keep))]
     changed = drawn.select("key", F.array_join(pieces, "").alias("text"), listed.alias("entities"), *others)
     same = rows.filter(F.size("matches") == 0).select("key", "text", F.array().cast(changed.schema["entities"].dataType).alias("entities"), *others)
-    return changed.unionByName(same).select(F.col("key").alias(key), F.col("text").alias(text), "entities", *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)])
+    return changed.unionByName(same).select(F.col("key").alias(key), F.col("text").alias(text), F.col("entities").alias(entities), *[F.col(f"kept{i}").alias(c) for i, c in enumerate(keep)])

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, map_batches, ship
+from .common import checkpointed, free_name, map_batches, ship
 from .components import components
 
 BINS, BANDS = 64, 16
@@ -126,34 +126,38 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
 def spanning(sets: list[np.ndarray], labels: np.ndarray, similarity: float) -> list[tuple[int, int]]:
     """Edges between similar sets that connect, with equal labels as connections, all that similar pairs connect."""
     size = np.array([len(s) for s in sets])
-    mates = {label: np.flatnonzero(labels == label) for label in np.unique(labels).tolist()}
-    left, indexed, edges = np.ones(len(sets), bool), np.zeros(0, np.int64), []
+    by_label = np.argsort(labels, kind="stable")
+    bounds = np.flatnonzero(np.concatenate([[True], labels[by_label][1:] != labels[by_label][:-1], [True]]))
+    place = np.searchsorted(labels[by_label][bounds[:-1]], labels)
+    mates = lambda node: by_label[bounds[place[node]] : bounds[place[node] + 1]]
+    left, n_left, indexed, edges = np.ones(len(sets), bool), len(sets), np.zeros(0, np.int64), []
     lists, starts, owner = None, None, None
     for first in range(len(sets)):
         if not left[first]:
             continue
-        queue = mates[labels[first].item()].tolist()
+        queue = mates(first).tolist()
         left[queue] = False
-        while queue and left.any():
-            if lists is None or 2 * left.sum() <= len(indexed):  # inverted lists of what is unreached
+        n_left -= len(queue)
+        while queue and n_left:
+            if lists is None or 2 * n_left <= len(indexed):  # inverted lists of what is unreached
                 indexed = np.flatnonzero(left)
                 values = np.concatenate([sets[i] for i in indexed])
                 order = np.argsort(values, kind="stable")
-                owner = np.repeat(np.arange(len(indexed)), size[indexed])[order]
+                owner = np.repeat(indexed, size[indexed])[order]
                 lists, starts = np.unique(values[order], return_index=True)
                 starts = np.append(starts, len(values))
             node = queue.pop()
             at = np.searchsorted(lists, sets[node])
             at = at[(at < len(lists)) & (lists[np.minimum(at, len(lists) - 1)] == sets[node])] if len(lists) else at[:0]
             n = starts[at + 1] - starts[at]
-            inside = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())
-            common = np.bincount(owner[inside], minlength=len(indexed))
-            similar = left[indexed] & (common >= similarity * (size[node] + size[indexed] - common))
-            for other in indexed[similar].tolist():
+            inside = owner[np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            others, common = np.unique(inside[left[inside]], return_counts=True)  # only nodes that share a shingle are looked at
+            for other in others[common >= similarity * (size[node] + size[others] - common)].tolist():
                 edges.append((node, other))
                 if left[other]:
-                    reached = mates[labels[other].item()]
+                    reached = mates(other)
                     left[reached] = False
+                    n_left -= len(reached)
                     queue += reached.tolist()
     return edges
 
@@ -266,9 +270,10 @@ def kept_rows(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
     if shared.isEmpty():
         others = groups(docs, key=key, **options).filter(F.col(key) != F.col("component")).select(key)
         return docs.join(others, key, "left_anti").select(docs.columns)
-    rows = docs.withColumn("_row", F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), F.xxhash64(text).alias("hash")))
-    others = checkpointed(groups(rows, key="_row", **options).filter("_row <> component").select("_row"))
-    left = rows.join(others, "_row", "left_anti")
-    repeated = checkpointed(left.groupBy("_row").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_row"))
-    once = left.join(repeated, "_row", "left_semi").dropDuplicates(["_row"])
-    return left.join(repeated, "_row", "left_anti").unionByName(once).select(docs.columns)
+    row = free_name(docs, "_row")
+    rows = docs.withColumn(row, F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), F.xxhash64(text).alias("hash")))
+    others = checkpointed(groups(rows, key=row, **options).filter(F.col(row) != F.col("component")).select(row))
+    left = rows.join(others, row, "left_anti")
+    repeated = checkpointed(left.groupBy(row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(row))
+    once = left.join(repeated, row, "left_semi").dropDuplicates([row])
+    return left.join(repeated, row, "left_anti").unionByName(once).select(docs.columns)
