@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftspark.llm import bpe, decontam, pii, quality, queries, similar
-from driftspark.llm.common import checkpointed, table
+from driftspark.llm.common import checkpointed, free_name, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -33,7 +33,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def replace_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with surrogates for personal data; ``n_chars`` is that of the new text."""
     others = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    found = pii.pseudonymise(docs, queries.PII_KEY, keep=others)
+    found = pii.pseudonymise(docs, queries.PII_KEY, keep=others, entities=free_name(docs, "entities"))
     if "n_chars" in others:
         found = found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return found.select(docs.columns)
