@@ -1,14 +1,16 @@
 """Audit of how the sources of a language differ in their words, by DataFrame operations only.
 
-Terms are maximal runs of letters A-Z, a-z and non-ASCII characters, of which A-Z are lower-cased. A language keeps the
+Terms are maximal runs of letters A-Z, a-z and non-ASCII characters, of which A-Z are lower-cased; they are found by
+splitting at what stands between them, as a list of matches copies its text once a match. A language keeps the
 terms that at least ``least`` of its documents hold. A group (a source within a language) or a whole language gives each
 kept term a smoothed share p = 1 + floor(10^9 (count + 1) / (N + V)): N is its count of all kept terms, V their number.
 The divergence of p from q at a term is floor((p - q)^2 / q).
 
-Matches are exploded, once as occurrences and once as the distinct ones of their document, and counted by group and
+Terms are exploded, once as occurrences and once as the distinct ones of their document, and counted by group and
 term within each task before they are shuffled. Groups are crossed with their language's kept terms, so that absent terms
 count as zero; that table is joined to itself by language and term and summed (pairs of sources), or compared with the
-language's shares (terms), and ranked.
+language's shares (terms), and ranked. Kept terms, in the order of their bytes, and groups have numbers, so that these
+tables hold and compare no strings.
 
 Joins by language alone would put a language in one task; there the smaller side is repeated ``SALTS`` times and the terms
 of a language are dealt to as many keys. The table of shares has groups x terms rows, and the pairs of sources within a
@@ -29,14 +31,14 @@ from pyspark.sql.window import Window
 
 from .common import saved
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between two terms.
+BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 LEAST, RANKS, SALTS = 3, 200, 64
 
 
 def terms(text: Column) -> Column:
-    """All terms of a text, in order."""
-    lowered = lambda w: F.when(F.lower(w) == w, w).otherwise(F.translate(w, string.ascii_uppercase, string.ascii_lowercase))
-    return F.transform(F.regexp_extract_all(text, F.lit(TERM), 0), lowered)
+    """All terms of a text, in order, and empty strings at its ends; the matches are what their complement splits."""
+    return F.split(F.translate(text, string.ascii_uppercase, string.ascii_lowercase), BETWEEN)
 
 
 def counted(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
@@ -44,7 +46,7 @@ def counted(docs: DataFrame, text: str, lang: str, source: str) -> DataFrame:
     key = [_key(lang).alias("lang"), _key(source).alias("source")]
     found = docs.select(*key, terms(F.coalesce(F.col(text), F.lit(""))).alias("terms"))
     found = found.select("lang", "source", F.posexplode(F.array("terms", F.array_distinct("terms"))).alias("kind", "terms"))
-    found = found.select("lang", "source", "kind", F.explode("terms").alias("term"))
+    found = found.select("lang", "source", "kind", F.explode("terms").alias("term")).filter("term <> ''")
     return found.groupBy("lang", "source", "term").agg(F.count_if(F.col("kind") == 0).alias("n"), F.count_if(F.col("kind") == 1).alias("docs"))
 
 
@@ -68,17 +70,20 @@ def _divergence(p: str, q: str) -> Column:
     return F.expr(f"(({p} - {q}) * ({p} - {q})) div {q}")
 
 
-def shares(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(groups, shares): lang, source, v of each group; lang, term, source, n, p and the language's q of each group and kept term."""
+def shares(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(groups, kept, shares): g, lang, source, v of each group; t, lang, term of each kept term, numbered in the order of
+    its bytes; and t, g, n, p and the language's q of each group and kept term."""
     counts = saved(counted(docs, text, lang, source))
-    kept = saved(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least).drop("docs"))
-    own = saved(counts.join(kept, ["lang", "term"], "left_semi").select("lang", "source", "term", "n"))
-    of_lang = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("v"))
-    of_group = own.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    kept = counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs")).filter(F.col("docs") >= least).drop("docs")
+    kept = saved(kept.repartitionByRange("lang", "term").sortWithinPartitions("lang", "term").withColumn("t", F.monotonically_increasing_id()))
     groups = docs.select(_key(lang).alias("lang"), _key(source).alias("source")).distinct()
-    groups = saved(groups.join(of_group, ["lang", "source"], "left").join(of_lang, "lang", "left").na.fill(0, ["total", "lang_total", "v"]))
-    dense = kept.withColumn("salt", _salt("term")).join(_repeated(groups), ["lang", "salt"]).drop("salt").join(own, ["lang", "term", "source"], "left").na.fill(0, ["n"])
-    return groups, saved(dense.select("lang", "term", "source", "n", _share("n", "total").alias("p"), _share("lang_n", "lang_total").alias("q")))
+    numbers = saved(groups.withColumn("g", F.monotonically_increasing_id()))
+    own = saved(counts.join(kept.select("lang", "term", "t"), ["lang", "term"]).join(numbers, ["lang", "source"]).select("t", "g", "n"))
+    of_lang = kept.groupBy("lang").agg(F.sum("lang_n").alias("lang_total"), F.count(F.lit(1)).alias("v"))
+    groups = numbers.join(own.groupBy("g").agg(F.sum("n").alias("total")), "g", "left").join(of_lang, "lang", "left").na.fill(0, ["total", "lang_total", "v"])
+    groups = saved(groups)
+    dense = kept.select("t", "lang", "lang_n", _salt("t")).join(_repeated(groups), ["lang", "salt"]).join(own, ["t", "g"], "left").na.fill(0, ["n"])
+    return groups, kept, saved(dense.select("t", "g", "n", _share("n", "total").alias("p"), _share("lang_n", "lang_total").alias("q")))
 
 
 def divergence(docs: DataFrame, *, text: str = "text", lang: str = "lang", source: str = "source", least: int = LEAST, ranks: int = RANKS) -> DataFrame:
@@ -86,13 +91,17 @@ def divergence(docs: DataFrame, *, text: str = "text", lang: str = "lang", sourc
 
     ``pair``: every other source of the language. ``term``: the ``ranks`` terms that the group overuses most.
     """
-    groups, dense = shares(docs, text=text, lang=lang, source=source, least=least)
-    other = dense.select("lang", "term", F.col("source").alias("item"), F.col("p").alias("other_p"))
-    pairs = dense.select("lang", "term", "source", "p").join(other, ["lang", "term"]).filter("source <> item").groupBy("lang", "source", "item").agg(F.sum(_divergence("p", "other_p")).alias("value"))
-    bare = groups.filter("v = 0").select("lang", "source")
-    empty = bare.withColumn("salt", _salt("source")).join(_repeated(bare.withColumnRenamed("source", "item")), ["lang", "salt"]).filter("source <> item")
-    pairs = pairs.unionByName(empty.select("lang", "source", "item", F.lit(0).cast("long").alias("value"))).withColumn("part", F.lit("pair"))
-    over = dense.filter("n > 0 AND p > q").select("lang", "source", F.col("term").alias("item"), _divergence("p", "q").alias("value"), F.lit("term").alias("part"))
-    in_order = Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")
-    over = over.withColumn("rank", F.row_number().over(in_order)).filter(F.col("rank") <= ranks)
-    return pairs.withColumn("rank", F.row_number().over(in_order)).unionByName(over).select("lang", "source", "part", "item", "value", "rank")
+    groups, kept, dense = shares(docs, text=text, lang=lang, source=source, least=least)
+    other = dense.select("t", F.col("g").alias("h"), F.col("p").alias("other_p"))
+    pairs = dense.select("t", "g", "p").join(other, "t").filter("g <> h").groupBy("g", "h").agg(F.sum(_divergence("p", "other_p")).alias("value"))
+    bare = groups.filter("v = 0").select("lang", "g")
+    empty = bare.withColumn("salt", _salt("g")).join(_repeated(bare.withColumnRenamed("g", "h")), ["lang", "salt"]).filter("g <> h")
+    pairs = pairs.unionByName(empty.select("g", "h", F.lit(0).cast("long").alias("value")))
+    names = groups.select("g", "lang", "source")
+    pairs = pairs.join(names, "g").join(names.select(F.col("g").alias("h"), F.col("source").alias("item")), "h")
+    pairs = pairs.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("value"), "item")))
+    over = dense.filter("n > 0 AND p > q").select("g", "t", _divergence("p", "q").alias("value"))
+    over = over.withColumn("rank", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("value"), "t"))).filter(F.col("rank") <= ranks)
+    over = over.join(names, "g").join(kept.select("t", F.col("term").alias("item")), "t")
+    row = lambda df, part: df.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
+    return row(pairs, "pair").unionByName(row(over, "term"))
