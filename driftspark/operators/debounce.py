@@ -27,20 +27,47 @@ def step(stable: Column, candidate: Column, consecutive: Column, raw: Column, th
     )
 
 
-def replay(observed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The state of each (repo_id, file_path) after its last run, from all runs (seq, raw); gaps in seq start anew.
+def _scanned(observed: DataFrame, order: str, threshold: int) -> DataFrame:
+    """Adds the state after each observation, as a segmented scan.
+
+    ``observed`` has repo_id, file_path, ``order`` (a gap starts a new segment), raw, and the state before a file's first
+    observation: s_stable, s_candidate, s_consecutive, where ``s_follows``.
 
-    A file's history is one value, folded in order: as many entries as there are snapshots.
+    A segment falls into islands of equal observations. In an island that differs from the stable cluster the count runs from
+    1, as the candidate before was another one; so an island as long as the threshold, like a segment's first one, makes its
+    value stable for what follows, and no other does. A file's rows are sorted and streamed, not collected.
     """
-    history = observed.groupBy("repo_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("seq", F.col("raw").cast("long").alias("raw")))).alias("h"))
+    file = Window.partitionBy("repo_id", "file_path").orderBy(order)
+    begins = F.coalesce(F.col(order) != F.lag(order).over(file) + 1, F.lit(True))
+    found = observed.withColumn("begins", begins).withColumn("turns", F.col("begins") | (F.col("raw") != F.lag("raw").over(file)))
+    found = found.withColumn("segment", F.sum(F.col("begins").cast("int")).over(file)).withColumn("island", F.sum(F.col("turns").cast("int")).over(file))
+    within = Window.partitionBy("repo_id", "file_path", "island").orderBy(order)
+    found = found.withColumn("k", F.row_number().over(within).cast("long")).withColumn("ends", F.coalesce(F.lead("turns").over(file), F.lit(True)))
+    follows = F.col("s_follows") & (F.col("segment") == 1) & F.col("s_stable").isNotNull()
+    # the state before counts on in the first island
+    counts_on = follows & (F.col("island") == 1) & (F.col("raw") == F.col("s_candidate"))
+    found = found.withColumn("follows", follows).withColumn("k", F.col("k") + F.when(counts_on, F.col("s_consecutive")).otherwise(0))
+    segment = Window.partitionBy("repo_id", "file_path", "segment").orderBy(order)
+    found = found.withColumn("opens", (F.min("island").over(segment) == F.col("island")) & ~F.col("follows"))
+    made = F.when(F.col("ends") & (F.col("opens") | (F.col("k") >= threshold)), F.col("raw"))
+    before = F.last(made, ignorenulls=True).over(segment.rowsBetween(Window.unboundedPreceding, -1))
+    found = found.withColumn("before", F.coalesce(before, F.when(F.col("follows"), F.col("s_stable"))))
+    settled = F.col("opens") | (F.col("raw") == F.col("before")) | (F.col("k") >= threshold)
+    state = {"stable": F.when(settled, F.col("raw")).otherwise(F.col("before")), "candidate": F.col("raw"), "consecutive": F.when(settled, F.lit(0)).otherwise(F.col("k"))}
+    return found.select(*observed.columns, *[c.cast("long").alias(name) for name, c in state.items()])
+
+
+def _without_state(observed: DataFrame) -> DataFrame:
     none = F.lit(None).cast("long")
-    start = F.struct(none.alias("stable"), none.alias("candidate"), none.alias("consecutive"), none.alias("seq"))
+    return observed.select("*", none.alias("s_stable"), none.alias("s_candidate"), none.alias("s_consecutive"), F.lit(False).alias("s_follows"))
 
-    def fold(s: Column, x: Column) -> Column:
-        after = step(F.when(x.seq == s.seq + 1, s.stable), s.candidate, s.consecutive, x.raw, threshold)
-        return F.struct(after.stable.alias("stable"), after.candidate.alias("candidate"), after.consecutive.alias("consecutive"), x.seq.cast("long").alias("seq"))
 
-    return history.select("repo_id", "file_path", F.aggregate("h", start, fold).alias("s")).select("repo_id", "file_path", "s.*")
+def replay(observed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """The state of each (repo_id, file_path) after its last run, from all runs (seq, raw); gaps in seq start anew."""
+    rows = observed.select("repo_id", "file_path", F.col("seq").cast("long").alias("seq"), F.col("raw").cast("long").alias("raw"))
+    states = _scanned(_without_state(rows), "seq", threshold)
+    last = states.groupBy("repo_id", "file_path").agg(F.max_by(F.struct("stable", "candidate", "consecutive", "seq"), "seq").alias("s"))
+    return last.select("repo_id", "file_path", "s.*")
 
 
 def stable_partition(observed: DataFrame, state: DataFrame | None = None, threshold: int = THRESHOLD) -> DataFrame:
@@ -50,23 +77,14 @@ def stable_partition(observed: DataFrame, state: DataFrame | None = None, thresh
     runs are the seqs that occur; a file that is missing from one starts anew.
     """
     runs = observed.select("repo_id", "seq").distinct().withColumn("run", F.row_number().over(Window.partitionBy("repo_id").orderBy("seq")))
-    history = observed.join(runs, ["repo_id", "seq"]).groupBy("repo_id", "file_path").agg(F.sort_array(F.collect_list(F.struct("run", "seq", F.col("raw").cast("long").alias("raw")))).alias("h"))
-    none = F.lit(None).cast("long")
+    rows = observed.join(runs, ["repo_id", "seq"]).select("repo_id", "seq", "file_path", F.col("raw").cast("long").alias("raw"), "run")
     if state is None:
-        started = history.select("*", none.alias("stable"), none.alias("candidate"), none.alias("consecutive"))
+        rows = _without_state(rows)
     else:
-        started = history.join(state.select("repo_id", "file_path", *[F.col(c).cast("long") for c in ("stable", "candidate", "consecutive")]), ["repo_id", "file_path"], "left")
-    kind = "array<struct<seq:bigint,run:bigint,stable:bigint,candidate:bigint,consecutive:bigint>>"
-    first = F.struct(F.lit(None).cast("long").alias("seq"), F.lit(0).cast("long").alias("run"), "stable", "candidate", "consecutive")
-
-    def fold(out: Column, x: Column) -> Column:
-        s = F.element_at(out, -1)
-        after = step(F.when(x.run == s.run + 1, s.stable), s.candidate, s.consecutive, x.raw, threshold)
-        new = F.struct(x.seq.cast("long").alias("seq"), x.run.cast("long").alias("run"), after.stable.alias("stable"), after.candidate.alias("candidate"), after.consecutive.alias("consecutive"))
-        return F.concat(out, F.array(new))
-
-    states = F.aggregate("h", F.array(first).cast(kind), fold)
-    return started.select("repo_id", "file_path", F.explode(F.slice(states, 2, F.size("h"))).alias("s")).select("repo_id", "s.seq", "file_path", "s.stable", "s.candidate", "s.consecutive")
+        before = state.select("repo_id", "file_path", *[F.col(c).cast("long").alias(f"s_{c}") for c in ("stable", "candidate", "consecutive")])
+        first = F.min("run").over(Window.partitionBy("repo_id", "file_path"))
+        rows = rows.join(before, ["repo_id", "file_path"], "left").withColumn("s_follows", first == 1)
+    return _scanned(rows, "run", threshold).select("repo_id", "file_path", "seq", "stable", "candidate", "consecutive")
 
 
 def advance(state: DataFrame, observed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 
 from .. import parsers
 from ..functions import files, globs, shapes
-from ..operators import catalog, debounce, divergence, graph, intent, leiden, resolve
+from ..operators import catalog, communities, debounce, divergence, graph, intent, leiden, reach, resolve
 from ..shared import shared_folder
 from ..sources import settings, store, tables
 from ..sources.trees import EXCLUDED
@@ -471,7 +471,19 @@ far(v, w, d) AS (SELECT DISTINCT src, src, 0 FROM edges UNION SELECT f.v, e.dst,
 SELECT (SELECT count(DISTINCT m) FROM (SELECT v, min(w) AS m FROM reach GROUP BY v)) AS component_count, (SELECT CAST(max(d) AS BIGINT) FROM (SELECT v, w, min(d) AS d FROM far GROUP BY v, w)) AS max_depth""")
 def components_and_depth(spark, sf_dir):
     vertices, edges = tables.sparse(spark, sf_dir)
-    return graph.structure(vertices, edges).select("component_count", "max_depth")
+    return graph.structure(vertices, edges, one_task=0).select("component_count", "max_depth")
+
+
+@query("""WITH RECURSIVE links AS (
+  SELECT * FROM (SELECT l_suppkey AS src, min(l_partkey) * 7919 % (SELECT max(s_suppkey) FROM supplier) + 1 AS dst FROM lineitem GROUP BY l_suppkey) WHERE src <> dst
+), reach(v, w) AS (SELECT src, dst FROM links UNION SELECT r.v, e.dst FROM reach r JOIN links e ON e.src = r.w)
+SELECT printf('s%06d', v) AS file_path, printf('s%06d', max(w)) AS component FROM reach WHERE (w, v) IN (SELECT v, w FROM reach) GROUP BY v HAVING count(*) > 1""")
+def strong_components(spark, sf_dir):
+    """The suppliers that lie on cycles of links, and the last of each one's component."""
+    names, links = reach.as_numbers(*tables.pointers(spark, sf_dir))
+    named = names.select("v", "file_path")
+    found = reach.strong_components(links).join(named, "v")
+    return found.join(named.select(F.col("v").alias("component"), F.col("file_path").alias("last")), "component").select("file_path", F.col("last").alias("component"))
 
 
 EVENT_EDGES = "edges AS (SELECT DISTINCT src, dst FROM (SELECT event_type AS src, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS dst FROM events) WHERE dst IS NOT NULL AND src <> dst)"
@@ -484,7 +496,7 @@ CYCLES = f"""RECURSIVE {EVENT_EDGES}, paths(first, last, seen) AS (
 @query(f"WITH {CYCLES} SELECT 'events' AS repo_id, cycle_count, false AS cycle_count_capped FROM cycles")
 def cycle_count(spark, sf_dir):
     vertices, edges = tables.transitions(spark, sf_dir)
-    return graph.cycles(vertices, edges).select("repo_id", "cycle_count", "cycle_count_capped")
+    return graph.cycles(vertices, edges, one_task=0).select("repo_id", "cycle_count", "cycle_count_capped")
 
 
 @query(f"""WITH {CYCLES}, n AS (SELECT count(DISTINCT event_type) AS n FROM events), m AS (SELECT count(*) AS m FROM edges), h AS (SELECT count(*) AS h FROM (SELECT dst FROM edges GROUP BY dst HAVING count(*) >= 3)),
@@ -494,7 +506,7 @@ SELECT (m / (n * (n - 1)) + h / n + least(1.0, cycle_count / greatest(1, n)) + l
 def coupling_composite(spark, sf_dir):
     vertices, edges = tables.transitions(spark, sf_dir)
     key = ["repo_id", "seq"]
-    metrics = graph.density(vertices, edges).join(graph.hubs(vertices, edges), key).join(graph.whole_graph(vertices, edges), key)
+    metrics = graph.density(vertices, edges).join(graph.hubs(vertices, edges), key).join(graph.whole_graph(vertices, edges, one_task=0), key)
     return divergence.coupling(metrics).select("coupling_topology")
 
 
@@ -607,7 +619,7 @@ def leiden_partition(spark, sf_dir):
 @query("SELECT printf('s%06d', s_suppkey) AS file_path, printf('s%06d', min(s_suppkey) OVER (PARTITION BY s_nationkey)) AS first_of_cluster FROM supplier")
 def leiden_planted(spark, sf_dir):
     """Suppliers linked within their nation: the communities are the nations; each is named by its first member."""
-    found = leiden.communities(*tables.planted(spark, sf_dir))
+    found = communities.communities(*tables.planted(spark, sf_dir))
     first = F.min("file_path").over(Window.partitionBy("repo_id", "seq", "cluster"))
     return found.select("file_path", first.alias("first_of_cluster"))
 
@@ -626,7 +638,18 @@ def leiden_labels(spark, sf_dir):
     """Communities take over the labels that they had in the run before."""
     vertices, edges = tables.planted(spark, sf_dir)
     nation = tables.read(spark, sf_dir, "supplier").select(F.format_string("s%06d", "s_suppkey").alias("file_path"), (F.col("s_nationkey") + 100).cast("long").alias("before"))
-    return leiden.communities(vertices.join(nation, "file_path"), edges).select("file_path", "cluster")
+    return communities.communities(vertices.join(nation, "file_path"), edges).select("file_path", "cluster")
+
+
+@query("""WITH s AS (SELECT s_suppkey, s_nationkey, min(s_suppkey) OVER (PARTITION BY s_nationkey) AS hub FROM supplier), e AS (SELECT * FROM s WHERE s_suppkey <> hub),
+n AS (SELECT count(*) AS k FROM e GROUP BY s_nationkey), m AS (SELECT count(*) AS m FROM e)
+SELECT CAST(m AS BIGINT) AS edges, round(1 - (SELECT sum(k * k) FROM n) / (m * m), 9) AS modularity FROM m""")
+def communities_quality(spark, sf_dir):
+    """The quality of the communities that are found among suppliers linked within their nation: that of the nations."""
+    vertices, edges = tables.planted(spark, sf_dir)
+    quality = leiden.modularity(edges, communities.communities(vertices, edges))
+    m = edges.agg(F.count(F.lit(1)).alias("edges"))
+    return m.join(quality, F.lit(True), "left").select("edges", F.round("modularity", 9).alias("modularity"))
 
 
 SOURCES = {
@@ -751,15 +774,16 @@ def stable_partition(spark, sf_dir):
 
 @query(ORACLES["debounce_replay"])
 def streaming_debounce(spark, sf_dir):
-    """The same states by a stream of observations: keyed state, until all that is there is read."""
+    """The same states by a stream whose runs come in three parts, out of order, and which starts again for each part."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     observed = _observed(spark, sf_dir)
-    observed.write.parquet(f"{folder}/in")
-    stream = streaming.debounced(spark.readStream.schema(observed.schema).parquet(f"{folder}/in"))
-    keep = lambda batch, number: batch.write.mode("append").parquet(f"{folder}/out")
-    stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
+    for part in range(3):
+        observed.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == part).write.mode("append").parquet(f"{folder}/in")
+        stream = streaming.debounced(spark.readStream.schema(observed.schema).parquet(f"{folder}/in"))
+        stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     found = spark.read.parquet(f"{folder}/out")
-    return found.groupBy("repo_id", "file_path").agg(F.max_by(F.struct("stable", "candidate", "consecutive", "seq"), "seq").alias("s")).select("repo_id", "file_path", "s.*")
+    return found.groupBy("repo_id", "file_path").agg(F.max_by(F.struct("stable", "candidate", "consecutive", "seq"), "batch").alias("s")).select("repo_id", "file_path", "s.*")
 
 
 @query(f"""WITH {INST}, {BY_LANGUAGE} SELECT repo_id, seq, language, pattern_entropy, CAST(row_number() OVER (PARTITION BY repo_id, seq ORDER BY pattern_entropy DESC, language) AS INTEGER) AS place FROM by_language""")

@@ -63,6 +63,17 @@ def sparse(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return supplier.select(F.lit("suppliers").alias("repo_id"), F.lit(0).cast("long").alias("seq"), F.col("k").cast("string").alias("file_path")), edges
 
 
+def pointers(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """(vertices, edges): suppliers, each linked to the one whose number is taken from the first of the parts that it sold."""
+    supplier = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"))
+    top = supplier.agg(F.max("k").alias("top"))
+    key = [F.lit("suppliers").alias("repo_id"), F.lit(0).cast("long").alias("seq")]
+    name = lambda c: F.format_string("s%06d", c)
+    first = read(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.min("l_partkey").alias("part"))
+    edges = first.join(F.broadcast(top)).select(*key, name(F.col("l_suppkey")).alias("src"), name(F.col("part") * 7919 % F.col("top") + 1).alias("dst"))
+    return supplier.select(*key, name(F.col("k")).alias("file_path")), edges.filter("src <> dst")
+
+
 def planted(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """(vertices, edges): suppliers, each linked to the least one of its nation; the nations are the communities."""
     supplier = read(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")

@@ -1,6 +1,16 @@
-"""Debounced clusters over a stream of observations.
+"""Debounced clusters over a stream of observations that may come out of order.
 
-Each micro-batch holds the runs that came in; they are folded, in order of ``seq``, into the state kept for every file.
+Every file is a key with state of its own: what is settled (the debounced state after a run whose predecessors are all
+known), and a list of runs that wait for theirs. A run that follows the settled one is settled at once, and so is what waits
+behind it. A run further on waits; so do the runs of a file of which nothing is settled yet, unless they begin with
+``first``. What comes out after each batch is the state over all that is known, as if nothing were missing: the
+waiting runs are folded in their order, gaps start anew, but nothing of that is kept. So a file's last output equals what
+all its runs give in one batch, in whatever order they came.
+
+After ``patience`` the runs that wait are settled, gaps and all, by a timer; an older run that comes later than that is
+left out. A file that is not heard of for ``forget`` is dropped, by a timer too, and starts anew. Time is that of column
+``at``, where the stream has one, and of arrival otherwise. (Timers of the machine's clock would keep a stream that is to
+end with its input running for ever.)
 """
 
 from __future__ import annotations
@@ -9,16 +19,20 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.debounce import THRESHOLD
 from ..shipping import ship
 
 STATE = "stable long, candidate long, consecutive long, seq long"
 OUTPUT = f"repo_id string, file_path string, {STATE}"
+STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+PATIENCE_MS = 24 * 3600 * 1000
+State = tuple[int, int, int, int]
 
 
-def after(state: tuple[int, int, int, int] | None, seq: int, raw: int, threshold: int) -> tuple[int, int, int, int]:
+def after(state: State | None, seq: int, raw: int, threshold: int) -> State:
     """The state after one observation; a gap in ``seq`` starts anew."""
     if state is None or state[3] + 1 != seq:
         return raw, raw, 0, seq
@@ -29,16 +43,83 @@ def after(state: tuple[int, int, int, int] | None, seq: int, raw: int, threshold
     return (raw, raw, 0, seq) if n >= threshold else (stable, raw, n, seq)
 
 
-def debounced(observed: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """The latest state of each file seen in a batch, from a stream of (repo_id, file_path, seq, raw)."""
+def settle(state: State | None, waiting: dict[int, int], threshold: int, first: int | None = None, all_of_it: bool = False) -> tuple[State | None, dict[int, int]]:
+    """The settled state and what still waits: runs are settled as long as they follow, or ``all_of_it``."""
+    left = dict(sorted((s, r) for s, r in waiting.items() if state is None or s > state[3]))
+    for seq, raw in list(left.items()):
+        if not all_of_it and seq != (first if state is None else state[3] + 1):
+            break
+        state = after(state, seq, raw, threshold)
+        del left[seq]
+    return state, left
+
+
+class Debounce(StatefulProcessor):
+    """The state of one file: what is settled, the runs that wait for their predecessors, and since when."""
+
+    def __init__(self, threshold: int, first: int | None, patience_ms: int, forget_ms: int | None) -> None:
+        self.threshold, self.first, self.patience, self.forget = threshold, first, patience_ms, forget_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.settled = handle.getValueState("settled", STATE)
+        self.waiting = handle.getListState("waiting", "seq long, raw long")
+        self.times = handle.getValueState("times", "seen long, since long")
+
+    def _known(self) -> tuple[State | None, dict[int, int]]:
+        found = self.settled.get() if self.settled.exists() else None
+        waiting = {int(s): int(r) for s, r in self.waiting.get()} if self.waiting.exists() else {}
+        return (tuple(int(x) for x in found) if found else None), waiting
+
+    def _keep(self, state: State | None, waiting: dict[int, int]) -> None:
+        if state:
+            self.settled.update(state)
+        self.waiting.put(list(waiting.items())) if waiting else self.waiting.clear()
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        state, waiting = self._known()
+        waited, seen = bool(waiting), 0
+        for batch in rows:
+            seen = max(seen, int(batch.ms.max()))
+            for seq, raw in zip(batch.seq.tolist(), batch.raw.tolist(), strict=True):
+                waiting.setdefault(seq, raw)
+        state, waiting = settle(state, waiting, self.threshold, self.first)
+        self._keep(state, waiting)
+        since = int(self.times.get()[1]) if waited and self.times.exists() else seen
+        self.times.update((seen, since))
+        if waiting and not waited:
+            self.handle.registerTimer(seen + self.patience)
+        if self.forget is not None:
+            self.handle.registerTimer(seen + self.forget)
+        shown, _ = settle(state, waiting, self.threshold, all_of_it=True)
+        if shown:
+            yield pd.DataFrame([(*key, *shown)], columns=["repo_id", "file_path", "stable", "candidate", "consecutive", "seq"])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        now = int(expiredTimerInfo.getExpiryTimeInMs())
+        seen, since = (int(x) for x in self.times.get()) if self.times.exists() else (0, 0)
+        state, waiting = self._known()
+        if waiting and since + self.patience <= now:
+            self._keep(*settle(state, waiting, self.threshold, all_of_it=True))
+        if self.forget is not None and seen + self.forget <= now:
+            for kept in (self.settled, self.waiting, self.times):
+                kept.clear()
+        yield from ()
+
+    def close(self) -> None:
+        pass
+
 
-    def fold(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        current = tuple(state.get) if state.exists else None
-        rows = pd.concat(list(batches)).sort_values("seq")
-        for seq, raw in zip(rows.seq.tolist(), rows.raw.tolist(), strict=True):
-            current = after(current, seq, raw, threshold)
-        state.update(current)
-        yield pd.DataFrame([(*key, *current)], columns=["repo_id", "file_path", "stable", "candidate", "consecutive", "seq"])
+def debounced(observed: DataFrame, threshold: int = THRESHOLD, *, first: int | None = None, patience_ms: int = PATIENCE_MS, forget_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
+    """The latest state of each file seen in a batch, from a stream of (repo_id, file_path, seq, raw), and maybe at.
 
+    Of repeated runs the one that came first counts; rows of times more than ``delay`` before the latest ones are left out.
+    The session's state store is set to RocksDB, which this needs.
+    """
     ship(observed.sparkSession)
-    return observed.groupBy("repo_id", "file_path").applyInPandasWithState(fold, OUTPUT, STATE, "update", GroupStateTimeout.NoTimeout)
+    observed.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
+    time = F.col("at") if "at" in observed.columns else F.current_timestamp()
+    rows = observed.withColumn("at", time).withWatermark("at", delay)
+    rows = rows.select("repo_id", "file_path", F.col("seq").cast("long").alias("seq"), F.col("raw").cast("long").alias("raw"), "at", F.unix_millis("at").alias("ms"))
+    processor = Debounce(threshold, first, patience_ms, forget_ms)
+    return rows.groupBy("repo_id", "file_path").transformWithStateInPandas(processor, OUTPUT, "update", "eventTime")
