@@ -7,7 +7,6 @@ import re
 import tempfile
 import uuid
 from collections.abc import Callable
-from datetime import UTC, datetime
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,7 +17,7 @@ from .. import parsers
 from ..functions import files, globs, shapes
 from ..operators import catalog, communities, debounce, divergence, graph, intent, leiden, reach, resolve
 from ..shared import shared_folder
-from ..sources import settings, store, tables
+from ..sources import settings, snapshots, store, tables
 from ..sources.trees import EXCLUDED
 from ..streaming import debounce as streaming
 
@@ -796,11 +795,13 @@ def languages_by_entropy(spark, sf_dir):
 SELECT CAST(r - greatest(n - 8, 0) AS BIGINT) AS seq, CAST(seq AS VARCHAR) AS commit_sha, pattern_entropy, convention_drift FROM m WHERE r > n - 8""")
 def snapshot_store(spark, sf_dir):
     """Each week's measures written as a snapshot file, the oldest beyond eight removed, and all read as one table."""
-    folder = Path(tempfile.mkdtemp())  # a repository's own folder, on the driver
-    for r in _measures(spark, sf_dir).orderBy("seq").collect():  # a row for each week
-        stamp = datetime.fromtimestamp(r.seq * 7 * 86400, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-        store.write(folder, {"timestamp": stamp, "commit_sha": str(r.seq), "divergence": {d: r[d] for d in TWO}}, 8)
-    return store.read(spark, folder).select("seq", "commit_sha", "divergence.pattern_entropy", "divergence.convention_drift")
+    folder = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    day = F.date_add(F.lit("1970-01-01").cast("date"), (F.col("seq") * 7).cast("int")).cast("string")
+    stamp = F.concat(day, F.lit("T00:00:00Z")).alias("timestamp")
+    body = F.to_json(F.struct(stamp, F.col("seq").cast("string").alias("commit_sha"), F.struct(*TWO).alias("divergence"))).alias("body")
+    snapshots.write(_measures(spark, sf_dir).select(F.lit("events").alias("repo_id"), stamp, body), folder, retention=8)
+    found = snapshots.read(spark, folder).select("seq", F.from_json("body", store.SCHEMA).alias("s"))
+    return found.select("seq", "s.commit_sha", "s.divergence.pattern_entropy", "s.divergence.convention_drift")
 
 
 def _values(spark, rows: list[tuple]) -> DataFrame:
