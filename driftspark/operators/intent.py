@@ -1,8 +1,8 @@
 """Comparison of clusters with a declared module specification.
 
-The specification is a small, fixed table: ``modules`` (ord, name, prefix_ord, prefix, layer), ``allowed`` (from_module,
-to_module), ``layers`` (layer, rank). A file belongs to the first module, in file order, one of whose prefixes it starts
-with; that is a chain of conditions generated from the specification, so files are never joined to prefixes.
+The specification is a table: ``modules`` (ord, name, prefix_ord, prefix, layer), ``allowed`` (from_module, to_module),
+``layers`` (layer, rank). A file belongs to the first module, in file order, one of whose prefixes it starts with. Paths are
+cut at the lengths that prefixes have, and joined to them by equality, so the plan doesn't grow with the specification.
 """
 
 from __future__ import annotations
@@ -20,6 +20,16 @@ def module_of(path: Column, modules: list[tuple[str, list[str]]]) -> Column:
     return F.coalesce(*[F.when(path.startswith(p), F.lit(name)) for p, name in tests], F.lit(None).cast("string")) if tests else F.lit(None).cast("string")
 
 
+def with_modules(files: DataFrame, modules: list[tuple[str, list[str]]]) -> DataFrame:
+    """``files`` (file_path and others) with ``module``, the first one with a prefix of the path; null without one."""
+    prefixes = [(p, i, name) for i, (p, name) in enumerate((p, name) for name, own in modules for p in own)]
+    lengths = F.array(*[F.lit(n) for n in sorted({len(p) for p, _, _ in prefixes})]).cast("array<int>")
+    table = files.sparkSession.createDataFrame(prefixes, "prefix string, ord int, module string").groupBy("prefix").agg(F.min_by("module", "ord").alias("module"), F.min("ord").alias("ord"))
+    starts = F.transform(F.filter(lengths, lambda n: n <= F.length("file_path")), lambda n: F.substring(F.col("file_path"), F.lit(1), n))
+    found = files.select("file_path").distinct().select("file_path", F.explode(starts).alias("prefix")).join(table, "prefix")
+    return files.join(found.groupBy("file_path").agg(F.min_by("module", "ord").alias("module")), "file_path", "left").select(*files.columns, "module")
+
+
 def plurality(rows: DataFrame, group: list[str], value: str, order: str) -> DataFrame:
     """The most frequent non-null value of each group; ties go to the one that comes first by ``order``."""
     n = rows.filter(F.col(value).isNotNull()).groupBy(*group, value).agg(F.count(F.lit(1)).alias("_n"), F.min(order).alias("_first"))

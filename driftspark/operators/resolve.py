@@ -90,12 +90,14 @@ def best_match(imports: DataFrame, keys: DataFrame, candidates: Column, by: list
 
     ``keys`` has the columns ``by``, key and ``target``; of files that share a key the smallest counts.
     """
-    numbered = imports.withColumn("_id", F.monotonically_increasing_id())
     one = keys.groupBy(*by, "key").agg(F.min(target).alias("_dst"))
-    spread = numbered.select("*", F.explode_outer(candidates).alias("_c")).withColumn("key", F.col("_c.key"))
+    # equal rows have equal targets: each is looked up once and repeated afterwards, so no row needs a number of its own
+    distinct = imports.groupBy(*imports.columns).agg(F.count(F.lit(1)).cast("int").alias("_n"))
+    spread = distinct.select("*", F.explode_outer(candidates).alias("_c")).withColumn("key", F.col("_c.key"))
     hit = spread.join(one, [*by, "key"], "left")
     order = F.when(F.col("_dst").isNotNull(), F.col("_c.priority"))
-    return hit.groupBy("_id", *imports.columns).agg(F.min_by("_dst", order).alias("dst")).drop("_id")
+    found = hit.groupBy(*imports.columns, "_n").agg(F.min_by("_dst", order).alias("dst"))
+    return found.select(*imports.columns, "dst", F.explode(F.array_repeat(F.lit(0), F.col("_n"))).alias("_i")).drop("_i")
 
 
 Aliases = list[tuple[str, list[str]]]

@@ -514,7 +514,7 @@ def coupling_composite(spark, sf_dir):
 
 def _members(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     _, _, edges, partition = _trade(spark, sf_dir)
-    members = partition.withColumn("module", intent.module_of(F.col("file_path"), tables.MODULES))
+    members = intent.with_modules(partition, tables.MODULES)
     return members, graph.inter_cluster_edges(edges, partition)
 
 

@@ -103,7 +103,7 @@ def run(files: DataFrame, settings: dict, spec: Specification | None = None, sta
     violations = crossing.select(*KEY, "count")
     parts = [_listed(crossing, "inter_cluster_edges", "source_cluster", "target_cluster", "count"), _mapped(graph.surface_area(edges, partition), "surface_area", F.col("cluster"), "surface_area")]
     if spec and spec.modules:
-        members = partition.withColumn("module", intent.module_of(F.col("file_path"), [(n, p) for n, p, _ in spec.modules]))
+        members = intent.with_modules(partition, [(n, p) for n, p, _ in spec.modules])
         pairs = intent.module_edges(crossing, intent.cluster_modules(members))
         allowed = session.createDataFrame(spec.allowed, "from_module string, to_module string")
         layers = session.createDataFrame([(n, x) for n, _, x in spec.modules if x], "module string, layer string")

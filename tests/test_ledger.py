@@ -58,6 +58,11 @@ def test_q11_first_module_by_plain_prefix(spark):
     paths = spark.createDataFrame([("billing_old/x",), ("billing/x",), ("none",)], "p string")
     got = [r.m for r in paths.select(intent.module_of(F.col("p"), [("a", ["bill"]), ("b", ["billing/"])]).alias("m")).collect()]
     assert got == ["a", "a", None]
+    joined = intent.with_modules(paths.withColumnRenamed("p", "file_path"), [("a", ["bill"]), ("b", ["billing/"])])
+    assert sorted(str(r.module) for r in joined.collect()) == sorted(map(str, got))
+    many = [(f"m{i}", [f"src/p{i}/", f"lib/p{i % 7}/"]) for i in range(1000)]
+    files = paths.sparkSession.createDataFrame([(f"{d}/p{i}/x",) for d in ("src", "lib", "etc") for i in (0, 3, 999)], "file_path string")
+    assert {r.file_path: r.module for r in intent.with_modules(files, many).collect()} == {"src/p0/x": "m0", "src/p3/x": "m3", "src/p999/x": "m999", "lib/p0/x": "m0", "lib/p3/x": "m3", "lib/p999/x": None, "etc/p0/x": None, "etc/p3/x": None, "etc/p999/x": None}
 
 
 def test_q12_plurality_ties_go_to_the_first_file(spark):
