@@ -85,6 +85,25 @@ def first_alias(path: Column, aliases: list[tuple[str, list[str]]]) -> Column:
     return out
 
 
+def aliased_paths(path: Column, rules: Column) -> Column:
+    """The same from a column of rules, an array of (pattern, targets): one expression for any number of repositories."""
+    starred = lambda x: F.instr(x, "*") > 0
+    before = lambda x: F.substring_index(x, "*", 1)
+    after = lambda x: F.substr(x, F.length(before(x)) + 2)
+
+    def fits(rule: Column) -> Column:
+        start, end = before(rule.pattern), after(rule.pattern)
+        around = path.startswith(start) & path.endswith(end) & (F.length(path) >= F.length(start) + F.length(end))
+        return F.when(starred(rule.pattern), around).otherwise(path == rule.pattern)
+
+    def targets(rule: Column) -> Column:
+        start = F.length(before(rule.pattern))
+        middle = F.substr(path, start + 1, F.length(path) - start - F.length(after(rule.pattern)))
+        return F.transform(rule.targets, lambda t: F.when(starred(rule.pattern) & starred(t), F.concat(before(t), middle, after(t))).otherwise(t))
+
+    return F.get(F.transform(F.slice(F.filter(rules, fits), 1, 1), targets), F.lit(0))
+
+
 def best_match(imports: DataFrame, keys: DataFrame, candidates: Column, by: list[str], target: str = "file_path") -> DataFrame:
     """``imports`` with ``dst``: the file of the first candidate (key, priority) that is a key; null without one.
 
@@ -133,9 +152,10 @@ def resolve(features: DataFrame, aliases: dict[str, Aliases] | None = None) -> D
     as_module = paths.select(*by, "file_path", F.concat(F.lit("module:"), module_key(F.col("file_path"))).alias("key")).filter("key IS NOT NULL")
     as_script = paths.filter(F.lower("file_path").rlike(SOURCE)).select(*by, "file_path", F.concat(F.lit("js:"), "file_path").alias("key"))
     imports = features.select(*by, F.col("file_path").alias("src"), "language", F.explode("imports").alias("import"))
-    aliased, bare = F.lit(None).cast("array<string>"), F.regexp_replace("import", "^type:", "")
-    for repo, own in (aliases or {}).items():
-        aliased = F.when(F.col("repo_id") == repo, first_alias(bare, own)).otherwise(aliased)
-    candidates = import_candidates(F.col("language"), F.col("import"), F.col("src"), aliased if aliases else None)
+    if aliases:
+        kind = "repo_id string, _rules array<struct<pattern: string, targets: array<string>>>"
+        rules = features.sparkSession.createDataFrame([(repo, own) for repo, own in aliases.items()], kind)
+        imports = imports.join(rules, "repo_id", "left").withColumn("_aliased", aliased_paths(F.regexp_replace("import", "^type:", ""), F.col("_rules"))).drop("_rules")
+    candidates = import_candidates(F.col("language"), F.col("import"), F.col("src"), F.col("_aliased") if aliases else None)
     found = best_match(imports, as_path.unionByName(as_module).unionByName(as_script), candidates, by)
     return found.select(*by, "src", "import", "dst")

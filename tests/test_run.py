@@ -132,6 +132,22 @@ def test_states_go_on_from_run_to_run(spark):
         state = spark.createDataFrame([("r", r.file_path, r.stable, r.candidate, r.consecutive) for r in after], cache.STATE)
 
 
+def test_aliases_as_a_table_equal_those_of_one_repository(spark):
+    rules = [("@/*", ["src/*", "alt/*"]), ("lib", ["lib/index.ts"]), ("*/end", ["e/*/x"]), ("a*c*d", ["k/*"]), ("@/only", ["never"]), ("p*", ["fixed", "q/*"])]
+    names = ["@/x", "@/y/z.ts", "lib", "q", "some/end", "/end", "end", "aXc*d", "ac*d", "@/only", "p", "pX", ""]
+    given = spark.createDataFrame([(n, rules) for n in names], "n string, r array<struct<pattern: string, targets: array<string>>>")
+    rows = given.select(resolve.first_alias(F.col("n"), rules).alias("a"), resolve.aliased_paths(F.col("n"), F.col("r")).alias("b")).collect()
+    assert [r.a for r in rows] == [r.b for r in rows] and sum(r.a is not None for r in rows) > 6
+
+
+def test_a_thousand_repositories_with_aliases_of_their_own(spark):
+    n = 1000
+    kind = "repo_id string, seq long, file_path string, language string, imports array<string>"
+    rows = [row for i in range(n) for row in ((f"r{i}", 0, "src/a.ts", "typescript", [f"@{i}/b"]), (f"r{i}", 0, f"own{i}/b.ts", "typescript", []))]
+    found = resolve.resolve(spark.createDataFrame(rows, kind), {f"r{i}": [(f"@{i}/*", [f"own{i}/*"])] for i in range(n)})
+    assert {(r.repo_id, r.dst) for r in found.collect()} == {(f"r{i}", f"own{i}/b.ts") for i in range(n)}
+
+
 def test_aliases_by_repository(spark):
     rows = [("a", 0, "src/x.ts", "typescript", ["@/y", "@/z.css", "type:@lib", "@/run"]), ("a", 0, "src/y.tsx", "typescript", []), ("a", 0, "lib/index.ts", "typescript", []), ("a", 0, "src/run", "shell", []), ("b", 0, "x.ts", "typescript", ["@/y"]), ("b", 0, "src/y.tsx", "typescript", [])]
     features = spark.createDataFrame(rows, "repo_id string, seq long, file_path string, language string, imports array<string>")
