@@ -45,7 +45,7 @@ def test_planted_communities_small_graphs_and_lone_vertices(spark):
 @pytest.mark.parametrize("gamma", [1.0, 2.0])
 def test_quality_is_within_a_hundredth_of_one_task(spark, gamma):
     rng = random.Random(8)
-    n, es = planted(rng, 8, 15, 3, 120)
+    n, es = planted(rng, 6, 12, 3, 60)
     vertices, edges = as_tables(spark, [("r", n, es, None)])
     vertices = vertices.drop("before")
     quality = lambda found: leiden.modularity(edges, found, gamma).first().modularity
