@@ -15,8 +15,9 @@ from pyspark.sql.window import Window
 
 from .. import parsers
 from ..functions import files, globs, shapes
-from ..operators import catalog, communities, debounce, divergence, graph, intent, leiden, reach, resolve
+from ..operators import catalog, communities, debounce, divergence, graph, intent, leiden, reach, resolve, subtrees
 from ..shared import shared_folder
+from ..sources import cache as features_cache
 from ..sources import settings, snapshots, store, tables
 from ..sources.trees import EXCLUDED
 from ..streaming import debounce as streaming
@@ -849,3 +850,52 @@ def boundary_spec(spark, sf_dir):
         bad = re.search(r"line \d+", str(e))[0]
     rows = [(n, f"{','.join(p)}|{layer}") for n, p, layer in spec.modules] + [("layers", f"{'>'.join(spec.layers)}|{spec.direction}"), ("allowed", ">".join(spec.allowed[0])), ("planned", f"{spec.splits[0][0]}>{','.join(spec.splits[0][1])}")]
     return _values(spark, rows + [("malformed", bad), ("absent", settings.specification(str(folder / "none.yaml")))] + [(k, ",".join(v)) for k, v in settings.aliases(str(folder))])
+
+
+# ---- subtrees of pages, the store of features ------------------------------------------------------------------------
+
+FORMS = r"""
+p AS (SELECT page_id, regexp_extract_all(regexp_replace(regexp_replace(html, '(?s)<!--.*?-->', '', 'g'), '(?s)(<(?:script|style)[^>]*>).*?(</(?:script|style)>)', '\1\2', 'g'), '<(/?[A-Za-z][A-Za-z0-9]*)', 1) AS tags FROM pages),
+x AS (SELECT page_id, lower(unnest(tags)) AS tag, CAST(generate_subscripts(tags, 1) - 1 AS INTEGER) AS pos FROM p),
+u AS (SELECT *, CASE WHEN ltrim(tag, '/') IN (LEAVES) THEN 0 WHEN starts_with(tag, '/') THEN -1 ELSE 1 END AS step FROM x),
+r AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY page_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS level FROM u),
+d AS (SELECT *, level - least(0, min(level) OVER (PARTITION BY page_id ORDER BY pos)) AS depth FROM r),
+n AS (SELECT page_id, pos, depth, tag FROM d WHERE NOT starts_with(tag, '/')),
+e AS (SELECT a.page_id, a.pos, a.depth, min(b.pos) AS stop FROM n a LEFT JOIN n b ON b.page_id = a.page_id AND b.pos > a.pos AND b.depth <= a.depth GROUP BY ALL),
+f AS (SELECT e.page_id, e.pos, e.depth, count(*) AS nodes, string_agg(n.depth - e.depth || ':' || n.tag, ',' ORDER BY n.pos) AS form
+  FROM e JOIN n ON n.page_id = e.page_id AND n.pos >= e.pos AND (e.stop IS NULL OR n.pos < e.stop) GROUP BY ALL)
+""".replace("LEAVES", ", ".join(f"'{x}'" for x in tables.LEAVES))
+
+
+@query(f"""WITH {FORMS}, c AS (SELECT form, min(nodes) AS nodes, count(*) AS occurrences, count(DISTINCT page_id) AS trees, min((page_id, pos)) AS first FROM f GROUP BY form)
+SELECT nodes, occurrences, trees, first[1] AS first_tree, first[2] AS first_at FROM c""")
+def subtree_classes(spark, sf_dir):
+    """Every form of a part of a page's tree: its size, how often it occurs, in how many pages, and where first."""
+    return subtrees.classes(subtrees.hashed(tables.page_nodes(spark, sf_dir))).drop("hash")
+
+
+@query(f"""WITH {FORMS}, c AS (SELECT form, count(*) AS occurrences FROM f WHERE nodes > 1 GROUP BY form HAVING count(*) > 1), g AS (SELECT f.*, occurrences FROM f JOIN c USING (form)),
+h AS (SELECT g.page_id, g.pos, max(n.pos) AS parent FROM g JOIN n ON n.page_id = g.page_id AND n.pos < g.pos AND n.depth = g.depth - 1 GROUP BY ALL)
+SELECT g.page_id AS tree_id, g.pos AS "at", g.nodes, g.occurrences FROM g LEFT JOIN h USING (page_id, pos) LEFT JOIN g k ON k.page_id = g.page_id AND k.pos = h.parent WHERE k.pos IS NULL""")
+def repeated_subtrees(spark, sf_dir):
+    """The largest parts of pages' trees that occur more than once: what stands around them does not."""
+    return subtrees.largest(subtrees.hashed(tables.page_nodes(spark, sf_dir))).drop("hash")
+
+
+@query("""
+WITH d AS (SELECT 'd' || doc_id AS file_path, sha256(coalesce(text, '')) AS content_hash, sha256(upper(coalesce(text, ''))) AS edited, coalesce(lang, '') AS lang FROM documents)
+SELECT file_path, CASE lang WHEN 'es' THEN edited ELSE content_hash END AS content_hash, CAST(CASE WHEN lang = 'de' THEN 3 WHEN lang = 'fr' OR lang = 'es' AND edited <> content_hash THEN 4 ELSE 1 END AS INTEGER) AS part FROM d
+""")
+def cache_store(spark, sf_dir):
+    """The store of features after four runs over all documents, and the run that wrote each row.
+
+    German files are gone in the second run, French ones in the third; the fourth has all, Spanish ones edited.
+    """
+    text, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
+    docs = tables.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), lang.alias("lang"))
+    edited = docs.withColumn("text", F.when(F.col("lang") == "es", F.upper("text")).otherwise(F.col("text")))
+    folder = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
+    for rows in (docs, docs.filter("lang <> 'de'"), docs.filter("lang <> 'fr'"), edited):
+        of = {"repo_id": F.lit(""), "seq": F.lit(0), "file_path": F.concat(F.lit("d"), F.col("doc_id").cast("string")), "language": F.col("lang"), "lines_of_code": files.lines_of_code(F.col("text")), "content_hash": F.sha2("text", 256)}
+        features_cache.write_features(folder, rows.select(*[of.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name) for f in features_cache.fields(spark)]))
+    return features_cache.read_parts(spark, folder).select("file_path", "content_hash", "part")

@@ -1,64 +1,131 @@
 """What a run leaves for the next one: features by path and content, and the clusters' states.
 
-A table of features is written beside the old one, then a small file that names it takes the place of the old one at
-once; so a run that breaks off leaves the old state. What can't be read, or has another version, counts as absent.
+The features are a store that grows by what is new. A run appends a part with the features that the store doesn't have, and
+a list of tombstones for those whose file or content is gone; nothing else is written. Parts and tombstones are numbered
+by runs, and a tombstone covers what older runs wrote, so features can go and come back. Once the store has over ``PARTS``
+parts, or more rows are covered than live, it is compacted into one part.
+
+A manifest names the parts that count. It takes the place of the one before after all else is written; a run that breaks
+off leaves the old state (or, where files can't be replaced at once, none), and its files are removed by the next. What can't be read, or has another version, counts
+as absent. Folders may be local (mounted where executors run, too) or of any scheme that Spark and Arrow know.
 """
 
 from __future__ import annotations
 
 import json
 import secrets
-import shutil
 from pathlib import Path
 
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.utils import AnalysisException
+from pyspark.sql.types import StructField
 
 from ..parsers import FEATURES
+from .snapshots import listed, opened, put, remove
 from .store import write_whole
 
-#: Changes with what parsers give, and with the form of the states.
-VERSION = 1
+#: Changes with what parsers give, and with the form of store and states.
+VERSION = 2
 POINTER, STATES = "features.json", "clusters.json"
 STATE = "repo_id string, file_path string, stable long, candidate long, consecutive long"
+KEY = ["file_path", "content_hash"]
+ROWS, GONE = f"{FEATURES}, part int", "file_path string, content_hash string, part int"
+PARTS = 16
+
+
+def fields(spark: SparkSession) -> list[StructField]:
+    """The columns of features."""
+    return spark.createDataFrame([], FEATURES).schema.fields
 
 
 def _load(path: Path) -> dict:
     try:
-        found = json.loads(path.read_text())
-        return found if isinstance(found, dict) and found.get("version") == VERSION else {}
-    except (OSError, ValueError):
+        return _valid(path.read_text())
+    except OSError:
         return {}
 
 
+def _valid(text: str | bytes) -> dict:
+    try:
+        found = json.loads(text)
+    except ValueError:
+        return {}
+    return found if isinstance(found, dict) and found.get("version") == VERSION else {}
+
+
+def _manifest(system: fs.FileSystem, root: str) -> dict:
+    """The store's parts and tombstones, each a folder that is whole; none if any of them is missing."""
+    found = {}
+    if system.get_file_info(f"{root}/{POINTER}").type == fs.FileType.File:
+        with system.open_input_stream(f"{root}/{POINTER}") as file:
+            found = _valid(file.read())
+    names = [*found.get("parts", []), *found.get("gone", [])]
+    whole = all(system.get_file_info(f"{root}/{n}/_SUCCESS").type == fs.FileType.File for n in names)
+    return found if names and whole else {"parts": [], "gone": [], "run": 0, "rows": 0, "covered": 0}
+
+
+def _path(folder: str | Path) -> str:
+    """The folder as Spark must be told: a local path is not one of the cluster's default file system."""
+    text = str(folder)
+    return text.rstrip("/") if ":/" in text else f"file://{Path(text).resolve()}"
+
+
+def _read(spark: SparkSession, folder: str, names: list[str], schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(*[f"{folder}/{n}" for n in names]) if names else spark.createDataFrame([], schema)
+
+
+def _live(spark: SparkSession, folder: str, found: dict) -> DataFrame:
+    rows = _read(spark, folder, found["parts"], ROWS)
+    if not found["gone"]:
+        return rows
+    gone = _read(spark, folder, found["gone"], GONE).groupBy(*KEY).agg(F.max("part").alias("until"))
+    covered = [rows[c] == gone[c] for c in KEY] + [rows["part"] < gone["until"]]
+    return rows.join(gone, covered, "left_anti")
+
+
 def read_features(spark: SparkSession, folder: str | Path) -> DataFrame:
     """The features of the last run; none if there was none."""
-    name = _load(Path(folder, POINTER)).get("table")
-    try:
-        if name and Path(folder, name, "_SUCCESS").is_file():
-            return spark.read.schema(FEATURES).parquet(str(Path(folder, name).resolve()))
-    except AnalysisException:
-        pass
-    return spark.createDataFrame([], FEATURES)
+    return read_parts(spark, folder).drop("part")
+
+
+def read_parts(spark: SparkSession, folder: str | Path) -> DataFrame:
+    """The features of the last run, each with the ``part``, the number of the run, that it has been stored by."""
+    path = _path(folder)
+    return _live(spark, path, _manifest(*opened(path)))
 
 
 def write_features(folder: str | Path, features: DataFrame) -> int:
     """Keeps these features and no others; returns how many entries of the run before are gone.
 
-    Failures are not kept, so they are tried again.
+    Failures are not kept, so they are tried again. Of equal paths and contents one is kept. Only keys are compared: the
+    features that the store has already are neither read nor written, but when it is compacted. ``features`` is computed
+    twice, so it had better be a checkpoint.
     """
-    folder, spark = Path(folder).resolve(), features.sparkSession
-    before, name = read_features(spark, folder), f"features-{secrets.token_hex(4)}"
-    folder.mkdir(parents=True, exist_ok=True)
-    kept = features.filter("parse_error IS NULL")
-    kept.write.parquet(str(folder / name))
-    key = ["file_path", "content_hash"]
-    gone = before.join(spark.read.schema(FEATURES).parquet(str(folder / name)).select(*key), key, "left_anti").count()
-    write_whole(folder / POINTER, json.dumps({"version": VERSION, "table": name}))
-    for old in folder.glob("features-*"):
-        if old.name != name:
-            shutil.rmtree(old, ignore_errors=True)
+    path, spark = _path(folder), features.sparkSession
+    system, root = opened(path)
+    system.create_dir(root)
+    found = _manifest(system, root)
+    for old in listed(system, root):
+        if old.type == fs.FileType.Directory and old.base_name not in (*found["parts"], *found["gone"]) and old.base_name.startswith(("features-", "gone-")):
+            remove(system, old.path)
+    run, mark = found["run"] + 1, secrets.token_hex(4)
+    part, tomb = f"features-{run}-{mark}", f"gone-{run}-{mark}"
+    live = _live(spark, path, found)
+    now = features.filter("parse_error IS NULL").dropDuplicates(KEY)
+    now.join(live.select(*KEY), KEY, "left_anti").select(features.columns).withColumn("part", F.lit(run)).write.parquet(f"{path}/{part}")
+    live.select(*KEY).join(now.select(*KEY), KEY, "left_anti").withColumn("part", F.lit(run)).write.parquet(f"{path}/{tomb}")
+    added, gone = (_read(spark, path, [n], s).count() for n, s in ((part, ROWS), (tomb, GONE)))
+    if not added:
+        remove(system, f"{root}/{part}")
+    after = {"version": VERSION, "run": run, "parts": found["parts"] + [part] * bool(added), "gone": found["gone"] + [tomb] * bool(gone), "rows": found["rows"] + added, "covered": found["covered"] + gone}
+    if len(after["parts"]) > PARTS or 2 * after["covered"] > after["rows"]:
+        whole = f"features-{run}-{secrets.token_hex(4)}"
+        _live(spark, path, after).write.parquet(f"{path}/{whole}")
+        after |= {"parts": [whole], "gone": [], "rows": after["rows"] - after["covered"], "covered": 0}
+    if not isinstance(system, fs.LocalFileSystem) and found["run"]:
+        system.delete_file(f"{root}/{POINTER}")
+    put(system, f"{root}/{POINTER}", json.dumps(after).encode())
     return gone
 
 

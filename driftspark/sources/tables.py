@@ -96,3 +96,25 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as files: repo_id (host), file_path (path), and their html."""
     p = read(spark, sf_dir, "pages")
     return p.select("page_id", F.regexp_extract("url", r"^https?://([^/]+)", 1).alias("host"), F.regexp_extract("url", r"^https?://[^/]+/([^?#]*)", 1).alias("path"), "url", "html")
+
+
+#: Elements that hold nothing here: those without an end tag, and those whose end tag pages often leave out.
+LEAVES = ("area", "b", "base", "br", "col", "em", "embed", "hr", "i", "img", "input", "link", "meta", "p", "source", "strong", "track", "wbr")
+
+
+def page_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements of all pages as nodes of trees (tree_id, at, depth, type), in the order of their tags.
+
+    Comments, scripts and styles have no elements inside. An end tag goes up one level, whatever it names, and never above
+    the top. Pages without text have no nodes.
+    """
+    html = F.regexp_replace(F.regexp_replace("html", "(?s)<!--.*?-->", ""), "(?s)(<(?:script|style)[^>]*>).*?(</(?:script|style)>)", "$1$2")
+    tags = read(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all(html, F.lit("<(/?[A-Za-z][A-Za-z0-9]*)"), F.lit(1))).alias("at", "tag"))
+    tags = tags.withColumn("tag", F.lower("tag")).withColumn("end", F.startswith("tag", F.lit("/")))
+    tags = tags.filter(~F.ltrim("tag", F.lit("/")).isin(*LEAVES) | ~F.col("end"))
+    page = Window.partitionBy("page_id").orderBy("at")
+    step = F.when(F.col("end"), -1).when(F.col("tag").isin(*LEAVES), 0).otherwise(1)
+    level = F.coalesce(F.sum(step).over(page.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    floor = F.least(F.lit(0), F.min("level").over(page.rowsBetween(Window.unboundedPreceding, 0)))
+    found = tags.withColumn("level", level).withColumn("depth", (F.col("level") - floor).cast("int")).filter(~F.col("end"))
+    return found.select(F.col("page_id").alias("tree_id"), "at", "depth", F.col("tag").alias("type"))
