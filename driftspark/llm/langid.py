@@ -11,7 +11,9 @@ with the shortest code is predicted; the score is its share of the likelihood of
 Training texts are cut into pieces of ``PIECE_CHARS`` characters; of the rows with a language that are not held out, up
 to ``SAMPLE_PIECES`` pieces of each language with the smallest hashes are learnt, from anywhere in texts of any length.
 With many languages fewer are taken, ``MODEL_PIECES`` over the square of their number, as each run has a cost in every
-language; that bounds the model. Every document is scored by its whole text, ``CHUNK_BYTES`` at a time.
+language. Where the model would be over ``MODEL_BYTES``, as with large alphabets, it is learnt from half of each language's
+bytes, or a quarter, and so on, as every Python worker holds it. Every document is scored by its whole text,
+``CHUNK_BYTES`` at a time.
 
 Null texts and texts without a letter are ``und`` with score 0; so is everything if there is nothing to learn from.
 Equal code lengths go to the first language by name. Repeated rows are scored each, other columns are ignored.
@@ -33,6 +35,7 @@ from .common import by_bytes, map_batches, text_sizes
 SAMPLE_PIECES = 256
 PIECE_CHARS = 4096
 MODEL_PIECES = 16_384
+MODEL_BYTES = 256 << 20
 BATCH_BYTES = 1 << 20
 CHUNK_BYTES = 1 << 18
 #: Bytes in the longest context.
@@ -72,6 +75,30 @@ class Model:
     escapes: list[np.ndarray]  # of a run as a context; 0 in languages where it is none
 
 
+def size_of(model: Model) -> int:
+    """Bytes of a model's tables; a worker's look-up has at most three times as many."""
+    return sum(x.nbytes for x in (*model.runs, *model.costs, *model.escapes))
+
+
+def bounded(sample: list[tuple[str, bytes]], most: int = MODEL_BYTES, order: int = ORDER) -> Model:
+    """The model of the sample; of the first half of each language's bytes, or a quarter, and so on, if it is over ``most`` bytes.
+
+    Begins with a part that can't be too large and doubles it, so what is tried has at most twice the size.
+    """
+    whole: dict[str, bytes] = {}
+    for lang, text in sample:
+        whole[lang] = whole[lang] + BEFORE + text if lang in whole else text
+    worst = (order + 2) * 8 * (len(whole) + 1) * sum(map(len, whole.values()))
+    halvings = max(0, worst // max(1, most)).bit_length()
+    best = train([], order)
+    for k in range(halvings, -1, -1):
+        model = train([(lang, text[: len(text) >> k]) for lang, text in sorted(whole.items())], order)
+        if best.languages and size_of(model) > most:
+            break
+        best = model
+    return best
+
+
 def codes(data: np.ndarray, n: int) -> np.ndarray:
     """The codes of all runs of ``n`` bytes."""
     out = np.zeros(max(0, len(data) - n + 1), np.int64)
@@ -191,7 +218,7 @@ def predict(bits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def identify(docs: DataFrame, model: Model, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``lang_pred`` and ``score`` of each row."""
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by the training sample
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # at most MODEL_BYTES, see `bounded`
     unknown = len(model.languages)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -139,7 +139,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model = langid.train(langid.training_sample(docs, ~held_out(F.col("doc_id"))))
+    model = langid.bounded(langid.training_sample(docs, ~held_out(F.col("doc_id"))))
     return langid.identify(docs, model).select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 

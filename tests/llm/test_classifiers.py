@@ -50,6 +50,20 @@ def test_code_lengths(order, chunk, monkeypatch):
             assert bits == pytest.approx(slow_bits([x for k, x in sample if k == lang], t, order), rel=1e-4, abs=1e-3)
 
 
+def test_models_of_a_bounded_size():
+    rng = random.Random(4)
+    make = lambda first, n: "".join(chr(first + rng.randrange(3000)) for _ in range(n)).encode()
+    sample = [(lang, make(0x4E00 + 3000 * i, 500)) for i, lang in enumerate("xyz") for _ in range(8)]
+    whole = langid.train(sample)
+    same = langid.bounded(sample, langid.size_of(whole))
+    assert all(np.array_equal(a, b) for a, b in zip(same.costs + same.escapes, whole.costs + whole.escapes, strict=True))
+    small = langid.bounded(sample, langid.size_of(whole) // 3)
+    assert langid.size_of(small) <= langid.size_of(whole) // 3 and small.languages == ["x", "y", "z"]
+    texts = [make(0x4E00 + 3000 * i, 40) for i in range(3)]
+    assert langid.predict(langid.Scorer(small).bits(texts))[0].tolist() == [0, 1, 2]
+    assert langid.size_of(langid.bounded(sample, 0)) < 10_000 and langid.bounded([], 0).languages == []
+
+
 def test_numbers_of_codes():
     rng = np.random.default_rng(5)
     for found in (rng.integers(0, 1 << 48, 20_000), np.arange(300), np.zeros(0, np.int64), np.array([0])):
