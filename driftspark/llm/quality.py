@@ -1,22 +1,30 @@
 """Quality classification by voting of nearest labelled neighbours in a latent-semantic space.
 
-A text's terms are the shapes of its words (letters, capitals, digits and each other character by its own class, runs
-taken together) and a mark for each word that repeats the one before; they are hashed to ``TERMS`` columns. A row holds
-the square roots of the terms' shares, weighted by inverse document frequency. The labelled rows' matrix is reduced by a
-singular value decomposition to ``RANK`` latent dimensions; the labelled vectors, of unit length, are broadcast. Each
-document is projected likewise, its cosines with all labelled vectors are computed exactly, block by block, and its
-``NEIGHBOURS`` nearest vote for their label with the weight of their similarity to the power ``SHARPNESS``. Neighbours
-that are equally near as the last one (to ``EQUAL``) share the votes that are left among them, so no order of rows counts.
+A text's terms are of four kinds, each hashed to columns of its own: the shapes of its words (letters, capitals, digits
+and each other character by its own class, runs taken together), with a mark for each word that repeats the one before;
+its words in lower case, without what is neither letter nor digit; pairs of neighbouring words; and runs of three letters,
+word bounds included. A row holds the square roots of the terms' shares in their kind, times the kind's ``SHARE``,
+weighted by inverse document frequency. The labelled rows' matrix is reduced by a singular value decomposition to
+``RANK`` latent dimensions; the labelled vectors, of unit length, are broadcast. Each document is projected likewise, its
+cosines with all labelled vectors are computed exactly, block by block, and its ``NEIGHBOURS`` nearest vote for their
+label with the weight of their similarity to the power ``SHARPNESS``. Neighbours that are equally near as the last one
+(to ``EQUAL``) share the votes that are left among them, so no order of rows counts.
+
+Labels show which forms are poor, but no one labels keyboard noise. So a labelled document of label 1 with ``NOISE_WORDS``
+words or more can also be learnt as noise: with the letters of every word in another order, which vote as ``NOISE_LABEL``.
+Noise and prose of one form score apart by that. The value is over the usual cut of 0.3, as a language that no labelled
+document is written in looks like noise too; whoever has labels for all languages may cut at 0.5.
 
 The model is bounded: of the labelled documents that may be learnt from, the ``LABELLED`` with the smallest hashes are
 used. Labels without a document take no room; of rows that share an id, the one with the least hash of its text counts.
 Every document is scored by its whole text. A text without terms, or one that no neighbour resembles, gets the labelled
-rows' share of label 1 (0.5 without labels). Null texts are empty. Labels other than 0 and 1 are not used; of several
+documents' share of label 1 (0.5 without labels). Null texts are empty. Labels other than 0 and 1 are not used; of several
 labels of a document the greatest counts. Repeated rows are scored each, other columns are ignored.
 """
 
 from __future__ import annotations
 
+import random
 import re
 import zlib
 from collections.abc import Iterator
@@ -31,8 +39,15 @@ from pyspark.sql import functions as F
 
 from .common import by_bytes, checkpointed, map_batches, text_sizes
 
+#: Columns of each kind of term; the first kind has one more, for repeated words.
 TERMS = 1024
-RANK = 32
+KINDS = ("shapes", "words", "pairs", "runs")
+#: What a kind counts for; shapes, which tell most, for most.
+SHARE = (1.0, 0.3, 0.2, 0.6)
+COLUMNS = len(KINDS) * TERMS + 1
+RANK = 64
+NOISE_WORDS = 24
+NOISE_LABEL = 0.4
 LABELLED = 4096
 NEIGHBOURS = 15
 SHARPNESS = 8
@@ -42,7 +57,7 @@ EQUAL = 5e-8
 KEPT = 200_000
 #: Longer words are not kept between texts.
 WORD_CHARS = 40
-REPEAT = TERMS  # the column of the mark for repeated words
+REPEAT = COLUMNS - 1  # the column of the mark for repeated words
 
 
 class _Classes(dict):
@@ -57,30 +72,73 @@ class _Classes(dict):
 
 
 class _Terms(dict):
-    """Word -> column; fills itself, and starts anew when it is large."""
+    """Word -> the hash of its letters and digits, and the column of its shape, as one number; fills itself, and starts anew when it is large."""
 
     runs = re.compile(r"(.)\1+", re.DOTALL)
+    others = re.compile(r"[\W_]+")
 
     def __init__(self) -> None:
         self.classes = _Classes()
 
     def __missing__(self, word: str) -> int:
-        column = zlib.crc32(self.runs.sub(r"\1", word.translate(self.classes)).encode()) % TERMS
+        shape = zlib.crc32(self.runs.sub(r"\1", word.translate(self.classes)).encode()) % TERMS
+        letters = self.others.sub("", word).lower()
+        found = ((zlib.crc32(letters.encode()) if letters else NO_LETTERS) << 16) | shape
         if len(word) <= WORD_CHARS:
             if len(self) >= KEPT:
                 self.clear()
-            self[word] = column
-        return column
+            self[word] = found
+        return found
+
+
+NO_LETTERS = 1 << 33  # no hash of a word
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """A column for each 64-bit number."""
+    return ((x.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % TERMS
+
+
+def _letter_runs(text: str) -> np.ndarray:
+    """Columns of all runs of three characters of the text in lower case that hold two letters or more; what is no letter is a blank."""
+    codes = np.frombuffer(_Terms.others.sub(" ", f" {text} ").lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    letter = codes != 32
+    enough = letter[:-2].astype(np.int8) + letter[1:-1] + letter[2:] >= 2
+    return _mixed(((codes[:-2] << np.uint64(42)) | (codes[1:-1] << np.uint64(21)) | codes[2:])[enough])
 
 
 def features(texts: list[str], terms: _Terms) -> np.ndarray:
-    """A row for each text: the square roots of its terms' shares."""
+    """A row for each text: the square roots of its terms' shares in their kind, times the kind's ``SHARE``."""
     words = [t.split() for t in texts]
     n = np.fromiter(map(len, words), np.int64, len(words))
-    columns = np.fromiter(map(terms.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
-    out = np.bincount(np.repeat(np.arange(len(texts)) * (TERMS + 1), n) + columns, minlength=len(texts) * (TERMS + 1)).reshape(len(texts), TERMS + 1)
-    out[:, REPEAT] = [sum(map(eq, w, w[1:])) for w in words]
-    return np.sqrt(out / np.maximum(n, 1)[:, None]).astype(np.float32)
+    found = np.fromiter(map(terms.__getitem__, chain.from_iterable(words)), np.int64, int(n.sum()))
+    row, word = np.repeat(np.arange(len(texts)), n), found >> 16
+    real = word != NO_LETTERS
+    follows = (row[1:] == row[:-1]) & real[1:] & real[:-1]
+    runs = [_letter_runs(t) for t in texts]
+    terms_of = (
+        (row, found & 0xFFFF), (row[real], _mixed(word[real])), (row[1:][follows], _mixed((word[:-1] << 31 ^ word[1:])[follows])),
+        (np.repeat(np.arange(len(texts)), [len(r) for r in runs]), np.concatenate(runs or [np.zeros(0, np.int64)])),
+    )
+    out = np.zeros((len(texts), COLUMNS), np.float32)
+    for kind, (at, column) in enumerate(terms_of):
+        counts = np.bincount(at * TERMS + column, minlength=len(texts) * TERMS).reshape(len(texts), TERMS)
+        total = np.maximum(counts.sum(axis=1), 1)
+        out[:, kind * TERMS : (kind + 1) * TERMS] = SHARE[kind] * np.sqrt(counts / total[:, None])
+    out[:, REPEAT] = np.sqrt(np.fromiter((sum(map(eq, w, w[1:])) for w in words), np.float64, len(words)) / np.maximum(n, 1))
+    return out
+
+
+def noise(text: str, seed: int) -> str:
+    """The text with the letters of every word in another order; words keep their capitals, digits and marks where they are."""
+    rng = random.Random(seed)
+
+    def shuffled(m: re.Match) -> str:
+        letters = list(m[0].lower())
+        rng.shuffle(letters)
+        return "".join(x.upper() if c.isupper() else x for x, c in zip(letters, m[0], strict=False))
+
+    return re.sub(r"[^\W\d_]{2,}", shuffled, text)
 
 
 @dataclass(frozen=True)
@@ -96,15 +154,24 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
+def _axes(x: np.ndarray) -> np.ndarray:
+    """The ``RANK`` leading right singular vectors, as columns; of over 1,024 rows by block iteration from a fixed start."""
+    if len(x) <= 1024:
+        return np.linalg.svd(x.astype(np.float64), full_matrices=False)[2][:RANK].T
+    block = np.random.default_rng(0).standard_normal((x.shape[1], RANK + 16)).astype(np.float32)
+    for _ in range(8):
+        block = np.linalg.qr(x.T @ (x @ block))[0]
+    _, _, right = np.linalg.svd((x @ block).astype(np.float64), full_matrices=False)
+    return block @ right[:RANK].T
+
+
 def train(rows: np.ndarray, labels: np.ndarray) -> Model:
-    """From the labelled rows' features and labels."""
+    """From the labelled rows' features and labels; rows of ``NOISE_LABEL`` don't count for the share of label 1."""
     if not len(rows):
-        return Model(np.zeros((TERMS + 1, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
-    idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 0.1
-    weighted = unit(rows * idf)
-    _, _, right = np.linalg.svd(weighted.astype(np.float64), full_matrices=False)
-    projection = (idf[:, None] * right[:RANK].T).astype(np.float32)
-    return Model(projection, unit(rows @ projection), labels.astype(np.float32), float(labels.mean()))
+        return Model(np.zeros((COLUMNS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
+    idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 0.1).astype(np.float32)
+    projection = (idf[:, None] * _axes(unit(rows * idf))).astype(np.float32)
+    return Model(projection, unit(rows @ projection), labels.astype(np.float32), float(labels[labels != NOISE_LABEL].mean()))
 
 
 def score(model: Model, rows: np.ndarray) -> np.ndarray:
@@ -125,8 +192,8 @@ def score(model: Model, rows: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int = LABELLED, key: str = "doc_id", text: str = "text", label: str = "quality") -> tuple[np.ndarray, np.ndarray]:
-    """Features and labels of at most ``n`` documents; only their features reach the driver."""
+def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int = LABELLED, key: str = "doc_id", text: str = "text", label: str = "quality", with_noise: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Features and labels of at most ``n`` documents, and with ``with_noise`` of their noise; only their features reach the driver."""
     known = labels.filter(allowed & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     given = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash")).groupBy("key").agg(F.min("hash").alias("hash"))
     draw = F.xxhash64(F.col("key").cast("string"), F.lit("labelled"))
@@ -139,11 +206,21 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int
         for batch in batches:
             for part in by_bytes(text_sizes(batch.column(2)), BATCH_BYTES):
                 cut = batch.slice(part.start, part.stop - part.start)
-                found = features([t or "" for t in cut.column(2).to_pylist()], terms)
-                yield pa.RecordBatch.from_pydict({"key": cut.column(0).cast(pa.string()), "label": cut.column(1), "row": pa.array([x.tobytes() for x in found], pa.binary())})
-
-    got = sorted((r.key, r.label, bytes(r.row)) for r in map_batches(rows, run, "key string, label int, row binary").collect())
-    return np.array([np.frombuffer(r, np.float32) for _, _, r in got], np.float32).reshape(len(got), TERMS + 1), np.array([y for _, y, _ in got])
+                texts, keys, labels = [t or "" for t in cut.column(2).to_pylist()], cut.column(0).cast(pa.string()).to_pylist(), cut.column(1).to_pylist()
+                if with_noise:
+                    more = [(k, t) for k, y, t in zip(keys, labels, texts, strict=True) if y == 1 and len(t.split()) >= NOISE_WORDS]
+                    texts += [noise(t, zlib.crc32(k.encode())) for k, t in more]
+                    keys, labels = keys + [k for k, _ in more], [*map(float, labels), *[NOISE_LABEL] * len(more)]
+                for a in range(0, len(texts), BLOCK):
+                    found = features(texts[a : a + BLOCK], terms)
+                    at = [np.flatnonzero(x).astype(np.int16) for x in found]
+                    yield pa.RecordBatch.from_pydict({"key": pa.array(keys[a : a + BLOCK], pa.string()), "label": pa.array(labels[a : a + BLOCK], pa.float64()), "at": pa.array([i.tobytes() for i in at], pa.binary()), "x": pa.array([x[i].tobytes() for x, i in zip(found, at, strict=True)], pa.binary())})
+
+    got = sorted((r.key, r.label, bytes(r["at"]), bytes(r.x)) for r in map_batches(rows, run, "key string, label double, at binary, x binary").collect())
+    out = np.zeros((len(got), COLUMNS), np.float32)
+    for row, (_, _, at, x) in zip(out, got, strict=True):
+        row[np.frombuffer(at, np.int16)] = np.frombuffer(x, np.float32)
+    return out, np.array([y for _, y, _, _ in got])
 
 
 def _scores(texts: pa.Array, model: Model, terms: _Terms) -> np.ndarray:

@@ -2,7 +2,10 @@
 
 import math
 import random
+import unicodedata
+import zlib
 from collections import Counter
+from itertools import groupby
 
 import numpy as np
 import pytest
@@ -108,6 +111,62 @@ def test_votes_equal_brute_force():
     assert quality.score(model, asked) == pytest.approx(np.array(want), abs=1e-4)
 
 
+def slow_row(text):
+    """Features of a text by counting strings, column by column."""
+    mixed = lambda x: (x * 0x9E3779B97F4A7C15 % 2**64 >> 40) % quality.TERMS
+    words = text.split()
+    shape = lambda w: "".join(k for k, _ in groupby("a" if c.isalpha() and not c.isupper() else "A" if c.isalpha() else "0" if c.isnumeric() else c for c in w))
+    plain = ["".join(c for c in w if c.isalnum() or unicodedata.category(c) == "Nd").lower() for w in words]
+    crc = [zlib.crc32(w.encode()) if w else None for w in plain]
+    blank = "".join(" " if not c.isalnum() else c for c in f" {text} ").lower()
+    while "  " in blank:
+        blank = blank.replace("  ", " ")
+    kinds = (
+        [zlib.crc32(shape(w).encode()) % quality.TERMS for w in words],
+        [mixed(c) for c in crc if c is not None],
+        [mixed(a << 31 ^ b) for a, b in zip(crc, crc[1:]) if a is not None and b is not None],
+        [mixed(ord(x) << 42 | ord(y) << 21 | ord(z)) for x, y, z in zip(blank, blank[1:], blank[2:]) if [x, y, z].count(" ") <= 1],
+    )
+    out = np.zeros(quality.COLUMNS)
+    for i, found in enumerate(kinds):
+        for column, n in Counter(found).items():
+            out[i * quality.TERMS + column] = quality.SHARE[i] * math.sqrt(n / len(found))
+    out[quality.REPEAT] = math.sqrt(sum(a == b for a, b in zip(words, words[1:])) / max(len(words), 1))
+    return out
+
+
+def test_features_equal_a_slow_version():
+    rng = random.Random(12)
+    texts = ["", " ", "a", "...", "Straße straße, STRASSE!!", "é É 日本語 日本 42 x42-y -- --"] + ["".join(rng.choice("abAB é.-1 日 \n_") for _ in range(rng.randrange(80))) for _ in range(200)]
+    got = quality.features(texts, quality._Terms())
+    assert got.shape == (len(texts), quality.COLUMNS)
+    for t, row in zip(texts, got, strict=True):
+        assert row == pytest.approx(slow_row(t), abs=1e-6), t
+    assert quality.features([], quality._Terms()).shape == (0, quality.COLUMNS)
+
+
+def test_axes_of_many_rows_are_those_of_few():
+    rng = np.random.default_rng(6)
+    x = (rng.standard_normal((1500, 40)) * np.geomspace(1, 1e-3, 40) @ np.linalg.qr(rng.standard_normal((200, 40)))[0].T).astype(np.float32)
+    exact = np.linalg.svd(x, full_matrices=False)[2][:10]
+    assert np.abs(exact @ quality._axes(x)[:, :10]) == pytest.approx(np.eye(10), abs=2e-2)
+
+
+def test_noise_scores_apart_from_prose(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    plain, both = (quality.train(*quality.labelled_rows(docs, labels, ~held_out(F.col("doc_id")), with_noise=w)) for w in (False, True))
+    assert len(both.labels) > len(plain.labels) and both.prior == pytest.approx(plain.prior)
+    held = docs.join(labels.filter("quality = 1"), "doc_id").filter(held_out(F.col("doc_id"))).select("doc_id", "text").collect()
+    texts = [r.text for r in held if len(r.text.split()) >= quality.NOISE_WORDS]
+    terms = quality._Terms()
+    prose = quality.score(both, quality.features(texts, terms))
+    noise = quality.score(both, quality.features([quality.noise(t, 5) for t in texts], terms))
+    assert (prose > 0.5).mean() > 0.97 and (noise < 0.5).mean() > 0.95 and (noise >= 0.3).mean() > 0.95
+    assert sorted(quality.noise("Ab-Cde 12 x", 1).lower()) == sorted("ab-cde 12 x") and quality.noise("", 1) == ""
+    one, two = quality.score(both, quality.features(["the cat sat on the mat and looked at the dog in the garden", "zzq xkv qqw vv xxz qpw zzx kkq wvx qqz xxv zzv kqq"], terms))
+    assert one > two
+
+
 def test_equally_near_neighbours_share_the_votes():
     rows = np.zeros((20, quality.TERMS + 1), np.float32)
     rows[:, 0] = 1

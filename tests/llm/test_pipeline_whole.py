@@ -23,7 +23,9 @@ def accepted(docs, labels):
     learnt = labels[labels.quality.isin([0, 1]) & labels.doc_id.map(lambda i: zlib.crc32(str(i).encode()) % 5 != 0)].groupby("doc_id").quality.max()
     text = dict(zip(docs.doc_id, docs.text.fillna(""), strict=True))
     known = [(i, int(y)) for i, y in learnt.items() if i in text]
-    model = quality.train(quality.features([text[i] for i, _ in known], terms), np.array([y for _, y in known]))
+    noise = [quality.noise(text[i], zlib.crc32(str(i).encode())) for i, y in known if y == 1 and len(text[i].split()) >= quality.NOISE_WORDS]
+    rows = quality.features([text[i] for i, _ in known] + noise, terms)
+    model = quality.train(rows, np.array([float(y) for _, y in known] + [quality.NOISE_LABEL] * len(noise)))
     out = {}
     for i, t in text.items():
         v = (quality.features([t], terms) @ model.projection)[0]
