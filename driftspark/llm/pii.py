@@ -1,13 +1,16 @@
 """Personal data replaced by surrogates, with DataFrame functions only.
 
-One pattern finds e-mail addresses, secrets, IBANs, IP addresses, phone, social security and card numbers, and names
-after a title. In a text with such a name its words are found again without a title, too. Each entity has a kind and a
-canonical form (digits of a number, lower-case letters of an address or a name word), and its surrogate is drawn from
+One pattern finds e-mail addresses, secrets, IBANs, IP addresses, phone, social security and card numbers, passport
+numbers and dates of birth after words that say so, and names after a title. In a text with such a name its words are
+found again without a title, too, as parts of whole hyphenated words; but words that some document writes in lower case
+(May, Long, Will) only next to another word of a name of the text. Each entity has a kind and a
+canonical form (digits of a number, lower-case letters of an address or a name word, a date as it is written), and its surrogate is drawn from
 SHA-256 over a secret key, both, and an attempt number. So one entity has one surrogate wherever it occurs and however
 it is written (coreference); all name words are of one kind, so a given name, a surname and an untitled repeat agree.
 
 Surrogates keep the format: digits stay digits, capitals capitals, separators, country codes, top-level domains and
 titles stay; card numbers pass the Luhn check, as their surrogates do (other long numbers are none, and not touched);
+dates are dates, and keep their century and the names of months;
 addresses with one domain share a new domain; name
 words keep script (Latin, Cyrillic, Greek), capitals, hyphens between them and their gender: that of the titles after
 which a word is the given name, in any text; none where these differ. A name is all words with a capital after its
@@ -21,7 +24,8 @@ digit, an address by a part), so a format that is full gives way and the drawing
 attempt, or name words whose gender differs between texts, are joined back to their documents, by broadcast up to
 ``BROADCAST_BYTES`` of them; beyond that, texts with entities are joined by the hash of the text, others aren't moved.
 
-The pattern runs once: rows and their matches are written to the shared folder, and read from there.
+Rows and their matches are written to the shared folder, and read from there; texts with names a second time, after
+their words were looked for again.
 
 The secret key is the argument, or the setting ``KEY_SETTING``, or the environment's ``KEY_VARIABLE``; without any, a
 random one is drawn for the session and forgotten with it.
@@ -45,23 +49,37 @@ from .common import checkpointed, saved
 KEY_SETTING, KEY_VARIABLE = "spark.driftspark.pii.key", "DRIFT_PII_KEY"
 #: Attempts that keep an entity's length.
 SAME_FORMAT = 4
-FEMALE, MALE = ("Mrs", "MRS", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "г-жа", "κα"), ("Mr", "MR", "Herr", "Monsieur", "Señor", "Sr", "г-н", "κος")
-NEUTRAL = ("Dr", "Prof")
+FEMALE, MALE = ("Mrs", "MRS", "Ms", "Miss", "Frau", "Madame", "Mme", "Señora", "Sra", "Lady", "Dame", "mrs", "ms", "г-жа", "κα"), ("Mr", "MR", "Herr", "Monsieur", "Señor", "Sr", "Sir", "Lord", "mr", "г-н", "κος")
+NEUTRAL = ("Dr", "Prof", "President", "dr", "prof")
 TITLES = f"(?:{'|'.join(sorted(FEMALE + MALE + NEUTRAL, key=len, reverse=True))})"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: A name word: inner capitals, hyphens and apostrophes belong to it, a possessive 's doesn't.
 WORD = r"(?:\p{Lu}['’])?\p{Lu}[\p{L}\p{M}]+(?:-(?:\p{L}['’])?[\p{L}\p{M}]+|['’]\p{Lu}[\p{L}\p{M}]+)*"
+#: After a title in lower case, which is no other word, the first word of a name may be in lower case, too.
+LOWER = r"(?<=\bmrs? |\bms |\bmrs?\. |\bms\. )\p{Ll}[\p{L}\p{M}]+"
 PARTICLES = "(?:van|von|vom|vander|de|den|der|del|della|dela|des|di|da|das|do|dos|du|la|las|le|los|af|av|al|el|bin|ibn|bint|ben|ten|ter|zu|zum|zur|y|e)"
 #: A name word with the particles before it; the next title is none.
-NAME = rf"(?:{PARTICLES} )*(?!{TITLES}(?![\p{{L}}\p{{M}}])){WORD}"
+NAME = rf"(?:{PARTICLES} )*(?!{TITLES}(?![\p{{L}}\p{{M}}]))(?:{WORD}|{LOWER})"
 #: What names a secret before ``=`` or ``:``, in any case, quoted or not.
 KEYWORD = "(?i:token|secret|api_key|apikey|api-key|password|passwd)"
+BIRTH_WORDS, PASSPORT_WORDS = r"(?i:born(?: on)?|date of birth|birth ?date|birthday|dob|d\.o\.b\.)", r"(?i:passport(?: no\.?| nr\.?| number)?)"
+DATE = r"(?:\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4}|\d{1,2}\.? \p{Lu}\p{Ll}{2,9} \d{4})"
+PASSPORT = r"[A-Z]{0,2}\d{6,9}"
+HEXTETS = "[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4})"
+#: All eight parts, or two colons once after a first part of four characters; some digit is needed, as a::b may be code.
+IP6 = rf"(?:{HEXTETS}{{7}}|(?=[0-9A-Fa-f]{{4}}:){HEXTETS}{{0,6}}::(?:{HEXTETS}{{0,6}})?)"
+#: Ten or eleven digits with a leading 0, as they are called within a country.
+NATIONAL = r"0(?:(?:\d{2} \d{4}|\d{3} \d{3}) \d{4}|\d{4} \d{6})"
 #: Kinds in the order in which they are tried; each pattern matches a whole entity.
 KINDS = {
     "email": r"(?<![\p{L}\p{N}_%+\-])[\p{L}\p{N}_%+\-]+(?:\.[\p{L}\p{N}_%+\-]+)*@(?:[\p{L}\p{N}\-]+\.)+\p{L}{2,}",
     "secret": rf"(?<=[=: \"'])(?=[A-Za-z0-9+/_\-]{{12}})(?<={KEYWORD}[\"']? {{0,2}}[=:] {{0,2}}[\"']?)[A-Za-z0-9+/_\-]{{12,}}|\b(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{30,}}|sk-[A-Za-z0-9]{{20,}}|[0-9a-f]{{32,128}})\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "ip": rf"(?<![\d.]){OCTET}(?:\.{OCTET}){{3}}(?![\d]|\.\d)",
+    "ip6": rf"(?<![\p{{L}}\d:.])(?=[0-9A-Fa-f]{{1,4}}:[0-9A-Fa-f:]*:)(?=[A-Fa-f:]*\d){IP6}(?![\p{{L}}\d:])",
+    "birth": rf"(?<=[: ])(?=\d)(?<={BIRTH_WORDS}:? {{0,2}}){DATE}(?!\d)",
+    "passport": rf"(?<=[:# ])(?=[A-Z\d])(?<={PASSPORT_WORDS}[:#]? {{0,2}}){PASSPORT}(?![\p{{L}}\d])",
+    "national": rf"(?<![\p{{L}}\d.+\-])(?<!\d ){NATIONAL}(?! ?\d)",
     "phone": r"(?<![\p{L}\d])(?:\+1[ .\-]?(?:\(\d{3}\)|\d{3})[ .\-]?\d{3}[ .\-]?\d{4}|\+(?!1)\d{1,3}[ .\-]?(?:\(\d{1,4}\)[ .\-]?)?\d{2,4}(?:[ .\-]?\d{2,4}){1,4})(?!\d)|(?<![\p{L}\d])\(\d{3}\) ?\d{3}[ .\-]\d{4}(?!\d)|(?<![\p{L}\d.\-])\d{3}[.\-]\d{3}[.\-]\d{4}(?![\d\-])",
     "ssn": r"(?<![\p{L}\d\-])\d{3}-\d{2}-\d{4}(?![\d\-])",
     "card": r"(?<![\p{L}\d.\-])(?:\d{13,19}|\d{4}(?:[ \-]\d{4}){3}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\p{L}\d])",
@@ -72,7 +90,7 @@ ENTITY = "|".join(f"(?:{p})" for p in KINDS.values())
 WITHOUT = {left_out: "|".join(f"(?:{p})" for k, p in KINDS.items() if k not in left_out) for left_out in (("email",), ("name",), ("email", "name"))}
 TITLED = rf"{TITLES}\.? "
 #: A country code: +1, +7, or two or three digits, the latter only before a separator.
-PHONE_CODE = r"^(\+(?:[17]|\d{2,3}(?=[ .\-(])|\d{2}))"
+PHONE_CODE = r"^(0(?=\d)|\+(?:[17]|\d{2,3}(?=[ .\-(])|\d{2}))"
 #: What every entity holds; a cheap test before the pattern.
 HINT = rf"[0-9@]|AKIA|gh[pousr]_|sk-|[a-f]{{32}}|{KEYWORD}[\"']? {{0,2}}[=:]|{TITLED}"
 SYLLABLES = {
@@ -97,10 +115,14 @@ OTHER = "number"
 def kind_of(match: Column, names: Column) -> Column:
     """The kind of a whole match, from its form, and from the text's own name words."""
     return (
-        F.when(F.array_contains(names, match), "again")
+        F.when(F.array_contains(names, match) | (match.rlike(r"^[\p{L}\p{M}'’]+(?:-[\p{L}\p{M}'’]+)+$") & F.arrays_overlap(F.split(match, "-"), names)), "again")
         .when(match.contains("@"), "email")
         .when(match.rlike(rf"^{TITLES}\.? {NAME}"), "name")
         .when(match.rlike(rf"^{OCTET}(\.{OCTET}){{3}}$"), "ip")
+        .when(match.rlike(rf"^{IP6}$") & match.contains(":"), "ip6")
+        .when(match.rlike(rf"^{DATE}$"), "birth")
+        .when(match.rlike(rf"^{PASSPORT}$"), "passport")
+        .when(match.rlike(rf"^{NATIONAL}$"), "phone")
         .when(match.rlike(r"^(\+\d|\(|\d{3}[.\-]\d{3}[.\-]\d{4}$)"), "phone")
         .when(match.rlike(r"^\d{3}-\d{2}-\d{4}$"), "ssn")
         .when(match.rlike(r"^(\d{13,19}|\d{4}[ \-].*\d)$") & match.rlike(r"^[\d \-]+$"), F.when(F.call_function("luhn_check", F.regexp_replace(match, "[^0-9]", "")), "card").otherwise(OTHER))
@@ -129,13 +151,20 @@ def name_words(matches: Column) -> Column:
     return F.array_sort(F.array_distinct(F.flatten(F.transform(words, lambda w: F.array(w, F.upper(w), F.initcap(w))))))
 
 
-def _with_names(names: Column) -> Column:
-    """The pattern of a text with the given name words; they hold letters, marks and apostrophes only."""
-    return F.concat(F.lit(ENTITY + r"|(?<![\p{L}\p{M}\p{N}])(?:"), F.array_join(names, "|"), F.lit(r")(?![\p{L}\p{M}\p{N}])"))
+def _with_names(names: Column, common: Column) -> Column:
+    """The pattern of a text with the given name words; those ``common`` in lower case only next to a name word.
+
+    Words hold letters, marks and apostrophes only.
+    """
+    every, sure = F.array_join(names, "|"), F.array_except(names, common)
+    start, end = r"(?<![\p{L}\p{M}\p{N}]|[\p{L}\p{M}]-)", r"(?![\p{L}\p{M}\p{N}])"
+    hyphens = lambda x: F.concat(F.lit(rf"{start}(?:\p{{Lu}}[\p{{L}}\p{{M}}]*-){{0,3}}(?:"), x, F.lit(rf")(?:-\p{{Lu}}[\p{{L}}\p{{M}}]*){{0,3}}{end}"))
+    beside = F.concat(F.lit(rf"|{start}(?:"), F.array_join(F.array_intersect(names, common), "|"), F.lit(rf"){end}(?:(?= (?:"), every, F.lit(rf"){end})|(?<={start}(?:"), every, F.lit(") (?:"), F.array_join(F.array_intersect(names, common), "|"), F.lit(")))"))
+    return F.concat(F.lit(ENTITY), F.when(F.size(sure) > 0, F.concat(F.lit("|"), hyphens(F.array_join(sure, "|")))).otherwise(""), F.when(F.size(sure) < F.size(names), beside).otherwise(""))
 
 
-def _pattern(names: Column) -> Column:
-    return F.when(F.size(names) > 0, _with_names(names)).otherwise(F.lit(ENTITY))
+def _pattern(names: Column, common: Column) -> Column:
+    return F.when(F.size(names) > 0, _with_names(names, common)).otherwise(F.lit(ENTITY))
 
 
 def _parts(matches: Column, names: Column) -> Column:
@@ -159,7 +188,7 @@ def _parts(matches: Column, names: Column) -> Column:
         digits = F.regexp_replace(x.body, "[^0-9]", "")
         form = (
             F.when(x.kind == "phone", F.concat(x.code, F.lit(" "), digits)).when(x.kind.isin("card", "ssn"), digits).when(x.kind == "iban", F.concat(x.code, F.replace(x.body, F.lit(" "))))
-            .when(x.kind == "email", F.lower(F.concat(x.body, F.lit("@"), x.after))).otherwise(x.body)
+            .when(x.kind == "email", F.lower(F.concat(x.body, F.lit("@"), x.after))).when(x.kind == "ip6", F.lower(x.body)).otherwise(x.body)
         )
         return F.array(F.struct(x.at.alias("at"), x.kind.alias("kind"), form.alias("canonical"), x.code.alias("before"), x.body.alias("body"), x.after.alias("after")))
 
@@ -174,7 +203,7 @@ def _parts(matches: Column, names: Column) -> Column:
         return F.transform(found, lambda w, i: F.struct(x.at.alias("at"), F.when(several & first(i), gender).otherwise("surname").alias("kind"), _plain(last(w)).alias("canonical"), F.concat(F.when(i == 0, x.code).otherwise(F.get(between, i - 1)), particles(w)).alias("before"), last(w).alias("body"), F.lit("").alias("after")))
 
     def again(x: Column) -> Column:
-        return F.array(F.struct(x.at.alias("at"), F.lit("name").alias("kind"), _plain(x.body).alias("canonical"), F.lit("").alias("before"), x.body.alias("body"), F.lit("").alias("after")))
+        return F.transform(F.split(x.body, "-"), lambda w, i: F.struct(x.at.alias("at"), F.lit("name").alias("kind"), _plain(w).alias("canonical"), F.when(i > 0, "-").otherwise("").alias("before"), w.alias("body"), F.lit("").alias("after")))
 
     return F.flatten(F.transform(F.transform(F.transform(kinds, coded), cut), lambda x: F.when(x.kind == "name", words(x)).when(x.kind == "again", again(x)).otherwise(canonical(x))))
 
@@ -240,10 +269,20 @@ def _drawn(parts: Column, of, key: str) -> Column:
     def replaced(x: Column) -> Column:
         octet = lambda i, lo, hi: (F.conv(F.substr(x.digest, F.lit(4 * i + 1), F.lit(4)), 16, 10).cast("int") % (hi - lo + 1) + lo).cast("string")
         ip = F.concat_ws(".", octet(0, 1, 223), octet(1, 0, 255), octet(2, 0, 255), octet(3, 1, 254))
+        part_of = lambda i, hi: (F.conv(F.substr(x.digest, F.lit(4 * i + 1), F.lit(4)), 16, 10).cast("int") % hi + 1).cast("string")
+        like_date = lambda i, given: F.when(F.length(given) == 1, part_of(i, 9)).otherwise(F.lpad(part_of(i, 12), 2, "0"))
+        written = lambda n: F.regexp_extract(x.body, r"^(\d{1,2})(\.? |[./])(\p{L}+|\d{1,2})( |[./])(\d{4})$", n)
+        year = F.concat(F.regexp_extract(x.body, r"(?:^|[ ./])(\d\d)\d\d(?:-|$)", 1), F.lpad((F.conv(F.substr(x.digest, F.lit(1), F.lit(4)), 16, 10).cast("int") % 100).cast("string"), 2, "0"))
+        month = F.when(written(3).rlike(r"^\p{L}"), written(3)).otherwise(like_date(1, written(3)))
+        date = F.when(x.body.contains("-"), F.concat_ws("-", year, like_date(1, F.lit("00")), like_date(2, F.lit("00")))).otherwise(F.concat(like_date(2, written(1)), written(2), month, written(4), year))
         grown = F.greatest(F.lit(0), x.attempt - SAME_FORMAT)  # a full format: longer by so much
         more = F.when(x.kind.isin("name", "email"), "").when(x.kind == "ip", F.repeat(F.lit(".0"), grown)).otherwise(F.repeat(F.lit("0"), grown))
-        like = _like(F.concat(x.body, more), x.digest, (x.kind == "secret") & x.body.rlike("^[0-9a-f]+$"))
-        body = F.when(x.kind == "name", _name(x.gender, x.body, x.digest, x.attempt)).when(x.kind == "ip", F.concat(ip, _like(more, x.digest, F.lit(False)))).otherwise(like)
+        given = F.when(x.kind.isin("ip", "birth"), more).otherwise(F.concat(F.when(x.kind == "ip6", F.lower(x.body)).otherwise(x.body), more))
+        like = _like(given, x.digest, (x.kind == "ip6") | ((x.kind == "secret") & x.body.rlike("^[0-9a-f]+$")))
+        body = (
+            F.when(x.kind == "name", _name(x.gender, x.body, x.digest, x.attempt)).when(x.kind == "ip", F.concat(ip, like)).when(x.kind == "birth", F.concat(date, like))
+            .when((x.kind == "ip6") & x.body.rlike("[A-F]"), F.upper(like)).otherwise(like)
+        )
         tld = F.concat(F.lit("."), F.substring_index(x.domain, ".", -1))
         part = F.when(x.attempt > 2, F.concat(F.lit("."), F.substr(x.digest, F.lit(1), x.attempt + 3))).otherwise("")  # short addresses run out
         after = F.when(x.kind == "email", F.concat(part, F.lit("@"), _like(F.substr(x.domain, F.lit(1), F.length(x.domain) - F.length(tld)), x.domain_digest, F.lit(False)), tld)).otherwise("")
@@ -262,7 +301,7 @@ def _drawn(parts: Column, of, key: str) -> Column:
 
 def _compared(kind: Column, text: Column) -> Column:
     """A canonical form's surrogate as it is compared: addresses and names without case."""
-    return F.when(kind.isin("name", "email"), F.lower(text)).otherwise(text)
+    return F.when(kind.isin("name", "email", "ip6"), F.lower(text)).otherwise(text)
 
 
 def later_attempts(entities: DataFrame, key: str) -> DataFrame:
@@ -297,14 +336,44 @@ def later_attempts(entities: DataFrame, key: str) -> DataFrame:
 BROADCAST_BYTES = 16 << 20
 
 
+def _small(df: DataFrame, size: Column) -> DataFrame:
+    """``df``, a checkpointed table, to be broadcast if it is of at most ``BROADCAST_BYTES``; ``size``: bytes of a row."""
+    return F.broadcast(df) if df.agg(F.coalesce(F.sum(size), F.lit(0))).first()[0] <= BROADCAST_BYTES else df
+
+
+def _common_names(rows: DataFrame) -> DataFrame | None:
+    """(hash, common): of the texts with names, the name words that some text writes in lower case; None without names.
+
+    Only words that are names are shuffled, unless there are too many names to broadcast: then the distinct words of all
+    texts are, by partial aggregation.
+    """
+    own = checkpointed(rows.filter(F.size("names") > 0).select("hash", F.explode("names").alias("name")).distinct().withColumn("word", _plain(F.col("name"))))
+    if own.isEmpty():
+        return None
+    names = _small(checkpointed(own.select("word").distinct()), F.octet_length("word") + 16)
+    written = F.array_distinct(F.filter(F.split("text", r"[^\p{L}\p{M}'’]+"), lambda w: w.rlike(r"^\p{Ll}")))
+    # what stands after a title in lower case is a name, not a word that happens to be one
+    written = F.array_except(written, F.flatten(F.transform(F.filter("matches", lambda m: m.rlike("^(mr|mrs|ms|dr|prof)[. ]")), lambda m: F.split(m, "[ .-]+"))))
+    lower = rows.filter(F.col("text").isNotNull()).select(F.explode(written).alias("word")).select(_plain(F.col("word")).alias("word")).join(names, "word", "left_semi").distinct()
+    common = _small(checkpointed(lower), F.octet_length("word") + 16)
+    found = checkpointed(own.join(common, "word").groupBy("hash").agg(F.array_sort(F.collect_set("name")).alias("common")))
+    return _small(found, F.aggregate("common", F.lit(16).cast("long"), lambda n, w: n + F.octet_length(w) + 16))
+
+
 def pseudonymise(docs: DataFrame, secret: str | None = None, *, key: str = "doc_id", text: str = "text", keep: tuple[str, ...] = (), entities: str = "entities") -> DataFrame:
     """``key``, ``text`` with surrogates, ``entities`` (by that name; kind and canonical form, from the left), and the columns to ``keep``."""
     secret = secret or session_key(docs.sparkSession)
     kept = [F.col(c).alias(f"kept{i}") for i, c in enumerate(keep)]
     rows = docs.select(F.col(key).alias("key"), F.col(text).alias("text"), F.xxhash64(text).alias("hash"), *kept)
     rows = rows.withColumn("matches", entities_in(F.col("text"))).withColumn("names", name_words(F.col("matches")))
-    rows = rows.withColumn("matches", F.when(F.size("names") > 0, F.regexp_extract_all("text", _with_names(F.col("names")), F.lit(0))).otherwise(F.col("matches")))
     rows = saved(rows)
+    common_of = _common_names(rows)
+    if common_of is None:
+        rows = rows.withColumn("common", F.array().cast("array<string>"))
+    else:
+        named = rows.filter(F.size("names") > 0).join(common_of, "hash", "left").withColumn("common", F.coalesce("common", F.array().cast("array<string>")))
+        named = saved(named.withColumn("matches", F.regexp_extract_all("text", _with_names(F.col("names"), F.col("common")), F.lit(0))))
+        rows = rows.filter(F.size("names") == 0).withColumn("common", F.array().cast("array<string>")).unionByName(named)
     with_parts = rows.filter(F.size("matches") > 0).withColumn("parts", _parts(F.col("matches"), F.col("names")))
 
     # a word has the gender of its text's titles, unless texts differ
@@ -331,7 +400,7 @@ def pseudonymise(docs: DataFrame, secret: str | None = None, *, key: str = "doc_
         of = lambda x: F.coalesce(F.get(F.filter("told", lambda t: (t.kind == _class(x.kind)) & (t.canonical == x.canonical)), F.lit(0)).dropFields("kind", "canonical"), own(x))
     drawn = with_parts.withColumn("drawn", _drawn(F.col("parts"), of, secret))
     surrogate = lambda i: F.array_join(F.transform(F.filter("drawn", lambda d: d["at"] == i), lambda d: d.text), "")
-    pieces = F.transform(F.split("text", _pattern(F.col("names")), -1), lambda gap, i: F.concat(gap, surrogate(i)))
+    pieces = F.transform(F.split("text", _pattern(F.col("names"), F.col("common")), -1), lambda gap, i: F.concat(gap, surrogate(i)))
     listed = F.transform(F.filter("parts", lambda x: x.kind != OTHER), lambda x: F.struct(x.kind.alias("kind"), x.canonical.alias("canonical")))
     others = [f"kept{i}" for i in range(len(keep))]
     changed = drawn.select("key", F.array_join(pieces, "").alias("text"), listed.alias("entities"), *others)

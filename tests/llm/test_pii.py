@@ -117,7 +117,8 @@ def slow_matches(text):
     found = [m[0] for m in regex.finditer(pii.ENTITY, text)]
     words = [w.rsplit(" ", 1)[-1] for m in found if TITLE.match(m) and "@" not in m for w in regex.split(pii.BETWEEN, TITLE.sub("", m))]
     words = sorted({x for w in words if len(w) > 1 for x in (w, w.upper(), w[0].upper() + w[1:].lower())})
-    pattern = pii.ENTITY + (rf"|(?<![\p{{L}}\p{{M}}\p{{N}}])(?:{'|'.join(words)})(?![\p{{L}}\p{{M}}\p{{N}}])" if words else "")
+    part = r"\p{Lu}[\p{L}\p{M}]*"
+    pattern = pii.ENTITY + (rf"|(?<![\p{{L}}\p{{M}}\p{{N}}])(?<![\p{{L}}\p{{M}}]-)(?:{part}-)*(?:{'|'.join(words)})(?:-{part})*(?![\p{{L}}\p{{M}}\p{{N}}])" if words else "")
     return [m[0] for m in regex.finditer(pattern, text)], regex.split(pattern, text)
 
 
@@ -188,3 +189,43 @@ def test_the_key_is_none_of_the_code(spark, monkeypatch):
     assert run(spark, ["a@b.org"], None)[0].text != one
     monkeypatch.setenv(pii.KEY_VARIABLE, "from outside")
     assert run(spark, ["a@b.org"], None)[0].text == run(spark, ["a@b.org"], "from outside")[0].text
+
+
+def test_common_words_are_names_only_beside_names(spark):
+    texts = [
+        "Mr May came in May 2020. May we go?", "Mr Long said that Long roads and Long days pass", "Sir John Long met John Long, and Long John", "we may walk a long way, as some will",
+        "Dr Mary Smith and Mary-Ann", "Mr Will Quill; Will says, Quill says; Will Quill", "Ms Kovac, Kovac and KOVAC",
+    ]
+    got = {i: r.text for i, r in run(spark, texts).items()}
+    assert regex.fullmatch(r"Mr (?!May)\w+ came in May 2020\. May we go\?", got[0])
+    assert regex.fullmatch(r"Mr (?!Long)\w+ said that Long roads and Long days pass", got[1])
+    a, b, c, d, e, f = regex.fullmatch(r"Sir (\w+) (\w+) met (\w+) (\w+), and (\w+) (\w+)", got[2]).groups()
+    assert (a, b) == (c, d) == (f, e) and not {a, b} & {"John", "Long"}
+    assert got[3] == texts[3]
+    a, b, c = regex.fullmatch(r"Dr (\w+) \w+ and (\w+)-(\w+)", got[4]).groups()
+    assert a == b != "Mary" and c != "Ann"
+    a, b, c, d, e = regex.fullmatch(r"Mr (\w+) (\w+); Will says, (\w+) says; (\w+) (\w+)", got[5]).groups()
+    assert a == d != "Will" and b == c == e != "Quill"
+    assert "ovac" not in got[6].lower()
+
+
+def test_more_titles_and_numbers(spark):
+    texts = [
+        "Sir John Major, Lord May, Lady Anna Gray and President Obama met mr smith and Mrs. Jones; Smith left",
+        "from 2001:db8::ff00:42:8329 and 2001:DB8:0:0:0:FF00:42:8329, fe80::1", "call 020 7946 0958, 0161 496 0000 or 01632 960123",
+        "born on 12 May 1990, DOB: 1990-05-12; date of birth 3.4.1985", "Passport no. X1234567, passport: 123456789",
+    ]
+    clean = ["std::vector a::b dead::beef 12:30:45", "in 2024-01-30 and 12 May 1990, X1234567 and 123456789", "sums 010 200 300, 0161 49", "the president and the lord"]
+    got = {i: r for i, r in run(spark, texts + clean).items()}
+    assert not regex.search("John|Major|May|Gray|Anna|Obama|smith|Jones|Smith", got[0].text)
+    assert [e.kind for e in got[0].entities] == ["given-m", "surname", "surname", "given-f", "surname", "surname", "surname", "surname", "name"]
+    assert [[e.kind for e in got[i].entities] for i in (1, 2, 3, 4)] == [["ip6"] * 3, ["phone"] * 3, ["birth"] * 3, ["passport"] * 2]
+    assert regex.fullmatch(r"from [0-9a-f]{4}:[0-9a-f]{3}::[0-9a-f]{4}:[0-9a-f]{2}:[0-9a-f]{4} and [0-9A-F]{4}(:[0-9A-F]{1,4}){7}, [0-9a-f]{4}::[0-9a-f]", got[1].text)
+    assert regex.fullmatch(r"call 0\d\d \d{4} \d{4}, 0\d{3} \d{3} \d{4} or 0\d{4} \d{6}", got[2].text)
+    months = regex.fullmatch(r"born on (\d\d) May 19\d\d, DOB: 19\d\d-(\d\d)-(\d\d); date of birth (\d)\.(\d)\.19\d\d", got[3].text).groups()
+    assert all(1 <= int(x) <= 12 for x in months)
+    assert regex.fullmatch(r"Passport no\. [A-Z]\d{7}, passport: \d{9}", got[4].text)
+    assert all(got[i].text != t for i, t in enumerate(texts))
+    assert [got[i + len(texts)].text for i in range(len(clean))] == clean
+    again = run(spark, [texts[1].lower()])[0].text
+    assert again == got[1].text.lower()
