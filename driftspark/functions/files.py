@@ -11,6 +11,10 @@ LANGUAGES = {
     ".sh": "shell", ".bash": "shell", ".zsh": "shell", ".ksh": "shell", ".dash": "shell", ".ash": "shell",
 }
 INTERPRETERS = ("sh", "bash", "zsh", "ksh", "dash", "ash")
+#: Characters whose upper case, to Spark, is several characters, or which its tables know and SQL engines don't yet; and the one that stands for each.
+_LONGER = [chr(i) for i in range(0x80, 0x10000) if not 0xD800 <= i < 0xE000 and len(chr(i).upper()) > 1]
+_NEWER = [chr(i) for i in (0x19B, 0x264, 0x1C8A, 0xA7CD, 0xA7DB, *range(0x10D70, 0x10D86))]
+SIMPLE_UPPER = {c: c.title() if len(c.title()) == 1 else c for c in _LONGER} | {c: c for c in _NEWER} | {"\u00df": "\u1e9e"}
 
 
 def posix(path: Column) -> Column:
@@ -42,6 +46,14 @@ def lines_of_code(text: Column, comment: str = "#") -> Column:
     return F.size(F.filter(F.split(text, "\n"), lambda x: (F.trim(F.replace(x, F.lit("\t"), F.lit(" "))) != "") & ~F.ltrim(F.replace(x, F.lit("\t"), F.lit(" "))).startswith(comment)))
 
 
+def simple_upper(text: Column) -> Column:
+    """Upper case, one character for each, as DuckDB's ``upper``; Spark's own turns ``\u00df`` into SS."""
+    special = "".join(SIMPLE_UPPER)
+    parts = F.regexp_extract_all(text, F.lit(f"[{special}]+|[^{special}]+"), F.lit(0))
+    mapped = F.transform(parts, lambda x: F.when(x.rlike(f"^[{special}]"), F.translate(x, special, "".join(SIMPLE_UPPER.values()))).otherwise(F.upper(x)))
+    return F.when(text.rlike(f"[{special}]"), F.array_join(mapped, "")).otherwise(F.upper(text))
+
+
 def short_hash(text: Column, digits: int = 8) -> Column:
     return F.substring(F.sha2(text, 256), 1, digits)
 

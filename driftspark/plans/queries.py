@@ -893,7 +893,7 @@ def cache_store(spark, sf_dir):
     """
     text, lang = F.coalesce("text", F.lit("")), F.coalesce("lang", F.lit(""))
     docs = tables.read(spark, sf_dir, "documents").select("doc_id", text.alias("text"), lang.alias("lang"))
-    edited = docs.withColumn("text", F.when(F.col("lang") == "es", F.upper("text")).otherwise(F.col("text")))
+    edited = docs.withColumn("text", F.when(F.col("lang") == "es", files.simple_upper(F.col("text"))).otherwise(F.col("text")))
     folder = f"{shared_folder(spark)}/features-{uuid.uuid4().hex}"
     for rows in (docs, docs.filter("lang <> 'de'"), docs.filter("lang <> 'fr'"), edited):
         of = {"repo_id": F.lit(""), "seq": F.lit(0), "file_path": F.concat(F.lit("d"), F.col("doc_id").cast("string")), "language": F.col("lang"), "lines_of_code": files.lines_of_code(F.col("text")), "content_hash": F.sha2("text", 256)}

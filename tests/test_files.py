@@ -173,3 +173,9 @@ def test_listing_keeps_hidden_names(spark, tmp_path):
         (tmp_path / name).write_text("x = 1\n")
     got = sorted(r.path for r in trees.source_files(spark, {"r": str(tmp_path)}).collect())
     assert got == [".h.py", "__init__.py", "_p.py", "a.py"]
+
+
+def test_upper_case_has_one_character_for_each(spark):
+    texts = ["stra\u00dfe\n\u00df", "\u0149\ufb01x \u1f80\u1fb3\u0390", "plain \u00f1\u00e9", "", None]
+    got = [r.u for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string").orderBy("i").select(files.simple_upper(F.col("t")).alias("u")).collect()]
+    assert got == ["STRA\u1e9eE\n\u1e9e", "\u0149\ufb01X \u1f88\u1fbc\u0390", "PLAIN \u00d1\u00c9", "", None]
