@@ -154,24 +154,50 @@ def unit(x: np.ndarray) -> np.ndarray:
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
 
 
-def _axes(x: np.ndarray) -> np.ndarray:
-    """The ``RANK`` leading right singular vectors, as columns; of over 1,024 rows by block iteration from a fixed start."""
+@dataclass(frozen=True)
+class Rows:
+    """Rows of features as their columns (int16) and values (float32) other than 0; a slice of them is an array with all columns."""
+
+    at: list[bytes]
+    x: list[bytes]
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def __getitem__(self, part: slice) -> np.ndarray:
+        out = np.zeros((len(self.at[part]), COLUMNS), np.float32)
+        for row, at, x in zip(out, self.at[part], self.x[part], strict=True):
+            row[np.frombuffer(at, np.int16)] = np.frombuffer(x, np.float32)
+        return out
+
+
+def _blocks(x: np.ndarray | Rows, weight: np.ndarray | None = None) -> Iterator[np.ndarray]:
+    """``BLOCK`` rows at a time; with ``weight``, their columns weighted and the rows of unit length."""
+    for a in range(0, len(x), BLOCK):
+        yield x[a : a + BLOCK] if weight is None else unit(x[a : a + BLOCK] * weight)
+
+
+def _axes(x: np.ndarray | Rows, weight: np.ndarray | None = None) -> np.ndarray:
+    """The ``RANK`` leading right singular vectors, as columns; of over 1,024 rows by block iteration from a fixed start.
+
+    The rows are met block by block: all columns of all rows at once would be the most that the driver holds.
+    """
     if len(x) <= 1024:
-        return np.linalg.svd(x.astype(np.float64), full_matrices=False)[2][:RANK].T
-    block = np.random.default_rng(0).standard_normal((x.shape[1], RANK + 16)).astype(np.float32)
+        return np.linalg.svd(np.concatenate(list(_blocks(x, weight))).astype(np.float64), full_matrices=False)[2][:RANK].T
+    block = np.random.default_rng(0).standard_normal((x[:1].shape[1], RANK + 16)).astype(np.float32)
     for _ in range(8):
-        block = np.linalg.qr(x.T @ (x @ block))[0]
-    _, _, right = np.linalg.svd((x @ block).astype(np.float64), full_matrices=False)
+        block = np.linalg.qr(sum(b.T @ (b @ block) for b in _blocks(x, weight)))[0]
+    _, _, right = np.linalg.svd(np.concatenate([b @ block for b in _blocks(x, weight)]).astype(np.float64), full_matrices=False)
     return block @ right[:RANK].T
 
 
-def train(rows: np.ndarray, labels: np.ndarray) -> Model:
+def train(rows: np.ndarray | Rows, labels: np.ndarray) -> Model:
     """From the labelled rows' features and labels; rows of ``NOISE_LABEL`` don't count for the share of label 1."""
     if not len(rows):
         return Model(np.zeros((COLUMNS, 1), np.float32), np.zeros((0, 1), np.float32), np.zeros(0, np.float32), 0.5)
-    idf = (np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    projection = (idf[:, None] * _axes(unit(rows * idf))).astype(np.float32)
-    return Model(projection, unit(rows @ projection), labels.astype(np.float32), float(labels[labels != NOISE_LABEL].mean()))
+    idf = (np.log((1 + len(rows)) / (1 + sum((b > 0).sum(axis=0) for b in _blocks(rows)))) + 0.1).astype(np.float32)
+    projection = (idf[:, None] * _axes(rows, idf)).astype(np.float32)
+    return Model(projection, np.concatenate([unit(b @ projection) for b in _blocks(rows)]), labels.astype(np.float32), float(labels[labels != NOISE_LABEL].mean()))
 
 
 def score(model: Model, rows: np.ndarray) -> np.ndarray:
@@ -192,7 +218,7 @@ def score(model: Model, rows: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int = LABELLED, key: str = "doc_id", text: str = "text", label: str = "quality", with_noise: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int = LABELLED, key: str = "doc_id", text: str = "text", label: str = "quality", with_noise: bool = False) -> tuple[Rows, np.ndarray]:
     """Features and labels of at most ``n`` documents, and with ``with_noise`` of their noise; only their features reach the driver."""
     known = labels.filter(allowed & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     given = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash")).groupBy("key").agg(F.min("hash").alias("hash"))
@@ -217,10 +243,7 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int
                     yield pa.RecordBatch.from_pydict({"key": pa.array(keys[a : a + BLOCK], pa.string()), "label": pa.array(labels[a : a + BLOCK], pa.float64()), "at": pa.array([i.tobytes() for i in at], pa.binary()), "x": pa.array([x[i].tobytes() for x, i in zip(found, at, strict=True)], pa.binary())})
 
     got = sorted((r.key, r.label, bytes(r["at"]), bytes(r.x)) for r in map_batches(rows, run, "key string, label double, at binary, x binary").collect())
-    out = np.zeros((len(got), COLUMNS), np.float32)
-    for row, (_, _, at, x) in zip(out, got, strict=True):
-        row[np.frombuffer(at, np.int16)] = np.frombuffer(x, np.float32)
-    return out, np.array([y for _, y, _, _ in got])
+    return Rows([at for _, _, at, _ in got], [x for *_, x in got]), np.array([y for _, y, _, _ in got])
 
 
 def _scores(texts: pa.Array, model: Model, terms: _Terms) -> np.ndarray:

@@ -152,6 +152,25 @@ def test_axes_of_many_rows_are_those_of_few():
     assert np.abs(exact @ quality._axes(x)[:, :10]) == pytest.approx(np.eye(10), abs=2e-2)
 
 
+def test_training_never_holds_all_columns_of_all_rows():
+    import tracemalloc
+
+    rng = np.random.default_rng(8)
+    n = 3000
+    at = [np.unique(rng.integers(0, quality.COLUMNS, 60)).astype(np.int16) for _ in range(n)]
+    rows = quality.Rows([a.tobytes() for a in at], [rng.random(len(a)).astype(np.float32).tobytes() for a in at])
+    labels = rng.integers(0, 2, n)
+    tracemalloc.start()
+    model = quality.train(rows, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < n * quality.COLUMNS * 4  # one float for each
+    few = quality.Rows(rows.at[:300], rows.x[:300])
+    one, other = quality.train(few, labels[:300]), quality.train(few[0:300], labels[:300])
+    assert quality.score(one, rows[300:400]) == pytest.approx(quality.score(other, rows[300:400]), abs=1e-5)
+    assert len(model.vectors) == n and quality.score(model, rows[:50]).std() > 0
+
+
 def test_noise_scores_apart_from_prose(spark):
     docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
     plain, both = (quality.train(*quality.labelled_rows(docs, labels, ~held_out(F.col("doc_id")), with_noise=w)) for w in (False, True))
