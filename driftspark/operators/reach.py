@@ -7,8 +7,11 @@ collected in one task; what leaves the JVM is single strong components, to have
 Weak components: every vertex links its neighbours to the least one it knows (large and small stars), until the stars
 stand still. Strong components: vertices that nothing enters or nothing leaves are trimmed; then the largest number is
 carried forward along edges, and what its vertex is reached from within that colour is its component; the rest goes on.
-Diameter: each vertex has the set of the sources that reach it as bitmaps of 32,768, and gives what has grown along its
-edges; the last round in which a set grows is the answer.
+Diameter: each vertex has the set of the sources that reach it, and takes what has grown from its neighbours; the last round
+in which a set grows is the answer. The sets of all sources together would be as many bits as pairs of vertices, and each
+round would send them along each edge. So a task has a block of sources, with bitmaps of all vertices of their snapshot for
+them (``BLOCK_BYTES``, and as much for the next round), and reads the edges, which it doesn't keep, from the shared
+folder in each round. Time goes with vertices times edges, divided by the bits of a word; memory and disk don't.
 
 Each round is one join with the edges and an aggregation, kept as a table. The rounds are as many as the longest path that a
 round has to follow; trimming takes at most ``TRIMMINGS`` of them at a time before colours take over.
@@ -16,15 +19,24 @@ round has to follow; trimming takes at most ``TRIMMINGS`` of them at a time befo
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
 import pandas as pd
+from pyarrow import dataset
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..shared import saved
+from ..shared import saved, saved_path
 from ..shipping import ship
+from ..sources.snapshots import opened
 
 SNAPSHOT = ["repo_id", "seq"]
 TRIMMINGS = 4
+#: Of a block of sources: its bitmaps, unless they have 64 bits, and its sources; neighbours that are looked at together.
+BLOCK_BYTES = 128 << 20
+BLOCK_BITS = 4096
+NEAR = 64
 
 
 def numbered(rows: DataFrame, *order: str) -> DataFrame:
@@ -129,19 +141,65 @@ def cycles_of_components(links: DataFrame, cap: int | None) -> DataFrame:
     return inside.groupBy("component").applyInPandas(count, "component long, cycles long")
 
 
-def reached(links: DataFrame) -> DataFrame:
-    """(v, block, bits, n, round): the sources of each block that reach each vertex, and the last round in which they grew."""
-    own = links.select(F.col("a").alias("v")).distinct()
-    state = own.groupBy("v", F.bitmap_bucket_number("v").alias("block")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("v")).alias("bits"))
-    state = saved(state.select("v", "block", "bits", F.lit(1).cast("long").alias("n"), F.lit(0).alias("round")))
+def farthest(names: DataFrame, links: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """(repo_id, seq, round): for each block of sources of a snapshot, the last round in which the set of them that reach a vertex grew."""
+    spans = names.groupBy(*SNAPSHOT).agg(F.min("v").alias("first"), F.count(F.lit(1)).alias("n"))  # a snapshot's numbers are consecutive
+    into = links.join(names.select(*SNAPSHOT, F.col("v").alias("b")).join(spans, SNAPSHOT).select("b", "first"), "b")
+    local = into.groupBy("b").agg(F.array_sort(F.collect_list((F.col("a") - F.col("first")).cast("int"))).alias("sources"))
+    path = saved_path(local.repartitionByRange("b").sortWithinPartitions("b"))
+    size = F.greatest(F.lit(64), F.least(F.lit(BLOCK_BITS), F.floor(F.lit(8 * block_bytes) / F.col("n") / 64) * 64)).cast("long")
+    blocks = spans.withColumn("size", size).withColumn("at", F.explode(F.expr("sequence(0L, n - 1, size)")))
+    blocks = blocks.select(*SNAPSHOT, "first", "n", "at", F.least("size", F.col("n") - F.col("at")).alias("size"))
+    blocks = blocks.repartition(max(1, min(blocks.count(), links.sparkSession.sparkContext.defaultParallelism * 16)), *SNAPSHOT, "at")
+
+    def edges(first: int, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Batches of the snapshot's vertices that edges enter: their numbers, and where whose sources lie in the last array."""
+        system, root = opened(path)
+        own = (dataset.field("b") >= first) & (dataset.field("b") < first + n)
+        for batch in dataset.dataset(root, filesystem=system, format="parquet").to_batches(filter=own, batch_size=1024, batch_readahead=1, fragment_readahead=1, use_threads=False):
+            sources = batch.column("sources")
+            yield batch.column("b").to_numpy() - first, sources.offsets.to_numpy(), sources.values.to_numpy()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            last = [_last_growth(lambda r=r: edges(r.first, r.n), r.n, r.at, r.size) for r in batch.itertuples()]
+            yield batch[SNAPSHOT].assign(round=last)
+
+    ship(links.sparkSession)
+    return blocks.mapInPandas(run, "repo_id string, seq long, round long")
+
+
+def _last_growth(edges: Callable[[], Iterator[tuple]], n: int, at: int, size: int) -> int:
+    """The last round in which a vertex is first reached from one of the sources ``at``, ``at + 1``, ...; 0 if none is.
+
+    A row has a bit for each source that is known to reach the vertex. Vertices that have all bits that any vertex was ever
+    given are left alone, and others look at their neighbours only until they have.
+    """
+    bit = np.arange(size)
+    state = np.zeros((n, (size + 63) // 64), np.uint64)
+    state[at + bit, bit >> 6] = np.uint64(1) << (bit & 63).astype(np.uint64)
+    grown, given = np.zeros(n, bool), np.zeros(state.shape[1], np.uint64)
+    grown[at : at + size] = True
     step = 0
-    while not (grown := state.filter(F.col("round") == step)).isEmpty():
-        step += 1
-        given = grown.select(F.col("v").alias("a"), "block", "bits").join(links, "a").select(F.col("b").alias("v"), "block", "bits", F.lit(0).cast("long").alias("n"), F.lit(0).alias("round"))
-        after = state.unionByName(given).groupBy("v", "block").agg(F.bitmap_or_agg("bits").alias("bits"), F.max("n").alias("before"), F.max("round").alias("round"))
-        after = after.withColumn("n", F.bitmap_count("bits")).withColumn("round", F.when(F.col("n") > F.col("before"), step).otherwise(F.col("round")))
-        state = saved(after.select("v", "block", "bits", "n", "round"))
-    return state
+    while True:
+        after, more, every = state.copy(), np.zeros(n, bool), given.copy()
+        for into, offsets, sources in edges():
+            for b, start, end in zip(into.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+                row = after[b]
+                if step and not (every & ~row).any():
+                    continue
+                near = sources[start:end]
+                near = near[grown[near]]
+                for i in range(0, len(near), NEAR):
+                    row |= np.bitwise_or.reduce(state[near[i : i + NEAR]], axis=0)
+                    if step and not (every & ~row).any():
+                        break
+                if not step and len(near):
+                    given |= row & ~state[b]
+                more[b] = len(near) > 0 and (row != state[b]).any()
+        if not more.any():
+            return step
+        step, state, grown = step + 1, after, more
 
 
 def _per_snapshot(names: DataFrame, values: DataFrame, *aggregates) -> DataFrame:
@@ -156,8 +214,7 @@ def component_counts(names: DataFrame, links: DataFrame) -> DataFrame:
 
 def depths(names: DataFrame, links: DataFrame) -> DataFrame:
     """(repo_id, seq, max_depth): the longest of all finite shortest directed paths; 0 without edges."""
-    last = reached(links).groupBy("v").agg(F.max("round").alias("round"))
-    return _per_snapshot(names, last, F.coalesce(F.max("round"), F.lit(0)).cast("long").alias("max_depth"))
+    return farthest(names, links).groupBy(*SNAPSHOT).agg(F.max("round").alias("max_depth"))
 
 
 def cycle_counts(names: DataFrame, links: DataFrame, cap: int | None) -> DataFrame:

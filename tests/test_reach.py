@@ -65,6 +65,20 @@ def test_strong_components_equal_closure(spark, tables):
     assert got == {(i, p) for i, (n, es) in enumerate(graphs) for p in strong(n, es)}
 
 
+def test_depths_by_small_blocks_of_sources(spark, monkeypatch):
+    rng = random.Random(4)
+    graphs = {0: (200, [(i, i + 1) for i in range(199)]), 1: (150, [(rng.randrange(150), rng.randrange(150)) for _ in range(400)]), 2: (3, [])}
+    vertices = spark.createDataFrame([("r", i, f"f{v:03}") for i, (n, _) in graphs.items() for v in range(n)], KEY + "file_path string")
+    edges = spark.createDataFrame([("r", i, f"f{a:03}", f"f{b:03}") for i, (_, es) in graphs.items() for a, b in es], KEY + "src string, dst string")
+    monkeypatch.setattr(reach, "NEAR", 2)
+    found = reach.farthest(*reach.as_numbers(vertices, edges), block_bytes=1).collect()
+    assert len(found) == 4 + 3 + 1  # blocks of 64 sources
+    got = {}
+    for r in found:
+        got[r.seq] = max(got.get(r.seq, 0), r["round"])
+    assert got == {i: graph.diameter([(a, b) for a, b in es if a != b]) for i, (_, es) in graphs.items()}
+
+
 def test_caps_and_empty_graphs(spark, tables):
     _, vertices, edges = tables
     clique = edges.filter("seq = 5")
