@@ -14,7 +14,8 @@ them (``BLOCK_BYTES``, and as much for the next round), and reads the edges, whi
 folder in each round. Time goes with vertices times edges, divided by the bits of a word; memory and disk don't.
 
 Each round is one join with the edges and an aggregation, kept as a table. The rounds are as many as the longest path that a
-round has to follow; trimming takes at most ``TRIMMINGS`` of them at a time before colours take over.
+round has to follow. Trimming ends when it takes less than ``TRIMMED`` of the edges; what is left of all graphs goes to one
+task if it has at most ``ONE_TASK`` edges, and colours take over otherwise.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ from ..shipping import ship
 from ..sources.snapshots import opened
 
 SNAPSHOT = ["repo_id", "seq"]
-TRIMMINGS = 4
+#: Trimming goes on as long as a round takes this share of the edges.
+TRIMMED = 0.05
+#: Edges that are left of all graphs, of which one task finds the strong components: thirty rounds of jobs cost more than that.
+ONE_TASK = 500_000
 #: Of a block of sources: its bitmaps, unless they have 64 bits, and its sources; neighbours that are looked at together.
 BLOCK_BYTES = 128 << 20
 BLOCK_BITS = 4096
@@ -85,22 +89,38 @@ def _same(a: DataFrame, b: DataFrame) -> bool:
     return digest(a) == digest(b)
 
 
-def trimmed(links: DataFrame, rounds: int = TRIMMINGS) -> DataFrame:
+def trimmed(links: DataFrame) -> DataFrame:
     """The edges without those whose source nothing enters or whose target nothing leaves, again and again."""
     n = links.count()
-    for _ in range(rounds):
+    while n > ONE_TASK:
         inner = links.select(F.col("b").alias("v")).distinct().join(links.select(F.col("a").alias("v")).distinct(), "v", "left_semi")
         links = saved(links.join(inner.withColumnRenamed("v", "a"), "a", "left_semi").join(inner.withColumnRenamed("v", "b"), "b", "left_semi"))
         before, n = n, links.count()
-        if n in (0, before):
+        if before - n < TRIMMED * before:
             break
     return links
 
 
 def strong_components(links: DataFrame) -> DataFrame:
     """(v, component) of the vertices that lie on cycles; the component is its greatest vertex."""
+    from .graph import strong_components as of_one_task
+
+    def rest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        follow: dict = {}
+        for batch in batches:
+            for a, b in zip(batch.a.tolist(), batch.b.tolist(), strict=True):
+                follow.setdefault(a, set()).add(b)
+                follow.setdefault(b, set())
+        rows = [(v, max(part)) for part in of_one_task(follow) if len(part) > 1 for v in part]
+        yield pd.DataFrame(rows, columns=["v", "c"], dtype="int64")
+
     found, left = None, trimmed(links)
-    while not left.isEmpty():
+    while (n := left.count()) > 0:
+        if n <= ONE_TASK:
+            ship(links.sparkSession)
+            own = saved(left.repartition(1).mapInPandas(rest, "v long, c long"))
+            found = own if found is None else saved(found.unionByName(own))
+            break
         colour = saved(left.select(F.col("a").alias("v")).union(left.select("b")).distinct().withColumn("c", F.col("v")).withColumn("grown", F.lit(True)))
         while True:  # the greatest vertex that reaches each
             given = colour.filter("grown").join(left, F.col("v") == F.col("a")).groupBy(F.col("b").alias("v")).agg(F.max("c").alias("more"))

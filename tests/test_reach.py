@@ -53,6 +53,21 @@ def test_measures_equal_those_of_one_task(spark, tables):
     assert mixed == {i: (r.component_count, r.max_depth) for i, r in found.items()}
 
 
+@pytest.mark.parametrize("one_task", [0, reach.ONE_TASK])
+def test_strong_components_take_few_rounds(spark, monkeypatch, one_task):
+    rng, n, ring = random.Random(5), 150 if one_task else 40, 30 if one_task else 6
+    links = {(a, (a + 1) % ring if a < ring else rng.randrange(n)) for a in range(n)}
+    links = [(a, b) for a, b in links if a != b]
+    tables, keep = [], reach.saved
+    monkeypatch.setattr(reach, "ONE_TASK", one_task)
+    monkeypatch.setattr(reach, "saved", lambda df: tables.append(1) or keep(df))
+    parts = {}
+    for r in reach.strong_components(spark.createDataFrame(links, "a long, b long")).collect():
+        parts.setdefault(r.component, set()).add(r.v)
+    assert {frozenset(p) for p in parts.values()} == strong(n, links) and all(c == max(p) for c, p in parts.items())
+    assert not one_task or len(tables) < 30  # a ring of 30 took more
+
+
 def test_strong_components_equal_closure(spark, tables):
     graphs, vertices, edges = tables
     names, links = reach.as_numbers(vertices, edges)
