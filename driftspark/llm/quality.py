@@ -180,7 +180,7 @@ def _blocks(x: np.ndarray | Rows, weight: np.ndarray | None = None) -> Iterator[
 def _axes(x: np.ndarray | Rows, weight: np.ndarray | None = None) -> np.ndarray:
     """The ``RANK`` leading right singular vectors, as columns; of over 1,024 rows by block iteration from a fixed start.
 
-    The rows are met block by block: all columns of all rows at once would be the most that the driver holds.
+    The rows are met block by block: all columns of all rows at once would be the most that training holds.
     """
     if len(x) <= 1024:
         return np.linalg.svd(np.concatenate(list(_blocks(x, weight))).astype(np.float64), full_matrices=False)[2][:RANK].T
@@ -218,8 +218,8 @@ def score(model: Model, rows: np.ndarray) -> np.ndarray:
     return np.clip(out, 0, 1)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int = LABELLED, key: str = "doc_id", text: str = "text", label: str = "quality", with_noise: bool = False) -> tuple[Rows, np.ndarray]:
-    """Features and labels of at most ``n`` documents, and with ``with_noise`` of their noise; only their features reach the driver."""
+def labelled(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int = LABELLED, key: str = "doc_id", text: str = "text", label: str = "quality", with_noise: bool = False) -> DataFrame:
+    """Key, label and features (``Rows``) of at most ``n`` documents, and with ``with_noise`` of their noise."""
     known = labels.filter(allowed & F.col(label).isin(0, 1)).groupBy(F.col(key).alias("key")).agg(F.max(label).cast("int").alias("label"))
     given = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("hash")).groupBy("key").agg(F.min("hash").alias("hash"))
     draw = F.xxhash64(F.col("key").cast("string"), F.lit("labelled"))
@@ -242,8 +242,33 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, *, n: int
                     at = [np.flatnonzero(x).astype(np.int16) for x in found]
                     yield pa.RecordBatch.from_pydict({"key": pa.array(keys[a : a + BLOCK], pa.string()), "label": pa.array(labels[a : a + BLOCK], pa.float64()), "at": pa.array([i.tobytes() for i in at], pa.binary()), "x": pa.array([x[i].tobytes() for x, i in zip(found, at, strict=True)], pa.binary())})
 
-    got = sorted((r.key, r.label, bytes(r["at"]), bytes(r.x)) for r in map_batches(rows, run, "key string, label double, at binary, x binary").collect())
-    return Rows([at for _, _, at, _ in got], [x for *_, x in got]), np.array([y for _, y, _, _ in got])
+    return map_batches(rows, run, "key string, label double, at binary, x binary")
+
+
+def _in_order(rows: list[tuple[str, float, bytes, bytes]]) -> tuple[Rows, np.ndarray]:
+    rows = sorted(rows)
+    return Rows([at for _, _, at, _ in rows], [x for *_, x in rows]), np.array([y for _, y, _, _ in rows])
+
+
+def labelled_rows(docs: DataFrame, labels: DataFrame, allowed: Column, **options) -> tuple[Rows, np.ndarray]:
+    """Features and labels of the rows of ``labelled``, on the driver."""
+    return _in_order([(r.key, r.label, bytes(r["at"]), bytes(r.x)) for r in labelled(docs, labels, allowed, **options).collect()])
+
+
+def learnt(docs: DataFrame, labels: DataFrame, allowed: Column, **options) -> Model:
+    """The model of the rows of ``labelled``, which are bounded: trained in a task, so that the driver gets no rows, only the model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [row for b in batches for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+        model = train(*_in_order(rows))
+        yield pa.RecordBatch.from_pydict({"rank": pa.array([model.projection.shape[1]], pa.int32()), "prior": [model.prior]} | {k: pa.array([getattr(model, k).astype(np.float32).tobytes()], pa.binary()) for k in ("projection", "vectors", "labels")})
+
+    found = map_batches(labelled(docs, labels, allowed, **options).repartition(1), run, "rank int, prior double, projection binary, vectors binary, labels binary").collect()
+    if not found:
+        return train(Rows([], []), np.zeros(0))
+    floats = lambda x: np.frombuffer(bytes(x), np.float32)
+    r = found[0]
+    return Model(floats(r.projection).reshape(-1, r["rank"]), floats(r.vectors).reshape(-1, r["rank"]), floats(r.labels), r.prior)
 
 
 def _scores(texts: pa.Array, model: Model, terms: _Terms) -> np.ndarray:

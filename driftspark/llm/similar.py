@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import checkpointed, free_name, map_batches, ship
+from .common import free_name, map_batches, saved, ship
 from .components import components
 
 BINS, BANDS = 64, 16
@@ -112,12 +112,12 @@ def candidates(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     bands with more than ``SMALL`` nodes, of which the pairs hold the least node's only."""
     keyed = nodes.select("node", F.posexplode("bands").alias("band", "value"))
     groups = keyed.groupBy("band", "value").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("least")).filter("n > 1")
-    shared = checkpointed(keyed.join(groups, ["band", "value"]))
+    shared = saved(keyed.join(groups, ["band", "value"]))
     stars = shared.filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
     small = shared.filter(F.col("n") <= SMALL).select("band", "value", "node")
     other = small.select(F.col("band").alias("band2"), F.col("value").alias("value2"), F.col("node").alias("other"))
     each = small.join(other, (F.col("band") == F.col("band2")) & (F.col("value") == F.col("value2")) & (F.col("node") < F.col("other"))).select(F.col("node").alias("u"), F.col("other").alias("v"))
-    prints = checkpointed(nodes.groupBy("fp").agg(F.min("node").alias("least")))
+    prints = saved(nodes.groupBy("fp").agg(F.min("node").alias("least")))
     same = nodes.join(prints, "fp").filter("node <> least").select(F.col("least").alias("u"), F.col("node").alias("v"))
     linked = simhash.links(prints.select(F.col("least").alias("node"), "fp")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
     return stars.unionByName(each).unionByName(same).unionByName(linked).distinct(), shared.filter(F.col("n") > SMALL).select("band", "value", "node")
@@ -168,7 +168,7 @@ def by_rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> Da
     ``nodes``: node and component, distinct. Lists of the same nodes come once.
     """
     own = sets.withColumnRenamed("key", "node").join(nodes, "node")
-    own = checkpointed(own)
+    own = saved(own)
     counts = own.select(F.explode("shingles").alias("shingle")).groupBy("shingle").agg(F.count(F.lit(1)).alias("n"))
     total = own.agg(F.coalesce(F.sum(F.size("shingles")), F.lit(0))).first()[0]
     often = counts.filter(F.col("n") >= max(2, -(-total // FREQUENT))).collect()  # FREQUENT rows at most
@@ -192,7 +192,7 @@ def by_rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> Da
             took = pa.array(at, pa.int64())
             yield pa.RecordBatch.from_pydict({"value": pa.array(np.concatenate(values) if values else [], pa.int64()), "node": nodes.take(took), "component": components.take(took), "size": pa.array(sizes, pa.int32())})
 
-    entries = checkpointed(map_batches(own.select("node", "component", "shingles"), prefixes, f"value long, node {kind}, component {kind}, size int"))
+    entries = saved(map_batches(own.select("node", "component", "shingles"), prefixes, f"value long, node {kind}, component {kind}, size int"))
     lists = entries.groupBy("value").agg(F.min("component").alias("a"), F.max("component").alias("b"), F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y"))
     once = lists.filter("a <> b").groupBy("n", "x", "y").agg(F.min("value").alias("value")).select("value", "n")
     return entries.join(once, "value")
@@ -200,24 +200,24 @@ def by_rare_shingles(nodes: DataFrame, sets: DataFrame, similarity: float) -> Da
 
 def connecting(hot: DataFrame, sets: DataFrame, known: DataFrame, similarity: float) -> DataFrame | None:
     """Edges (u, v) that connect the similar nodes of each band of ``hot`` which ``known`` (node, component) leaves apart."""
-    named = checkpointed(hot.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
+    named = saved(hot.join(known, "node", "left").withColumn("component", F.coalesce("component", "node")))
     apart = named.groupBy("band", "value").agg(F.min("component").alias("a"), F.max("component").alias("b")).filter("a <> b").select("band", "value")
-    rows = checkpointed(named.join(apart, ["band", "value"]).join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("size")), "node"))
+    rows = saved(named.join(apart, ["band", "value"]).join(sets.select(F.col("key").alias("node"), F.size("shingles").alias("size")), "node"))
     if rows.isEmpty():
         return None
     room = rows.groupBy("band", "value").agg(F.sum(F.col("size").cast("long")).alias("total"))
-    wide = checkpointed(room.filter(F.col("total") > BLOCK_SHINGLES).select("band", "value"))
+    wide = saved(room.filter(F.col("total") > BLOCK_SHINGLES).select("band", "value"))
     pairs, kind = None, hot.schema["node"].dataType.simpleString()
     if not wide.isEmpty():
-        lists = checkpointed(by_rare_shingles(rows.join(wide, ["band", "value"]).select("node", "component").distinct(), sets, similarity))
+        lists = saved(by_rare_shingles(rows.join(wide, ["band", "value"]).select("node", "component").distinct(), sets, similarity))
         few = lists.filter(F.col("n") <= SMALL).select("value", "node", "component")
         other = few.select("value", F.col("node").alias("other"), F.col("component").alias("c"))
         pairs = few.join(other, "value").filter("node < other AND component <> c").select(F.col("node").alias("u"), F.col("other").alias("v")).distinct()
         many = lists.filter(F.col("n") > SMALL).select(F.lit(-1).alias("band"), "value", "node", "component", "size")
-        rows = checkpointed(rows.join(wide, ["band", "value"], "left_anti").select(many.columns).unionByName(many))
+        rows = saved(rows.join(wide, ["band", "value"], "left_anti").select(many.columns).unionByName(many))
         room = rows.groupBy("band", "value").agg(F.sum(F.col("size").cast("long")).alias("total"))
     rows = rows.join(room, ["band", "value"]).withColumn("block", F.pmod(F.xxhash64("node"), F.ceil(F.col("total") / BLOCK_SHINGLES)))
-    rows = checkpointed(rows.select("band", "value", "block", "node", "component"))
+    rows = saved(rows.select("band", "value", "block", "node", "component"))
     others = rows.select("band", "value", F.col("block").alias("other")).distinct()
     tasks = rows.join(others, ["band", "value"]).select("band", "value", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "component")
     tasks = tasks.join(sets.withColumnRenamed("key", "node"), "node")
@@ -243,13 +243,13 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 def groups(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, component) of the documents that are not alone; the component is the group's smallest id."""
-    found = checkpointed(sketches(docs.filter(F.col(key).isNotNull()), shingle=shingle, key=key, text=text))
-    nodes = checkpointed(found.groupBy("digest").agg(F.min("key").alias("node"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
+    found = saved(sketches(docs.filter(F.col(key).isNotNull()), shingle=shingle, key=key, text=text))
+    nodes = saved(found.groupBy("digest").agg(F.min("key").alias("node"), F.any_value("fp").alias("fp"), F.any_value("bands").alias("bands")))
     pairs, hot = candidates(nodes.select("node", "fp", "bands"))
-    pairs = checkpointed(pairs)
+    pairs = saved(pairs)
     asked = pairs.select(F.col("u").alias(key)).unionByName(pairs.select(F.col("v").alias(key))).distinct()
     sets = shingle_sets(docs.join(asked, key, "left_semi"), shingle=shingle, key=key, text=text).dropDuplicates(["key"])
-    sets = checkpointed(sets)
+    sets = saved(sets)
     near = verified(pairs, sets, similarity)
     copies = found.join(nodes.select("digest", "node"), "digest").filter("key <> node").select(F.col("node").alias("u"), F.col("key").alias("v"))
     known = components(near.unionByName(copies))
@@ -272,8 +272,8 @@ def kept_rows(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, key
         return docs.join(others, key, "left_anti").select(docs.columns)
     row = free_name(docs, "_row")
     rows = docs.withColumn(row, F.struct(F.col(key).isNull().alias("last"), F.col(key).alias("id"), F.xxhash64(text).alias("hash")))
-    others = checkpointed(groups(rows, key=row, **options).filter(F.col(row) != F.col("component")).select(row))
+    others = saved(groups(rows, key=row, **options).filter(F.col(row) != F.col("component")).select(row))
     left = rows.join(others, row, "left_anti")
-    repeated = checkpointed(left.groupBy(row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(row))
+    repeated = saved(left.groupBy(row).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select(row))
     once = left.join(repeated, row, "left_semi").dropDuplicates([row])
     return left.join(repeated, row, "left_anti").unionByName(once).select(docs.columns)

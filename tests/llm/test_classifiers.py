@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from driftspark.llm import langid, quality
+from driftspark.llm import queries as llm
 from driftspark.llm.common import held_out
 
 SMALL = "/root/testdata/sf0.01"
@@ -233,3 +234,21 @@ def test_long_documents_are_learnt_by_pieces(spark, monkeypatch):
     assert [r.lang_pred for r in langid.identify(asked, langid.train(found)).orderBy("doc_id").collect()] == ["en", "de", "fr"]
     monkeypatch.setattr(langid, "MODEL_PIECES", 9 * 3)
     assert len(langid.training_sample(long, F.lit(True))) == 9
+
+
+def test_the_driver_gets_the_model_only(spark, monkeypatch):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+    allowed = ~held_out(F.col("doc_id"))
+    want = quality.train(*quality.labelled_rows(docs, labels, allowed, with_noise=True))
+
+    def not_here(*_):
+        raise AssertionError("trained on the driver")
+
+    monkeypatch.setattr(quality, "labelled_rows", not_here)
+    got = llm.quality_model(docs, labels)
+    assert got.prior == want.prior and (got.labels == want.labels).all()
+    texts = [r.text for r in docs.select("text").limit(200).collect()]
+    rows = quality.features([t or "" for t in texts], quality._Terms())
+    assert quality.score(got, rows) == pytest.approx(quality.score(want, rows), abs=1e-5)
+    none = llm.quality_model(docs, labels.limit(0))
+    assert none.prior == 0.5 and not len(none.vectors)

@@ -6,6 +6,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from driftspark.llm import components, simhash
 
@@ -108,3 +109,22 @@ def test_components(spark):
     got = {r.node: r.component for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()}
     proper = [e for e in edges if e[0] != e[1]]
     assert got == union(proper, {n for e in proper for n in e})
+
+
+def test_few_edges_are_settled_in_one_task(spark, monkeypatch):
+    rng = random.Random(17)
+    edges = [(rng.randrange(-60, 90), rng.randrange(-60, 90)) for _ in range(70)] + [(300 - i, 299 - i) for i in range(70)] + [(7, 7)]
+    proper = [e for e in edges if e[0] != e[1]]
+    want = union(proper, {n for e in proper for n in e})
+    rows = spark.createDataFrame(edges, "u long, v long")
+    sets = rows.select(*(F.struct((F.col(c) % 2 == 0).alias("a"), F.when(F.col(c) % 3 != 0, F.col(c)).alias("b"), F.col(c).alias("c")).alias(c) for c in ("u", "v")))
+    spark.sparkContext.setJobGroup("few", "few")
+    got = {r.node: r.component for r in components.components(rows).collect()}
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("few"))
+    spark.sparkContext.setJobGroup("other", "other")
+    assert got == want and jobs <= 8
+    one = sorted(map(str, components.components(sets).collect()))
+    assert components.components(rows.limit(0)).count() == 0
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert {r.node: r.component for r in components.components(rows).collect()} == want
+    assert sorted(map(str, components.components(sets).collect())) == one
