@@ -777,9 +777,11 @@ def streaming_debounce(spark, sf_dir):
     """The same states by a stream whose runs come in three parts, out of order, and which starts again for each part."""
     folder = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     observed = _observed(spark, sf_dir)
+    parts = observed.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(3)))
+    parts.write.partitionBy("part").parquet(f"{folder}/parts")
     keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{folder}/out")
     for part in range(3):
-        observed.filter(F.pmod(F.xxhash64("seq"), F.lit(3)) == part).write.mode("append").parquet(f"{folder}/in")
+        spark.read.schema(parts.schema).parquet(f"{folder}/parts").filter(F.col("part") == part).drop("part").write.mode("append").parquet(f"{folder}/in")
         stream = streaming.debounced(spark.readStream.schema(observed.schema).parquet(f"{folder}/in"))
         stream.writeStream.outputMode("update").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
     found = spark.read.parquet(f"{folder}/out")

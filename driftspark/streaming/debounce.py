@@ -1,7 +1,7 @@
 """Debounced clusters over a stream of observations that may come out of order.
 
-Every file is a key with state of its own: what is settled (the debounced state after a run whose predecessors are all
-known), and a list of runs that wait for theirs. A run that follows the settled one is settled at once, and so is what waits
+Every file has a state of its own, an entry in the map of its bucket: what is settled (the debounced state after a run
+whose predecessors are all known), and the runs that wait for theirs. A run that follows the settled one is settled at once, and so is what waits
 behind it. A run further on waits; so do the runs of a file of which nothing is settled yet, unless they begin with
 ``first``. What comes out after each batch is the state over all that is known, as if nothing were missing: the
 waiting runs are folded in their order, gaps start anew, but nothing of that is kept. So a file's last output equals what
@@ -15,8 +15,11 @@ end with its input running for ever.)
 
 from __future__ import annotations
 
+import json
+from collections import defaultdict
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,10 @@ OUTPUT = f"repo_id string, file_path string, {STATE}"
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PATIENCE_MS = 24 * 3600 * 1000
 State = tuple[int, int, int, int]
+FILE = "repo_id string, file_path string"
+File = tuple[str, str]
+#: Files share calls in so many buckets; a stream must keep the number it began with.
+BUCKETS = 1024
 
 
 def after(state: State | None, seq: int, raw: int, threshold: int) -> State:
@@ -55,62 +62,81 @@ def settle(state: State | None, waiting: dict[int, int], threshold: int, first:
 
 
 class Debounce(StatefulProcessor):
-    """The state of one file: what is settled, the runs that wait for their predecessors, and since when."""
+    """The states of a bucket's files: what is settled of each, the runs that wait for their predecessors, and since when.
+
+    Each file is an entry of a map, read and written once a batch; ``due`` has the files of each timer. A call costs much more
+    than an entry, so files share calls.
+    """
 
     def __init__(self, threshold: int, first: int | None, patience_ms: int, forget_ms: int | None) -> None:
         self.threshold, self.first, self.patience, self.forget = threshold, first, patience_ms, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.settled = handle.getValueState("settled", STATE)
-        self.waiting = handle.getListState("waiting", "seq long, raw long")
-        self.times = handle.getValueState("times", "seen long, since long")
+        self.files = handle.getMapState("files", FILE, f"{STATE}, waiting binary, seen long, since long")
+        self.due = handle.getMapState("due", "ms long", "files string")
 
-    def _known(self) -> tuple[State | None, dict[int, int]]:
-        found = self.settled.get() if self.settled.exists() else None
-        waiting = {int(s): int(r) for s, r in self.waiting.get()} if self.waiting.exists() else {}
-        return (tuple(int(x) for x in found) if found else None), waiting
+    def _known(self, file: File) -> tuple[State | None, dict[int, int], int, int] | None:
+        found = self.files.getValue(file)
+        if found is None:
+            return None
+        *state, waiting, seen, since = found
+        runs = np.frombuffer(bytes(waiting), np.int64).reshape(-1, 2)
+        return None if state[3] is None else tuple(state), dict(runs.tolist()), seen, since
 
-    def _keep(self, state: State | None, waiting: dict[int, int]) -> None:
-        if state:
-            self.settled.update(state)
-        self.waiting.put(list(waiting.items())) if waiting else self.waiting.clear()
+    def _keep(self, file: File, state: State | None, waiting: dict[int, int], seen: int, since: int) -> None:
+        runs = np.array(list(waiting.items()), np.int64).tobytes()
+        self.files.updateValue(file, (*(state or (None,) * 4), runs, seen, since))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        state, waiting = self._known()
-        waited, seen = bool(waiting), 0
+        got: dict[File, dict[int, int]] = {}
+        latest: dict[File, int] = {}
         for batch in rows:
-            seen = max(seen, int(batch.ms.max()))
-            for seq, raw in zip(batch.seq.tolist(), batch.raw.tolist(), strict=True):
-                waiting.setdefault(seq, raw)
-        state, waiting = settle(state, waiting, self.threshold, self.first)
-        self._keep(state, waiting)
-        since = int(self.times.get()[1]) if waited and self.times.exists() else seen
-        self.times.update((seen, since))
-        if waiting and not waited:
-            self.handle.registerTimer(seen + self.patience)
-        if self.forget is not None:
-            self.handle.registerTimer(seen + self.forget)
-        shown, _ = settle(state, waiting, self.threshold, all_of_it=True)
-        if shown:
-            yield pd.DataFrame([(*key, *shown)], columns=["repo_id", "file_path", "stable", "candidate", "consecutive", "seq"])
+            for repo_id, file_path, seq, raw, ms in zip(*(batch[c].tolist() for c in ("repo_id", "file_path", "seq", "raw", "ms")), strict=True):
+                file = repo_id, file_path
+                got.setdefault(file, {}).setdefault(seq, raw)
+                latest[file] = max(latest.get(file, 0), ms)
+        out, due = [], defaultdict(list)
+        for file, new in got.items():
+            state, waiting, _, since = self._known(file) or (None, {}, 0, 0)
+            waited, seen = bool(waiting), latest[file]
+            state, waiting = settle(state, new | waiting, self.threshold, self.first)
+            self._keep(file, state, waiting, seen, since if waited else seen)
+            if waiting and not waited:
+                due[seen + self.patience].append(file)
+            if self.forget is not None:
+                due[seen + self.forget].append(file)
+            shown, _ = settle(state, waiting, self.threshold, all_of_it=True)
+            if shown:
+                out.append((*file, *shown))
+        for ms, files in due.items():
+            others = self.due.getValue((ms,))
+            self.due.updateValue((ms,), (json.dumps((json.loads(others[0]) if others else []) + files),))
+            self.handle.registerTimer(ms)
+        if out:
+            yield pd.DataFrame(out, columns=["repo_id", "file_path", "stable", "candidate", "consecutive", "seq"])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = int(expiredTimerInfo.getExpiryTimeInMs())
-        seen, since = (int(x) for x in self.times.get()) if self.times.exists() else (0, 0)
-        state, waiting = self._known()
-        if waiting and since + self.patience <= now:
-            self._keep(*settle(state, waiting, self.threshold, all_of_it=True))
-        if self.forget is not None and seen + self.forget <= now:
-            for kept in (self.settled, self.waiting, self.times):
-                kept.clear()
+        files = self.due.getValue((now,))
+        for file in map(tuple, json.loads(files[0]) if files else []):
+            known = self._known(file)
+            if known is None:
+                continue
+            state, waiting, seen, since = known
+            if self.forget is not None and seen + self.forget <= now:
+                self.files.removeKey(file)
+            elif waiting and since + self.patience <= now:
+                self._keep(file, *settle(state, waiting, self.threshold, all_of_it=True), seen, since)
+        if files:
+            self.due.removeKey((now,))
         yield from ()
 
     def close(self) -> None:
         pass
 
 
-def debounced(observed: DataFrame, threshold: int = THRESHOLD, *, first: int | None = None, patience_ms: int = PATIENCE_MS, forget_ms: int | None = None, delay: str = "0 seconds") -> DataFrame:
+def debounced(observed: DataFrame, threshold: int = THRESHOLD, *, first: int | None = None, patience_ms: int = PATIENCE_MS, forget_ms: int | None = None, delay: str = "0 seconds", buckets: int = BUCKETS) -> DataFrame:
     """The latest state of each file seen in a batch, from a stream of (repo_id, file_path, seq, raw), and maybe at.
 
     Of repeated runs the one that came first counts; rows of times more than ``delay`` before the latest ones are left out.
@@ -121,5 +147,6 @@ def debounced(observed: DataFrame, threshold: int = THRESHOLD, *, first: int | N
     time = F.col("at") if "at" in observed.columns else F.current_timestamp()
     rows = observed.withColumn("at", time).withWatermark("at", delay)
     rows = rows.select("repo_id", "file_path", F.col("seq").cast("long").alias("seq"), F.col("raw").cast("long").alias("raw"), "at", F.unix_millis("at").alias("ms"))
+    rows = rows.withColumn("bucket", F.pmod(F.xxhash64("repo_id", "file_path"), F.lit(buckets)))
     processor = Debounce(threshold, first, patience_ms, forget_ms)
-    return rows.groupBy("repo_id", "file_path").transformWithStateInPandas(processor, OUTPUT, "update", "eventTime")
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, OUTPUT, "update", "eventTime")

@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from driftspark.operators import debounce
 from driftspark.streaming import debounce as streaming
 
@@ -66,3 +68,62 @@ def test_settling():
     assert streaming.settle(None, {0: 1, 1: 2, 3: 2}, 2, first=0) == ((1, 2, 1, 1), {3: 2})
     assert streaming.settle((1, 2, 1, 1), {3: 2, 2: 2}, 2) == ((2, 2, 0, 3), {})
     assert streaming.settle((1, 2, 1, 1), {5: 2, 0: 9}, 2, all_of_it=True) == ((2, 2, 0, 5), {})  # a gap; an older run is left out
+
+
+class Map(dict):
+    """A map state that counts its calls."""
+
+    calls = 0
+
+    def getValue(self, key):  # noqa: N802
+        self.calls += 1
+        return self.get(key)
+
+    def updateValue(self, key, value):  # noqa: N802
+        self.calls += 1
+        self[key] = value
+
+    def removeKey(self, key):  # noqa: N802
+        self.calls += 1
+        self.pop(key, None)
+
+
+class Handle:
+    def __init__(self):
+        self.maps, self.timers = {}, []
+
+    def getMapState(self, name, *_):  # noqa: N802
+        return self.maps.setdefault(name, Map())
+
+    def registerTimer(self, ms):  # noqa: N802
+        self.timers.append(ms)
+
+
+def test_files_share_calls_and_timers():
+    import pandas as pd
+
+    handle, bucket = Handle(), streaming.Debounce(2, None, 1000, 5000)
+    bucket.init(handle)
+    frame = pd.DataFrame([("r", f"f{i}", seq, i % 3, 10) for i in range(500) for seq in (2, 1)], columns=["repo_id", "file_path", "seq", "raw", "ms"])
+    shown = list(bucket.handleInputRows((0,), iter([frame[:300], frame[300:]]), None))
+    assert [len(x) for x in shown] == [500] and set(shown[0].seq) == {2}
+    assert handle.timers == [1010, 5010] and handle.maps["files"].calls == 2 * 500
+    expired = lambda ms: list(bucket.handleExpiredTimer((0,), None, type("Info", (), {"getExpiryTimeInMs": lambda self: ms})()))
+    expired(1010)
+    assert {v[3] for v in handle.maps["files"].values()} == {2} and {v[4] for v in handle.maps["files"].values()} == {b""}
+    expired(5010)
+    assert not handle.maps["files"] and not handle.maps["due"]
+
+
+def test_many_files_in_few_buckets(spark, tmp_path):
+    rng = random.Random(23)
+    rows = [("r", None if i == 0 else f"f{i}", seq, rng.randrange(3)) for i in range(120) for seq in range(1, rng.randrange(2, 12)) if seq % 7]
+    for part in range(3):
+        spark.createDataFrame([r for r in rows if (r[2] * 7 + 1) % 3 == part], SCHEMA).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = streaming.debounced(spark.readStream.schema(SCHEMA).parquet(f"{tmp_path}/in"), 2, buckets=2)
+        keep = lambda batch, number: batch.withColumn("batch", F.lit(number)).write.mode("append").parquet(f"{tmp_path}/out")
+        stream.writeStream.outputMode("update").option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).foreachBatch(keep).start().awaitTermination()
+    last = {}
+    for r in spark.read.parquet(f"{tmp_path}/out").orderBy("batch").collect():
+        last[r.file_path] = (r.stable, r.candidate, r.consecutive, r.seq)
+    assert last == {r.file_path: (r.stable, r.candidate, r.consecutive, r.seq) for r in debounce.replay(spark.createDataFrame(rows, SCHEMA), 2).collect()}
