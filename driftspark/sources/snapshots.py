@@ -10,7 +10,9 @@ each repository. What can't be pushed down, Spark filters.
 Writing (repo_id, timestamp, body), mode append: tasks put their files under a hidden folder of the job. Once all tasks have
 succeeded, the job's list of files is written as one journal file, by a rename; from then on the job counts. The files are
 moved to their places, the oldest beyond ``retention`` are deleted, and the journal goes. A reader or writer that meets a
-journal, after a crash, finishes its moves first. A job that fails leaves nothing: its folder is deleted.
+journal, after a crash, finishes its moves first. A job that fails leaves nothing: its folder is deleted. The job makes that
+folder before its tasks start, and a task makes only one of its own in it, so a task that still runs when its job has ended can
+write no more. (In stores without folders, files of such a task may stay, hidden.)
 
 Paths may be local, ``file:`` or of any scheme that Arrow's file systems know. Names of repositories are quoted.
 """
@@ -34,6 +36,8 @@ from .store import NAME
 
 FORMAT = "drift_snapshots"
 FILES = 256
+#: How often a deletion is tried.
+TRIES = 100
 STAGING, JOURNAL = "_staging", "_journal"
 #: How the value of a column compares with that of a filter.
 COMPARE = {EqualTo: str.__eq__, GreaterThan: str.__gt__, GreaterThanOrEqual: str.__ge__, LessThan: str.__lt__, LessThanOrEqual: str.__le__, In: lambda a, b: a in b}
@@ -51,8 +55,13 @@ def listed(system: fs.FileSystem, folder: str) -> list[fs.FileInfo]:
 
 
 def put(system: fs.FileSystem, path: str, content: bytes) -> None:
-    """Written under another name first, so that no reader meets half a file."""
+    """A file, with its folder."""
     system.create_dir(posixpath.dirname(path))
+    put_inside(system, path, content)
+
+
+def put_inside(system: fs.FileSystem, path: str, content: bytes) -> None:
+    """Written under another name first, so that no reader meets half a file; fails where the folder is gone."""
     with system.open_output_stream(f"{path}.tmp") as out:
         out.write(content)
     system.move(f"{path}.tmp", path)
@@ -76,8 +85,15 @@ def finish(system: fs.FileSystem, root: str, journal: str) -> None:
 
 
 def remove(system: fs.FileSystem, folder: str) -> None:
-    if system.get_file_info(folder).type == fs.FileType.Directory:
-        system.delete_dir(folder)
+    """Deletes a folder that tasks may still write to: what they add between the listing and the deletion takes another try."""
+    for left in range(TRIES - 1, -1, -1):
+        try:
+            if system.get_file_info(folder).type == fs.FileType.Directory:
+                system.delete_dir(folder)
+            return
+        except OSError:
+            if not left:
+                raise
 
 
 def recover(system: fs.FileSystem, root: str) -> None:
@@ -137,17 +153,20 @@ class Written(WriterCommitMessage):
 class SnapshotWriter(DataSourceWriter):
     def __init__(self, path: str, retention: int) -> None:
         self.path, self.retention, self.job = path, retention, secrets.token_hex(8)
+        system, root = opened(path)
+        system.create_dir(f"{root}/{STAGING}/{self.job}")  # by the driver; once it is deleted, no task can make it again
 
     def write(self, iterator: Iterator[Row]) -> Written:
         system, root = opened(self.path)
         attempt, files = secrets.token_hex(4), []  # a task that is tried again has files of its own
+        system.create_dir(f"{root}/{STAGING}/{self.job}/{attempt}", recursive=False)
         for row in iterator:
             stamp = row["timestamp"].translate({ord("-"): None, ord(":"): None})
             name = f"snapshot_{stamp}_{secrets.token_hex(3)}.json"
             if not NAME.match(name):
                 raise ValueError(f"not a time like 2026-01-31T12:00:00Z: {row['timestamp']}")
             staged, place = f"{STAGING}/{self.job}/{attempt}/{len(files)}.json", f"{quote(row['repo_id'], safe='')}/{name}"
-            put(system, f"{root}/{staged}", row["body"].encode())
+            put_inside(system, f"{root}/{staged}", row["body"].encode())
             files.append((staged, place))
         return Written(files)
 

@@ -60,3 +60,41 @@ def test_a_committed_job_is_finished_by_the_next_one(tmp_path):
     rows = reader.partitions()[0].rows
     assert [body for *_, body in reader.read(snapshots.Files(rows))] == ["2", "3"]
     assert not any(f.startswith("_") for f in files(tmp_path))
+
+
+def test_a_task_that_outlives_its_job_writes_no_more(tmp_path):
+    row = {"repo_id": "a", "timestamp": "2024-01-01T00:00:00Z", "body": "{}"}
+    writer = snapshots.SnapshotWriter(str(tmp_path), 0)
+
+    def rows():
+        yield row
+        writer.abort([])  # another task has failed
+        yield row
+
+    with pytest.raises(OSError):
+        writer.write(rows())
+    assert files(tmp_path) == []
+    with pytest.raises(OSError):  # a task that starts too late
+        writer.write(iter([row]))
+    assert files(tmp_path) == []
+
+
+def test_a_folder_is_deleted_while_tasks_write_to_it(tmp_path):
+    system, root = snapshots.opened(str(tmp_path))
+    (tmp_path / "job").mkdir()
+    tries = []
+
+    class Busy:
+        """The file system, where a task adds a file in the middle of the first two deletions."""
+
+        def get_file_info(self, path):
+            return system.get_file_info(path)
+
+        def delete_dir(self, path):
+            tries.append(path)
+            if len(tries) < 3:
+                raise OSError("Directory not empty")
+            system.delete_dir(path)
+
+    snapshots.remove(Busy(), f"{root}/job")
+    assert len(tries) == 3 and not (tmp_path / "job").exists()
